@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillon.functions.scalars import fisher_z, ratio
 
@@ -151,7 +152,7 @@ def one_sample_t(df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0) -> D
     return g.select(*by, "n", ratio((F.col("m") - mu) * F.sqrt("n"), "sd").alias("t"), ratio(F.col("m") - mu, "sd").alias("d_z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
@@ -162,7 +163,7 @@ def log_factorials(spark, n: int) -> DataFrame:
     return spark.range(n + 1).select(F.col("id").alias("k"), F.coalesce(F.sum(F.ln(F.greatest("id", F.lit(1)).cast("double"))).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("lf"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_p(overlap: pd.Series, universe: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= overlap) of a hypergeometric count."""
     lf = math.lgamma
@@ -176,7 +177,7 @@ def hypergeometric_p(overlap: pd.Series, universe: pd.Series, marked: pd.Series,
     return pd.Series([tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(overlap, universe, marked, drawn)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_test_p(k: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided exact binomial p of k successes in n at one half."""
 

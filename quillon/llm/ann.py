@@ -151,7 +151,8 @@ def search_table(table: DataFrame, k: int = 10, every: int = 100, id_col: str =
     rows = valid_vectors(table, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     x = np.array([r.v for r in sample.select("v").collect()], np.float64)
-    x = x.reshape(len(x), -1)
+    if not len(x):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit(x)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

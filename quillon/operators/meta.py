@@ -21,14 +21,14 @@ def stouffer(df: DataFrame, by: Sequence[str], z: str) -> DataFrame:
 
 def inverse_variance(df: DataFrame, by: Sequence[str], effect: str, se: str) -> DataFrame:
     """Fixed effect, its standard error, Q, tau^2 (DerSimonian-Laird), I^2 and the random effect."""
-    rows = df.where(F.col(effect).isNotNull() & (F.col(se) > 0)).withColumn("w", 1.0 / (F.col(se) * F.col(se))).withColumn("y", F.col(effect).cast("double"))
-    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), F.sum(F.col("w") * F.col("y")).alias("swy"))
+    rows = df.where(F.col(effect).isNotNull() & (F.col(se) > 0)).withColumn("_w", 1.0 / (F.col(se) * F.col(se))).withColumn("_y", F.col(effect).cast("double"))
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_w")).alias("sw2"), F.sum(F.col("_w") * F.col("_y")).alias("swy"))
     g = g.withColumn("fixed", F.col("swy") / F.col("sw"))
-    q = rows.join(g.select(*by, "fixed"), list(by)).groupBy(*by).agg(F.sum(F.col("w") * (F.col("y") - F.col("fixed")) * (F.col("y") - F.col("fixed"))).alias("q"))
+    q = rows.join(g.select(*by, "fixed"), list(by)).groupBy(*by).agg(F.sum(F.col("_w") * (F.col("_y") - F.col("fixed")) * (F.col("_y") - F.col("fixed"))).alias("q"))
     g = g.join(q, list(by))
     tau2 = F.greatest(F.lit(0.0), F.coalesce(ratio(F.col("q") - (F.col("k") - 1), F.col("sw") - F.col("sw2") / F.col("sw")), F.lit(0.0)))
     g = g.withColumn("tau2", tau2).withColumn("i2", F.greatest(F.lit(0.0), F.coalesce(ratio(F.col("q") - (F.col("k") - 1), "q"), F.lit(0.0))))
-    r = rows.join(g.select(*by, "tau2"), list(by)).withColumn("v", 1.0 / (F.col(se) * F.col(se) + F.col("tau2"))).groupBy(*by).agg((F.sum(F.col("v") * F.col("y")) / F.sum("v")).alias("random"), F.sqrt(1.0 / F.sum("v")).alias("random_se"))
+    r = rows.join(g.select(*by, "tau2"), list(by)).withColumn("_v", 1.0 / (F.col(se) * F.col(se) + F.col("tau2"))).groupBy(*by).agg((F.sum(F.col("_v") * F.col("_y")) / F.sum("_v")).alias("random"), F.sqrt(1.0 / F.sum("_v")).alias("random_se"))
     return g.join(r, list(by)).select(*by, "k", "fixed", F.sqrt(1.0 / F.col("sw")).alias("fixed_se"), "q", "tau2", "i2", "random", "random_se")
 
 

@@ -30,7 +30,7 @@ def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k:
     """
     p = nodes.select(*by, F.col(node).alias("n"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = p.withColumn("s", steps).select(*by, F.col("n").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    left = p.withColumn("_step", steps).select(*by, F.col("n").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("_step.i")).alias("cx"), (F.col("cy") + F.col("_step.j")).alias("cy"))
     pairs = left.join(p.select(*by, F.col("n").alias("dst"), "x", "y", "cx", "cy"), [*by, "cx", "cy"]).where("src <> dst")
     d2 = (F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2
     return top_n(pairs.withColumn("d2", d2).where(F.col("d2") <= cell * cell), [*by, "src"], [F.col("d2"), F.col("dst")], k).select(*by, "src", "dst", "rank", F.sqrt("d2").alias("distance"))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, texts_of
 
-#: Entries that bound a worker's caches of chunks and of words, and the characters of an entry: near 200 MB.
-CHUNKS, WORDS, CHARS = 300_000, 600_000, 48
+#: Entries that bound a worker's caches of chunks and of words, and the characters of an entry: near 300 MB.
+CHUNKS, WORDS, CHARS = 600_000, 800_000, 48
 #: A space between two other characters that aren't white space: no match of the pattern crosses its left side.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 

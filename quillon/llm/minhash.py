@@ -150,6 +150,7 @@ def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, percent
                 dense = np.zeros((m, min(wide, len(shared) - c)), np.float32)
                 dense[owner[s:e], at[s:e] - c] = 1
                 both += dense[rows] @ dense[cols].T
+            both = both.astype(np.float64)  # exact for sets of any size in the products below
             union = sizes[rows][:, None] + sizes[cols][None, :] - both
             for i, j in zip(*np.nonzero(100 * both >= percent * union)):
                 x, y = int(rows[i]), int(cols[j])
@@ -195,13 +196,15 @@ def _confirm(sets: DataFrame, percent: int) -> DataFrame:
     return placed.select("grp", "meet.pair", "meet.right", "key", "found").groupBy("grp", "pair").applyInPandas(compare, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets (percent >= 77,
     as size classes are WIDTH apart). component_id is the smallest doc_id of the documents reached; kept
     says that it is the document's own. Null and empty texts and those without words have no shingles and
     are linked with nothing. A null doc_id counts as larger than any other. Repeated rows come out repeated.
+    with_class adds mark (xxhash64 of the text) and root (the component's own key, null without shingles),
+    which tell components apart that share a repeated doc_id.
     """
     if percent * WIDTH < 100:
         raise ValueError("size classes are too narrow for this similarity")
@@ -235,7 +238,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     roots = components(_confirm(sets, percent), "links")
     whole = classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = materialise(whole.join(least, "root").select(F.col("set_key").alias("key"), "component_id"), "named")
+    named, _ = materialise(whole.join(least, "root").select(F.col("set_key").alias("key"), "component_id", "root"), "named")
     out = signed.join(named, signed["set_key"] == named["key"], "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    more = ["mark", "root"] if with_class else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)

@@ -34,9 +34,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    A group's document is the one of the smallest doc_id (of a repeated id: of the smallest text hash, once).
+    Documents without words are in no group and all stay.
+    """
+    text = F.col("text").cast("string")
+    found = minhash.near_duplicates(docs, with_class=True).where("kept and root is not null")
+    first = found.groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_kept")).drop("root")
+    has_words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = docs.where(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_mark")))
+    return worded.dropDuplicates(["_kept", "_mark"]).drop("_kept", "_mark").unionByName(docs.where(~has_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

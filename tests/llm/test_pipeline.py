@@ -35,3 +35,16 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
 
 def test_registered():
     assert len(queries.queries()) == 11 and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_near_duplicates_stage_with_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    a, b, c, d = (" ".join(rng.choice(words) for _ in range(100)) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (2, a + " " + words[0], "x"), (None, c, "x"), (None, d, "x"), (3, c, "y"), (4, None, "z"), (4, None, "z"), (5, " \n", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a, "x"), (1, b, "x"), (None, d, "x"), (3, c, "y"), (4, None, "z"), (4, None, "z"), (5, " \n", "z")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.keep_one_of_each(spark, docs.limit(0), "").count() == 0

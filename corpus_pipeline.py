@@ -39,12 +39,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A group's document is the one of the smallest doc_id (of a repeated id: of the smallest text hash, once).
     Documents without words are in no group and all stay.
     """
-    text = F.col("text").cast("string")
-    found = minhash.near_duplicates(docs, with_class=True).where("kept and root is not null")
-    first = found.groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_kept")).drop("root")
+    text, doc_id, key = F.col("text").cast("string"), F.col("doc_id").cast("long"), ["_none", "_id", "_mark"]
+    named = lambda df: df.withColumns({"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0))})
+    found = named(minhash.near_duplicates(docs, with_class=True).where("kept and root is not null"))
+    first = found.groupBy("root").agg(F.min(F.struct("_none", "_id", F.col("mark").alias("_mark"))).alias("key")).select("key.*")
     has_words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = docs.where(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_mark")))
-    return worded.dropDuplicates(["_kept", "_mark"]).drop("_kept", "_mark").unionByName(docs.where(~has_words))
+    # repeated rows go before the join, which finds the texts dealt by its keys already
+    worded = named(docs.where(has_words)).withColumn("_mark", F.xxhash64(text)).dropDuplicates(key)
+    return worded.join(first, key).select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

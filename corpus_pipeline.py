@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, minhash, packing, quality, queries, secret_scan
-from quillon.llm.common import fresh_path, materialise, table
+from quillon.llm.common import fresh_path, materialise, split_by_bitmap, table
 
 #: A prediction with less agreement than this is no language; clean prose of the learned languages lies above 0.3.
 LEAST_SCORE = 0.1
@@ -40,13 +40,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words are in no group and all stay.
     """
     text, doc_id, key = F.col("text").cast("string"), F.col("doc_id").cast("long"), ["_none", "_id", "_mark"]
-    named = lambda df: df.withColumns({"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0))})
-    found = named(minhash.near_duplicates(docs, with_class=True).where("kept and root is not null"))
-    first = found.groupBy("root").agg(F.min(F.struct("_none", "_id", F.col("mark").alias("_mark"))).alias("key")).select("key.*")
+    named = lambda df, mark: df.withColumns({"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_mark": mark})
+    found = named(minhash.near_duplicates(docs, with_class=True).where("root is not null"), F.col("mark"))
+    found, _ = materialise(found.groupBy(*key, "root").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "decisions")
+    first = found.where("kept").groupBy("root").agg(F.min(F.struct(*key)).alias("key")).select("key.*")
+    # only texts that may have to go, and repeated rows, are dealt out to meet the decisions
+    open_keys = found.join(first.withColumn("stays", F.lit(True)), key, "left").where("stays is null or times > 1").select(*key)
     has_words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    # repeated rows go before the join, which finds the texts dealt by its keys already
-    worded = named(docs.where(has_words)).withColumn("_mark", F.xxhash64(text)).dropDuplicates(key)
-    return worded.join(first, key).select(*docs.columns).unionByName(docs.where(~has_words))
+    may_go, stay = split_by_bitmap(named(docs.where(has_words), F.xxhash64(text)), F.xxhash64(*key), open_keys)
+    chosen = may_go.dropDuplicates(key).join(first, key)
+    return stay.select(*docs.columns).unionByName(chosen.select(*docs.columns)).unionByName(docs.where(~has_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: with texts of 100 kB a batch stays near 50 MB.
@@ -56,6 +56,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a bitmap: 2**18 words of 64 bits, so what is broadcast is at most 4 MB of longs whatever the input.
+BITMAP_BITS = 1 << 24
+
+
+def split_by_bitmap(df: DataFrame, key: Column, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among some's, rows whose key surely is not), without a shuffle of df.
+
+    key is a long expression that both tables can compute. The bitmap lets a row through by chance if its bit is
+    set by another key, so an exact join has to follow; it never holds a row back. With far more keys than bits
+    every row comes out on the first side, as if there were no bitmap.
+    """
+    at = F.pmod(key, F.lit(BITMAP_BITS).cast("long"))
+    bit = lambda x: (x.bitwiseAND(F.lit(63))).cast("int")
+    words = some.select(at.alias("_bitmap_at")).groupBy(F.shiftright("_bitmap_at", 6).alias("_bitmap_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("_bitmap_at")))).alias("_bitmap_set"))
+    placed = df.withColumn("_bitmap_at", at).join(F.broadcast(words), F.shiftright("_bitmap_at", 6) == F.col("_bitmap_word"), "left")
+    is_set = F.coalesce(F.call_function("shiftright", "_bitmap_set", bit(F.col("_bitmap_at"))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return placed.where(is_set).select(*df.columns), placed.where(~is_set).select(*df.columns)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text, materialise
+from .common import ascii_lower, id_and_text, materialise, split_by_bitmap
 from .stars import components
 
 BANDS, ROWS = 40, 6
@@ -212,13 +212,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     signed, _ = materialise(_signatures(rows_in, k, bands, rows), "minhash")
     found = signed.where("set_key is not null")
     shown_by = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")
-    classes = found.groupBy("set_key").agg(F.min(shown_by).alias("by")).select("set_key", F.col("by.doc_id").alias("least"), F.col("by.mark").alias("mark"))
     # one row per class carries its bands: any of its documents has the same
-    shown = found.select("set_key", F.explode("bands").alias("bucket")).distinct()
-    pivot = shown.groupBy("bucket").agg(F.min("set_key").alias("v"), F.max("set_key").alias("most")).where("v <> most").select("bucket", "v")
-    candidates = shown.join(pivot, "bucket").where("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct()
-    groups = components(candidates, "candidates").select(F.col("node").alias("set_key"), F.col("root").alias("grp"))
-    members, _ = materialise(classes.join(groups, "set_key").select("set_key", "grp", "least", "mark"), "members")
+    least = found.groupBy("set_key").agg(F.min(shown_by).alias("by"), F.min_by("bands", shown_by).alias("bands"))
+    classes, _ = materialise(least.select("set_key", F.xxhash64("set_key").alias("short"), F.col("by.doc_id").alias("least"), F.col("by.mark").alias("mark"), "bands"), "classes")
+    # candidates go by half of the key: classes that share it by chance only meet once more in the verification
+    shown = classes.select("short", F.explode("bands").alias("bucket"))
+    pivot = shown.groupBy("bucket").agg(F.min("short").alias("v"), F.max("short").alias("most")).where("v <> most").select("bucket", "v")
+    candidates = shown.join(pivot, "bucket").where("short <> v").select(F.col("short").alias("u"), "v").distinct()
+    groups = components(candidates, "candidates").select(F.col("node").alias("short"), F.col("root").alias("grp"))
+    members, _ = materialise(classes.join(groups, "short").select("set_key", "grp", "least", "mark"), "members")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +233,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 all_found.append(x if keep else None)
             yield pa.record_batch([batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(all_found, pa.binary())], names=["grp", "key", "n_shingles", "found"])
 
+    # the texts of documents in no candidate group stay where they are
+    address = F.xxhash64(F.isnull("doc_id"), "doc_id", "mark")
+    may, _ = split_by_bitmap(rows_in, address, members.select(F.col("least").alias("doc_id"), "mark"))
     wanted = members.select(F.col("least").alias("want_id"), F.col("mark").alias("want_mark"), "grp", "set_key")
-    with_text = rows_in.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("mark") == F.col("want_mark")))
-    sets = with_text.select("text", "grp", "set_key").mapInArrow(again, "grp binary, key binary, n_shingles long, found binary").where("key is not null")
+    with_text = may.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("mark") == F.col("want_mark")))
+    sets = with_text.select("text", "grp", "set_key").mapInArrow(again, "grp long, key binary, n_shingles long, found binary").where("key is not null")
     sets, _ = materialise(sets.dropDuplicates(["key"]), "sets")
     roots = components(_confirm(sets, percent), "links")
     whole = classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))

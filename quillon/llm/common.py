@@ -88,6 +88,20 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Itera
     return run
 
 
+_IN_USE: dict[str, Callable[[], object]] = {}
+
+
+def use_caches(owner: str, forget: Callable[[], object]) -> None:
+    """Says that this worker now works for owner; what it still holds for another operator is forgotten.
+
+    Spark hands a Python worker from one stage to the next: without this a chain of operators holds the
+    caches of all of them at once.
+    """
+    for other in [x for x in _IN_USE if x != owner]:
+        _IN_USE.pop(other)()
+    _IN_USE[owner] = forget
+
+
 def ascii_lower(text: str) -> str:
     """A-Z in lower case and nothing else, so positions stay."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

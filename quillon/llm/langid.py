@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import use_caches
+
 #: n-grams of a profile, and those of a document that are compared.
 PROFILE = 400
 #: Languages that a model may hold; more are an error (the model is broadcast: 5 kB a language).
@@ -130,6 +132,7 @@ def predict(text: Column, model: dict[str, list[int]], top: int = PROFILE) -> Co
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        use_caches("languages", int)
         use = _judge(tuple((k, tuple(v)) for k, v in model.items()), top)
         return pd.DataFrame([use(t) for t in texts], columns=["lang_pred", "score"])
 

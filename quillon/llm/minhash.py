@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text, materialise, split_by_bitmap
+from .common import ascii_lower, id_and_text, materialise, split_by_bitmap, use_caches
 from .stars import components
 
 BANDS, ROWS = 40, 6
@@ -58,6 +58,10 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _forget() -> None:
+    _HASHES.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -89,6 +93,7 @@ def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches("minhash", _forget)
         a, b = _constants(bands * rows)
         for batch in batches:
             n, keys, marks = [], [], []
@@ -182,6 +187,7 @@ def _confirm(sets: DataFrame, percent: int) -> DataFrame:
     placed = placed.withColumn("cell", mine).withColumn("meet", F.explode(F.when(F.col("total") <= CELL, whole).otherwise(meets(F.col("cell")))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        use_caches("minhash comparison", int)  # needs no words any more
         pdf = pdf.sort_values("key")
         side = pdf["right"].to_numpy()
         keys = pdf["key"].tolist()
@@ -223,6 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members, _ = materialise(classes.join(groups, "short").select("set_key", "grp", "least", "mark"), "members")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches("minhash", _forget)
         for batch in batches:
             keys, sizes, all_found = [], [], []
             for text, want in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text
+from .common import ascii_lower, id_and_text, use_caches
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 #: Keywords of each kind, in lower case.
@@ -114,6 +114,7 @@ def redact_column(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        use_caches("secrets", int)
         return pd.Series([redact(t, spans(t)) if t else t for t in texts], dtype=object)
 
     return clean(text)

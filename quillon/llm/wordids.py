@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import use_caches
+
 #: Entries of a worker's cache and characters of an entry: near 150 MB at most.
 PIECES, CHARS = 700_000, 48
 #: Latin letters without U+0130 (its lower case is two characters), then punctuation that forms one pre-token.
@@ -129,6 +131,7 @@ def _latin(text: str) -> bool:
 
 def encoder(spec: str) -> WordEncoder:
     """The worker's encoder for this vocabulary (its JSON text)."""
+    use_caches("wordids", _ENCODERS.clear)
     key = hash(spec)
     if key not in _ENCODERS:
         _ENCODERS.clear()

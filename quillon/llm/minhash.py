@@ -199,7 +199,9 @@ def _confirm(sets: DataFrame, percent: int) -> DataFrame:
         order = a + b
         return pd.DataFrame([(keys[order[x]], keys[order[y]]) for x, y in links], columns=["u", "v"])
 
-    return placed.select("grp", "meet.pair", "meet.right", "key", "found").groupBy("grp", "pair").applyInPandas(compare, "u binary, v binary")
+    # dealt by pairs of cells: the join's partitioning by group alone would leave a large group in one task
+    met = placed.select("grp", "meet.pair", "meet.right", "key", "found").repartition("grp", "pair")
+    return met.groupBy("grp", "pair").applyInPandas(compare, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:

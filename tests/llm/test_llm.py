@@ -270,3 +270,32 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(got) and (1, 7, 0.0) in got[100]
     assert ann.search_table(table.where("vec_id < 0")).count() == 0
     assert ann.search_table(table.where("vec_id in (0, 1, 2)")).count() == 2
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_bitmap_never_holds_a_wanted_row_back(spark, monkeypatch, bits):
+    """Also when it is full (64 bits for 100 keys): then every row comes out on the first side."""
+    from quillon.llm import common
+
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
+    rows = spark.createDataFrame([(i, "x") for i in [*range(300), 7, None]], "doc_id long, _bit string")
+    some = spark.createDataFrame([(i,) for i in [*range(100), None]], "doc_id long")
+    key = F.xxhash64(F.isnull("doc_id"), "doc_id")
+    may, no = common.split_by_bitmap(rows, key, some)
+    first, second = [r.doc_id for r in may.collect()], [r.doc_id for r in no.collect()]
+    assert {*range(100), None} <= set(first)
+    assert len(first) + len(second) == 302 and not set(first) & set(second)
+    assert bits == 64 or len(first) < 200
+    nothing, all_rows = common.split_by_bitmap(rows, key, some.limit(0))
+    assert nothing.count() == 0 and all_rows.count() == 302
+
+
+def test_a_worker_holds_the_caches_of_one_operator():
+    from quillon.llm import common
+
+    seen = []
+    common.use_caches("a", lambda: seen.append("a"))
+    common.use_caches("a", lambda: seen.append("a"))
+    assert not seen
+    common.use_caches("b", lambda: seen.append("b"))
+    assert seen == ["a"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -217,3 +218,29 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("c"))
     slope = F.when(F.col("vx") > 1e-24, ratio("c", "vx")).otherwise(0.0)
     return g.withColumn("slope", slope).select(*by, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), (F.col("n") * (F.col("vy") - F.col("slope") * F.col("c"))).alias("rss"))
+
+
+def threshold_sweep(df: DataFrame, by: Sequence[str], x: str, thresholds: Sequence[float]) -> DataFrame:
+    """threshold, n, n_above and fraction_above (x >= threshold) of each group: one pass, whatever the thresholds.
+
+    A null x counts in nothing; a group without values has a null fraction.
+    """
+    found = df.groupBy(*by).agg(F.count(x).alias("n"), F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(F.col(x) >= float(t)).alias("n_above")) for t in thresholds]).alias("_sweep"))
+    rows = found.select(*by, "n", F.explode("_sweep").alias("_at"))
+    return rows.select(*by, "_at.threshold", "n", "_at.n_above", (F.col("_at.n_above") / F.nullif("n", F.lit(0))).alias("fraction_above"))
+
+
+def binned_profile(df: DataFrame, by: Sequence[str], x: str, y: str, bins: int) -> DataFrame:
+    """n, fraction, mean and quartiles of y in equal-width bins (from 0) of x between a group's extremes.
+
+    The largest x is in the last bin; a constant x is in bin 0. Rows with a null x or y are left out. The
+    extremes come from partial aggregates, so a large group is not gathered in a window.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ends = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count("*").alias("_total"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    placed = rows.join(ends, reduce(Column.__and__, same)) if same else rows.crossJoin(F.broadcast(ends))
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    at = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(x) - F.col("_low")) / width * bins), F.lit(0))).cast("int")
+    found = placed.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.max("_total").alias("_total"), F.avg(y).alias("mean"), *[F.percentile(y, F.lit(q)).alias(c) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+    return found.select(*by, "bin", "n", (F.col("n") / F.col("_total")).alias("fraction"), "mean", "q25", "median", "q75")

@@ -452,3 +452,21 @@ def pooled_and_by_dataset(t: Tables) -> DataFrame:
     t.spots().createOrReplaceTempView("_quillon_spots")
     return t.spark.sql("""SELECT CASE WHEN grouping(dataset) = 1 THEN 'pooled' ELSE dataset END AS dataset, l_returnflag, count(*) AS n, round(avg(discount), 6) AS mean_discount,
         round(percentile(price, 0.5), 4) AS median_price, count(DISTINCT sample) AS samples FROM _quillon_spots GROUP BY GROUPING SETS ((dataset, l_returnflag), (l_returnflag))""")
+
+
+@query(
+    f"""WITH {SPOTS_SQL} SELECT dataset, sample, CAST(t AS DOUBLE) AS threshold, count(*) AS n, count(*) FILTER (quantity >= t) AS n_above, round(count(*) FILTER (quantity >= t) / count(*), 6) AS fraction_above
+    FROM spots CROSS JOIN (VALUES (10), (20), (30), (40)) v(t) GROUP BY 1, 2, 3"""
+)
+def threshold_sweep_by_sample(t: Tables) -> DataFrame:
+    return rounded(statistics.threshold_sweep(t.spots(), BY, "quantity", (10, 20, 30, 40)))
+
+
+@query(
+    f"""WITH {SPOTS_SQL}, e AS (SELECT dataset, sample, min(quantity) AS lo, max(quantity) AS hi, count(*) AS total FROM spots GROUP BY 1, 2),
+    b AS (SELECT dataset, sample, CAST(least(4, coalesce(floor((quantity - lo) / nullif(hi - lo, 0) * 5), 0)) AS INTEGER) AS bin, price, total FROM spots JOIN e USING (dataset, sample))
+    SELECT dataset, sample, bin, count(*) AS n, round(count(*) / max(total), 6) AS fraction, round(avg(price), 4) AS mean, round(quantile_cont(price, 0.25), 4) AS q25, round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.75), 4) AS q75 FROM b GROUP BY 1, 2, 3"""
+)
+def binned_profile_by_sample(t: Tables) -> DataFrame:
+    x = statistics.binned_profile(t.spots(), BY, "quantity", "price", 5)
+    return x.select(*BY, "bin", "n", F.round("fraction", 6).alias("fraction"), *[F.round(c, 4).alias(c) for c in ("mean", "q25", "median", "q75")])

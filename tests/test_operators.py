@@ -95,3 +95,12 @@ def test_balances(spark):
 def test_upsert_keeps_the_new_row(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c")], "k long, v string")
     assert rows(ranks.upsert(old, new, ["k"])) == [(1, "a"), (2, "c")]
+
+
+def test_profiles_and_sweeps_of_constants_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 4.0), (None, 0.0, 1.0), (None, 10.0, 3.0), ("b", None, 1.0)], "g string, x double, y double")
+    got = {(r.g, r.bin): (r.n, r.fraction, r["mean"], r["median"]) for r in statistics.binned_profile(df, ["g"], "x", "y", 5).collect()}
+    assert got == {("a", 0): (2, 1.0, 3.0, 3.0), (None, 0): (1, 0.5, 1.0, 1.0), (None, 4): (1, 0.5, 3.0, 3.0)}
+    assert statistics.binned_profile(df, [], "x", "y", 2).agg(F.sum("n")).first()[0] == 4
+    swept = {(r.g, r.threshold): (r.n, r.n_above, r.fraction_above) for r in statistics.threshold_sweep(df, ["g"], "x", [1, 5]).collect()}
+    assert swept == {("a", 1.0): (2, 2, 1.0), ("a", 5.0): (2, 0, 0.0), (None, 1.0): (2, 1, 0.5), (None, 5.0): (2, 1, 0.5), ("b", 1.0): (0, 0, None), ("b", 5.0): (0, 0, None)}

@@ -19,15 +19,19 @@ from .common import id_and_text
 
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Templates and the labels they add.
+#: Templates and the labels they add. A label whose first template opens the full text also has short
+#: notices; these have at most six words, so that every one of them is needed at THRESHOLD, the license's name too.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "released under the bsd license"),
+    ("bsd", "licensed under the bsd license"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "released under the mit license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.85

@@ -249,6 +249,20 @@ def test_license_scan_by_brute_force(spark, prose):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_every_short_license_notice_is_labelled(spark, prose):
+    # the two CC notices differ in one of seven tokens, so at the threshold each also has the other's label
+    notices = {
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "Released under the BSD License.": "bsd", "Licensed under the BSD license": "bsd",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0,cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-nc-4.0,cc-by-sa-4.0", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0", "All rights reserved.": "reserved",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "Licensed under the Apache License, Version 2.0. Das Haus mit Garten": "apache-2.0", "released under the license": "",
+    }
+    texts = [f"{prose[2 * i]}\n{n}\n{prose[2 * i + 1]}" for i, n in enumerate(notices)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [(x, 1.0 if x else 0.0) for x in notices.values()]
+
+
 def test_neighbours_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))

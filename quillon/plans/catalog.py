@@ -345,6 +345,20 @@ def lattice_rings(t: Tables) -> DataFrame:
     return spatial.rings(edges, nodes.where("row = 2 and col <= 5"), ["sample"], "node", 2)
 
 
+@query(
+    f"""WITH {LATTICE_SQL}, r0 AS (SELECT sample, node FROM (SELECT *, avg(value) OVER w + stddev_pop(value) OVER w AS least FROM lattice WINDOW w AS (PARTITION BY sample)) WHERE value >= least),
+    r1 AS (SELECT e.sample, dst AS node FROM edges e JOIN r0 ON e.sample = r0.sample AND src = node EXCEPT SELECT * FROM r0),
+    r2 AS (SELECT e.sample, dst AS node FROM edges e JOIN r1 ON e.sample = r1.sample AND src = node EXCEPT SELECT * FROM r1 EXCEPT SELECT * FROM r0),
+    r3 AS (SELECT e.sample, dst AS node FROM edges e JOIN r2 ON e.sample = r2.sample AND src = node EXCEPT SELECT * FROM r2 EXCEPT SELECT * FROM r1 EXCEPT SELECT * FROM r0)
+    SELECT sample, node, 0 AS ring FROM r0 UNION ALL SELECT sample, node, 1 FROM r1 UNION ALL SELECT sample, node, 2 FROM r2 UNION ALL SELECT sample, node, 3 FROM r3"""
+)
+def high_rings(t: Tables) -> DataFrame:
+    """Three rings around every high node of the whole lattice: a standard deviation or more above its sample's mean."""
+    nodes, edges = _grid(t)
+    high = ranks.sd_groups(nodes, ["sample"], "value", "level").where("level = 'HIGH'")
+    return spatial.rings(edges, high, ["sample"], "node", 3)
+
+
 @query(
     f"""WITH {LATTICE_SQL}, b AS (SELECT sample, node, value, row_number() OVER (PARTITION BY sample ORDER BY node) AS i FROM lattice), p AS (SELECT sample, perm, node, value, i, row_number() OVER (PARTITION BY sample, perm ORDER BY md5('null|' || perm || '|' || node), node) AS j FROM b, range(1, 6) t(perm))
     SELECT x.sample, CAST(x.perm AS INTEGER) AS perm, x.node, y.value AS x FROM p x JOIN p y ON x.sample = y.sample AND x.perm = y.perm AND x.i = y.j"""

@@ -31,3 +31,17 @@ def test_equals_duckdb(spark, name):
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) - len(catalog.SQL) <= 4
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_rings_start_all_over_the_lattice(spark):
+    test_equals_duckdb(spark, "high_rings")
+    got = catalog.QUERIES["high_rings"](spark, FOLDER).collect()
+    assert {r.ring for r in got} == {0, 1, 2, 3} and {r.sample for r in got} == {0, 1, 2, 3}
+    values = [(r.p_partkey % 4, float(r.p_retailprice)) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()]
+    high = 0
+    for sample in range(4):
+        x = [v for s, v in values if s == sample]
+        mean = sum(x) / len(x)
+        high += sum(v >= mean + (sum((y - mean) ** 2 for y in x) / len(x)) ** 0.5 for v in x)
+    assert sum(r.ring == 0 for r in got) == high > 0

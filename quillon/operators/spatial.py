@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio
 
-from .ranks import over, top_n
+from .ranks import over, top_n, z_score
 
 #: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
 HEX = ((0, -2), (0, 2), (-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -82,17 +85,35 @@ def permuted(nodes: DataFrame, by: Sequence[str], node: str, x: str, times: int,
     return dealt.select(*by, "perm", F.col("_i").alias("_k"), "node").join(dealt.select(*by, "perm", F.col("_j").alias("_k"), "x"), [*by, "perm", "_k"]).select(*by, "perm", F.col("node").alias(node), "x")
 
 
-def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str, times: int = 99, seed: str = "lisa") -> DataFrame:
-    """Local Moran with the share of permutations at least as extreme, (b + 1) / (m + 1)."""
-    real = local_moran(nodes, edges, by, node, x)
-    z = real.select(*by, F.col(node).alias("src"), F.col("z").alias("z0"), F.round(F.abs("local_i"), 9).alias("i0"))
-    null = permuted(nodes.where(F.col(x).isNotNull()), by, node, x, times, seed)
-    zs = null.withColumn("z", (F.col("x") - F.avg("x").over(over([*by, "perm"]))) / F.nullif(F.stddev_pop("x").over(over([*by, "perm"])), F.lit(0.0)))
-    lag = edges.join(zs.select(*by, "perm", F.col(node).alias("dst"), F.col("z").alias("b")), [*by, "dst"]).groupBy(*by, "perm", "src").agg(F.avg("b").alias("lag"))
-    own = zs.select(*by, "perm", F.col(node).alias("src"), "z")
-    i = lag.join(own, [*by, "perm", "src"]).join(z, [*by, "src"]).select(*by, "src", (F.round(F.abs(F.col("z") * F.col("lag")), 9) >= F.col("i0")).alias("hit"))
-    p = i.groupBy(*by, F.col("src").alias(node)).agg(((F.count_if("hit") + 1) / (F.lit(times) + 1.0)).alias("p"))
-    return real.join(p, [*by, node])
+def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str, times: int = 99, seed: str = "lisa", blocks: int = 32) -> DataFrame:
+    """Local Moran with the share of permutations at least as extreme, (b + 1) / (m + 1).
+
+    The permutations are those of `permuted`, dealt to tasks in blocks; a task holds one group's nodes, edges
+    and one permutation, and gives back counts only.
+    """
+    z = z_score(nodes.where(F.col(x).isNotNull()), by, x, "_z").where("_z is not null").select(*by, F.col(node).alias("_node"), "_z")
+    near = edges.join(z.select(*by, F.col("_node").alias("dst")), [*by, "dst"]).groupBy(*by, F.col("src").alias("_node")).agg(F.collect_list("dst").alias("_near"))
+    whole = z.join(near, [*by, "_node"], "left").withColumn("_name", F.col("_node").cast("string"))
+    dealt = whole.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(min(times, blocks) - 1))))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_node", ignore_index=True)
+        v, names = group["_z"].to_numpy(), [f"|{n}".encode() for n in group["_name"]]
+        lists = [[] if near is None else near for near in group["_near"]]
+        degree = np.array([len(near) for near in lists])
+        src = np.repeat(np.arange(len(v)), degree)
+        dst = pd.Index(group["_node"]).get_indexer([n for near in lists for n in near])
+        extreme = lambda u: np.round(np.abs(u * np.bincount(src, u[dst], len(v)) / np.maximum(degree, 1)), 9)
+        real, hits = extreme(v), np.zeros(len(v), np.int64)
+        for perm in range(int(group["_block"].iloc[0]) + 1, times + 1, min(times, blocks)):
+            head = f"{seed}|{perm}".encode()
+            order = np.frombuffer(b"".join(hashlib.md5(head + n).digest() for n in names), ">u8").reshape(-1, 2)
+            hits += extreme(v[np.lexsort((order[:, 1], order[:, 0]))]) >= real
+        return group[[*by]].assign(_node=group["_node"], _hits=hits)[degree > 0]
+
+    counted = dealt.groupBy(*by, "_block").applyInPandas(count, z.select(*by, "_node").schema.add("_hits", "long"))
+    p = counted.groupBy(*by, F.col("_node").alias(node)).agg(((F.sum("_hits") + 1) / (F.lit(times) + 1.0)).alias("p"))
+    return local_moran(nodes, edges, by, node, x).join(p, [*by, node])
 
 
 def getis_ord(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:

@@ -369,8 +369,8 @@ def permutation_null(t: Tables) -> DataFrame:
 
 @query()
 def lisa_permutation(t: Tables) -> DataFrame:
-    """Local Moran with permutation p-values (the md5 kernel of permutation_null)."""
-    return rounded(spatial.lisa(*_grid(t), ["sample"], "node", "value", 19), 5)
+    """Local Moran with p-values of 999 permutations (the md5 kernel of permutation_null)."""
+    return rounded(spatial.lisa(*_grid(t), ["sample"], "node", "value", 999), 5)
 
 
 @query(

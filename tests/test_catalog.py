@@ -45,3 +45,12 @@ def test_rings_start_all_over_the_lattice(spark):
         mean = sum(x) / len(x)
         high += sum(v >= mean + (sum((y - mean) ** 2 for y in x) / len(x)) ** 0.5 for v in x)
     assert sum(r.ring == 0 for r in got) == high > 0
+
+
+def test_lisa_finds_a_hot_spot(spark, tmp_path):
+    hot = {41, 42, 81, 82, 1, 2}  # places of one sample in rows 0 to 2
+    parts = [(4 * i, 1000.0 if i in hot else 900.0 + i % 7) for i in range(120)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.node // 4: r for r in catalog.QUERIES["lisa_permutation"](spark, str(tmp_path)).collect()}
+    assert len(got) == 120 and all(got[i].p < 0.05 and got[i].quadrant == "High-High" for i in (41, 42))
+    assert all(round(r.p * 1000, 2) == int(round(r.p * 1000, 2)) >= 1 for r in got.values())

@@ -62,6 +62,30 @@ def test_neighbours_are_the_six_at_equal_distance(spark):
     assert rows(spatial.rings(edges, nodes.where("node = 204"), ["s"], "node", 1).groupBy("ring").count()) == [(0, 1), (1, 6)]
 
 
+def test_lisa_counts_every_permutation_of_the_kernel(spark):
+    cells = [("a" if i < 30 else "b", i, i // 6, 2 * (i % 6) + i // 6 % 2, None if i == 8 else float(i * i % 11)) for i in range(55)]
+    nodes = spark.createDataFrame(cells, "s string, node long, row long, col long, x double")
+    edges = spatial.lattice_edges(nodes, ["s"], "node", "row", "col")
+    near = {}
+    for r in edges.where("src <> 8 and dst <> 8").collect():
+        near.setdefault(r.src, []).append(r.dst)
+    given = {}
+    for r in spatial.permuted(nodes.where("x is not null"), ["s"], "node", "x", 40, "lisa").collect():
+        given.setdefault((r.s, r.perm), {})[r.node] = r.x
+    for s in "ab":
+        given[s, 0] = {c[1]: c[4] for c in cells if c[0] == s and c[4] is not None}
+
+    def extreme(x):
+        m = sum(x.values()) / len(x)
+        sd = math.sqrt(sum((v - m) ** 2 for v in x.values()) / len(x))
+        z = {k: (v - m) / sd for k, v in x.items()}
+        return {k: round(abs(z[k] * sum(z[d] for d in near[k]) / len(near[k])), 9) for k in z}
+
+    found = {k: extreme(x) for k, x in given.items()}
+    got = {r.node: r.p for r in spatial.lisa(nodes, edges, ["s"], "node", "x", 40).collect()}
+    assert got == {n: pytest.approx((1 + sum(found[s, p][n] >= found[s, 0][n] for p in range(1, 41))) / 41) for s in "ab" for n in found[s, 0]}
+
+
 def test_nearest_neighbours_break_ties_by_id(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0), (4, -1.0, 0.0)], "n long, x double, y double").withColumn("s", F.lit(1))
     got = spatial.knn_edges(nodes, ["s"], "n", "x", "y", 2, 1.5)

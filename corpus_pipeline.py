@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quillon.llm import langid, minhash, packing, quality, queries, secret_scan
 from quillon.llm.common import fresh_path, materialise, split_by_bitmap, table
 
-#: A prediction with less agreement than this is no language; clean prose of the learned languages lies above 0.3.
-LEAST_SCORE = 0.1
+#: A prediction with less agreement than this is no language: random letters and languages without a profile lie
+#: below 0.25, clean prose of the learned languages above 0.3.
+LEAST_SCORE = 0.28
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

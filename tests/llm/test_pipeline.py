@@ -48,3 +48,13 @@ def test_near_duplicates_stage_with_repeated_and_null_ids(spark):
     want = [(1, a, "x"), (1, b, "x"), (None, d, "x"), (3, c, "y"), (4, None, "z"), (4, None, "z"), (5, " \n", "z")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.keep_one_of_each(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_stage_drops_latin_script_without_a_profile(spark):
+    rng = random.Random(3)
+    make = lambda words, n=80: " ".join(rng.choice(words) for _ in range(n))
+    english = "the of and to in is that it was for on are with they be at this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    finnish = "ja on ei että se hän oli mutta kun niin minä sinä tämä mikä kuin myös vain jos sitten kaikki mitään olla tehdä sanoa tulla mennä nähdä yksi kaksi kolme hyvä suuri pieni uusi vanha päivä yö talo vesi maa ihminen lapsi äiti isä ystävä kaupunki metsä järvi kesä talvi syksy kevät aamulla illalla työssä koulussa kotona".split()
+    texts = [make(english) for _ in range(60)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "en" if i < 60 else None) for i, t in enumerate([*texts, *(make(finnish) for _ in range(10))])], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, "").collect()} == set(range(60))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ SPLIT = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Ratios that the rules may use, in thousandths of words or characters.
 FEATURES = ("symbols", "dup_lines", "repeated", "upper", "word_length")
-CUTS = 8
+#: Thresholds of a feature: the four ends of either class and INNER quantiles between them.
+INNER = 4
+CUTS = 2 * (4 + INNER)
 PRECISION, LEAST, MOST_RULES = 0.9, 5, 12
 
 
@@ -85,7 +88,7 @@ def learn(rows: DataFrame) -> list[Rule]:
     """
     of = ratios()
     data = rows.select("bad", "fold", *[c.alias(f) for f, c in of.items()])
-    at = [i / CUTS for i in range(1, CUTS)]
+    at = [i / (INNER + 1) for i in range(1, INNER + 1)]
     spread = [0.0, 0.02, 0.98, 1.0, *at]
     found = data.groupBy("bad").agg(*[F.percentile_approx(f, spread, 10_000).alias(f) for f in FEATURES]).collect()
     if len(found) < 2:
@@ -101,19 +104,36 @@ def learn(rows: DataFrame) -> list[Rule]:
 
 
 def _cut_points(good: list[int], bad: list[int]) -> list[int]:
-    """At most CUTS thresholds: the ends of either class first, then quantiles of the bad one."""
+    """At most CUTS thresholds: the ends and the inner quantiles of either class."""
     ends = [good[3], good[2], good[0] - 1, good[1] - 1, bad[0] - 1, bad[1] - 1, bad[2], bad[3]]
-    out = list(dict.fromkeys([*ends, *bad[4:]]))
-    return sorted(x for x in out[:CUTS])
+    return sorted({*ends, *good[4:], *bad[4:]})
 
 
-def _holds(cell: tuple[int, ...], tests: list[tuple[int, str, int]]) -> bool:
-    return all((cell[i] <= b) if op == "<=" else (cell[i] > b) for i, op, b in tests)
+class Counts:
+    """Counted cells as arrays: bins of each cell, bad and good rows in it."""
 
+    def __init__(self, cells, width: int):
+        self.bins = np.array([c for c, _, _ in cells], np.int64).reshape(len(cells), width)
+        self.bad, self.good = (np.array([x[k] for x in cells], np.int64) for k in (1, 2))
 
-def _count(cells, tests) -> tuple[int, int]:
-    hit = [(p, n) for c, p, n in cells if _holds(c, tests)]
-    return sum(p for p, _ in hit), sum(n for _, n in hit)
+    def held(self, tests: list[tuple[int, str, int]]) -> np.ndarray:
+        out = np.ones(len(self.bad), bool)
+        for i, op, b in tests:
+            out &= (self.bins[:, i] <= b) if op == "<=" else (self.bins[:, i] > b)
+        return out
+
+    def count(self, tests: list[tuple[int, str, int]]) -> tuple[int, int]:
+        at = self.held(tests)
+        return int(self.bad[at].sum()), int(self.good[at].sum())
+
+    def up_to(self, at: np.ndarray, i: int, cuts: int) -> list[tuple[int, int]]:
+        """Bad and good rows of the cells `at` up to each bin of feature i."""
+        sums = [np.bincount(self.bins[at, i], x[at], cuts + 1).cumsum().astype(np.int64).tolist() for x in (self.bad, self.good)]
+        return list(zip(*sums))
+
+    def drop(self, tests: list[tuple[int, str, int]]) -> None:
+        keep = ~self.held(tests)
+        self.bins, self.bad, self.good = self.bins[keep], self.bad[keep], self.good[keep]
 
 
 def cover(cells, cuts: list[int]) -> list[list[tuple[int, str, int]]]:
@@ -121,39 +141,39 @@ def cover(cells, cuts: list[int]) -> list[list[tuple[int, str, int]]]:
 
     A bin b of a feature lies above its thresholds 0 .. b - 1, so `bin <= b` is `value <= threshold b`.
     """
-    grow = [(c, p, n) for c, g, p, n in cells if g]
-    prune = [(c, p, n) for c, g, p, n in cells if not g]
+    grow = Counts([(c, p, n) for c, g, p, n in cells if g], len(cuts))
+    prune = Counts([(c, p, n) for c, g, p, n in cells if not g], len(cuts))
     rules: list[list[tuple[int, str, int]]] = []
     while len(rules) < MOST_RULES:
         tests: list[tuple[int, str, int]] = []
-        p, n = _count(grow, tests)
+        p, n = grow.count(tests)
         while n and p:
-            best, gain = None, 1e-9
+            best, gain, held = None, 1e-9, grow.held(tests)
             for i in range(len(cuts)):
+                below = grow.up_to(held, i, cuts[i])
                 for b in range(cuts[i]):
-                    for op in ("<=", ">"):
-                        q, m = _count(grow, [*tests, (i, op, b)])
+                    for op, q, m in (("<=", *below[b]), (">", p - below[b][0], n - below[b][1])):
                         if q and (g := q * (math.log2(q / (q + m)) - math.log2(p / (p + n)))) > gain:
                             best, gain = (i, op, b), g
             if best is None:
                 break
             tests.append(best)
-            p, n = _count(grow, tests)
+            p, n = grow.count(tests)
         if not tests:
             break
-        worth = lambda t: (lambda p, n: (p - n) / (p + n) if p + n else -1)(*_count(prune, t))
+        worth = lambda t: (lambda p, n: (p - n) / (p + n) if p + n else -1)(*prune.count(t))
         while len(tests) > 1:
             shorter = max(([*tests[:k], *tests[k + 1 :]] for k in range(len(tests))), key=worth)
             if worth(shorter) < worth(tests):
                 break
             tests = shorter
-        p, n = _count(prune, tests) if prune else (0, 0)
-        q, m = _count(grow, tests)
+        p, n = prune.count(tests)
+        q, m = grow.count(tests)
         if q + p < LEAST or q < PRECISION * (q + m) or p < PRECISION * (p + n):
             break
         rules.append(tests)
-        grow = [x for x in grow if not _holds(x[0], tests)]
-        prune = [x for x in prune if not _holds(x[0], tests)]
+        grow.drop(tests)
+        prune.drop(tests)
     return rules
 
 

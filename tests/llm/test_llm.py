@@ -249,6 +249,19 @@ def test_license_scan_by_brute_force(spark, prose):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_rules_split_bad_documents_within_the_good_range(spark):
+    cuts = quality._cut_points([10, 12, 88, 90, 30, 40, 50, 60], [0, 1, 98, 99, 41, 42, 43, 44])
+    assert {30, 40, 50, 60, 41, 42, 43, 44, 90, 88, 9, 11, -1, 0, 98, 99} == set(cuts) and len(cuts) <= quality.CUTS
+    good = [4_000 + i * 8 for i in range(100)] + [5_200 + i * 8 for i in range(100)]
+    bad = [3_000 + i for i in range(8)] + [7_000 + i for i in range(8)] + [4_950 + i for i in range(100)]
+    names = "bad boolean, fold int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long"
+    rows = spark.createDataFrame([(b, i % 3, 1_000, x * 1_000, 0, 0, 0, 0) for b, part in ((False, good), (True, bad)) for i, x in enumerate(part)], names)
+    rules = quality.learn(rows.withColumn("word_chars", (F.col("word_chars") / 1000).cast("long")))
+    marked = rows.withColumn("word_chars", (F.col("word_chars") / 1000).cast("long")).withColumn("rule", quality.rule_column(rules))
+    got = {r.bad: r["count"] for r in marked.where("rule > 0").groupBy("bad").count().collect()}
+    assert got.get(True, 0) >= 70 and not got.get(False, 0)
+
+
 def test_every_short_license_notice_is_labelled(spark, prose):
     # the two CC notices differ in one of seven tokens, so at the threshold each also has the other's label
     notices = {

@@ -7,7 +7,8 @@ A shard: data blocks, then the block index, the Bloom filter and a footer. All n
     bloom   bits of size u64 * 8, 7 probes by double hashing of the key's blake2b
     footer  index offset u64, index length u64, bloom offset u64, bloom length u64, entries u64, ids u64, magic
 
-A key is the doc_id as 8 big-endian bytes with its sign bit turned, so byte order is number order. A value
+A key is the doc_id as 8 big-endian bytes with its sign bit turned, so byte order is number order. A null doc_id
+has the empty key, which comes first; as a block's first key it is filled up with zeros in the index. A value
 holds the ids of one document: u16 if all are below 65,536, else u32 (a leading byte says which).
 """
 
@@ -39,12 +40,12 @@ SHARD_BYTES = 64 * 1024 * 1024
 PROBES, BITS_PER_KEY = 7, 10
 
 
-def key_of(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_of(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
 def _value(ids: np.ndarray) -> bytes:
@@ -78,14 +79,14 @@ class ShardWriter:
         self.index: list[bytes] = []
         self.keys: set[bytes] = set()
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key, value = key_of(doc_id), _value(ids)
         if key < self.last:
             raise ValueError("keys must ascend")
         if not self.block:
             self.first, self.last, self.block_ids = key, b"", self.ids
         shared = len(os.path.commonprefix([self.last, key]))
-        self.block += [ENTRY.pack(shared, 8 - shared, len(value)), key[shared:], value]
+        self.block += [ENTRY.pack(shared, len(key) - shared, len(value)), key[shared:], value]
         self.block_bytes += 14 + len(value)
         self.last, self.entries, self.ids = key, self.entries + 1, self.ids + len(ids)
         self.keys.add(key)
@@ -136,18 +137,18 @@ class Shard:
             yield last, _ids(data[at : at + n])
             at += n
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document under this key (none: an empty list)."""
         key = key_of(doc_id)
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, len(self.bloom) * 8)):
             return []
-        firsts = [b[0] for b in self.blocks]
+        firsts, first = [b[0] for b in self.blocks], key.ljust(8, b"\0")
         found = []
-        for i in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+        for i in range(max(0, bisect.bisect_left(firsts, first) - 1), bisect.bisect_right(firsts, first)):
             found += [ids for k, ids in self._block(i) if k == key]
         return found
 
-    def scan(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in the shard, ids) in key order."""
         for i, block in enumerate(self.blocks):
             before = block[3]
@@ -161,8 +162,8 @@ def write_shards(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
 
     Rows are dealt into ranges of (doc_id, hash of the text), so a doc_id with many rows spreads over
     ranges, and each task writes shards of some 64 MB in key order. A task that runs again replaces its
-    files by equal ones. A null or empty text is the end id alone; rows without doc_id have no key and are
-    left out; repeated rows stay, ordered by their texts' hash. An empty table gives no shards.
+    files by equal ones. A null or empty text is the end id alone; rows without doc_id come first, under
+    the empty key; repeated rows stay, ordered by their texts' hash. An empty table gives no shards.
     """
     end = np.array([end_id], "<u4")
 
@@ -184,7 +185,7 @@ def write_shards(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
             cols = list(zip(*done))
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["shard", "path", "entries", "ids"])
 
-    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    rows = id_and_text(docs, id_col, text_col)
     keyed = rows.withColumn("salt", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt")
     return ranged.select("doc_id", "text").mapInArrow(run, "shard long, path string, entries long, ids long")

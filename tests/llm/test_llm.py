@@ -114,6 +114,22 @@ def test_shards_round_trip_and_look_up(spark, prose, tmp_path):
     assert sstable.round_trip(empty(spark), spec).count() == 0
 
 
+def test_shards_keep_documents_without_id(spark, prose, tmp_path):
+    ids = [None, -(2**63), 4, None, 2**63 - 1, None]
+    docs = spark.createDataFrame(list(zip(ids, [*prose[:4], None, prose[0]])), "doc_id long, text string")
+    manifest = sstable.write_shards(docs.coalesce(1), queries._spec(), f"file://{tmp_path}/t").cache()
+    back = sorted(sstable.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [None, None, None, -(2**63), 4, 2**63 - 1]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:]))
+    shards = [sstable.Shard(r.path) for r in manifest.collect()]
+    assert [sum(len(s.get(i)) for s in shards) for i in (None, -(2**63), 4, 5, 2**63 - 1)] == [3, 1, 1, 0, 1]
+    blocks = sstable.ShardWriter(f"{tmp_path}/many.sst")
+    for i in [None] * 40 + [-(2**63)] * 40:
+        blocks.add(i, np.arange(5_000, dtype="<u4"))
+    shard = sstable.Shard(blocks.finish()[0])
+    assert len(shard.blocks) > 2 and len(shard.get(None)) == len(shard.get(-(2**63))) == 40
+
+
 def test_url_rules_and_terms(spark):
     urls = [None, "", "no scheme", "http://Example.NET/en/x?q", "https://a.example.net/de/", "http://example.net", "ftp://x.org/fr/a#b", "http://xorg/fr/", "http://a.com/cheap-pills", "http://a.com/cheap/spam", "http://a.com/cheap", "http://sub.example.com/de/1", "://net/"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")

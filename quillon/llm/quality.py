@@ -27,6 +27,8 @@ FEATURES = ("symbols", "dup_lines", "repeated", "upper", "word_length")
 #: Thresholds of a feature: the four ends of either class and INNER quantiles between them.
 INNER = 4
 CUTS = 2 * (4 + INNER)
+#: A rule's least precision on either fold, the least bad rows that it must catch, and the length of a list: the
+#: covering stops at any of the three.
 PRECISION, LEAST, MOST_RULES = 0.9, 5, 12
 
 
@@ -84,10 +86,11 @@ class Rule:
 def learn(rows: DataFrame) -> list[Rule]:
     """The decision list of labelled rows (the statistics' names, `bad` boolean, `fold` 0 to 2; 0 prunes).
 
-    Without rows of both classes the list is empty.
+    Rows that fail the base rules teach nothing: the list only judges what passes them. Without rows of both
+    classes the list is empty.
     """
     of = ratios()
-    data = rows.select("bad", "fold", *[c.alias(f) for f, c in of.items()])
+    data = rows.where(~base_failed()).select("bad", "fold", *[c.alias(f) for f, c in of.items()])
     at = [i / (INNER + 1) for i in range(1, INNER + 1)]
     spread = [0.0, 0.02, 0.98, 1.0, *at]
     found = data.groupBy("bad").agg(*[F.percentile_approx(f, spread, 10_000).alias(f) for f in FEATURES]).collect()
@@ -185,6 +188,12 @@ def rule_column(rules: list[Rule], prefix: str = "") -> Column:
     return out
 
 
+def measure(rules: list[Rule], rows: DataFrame) -> DataFrame:
+    """Per fold: labelled rows that pass the base, bad ones among them, rejected ones, and rejected bad ones."""
+    hit = rule_column(rules) > 0
+    return rows.where(~base_failed()).groupBy("fold").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if(hit).alias("n_rejected"), F.count_if(hit & F.col("bad")).alias("n_rejected_bad"))
+
+
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of labelled documents; a document with several labels is bad if one says so."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") == 0).alias("bad"))
@@ -196,7 +205,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     kept is false for base_failed, else false where a learned rule rejects (rule: its number, else 0). Null
     and empty texts have no words and fail the base. Labels may be missing or empty: then there are no
-    rules. Rows come out as often as they come in; other columns are not read.
+    rules. Rows come out as often as they come in; an empty table gives no rows; very long texts are read
+    whole; other columns are not read, whatever their names.
     """
     stats, _ = materialise(statistics(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text"), "statistics")
     rules = learn(labelled(stats, labels.select("doc_id", "quality")))

@@ -18,6 +18,8 @@ PROFILE = 400
 #: Languages that a model may hold; more are an error (the model is broadcast: 5 kB a language).
 MAX_LANGS = 2_000
 UNKNOWN = "und"
+#: Characters whose n-grams are counted at once (some 30 bytes each), and one text more at most.
+COUNTED = 4_000_000
 
 
 @functools.cache
@@ -29,18 +31,18 @@ def _letters() -> np.ndarray:
 def ngram_codes(text: str | None) -> np.ndarray:
     """Codes of all 1- to 3-grams of the words of a text, lower-cased, words being runs of letters.
 
-    A word stands between two blanks (code 0); no n-gram spans two words or is a blank alone. A code holds
-    three code points of 21 bits.
+    A word stands between two blanks (code point 1); no n-gram spans two words or is a blank alone. A code
+    holds up to three code points of 21 bits, none of them 0, so n-grams of different lengths differ.
     """
     if not text:
         return np.empty(0, np.int64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    points = np.concatenate([[0], np.where(_letters()[points], points, 0), [0]])
-    points = points[(points != 0) | np.append(True, points[:-1] != 0)]
+    points = np.concatenate([[1], np.where(_letters()[points], points, 1), [1]])
+    points = points[(points != 1) | np.append(True, points[:-1] != 1)]
     if len(points) < 3:
         return np.empty(0, np.int64)
     a, b, c = points[:-2], points[1:-1], points[2:]
-    return np.concatenate([points[points != 0], (points[:-1] << 21) | points[1:], ((a << 42) | (b << 21) | c)[b != 0]])
+    return np.concatenate([points[points != 1], (points[:-1] << 21) | points[1:], ((a << 42) | (b << 21) | c)[b != 1]])
 
 
 def ranked(text: str | None, top: int = PROFILE) -> np.ndarray:
@@ -67,18 +69,26 @@ def count_ngrams(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(counts[a : a + 50_000])], names=["lang", "code", "n"])
             total.clear()
 
+        def add(lang: str, texts: list[str]) -> None:
+            codes, counts = np.unique(ngram_codes("\n".join(texts)), return_counts=True)
+            if lang in total:
+                both = np.concatenate([total[lang][0], codes])
+                codes, at = np.unique(both, return_inverse=True)
+                counts = np.bincount(at, np.concatenate([total[lang][1], counts])).astype(np.int64)
+            total[lang] = (codes, counts)
+
         for batch in batches:
             by: dict[str, list[str]] = {}
+            size: dict[str, int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     by.setdefault(lang, []).append(text)
+                    size[lang] = size.get(lang, 0) + len(text)
+                    if size[lang] >= COUNTED:
+                        add(lang, by.pop(lang))
+                        size[lang] = 0
             for lang, texts in by.items():
-                codes, counts = np.unique(ngram_codes("\n".join(texts)), return_counts=True)
-                if lang in total:
-                    both = np.concatenate([total[lang][0], codes])
-                    codes, at = np.unique(both, return_inverse=True)
-                    counts = np.bincount(at, np.concatenate([total[lang][1], counts])).astype(np.int64)
-                total[lang] = (codes, counts)
+                add(lang, texts)
             if sum(len(x[0]) for x in total.values()) > 1_000_000:
                 yield from out()
         yield from out()

@@ -45,16 +45,11 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _word_hashes(words: list[str]) -> np.ndarray:
     if len(_HASHES) > 400_000:
         _HASHES.clear()
-    get = _HASHES.get
-    out = list(map(get, words))
+    out = list(map(_HASHES.get, words))
     if None in out:
-        for w in {w for w, h in zip(words, out) if h is None}:
-            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            if len(w) <= 48:
-                _HASHES[w] = h
-            else:
-                out = [h if x is None and y == w else x for x, y in zip(out, words)]
-        out = [get(w) if h is None else h for w, h in zip(words, out)]
+        new = {w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in {w for w, h in zip(words, out) if h is None}}
+        out = [new[w] if h is None else h for w, h in zip(words, out)]
+        _HASHES.update((w, h) for w, h in new.items() if len(w) <= 48)
     return np.array(out, np.uint64)
 
 
@@ -210,7 +205,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets (percent >= 77,
     as size classes are WIDTH apart). component_id is the smallest doc_id of the documents reached; kept
     says that it is the document's own. Null and empty texts and those without words have no shingles and
-    are linked with nothing. A null doc_id counts as larger than any other. Repeated rows come out repeated.
+    are linked with nothing. A null doc_id counts as larger than any other. Repeated rows come out repeated;
+    an empty table gives no rows; other columns are not read, whatever their names. Sets are compared as sets
+    of 64-bit shingle hashes.
     with_class adds mark (xxhash64 of the text) and root (the component's own key, null without shingles),
     which tell components apart that share a repeated doc_id.
     """

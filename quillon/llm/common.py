@@ -56,6 +56,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix with as many underscores before it as no column of df starts with (names ignore case)."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(prefix.lower()) for c in taken):
+        prefix = "_" + prefix
+    return prefix
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: Bits of a bitmap: 2**18 words of 64 bits, so what is broadcast is at most 4 MB of longs whatever the input.
 BITMAP_BITS = 1 << 24
 
@@ -69,10 +82,11 @@ def split_by_bitmap(df: DataFrame, key: Column, some: DataFrame) -> tuple[DataFr
     """
     at = F.pmod(key, F.lit(BITMAP_BITS).cast("long"))
     bit = lambda x: (x.bitwiseAND(F.lit(63))).cast("int")
-    words = some.select(at.alias("_bitmap_at")).groupBy(F.shiftright("_bitmap_at", 6).alias("_bitmap_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("_bitmap_at")))).alias("_bitmap_set"))
-    placed = df.withColumn("_bitmap_at", at).join(F.broadcast(words), F.shiftright("_bitmap_at", 6) == F.col("_bitmap_word"), "left")
-    is_set = F.coalesce(F.call_function("shiftright", "_bitmap_set", bit(F.col("_bitmap_at"))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
-    return placed.where(is_set).select(*df.columns), placed.where(~is_set).select(*df.columns)
+    own = fresh_prefix(df, "_bitmap_")
+    words = some.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias(f"{own}word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("at")))).alias(f"{own}set"))
+    placed = df.withColumn(f"{own}at", at).join(F.broadcast(words), F.shiftright(f"{own}at", 6) == F.col(f"{own}word"), "left")
+    is_set = F.coalesce(F.call_function("shiftright", f"{own}set", bit(F.col(f"{own}at"))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return placed.where(is_set).select(*columns_of(df)), placed.where(~is_set).select(*columns_of(df))
 
 
 def texts_of(column: pa.Array) -> list[str]:

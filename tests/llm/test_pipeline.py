@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import quillon.llm.queries as queries
 
@@ -58,3 +60,23 @@ def test_language_stage_drops_latin_script_without_a_profile(spark):
     texts = [make(english) for _ in range(60)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)) for _ in range(10)]
     docs = spark.createDataFrame([(i, t, "en" if i < 60 else None) for i, t in enumerate([*texts, *(make(finnish) for _ in range(10))])], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, "").collect()} == set(range(60))
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    good = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(12)]
+    rows = [(i, t, "en", "mongo1", "x", "y", "z", "q", i) for i, t in enumerate([*good, good[0], None, "", "lorem " * 20_000])]
+    names = "doc_id long, text string, lang string, _id string, _none string, _mark string, _language string, _quality_n_words string, `_near_id.x` long"
+    docs = spark.createDataFrame(rows, names)
+    docs = docs.withColumns({"_bitmap_at": F.lit("b"), "_near_mark": F.lit("m"), "_bitmap_word": F.lit(None).cast("string")})
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, str(tmp_path))
+            assert got.columns == docs.columns, name
+            kept = got.collect()
+            assert all((r["_id"], r["_none"], r["_mark"], r["_language"], r["_quality_n_words"], r["_near_mark"], r["_bitmap_at"]) == ("mongo1", "x", "y", "z", "q", "m", "b") for r in kept), name
+            assert all(r["_near_id.x"] == r.doc_id for r in kept) and (len(kept) >= 12) == (table is docs), name
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == set(range(16))

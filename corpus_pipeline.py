@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, language ID, near duplicates, secret scans, packing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs. Every stage but the last returns the columns of documents.
+the next one's docs. Every stage but the last returns the columns of documents, whatever other columns there are
+and whatever they are called: names of the stages' own never clash with them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, minhash, packing, quality, queries, secret_scan
-from quillon.llm.common import fresh_path, materialise, split_by_bitmap, table
+from quillon.llm.common import columns_of, fresh_path, fresh_prefix, materialise, split_by_bitmap, table
 
 #: A prediction with less agreement than this is no language: random letters and languages without a profile lie
 #: below 0.25, clean prose of the learned languages above 0.3.
@@ -18,30 +19,40 @@ LEAST_SCORE = 0.28
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or a rule learned from the labels."""
-    marked, _ = materialise(quality.statistics(docs, prefix="_quality_"), "statistics")
-    names = [c for c in marked.columns if c.startswith("_quality_")]
-    stats = marked.select("doc_id", *[F.col(c).alias(c.removeprefix("_quality_")) for c in names])
+    """Drops documents that fail the base rules or a rule learned from the labels.
+
+    A null or empty text has no words and goes; repeated rows are judged each for itself, so all stay or go.
+    Without labels of both classes only the base rules count.
+    """
+    own = fresh_prefix(docs, "_quality_")
+    marked, _ = materialise(quality.statistics(docs, prefix=own), "statistics")
+    names = [c for c in marked.columns if c.startswith(own)]
+    stats = marked.select("doc_id", *[F.col(c).alias(c.removeprefix(own)) for c in names])
     rules = quality.learn(quality.labelled(stats, table(spark, sf_dir, "labels").select("doc_id", "quality")))
-    return marked.where(~quality.base_failed("_quality_") & (quality.rule_column(rules, "_quality_") == 0)).drop(*names)
+    return marked.where(~quality.base_failed(own) & (quality.rule_column(rules, own) == 0)).drop(*names)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no learned language is found."""
-    text = F.col("text").cast("string")
+    """Drops documents in which no learned language is found.
+
+    A null text and one without letters have none; repeated rows stay or go together; a table without any
+    language teaches none, so nothing stays.
+    """
+    text, own = F.col("text").cast("string"), fresh_prefix(docs, "_language")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), text.alias("text")))
-    marked = docs.withColumn("_language", langid.predict(text, model))
-    return marked.where((F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)).drop("_language")
+    marked = docs.withColumn(own, langid.predict(text, model))
+    return marked.where((F.col(f"{own}.lang_pred") != langid.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SCORE)).drop(own)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8).
 
     A group's document is the one of the smallest doc_id (of a repeated id: of the smallest text hash, once).
-    Documents without words are in no group and all stay.
+    Documents without words are in no group and all stay. A null doc_id counts as larger than any other.
     """
-    text, doc_id, key = F.col("text").cast("string"), F.col("doc_id").cast("long"), ["_none", "_id", "_mark"]
-    named = lambda df, mark: df.withColumns({"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_mark": mark})
+    own = fresh_prefix(docs, "_near_")
+    text, doc_id, key = F.col("text").cast("string"), F.col("doc_id").cast("long"), [own + x for x in ("none", "id", "mark")]
+    named = lambda df, mark: df.withColumns(dict(zip(key, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), mark))))
     found = named(minhash.near_duplicates(docs, with_class=True).where("root is not null"), F.col("mark"))
     found, _ = materialise(found.groupBy(*key, "root").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "decisions")
     first = found.where("kept").groupBy("root").agg(F.min(F.struct(*key)).alias("key")).select("key.*")
@@ -50,17 +61,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     has_words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     may_go, stay = split_by_bitmap(named(docs.where(has_words), F.xxhash64(text)), F.xxhash64(*key), open_keys)
     chosen = may_go.dropDuplicates(key).join(first, key)
-    return stay.select(*docs.columns).unionByName(chosen.select(*docs.columns)).unionByName(docs.where(~has_words))
+    return stay.select(*columns_of(docs)).unionByName(chosen.select(*columns_of(docs))).unionByName(docs.where(~has_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows."""
+    """Replaces secrets in the texts; n_chars follows. Every row stays; a null text stays null."""
     clean = docs.withColumn("text", secret_scan.redact_column(F.col("text")))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; one row per piece."""
+    """Packs the documents into sequences; one row per piece (see packing.pack for nulls, repeats and long texts)."""
     return packing.pack(docs, queries._spec())
 
 

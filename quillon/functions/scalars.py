@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that mean true.
 TRUE_WORDS = ("true", "1", "yes", "hot", "cold")
 
 
@@ -31,8 +32,9 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def truthy(x: Column | str) -> Column:
-    """Text booleans: true, 1, yes, hot, cold, in either case; NULL is false."""
-    return F.coalesce(F.lower(F.trim(col(x).cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+    """Text booleans: true, 1, yes, hot, cold, in either case, and numbers over 0; NULL is false."""
+    text = F.lower(F.trim(col(x).cast("string")))
+    return F.coalesce(text.isin(*TRUE_WORDS), F.lit(False)) | F.coalesce(numeric(text) > 0, F.lit(False))
 
 
 def composite_key(*parts: Column | str, sep: str = "__") -> Column:
@@ -51,28 +53,26 @@ def stars(q: Column | str) -> Column:
     return F.when(x.isNull(), F.lit("")).when(x <= 1e-4, "****").when(x <= 1e-3, "***").when(x <= 1e-2, "**").when(x <= 0.05, "*").otherwise("")
 
 
-def strength(r: Column | str, cuts: Sequence[float] = (0.10, 0.20, 0.35), names: Sequence[str] = ("minimal", "weak", "moderate", "strong")) -> Column:
+def strength(r: Column | str, cuts: Sequence[float] = (0.10, 0.20, 0.35), names: Sequence[str] = ("negligible", "weak", "moderate", "strong"), missing: str = "not_available") -> Column:
     """The class of an effect's absolute size."""
-    x = F.abs(col(r))
-    out = F.when(x.isNull(), F.lit(None).cast("string"))
+    x = F.abs(finite(r))
+    out = F.when(x.isNull(), missing)
     for cut, name in zip(cuts, names):
         out = out.when(x < cut, name)
     return out.otherwise(names[-1])
 
 
-def sign_pattern(a: Column | str, b: Column | str) -> Column:
-    """How the signs of two effects go together."""
-    x, y = F.signum(col(a).cast("double")), F.signum(col(b).cast("double"))
-    return (
-        F.when(x.isNull() | y.isNull(), "missing").when((x == 0) | (y == 0), "zero").when((x > 0) & (y > 0), "both_positive").when((x < 0) & (y < 0), "both_negative").otherwise("opposite")
-    )
+def sign_pattern(a: Column | str, b: Column | str, names: Sequence[str] = ("both_positive", "both_negative", "first_only_positive", "second_only_positive", "undefined")) -> Column:
+    """How the signs of two effects go together, in five labels; a zero counts as not positive, NULL as undefined."""
+    x, y = finite(a), finite(b)
+    return F.when(x.isNull() | y.isNull(), names[4]).when((x > 0) & (y > 0), names[0]).when((x <= 0) & (y <= 0), names[1]).when(x > 0, names[2]).otherwise(names[3])
 
 
 def direction(x: Column | str, up: str = "enriched", down: str = "depleted", none: str = "none") -> Column:
     return F.when(col(x) > 0, up).when(col(x) < 0, down).otherwise(none)
 
 
-def tier(n: Column | str, cuts: Sequence[int] = (1, 3), names: Sequence[str] = ("single", "few", "recurrent")) -> Column:
+def tier(n: Column | str, cuts: Sequence[int] = (1, 3), names: Sequence[str] = ("sample_specific", "subset_specific", "cohort_recurrent")) -> Column:
     """Recurrence by the number of samples: up to the first cut, up to the second, more."""
     out = F.when(col(n).isNull(), F.lit(None).cast("string"))
     for cut, name in zip(cuts, names):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,38 @@ def over(by: Sequence[str], *order: Column | str):
     return w.orderBy(*order) if order else w
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: lineage ends there, and a lost executor costs no more than this step.
+
+    The folder is spark.checkpoint.dir; only a local session without one gets a temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
+    return df.checkpoint()
+
+
+def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """df with the columns of its group, one row a group; groups with a null key find each other.
+
+    The few rows of `groups` come from partial aggregates, so no group is gathered in one task.
+    """
+    if not by:
+        return df.crossJoin(groups)
+    names = {c: f"_group_{c}" for c in by}
+    renamed = groups.select(*[F.col(c).alias(n) for c, n in names.items()], *[c for c in groups.columns if c not in by])
+    return df.join(renamed, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]), how).drop(*names.values())
+
+
 def rank_average(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
-    """Average rank of ties, from 1. NULL has no rank."""
-    keys = [*by, x]
-    r = F.rank().over(over(by, F.col(x).asc_nulls_last())) + (F.count(F.lit(1)).over(over(keys)) - 1) / F.lit(2.0)
+    """Average rank of ties, from 1. NULL has no rank.
+
+    The first place of the ties is the rank, the last one the rows up to and with them: one sort for both.
+    """
+    w = over(by, F.col(x).asc_nulls_last())
+    r = (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / F.lit(2.0)
     return df.withColumn(out, F.when(F.col(x).isNotNull(), r.cast("double")))
 
 
@@ -43,60 +73,68 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_n(df, keys, order, 1, "_first").drop("_first")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both; where a key is in both, the new row."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[Column] = ()) -> DataFrame:
+    """Rows of both; where a key is in both, the new row.
+
+    Several rows of one key: the one that `version` sorts first, and after that the greatest by all columns.
+    """
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)), allowMissingColumns=True)
-    return keep_first(both, keys, [F.desc("_v")]).drop("_v")
+    rest = [F.col(c).desc_nulls_last() for c in both.columns if c not in {*keys, "_v"}]
+    return keep_first(both, keys, [F.desc("_v"), *version, *rest]).drop("_v")
 
 
-def z_score(df: DataFrame, by: Sequence[str], x: str, out: str, least: float = 1e-12) -> DataFrame:
-    """(x - mean) / population sd of the group; NULL where the sd is at most `least`."""
-    sd = F.stddev_pop(x).over(over(by))
-    return df.withColumn(out, F.when(sd > least, (F.col(x) - F.avg(x).over(over(by))) / sd))
+def z_score(df: DataFrame, by: Sequence[str], x: str, out: str, least: float = 1e-12, constant: float | None = None) -> DataFrame:
+    """(x - mean) / population sd of the group; `constant` (NULL) where the sd is at most `least`."""
+    rows = with_groups(df, df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s")), by)
+    z = F.when(F.col("_s") > least, (F.col(x) - F.col("_m")) / F.nullif("_s", F.lit(0.0)))
+    return rows.withColumn(out, z.when(F.col(x).isNotNull(), F.lit(constant).cast("double"))).drop("_m", "_s")
 
 
 def min_max(df: DataFrame, by: Sequence[str], x: str, out: str, constant: float = 0.5) -> DataFrame:
     """Scaled to [0, 1] within the group; a constant group gets `constant`."""
-    lo, hi = F.min(x).over(over(by)), F.max(x).over(over(by))
-    return df.withColumn(out, F.when(hi > lo, (F.col(x) - lo) / (hi - lo)).when(F.col(x).isNotNull(), F.lit(constant)))
+    rows = with_groups(df, df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")), by)
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(x) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+    return rows.withColumn(out, scaled.when(F.col(x).isNotNull(), F.lit(constant))).drop("_lo", "_hi")
 
 
 def share(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """x over the group's sum; NULL where the sum is 0."""
-    return df.withColumn(out, ratio(x, F.sum(x).over(over(by))))
+    return with_groups(df, df.groupBy(*by).agg(F.sum(x).alias("_t")), by).withColumn(out, ratio(x, "_t")).drop("_t")
 
 
 def log_normalised(df: DataFrame, by: Sequence[str], x: str, out: str, scale: float = 1e4) -> DataFrame:
     """ln(1 + scale * share); 0 where the group's sum is 0."""
-    return df.withColumn(out, F.log1p(F.coalesce(ratio(x, F.sum(x).over(over(by))), F.lit(0.0)) * F.lit(scale)))
+    return share(df, by, x, "_share").withColumn(out, F.log1p(F.coalesce("_share", F.lit(0.0)) * F.lit(scale))).drop("_share")
 
 
 def sd_groups(df: DataFrame, by: Sequence[str], x: str, out: str, k: float = 1.0) -> DataFrame:
     """HIGH from mean + k sd on, LOW up to mean - k sd, else MID (population sd of the group)."""
-    m, s = F.avg(x).over(over(by)), F.stddev_pop(x).over(over(by))
-    return df.withColumn(out, F.when(F.col(x) >= m + k * s, "HIGH").when(F.col(x) <= m - k * s, "LOW").when(F.col(x).isNotNull(), "MID"))
+    rows = with_groups(df, df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s")), by)
+    level = F.when(F.col(x) >= F.col("_m") + k * F.col("_s"), "HIGH").when(F.col(x) <= F.col("_m") - k * F.col("_s"), "LOW").when(F.col(x).isNotNull(), "MID")
+    return rows.withColumn(out, level).drop("_m", "_s")
 
 
 def quartile_split(df: DataFrame, by: Sequence[str], x: str, out: str, least: int = 15) -> DataFrame:
     """HIGH from the third quartile on, LOW up to the first; rows of groups with fewer than `least` on a side go."""
     cuts = df.groupBy(*by).agg(F.percentile(x, F.lit(0.25)).alias("_q1"), F.percentile(x, F.lit(0.75)).alias("_q3"))
     side = F.when(F.col(x) >= F.col("_q3"), "HIGH").when(F.col(x) <= F.col("_q1"), "LOW")
-    rows = df.join(cuts, list(by)).withColumn(out, side).where(F.col(out).isNotNull()).drop("_q1", "_q3")
-    n = lambda s: F.count_if(F.col(out) == s).over(over(by))
-    return rows.withColumn("_hi", n("HIGH")).withColumn("_lo", n("LOW")).where((F.col("_hi") >= least) & (F.col("_lo") >= least)).drop("_hi", "_lo")
+    rows = with_groups(df, cuts, by).withColumn(out, side).where(F.col(out).isNotNull()).drop("_q1", "_q3")
+    n = rows.groupBy(*by).agg(F.count_if(F.col(out) == "HIGH").alias("_hi"), F.count_if(F.col(out) == "LOW").alias("_lo"))
+    return with_groups(rows, n.where((F.col("_hi") >= least) & (F.col("_lo") >= least)).drop("_hi", "_lo"), by)
 
 
 def fallback_mask(df: DataFrame, by: Sequence[str], first: Column, second: Column, out: str = "mask", rule: str = "rule") -> DataFrame:
     """The first mask; in groups where it holds nowhere, the second. `rule` says which one was used."""
-    used = F.coalesce(F.sum(F.when(first, 1).otherwise(0)).over(over(by)), F.lit(0)) > 0
-    return df.withColumn(rule, F.when(used, "primary").otherwise("fallback")).withColumn(out, F.coalesce(F.when(used, first).otherwise(second), F.lit(False)))
+    rows = with_groups(df, df.groupBy(*by).agg(F.count_if(first).alias("_used")), by)
+    used = F.col("_used") > 0
+    return rows.withColumn(rule, F.when(used, "primary").otherwise("fallback")).withColumn(out, F.coalesce(F.when(used, first).otherwise(second), F.lit(False))).drop("_used")
 
 
 def quantile_code(df: DataFrame, by: Sequence[str], x: str, bins: int, out: str) -> DataFrame:
     """0 .. bins - 1 by quantile edges (equal edges count once); the lowest value belongs to the first bin."""
     edges = df.groupBy(*by).agg(F.array_distinct(F.array(*[F.percentile(x, F.lit(i / bins)) for i in range(bins + 1)])).alias("_edges"))
     code = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(x))) - 1, F.lit(0))
-    return df.join(edges, list(by)).withColumn(out, F.when(F.col(x).isNotNull(), code)).drop("_edges")
+    return with_groups(df, edges, by).withColumn(out, F.when(F.col(x).isNotNull(), code)).drop("_edges")
 
 
 def relative_gain(df: DataFrame, by: Sequence[str], order: str, x: str, out: str) -> DataFrame:
@@ -115,12 +153,17 @@ def log_elbow(df: DataFrame, by: Sequence[str], order: str, x: str) -> DataFrame
 
 
 def chord_elbow(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """The x whose point lies farthest from the chord between first and last point, both axes scaled to [0, 1]."""
-    both = min_max(min_max(df, by, x, "_x"), by, y, "_y")
+    """The x whose point lies farthest from the chord between first and last point: x scaled to [0, 1], y over its first value.
+
+    Up to two points: the first one.
+    """
     w = over(by, x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x0, y0, x1, y1 = F.first("_x").over(w), F.first("_y").over(w), F.last("_x").over(w), F.last("_y").over(w)
-    far = F.abs((y1 - y0) * F.col("_x") - (x1 - x0) * F.col("_y") + x1 * y0 - y1 * x0)
-    return keep_first(both.withColumn("_far", F.round(far, 9)), by, [F.desc("_far"), F.col(x)]).select(*by, F.col(x).alias("elbow"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w))
+    x0, x1, y0 = F.first(x).over(w), F.last(x).over(w), F.first(y).over(w)
+    rows = rows.withColumn("_x", ratio(F.col(x) - x0, x1 - x0)).withColumn("_y", ratio(y, y0))
+    a0, b0, a1, b1 = F.first("_x").over(w), F.first("_y").over(w), F.last("_x").over(w), F.last("_y").over(w)
+    far = F.when(F.col("_n") > 2, F.abs((b1 - b0) * F.col("_x") - (a1 - a0) * F.col("_y") + a1 * b0 - b1 * a0)).otherwise(0.0)
+    return keep_first(rows.withColumn("_far", F.round(F.coalesce(far, F.lit(0.0)), 9)), by, [F.desc("_far"), F.col(x)]).select(*by, F.col(x).alias("elbow"))
 
 
 def running_share(df: DataFrame, by: Sequence[str], order: Sequence[Column], x: str, out: str) -> DataFrame:
@@ -133,4 +176,4 @@ def relabel_by_median(df: DataFrame, by: Sequence[str], label: str, x: str, out:
     """Labels numbered from 0 in order of the median of x."""
     medians = df.groupBy(*by, label).agg(F.percentile(x, F.lit(0.5)).alias("_m"))
     codes = medians.withColumn(out, F.row_number().over(over(by, "_m", label)) - 1).drop("_m")
-    return df.join(codes, [*by, label])
+    return with_groups(df, codes, [*by, label])

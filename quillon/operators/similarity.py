@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio
 
-from .ranks import keep_first, over
+from .ranks import keep_first, over, settled, with_groups
 
 
 def set_overlaps(items: DataFrame, by: Sequence[str], owner: str, item: str, most_owners: int | None = None) -> DataFrame:
@@ -43,18 +43,17 @@ def cosine_pairs(long: DataFrame, by: Sequence[str], owner: str, key: str, x: st
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component) of undirected edges (a, b): least labels spread along edges, with pointer jumping.
 
-    Every few rounds the table is checkpointed into spark.checkpoint.dir, where that is set.
+    Every round is checkpointed (see ranks.settled).
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
-    cut = bool(edges.sparkSession.sparkContext.getCheckpointDir())
-    both = both.checkpoint() if cut else both.cache()
+    both = settled(both)
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
     for _ in range(most):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = label.join(near, label["node"] == near["a"]).select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
-        new = new.checkpoint() if cut else new.cache()
+        new = settled(new)
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         label = new
         if not changed:
@@ -62,6 +61,51 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def all_pairs(pairs: DataFrame, owners: DataFrame, by: Sequence[str], owner: str, values: Sequence[str]) -> DataFrame:
+    """The pair table with the pairs that share nothing: every unordered pair of a group's owners, 0 where none is found.
+
+    The number of pairs is the square of a group's owners by definition: for reports on few owners.
+    """
+    o = owners.select(*by, owner).distinct()
+    grid = o.withColumnRenamed(owner, "a").join(o.withColumnRenamed(owner, "b"), list(by)) if by else o.withColumnRenamed(owner, "a").crossJoin(o.withColumnRenamed(owner, "b"))
+    return grid.where("a < b").join(pairs.select(*by, "a", "b", *values), [*by, "a", "b"], "left").na.fill(0, list(values))
+
+
+def pair_summary(pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
+    """Off-diagonal distribution of a similarity: n, least, median, mean, greatest, share of zeros."""
+    return pairs.groupBy(*by).agg(F.count(sim).alias("pairs"), F.min(sim).alias("least"), F.percentile(sim, F.lit(0.5)).alias("median"), F.avg(sim).alias("mean"), F.max(sim).alias("greatest"), F.avg((F.col(sim) == 0).cast("double")).alias("zero_share"))
+
+
+def robust_edges(metrics: DataFrame, by: Sequence[str], cuts: dict[str, float], main: str, least: int = 2) -> DataFrame:
+    """Pairs (a, b) whose main metric and at least `least` of the others reach their cuts; metrics has a column each."""
+    others = [c for c in cuts if c != main]
+    met = sum((F.coalesce((F.col(c) >= cuts[c]).cast("int"), F.lit(0)) for c in others), F.lit(0))
+    return metrics.withColumn("met", met).where((F.col(main) >= cuts[main]) & (F.col("met") >= least)).select(*by, "a", "b", "met")
+
+
+def retention(members: DataFrame, component: str, sample: str, kind: str, least_samples: int = 2, least_kinds: int = 2) -> DataFrame:
+    """Components with how often they recur (samples, kinds) and whether they are kept, with the reason."""
+    g = members.groupBy(component).agg(F.count(F.lit(1)).alias("members"), F.countDistinct(sample).alias("samples"), F.countDistinct(kind).alias("kinds"))
+    reason = F.when(F.col("members") < 2, "singleton").when(F.col("samples") >= least_samples, "recurs_across_samples").when(F.col("kinds") >= least_kinds, "recurs_across_kinds").otherwise("not_recurrent")
+    return g.withColumn("reason", reason).withColumn("kept", F.col("reason").startswith("recurs"))
+
+
+def connectivity(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """One row: nodes, components (lone nodes count) and the largest one's share."""
+    c = components(edges)
+    whole = nodes.select(F.col(node).alias("node")).distinct().join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
+
+
+def mask_components(edges: DataFrame, nodes: DataFrame, node: str, label: str, row: str, column: str, least: int = 3) -> DataFrame:
+    """Connected patches of equal label with at least `least` nodes: size and centroid. edges (src, dst) are of one node id space."""
+    l = nodes.where(F.col(label).isNotNull()).select(F.col(node).alias("_n"), F.col(label).alias("_l"))  # noqa: E741
+    own = edges.join(l.withColumnRenamed("_n", "src").withColumnRenamed("_l", "_a"), "src").join(l.withColumnRenamed("_n", "dst").withColumnRenamed("_l", "_b"), "dst").where("_a = _b")
+    c = components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    n = nodes.where(F.col(label).isNotNull()).join(c, F.col(node) == F.col("node"), "left").withColumn("component", F.coalesce("component", F.col(node))) if node != "node" else nodes.where(F.col(label).isNotNull()).join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return n.groupBy(label, "component").agg(F.count(F.lit(1)).alias("size"), F.avg(row).alias("row_centre"), F.avg(column).alias("column_centre")).where(F.col("size") >= least)
+
+
 def pair_relation(a_sample, b_sample, a_group, b_group):
     """same_sample, same_group or different."""
     return F.when(a_sample == b_sample, "same_sample").when(a_group == b_group, "same_group").otherwise("different")
@@ -100,7 +144,7 @@ def agreement(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     joint = n.withColumn("t", F.sum("n").over(over(by))).groupBy(*by).agg((-F.sum(plogp(F.col("n"), F.col("t")))).alias("hab"))
     out = total
     for part in (side(a, "a"), side(b, "b"), joint):
-        out = out.join(part, list(by)) if by else out.crossJoin(part)
+        out = with_groups(out, part, by)
     expect = F.col("sa") * F.col("sb") / F.nullif(two(F.col("t")), F.lit(0.0))
     ari = ratio(F.col("sij") - expect, (F.col("sa") + F.col("sb")) / 2.0 - expect)
     nmi = ratio(F.col("ha") + F.col("hb") - F.col("hab"), (F.col("ha") + F.col("hb")) / 2.0)
@@ -115,7 +159,7 @@ def recurrence(items: DataFrame, group: str, owner: str, item: str) -> DataFrame
     """
     sets = items.select(F.col(group).alias("g"), F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
     owners = sets.groupBy("g").agg(F.countDistinct("o").alias("owners"))
-    n = sets.groupBy("g", "i").agg(F.count(F.lit(1)).alias("n_in")).join(F.broadcast(owners), "g").withColumn("fraction_in", ratio("n_in", "owners"))
+    n = sets.groupBy("g", "i").agg(F.count(F.lit(1)).alias("n_in")).join(owners, "g").withColumn("fraction_in", ratio("n_in", "owners"))
     w = over(["i"])
     ranked = n.withColumn("n_out", F.sum("n_in").over(w) - F.col("n_in")).withColumn("_r", F.row_number().over(over(["i"], F.desc("fraction_in"), F.col("g"))))
     first, second = F.max(F.when(F.col("_r") == 1, F.col("fraction_in"))).over(w), F.max(F.when(F.col("_r") == 2, F.col("fraction_in"))).over(w)
@@ -130,7 +174,7 @@ def locked_signature(items: DataFrame, group: str, owner: str, item: str, most:
     """Items in at least half (rounded down) of a group's owners, the most frequent first, at most `most`."""
     r = recurrence(items, group, owner, item)
     owners = items.groupBy(F.col(group).alias("group")).agg(F.countDistinct(owner).alias("owners"))
-    kept = r.join(F.broadcast(owners), "group").where(F.col("n_in") >= F.greatest(F.floor(F.col("owners") / 2), F.lit(1)))
+    kept = r.join(owners, "group").where(F.col("n_in") >= F.greatest(F.floor(F.col("owners") / 2), F.lit(1)))
     return kept.withColumn("rank", F.row_number().over(over(["group"], F.desc("n_in"), F.col("item")))).where(F.col("rank") <= most).select("group", "item", "n_in", "rank")
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio
 
-from .ranks import over, top_n, z_score
+from .ranks import over, settled, top_n, with_groups, z_score
+from .statistics import finite_rows, pearson, spearman
 
-#: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
+#: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
 HEX = ((0, -2), (0, 2), (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 
@@ -26,17 +27,41 @@ def lattice_edges(nodes: DataFrame, by: Sequence[str], node: str, row: str, colu
     return left.join(right, [*by, "_r", "_c"]).select(*by, "src", "dst")
 
 
-def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k: int, cell: float) -> DataFrame:
-    """The k nearest others of each node, ties to the smaller id, looked for in the 3 x 3 cells around it.
+def _near(sources: DataFrame, targets: DataFrame, by: Sequence[str], k: int, cell: float) -> DataFrame:
+    """(by.., src, dst, rank, d2): the k nearest targets (by.., dst, x, y) of each source (by.., src, x0, y0), exactly.
 
-    Exact for neighbours no farther than `cell`; farther ones are not looked for, so choose it accordingly.
+    Looked for in the 3 x 3 cells around a source: exact if k lie within `cell`. The sources that have fewer
+    go on with twice the cell, until it spans the group; every round's table is checkpointed.
     """
-    p = nodes.select(*by, F.col(node).alias("n"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    at = lambda x, y, c: [F.floor(F.col(x) / c).alias("cx"), F.floor(F.col(y) / c).alias("cy")]
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = p.withColumn("_step", steps).select(*by, F.col("n").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("_step.i")).alias("cx"), (F.col("cy") + F.col("_step.j")).alias("cy"))
-    pairs = left.join(p.select(*by, F.col("n").alias("dst"), "x", "y", "cx", "cy"), [*by, "cx", "cy"]).where("src <> dst")
+    ends = targets.select(*by, "x", "y").union(sources.select(*by, "x0", "y0")).groupBy(*by).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d")).agg(F.max("d")).first()[0] or 0.0
     d2 = (F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2
-    return top_n(pairs.withColumn("d2", d2).where(F.col("d2") <= cell * cell), [*by, "src"], [F.col("d2"), F.col("dst")], k).select(*by, "src", "dst", "rank", F.sqrt("d2").alias("distance"))
+    rest, found = sources, None
+    while True:
+        left = rest.select(*by, "src", "x0", "y0", *at("x0", "y0", cell)).withColumn("_s", steps).select(*by, "src", "x0", "y0", (F.col("cx") + F.col("_s.i")).alias("cx"), (F.col("cy") + F.col("_s.j")).alias("cy"))
+        right = targets.select(*by, "dst", "x", "y", *at("x", "y", cell))
+        pairs = left.join(right, [*by, "cx", "cy"]).where(~F.col("src").eqNullSafe(F.col("dst"))).withColumn("d2", d2)
+        last = cell > ends
+        best = top_n(pairs if last else pairs.where(F.col("d2") <= cell * cell), [*by, "src"], [F.col("d2"), F.col("dst")], k).select(*by, "src", "dst", "rank", "d2")
+        done = best if last else best.join(best.where(F.col("rank") == k).select(*by, "src"), [*by, "src"], "left_semi")
+        found = settled(done) if found is None else found.union(settled(done))
+        if last:
+            return found
+        rest = settled(rest.join(found.select(*by, "src").distinct(), [*by, "src"], "left_anti"))
+        if not rest.limit(1).count():
+            return found
+        cell *= 2
+
+
+def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k: int, cell: float) -> DataFrame:
+    """The k nearest others of each node, ties to the smaller id; cell is where the search starts, results are exact.
+
+    Nodes without coordinates take no part; a group of fewer than k + 1 nodes gives all that there are.
+    """
+    p = finite_rows(nodes, x, y).select(*by, F.col(node).alias("dst"), F.col(x).alias("x"), F.col(y).alias("y"))
+    sources = p.select(*by, F.col("dst").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    return _near(sources, p, by, k, cell).select(*by, "src", "dst", "rank", F.sqrt("d2").alias("distance"))
 
 
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, values: Sequence[str]) -> DataFrame:
@@ -140,8 +165,106 @@ def halo(labels: DataFrame, edges: DataFrame, by: Sequence[str], node: str, hot:
     return ring.join(inside.withColumnRenamed("src", node), [*by, node], "left_anti")
 
 
-def nearest_target(sources: DataFrame, targets: DataFrame, by: Sequence[str], node: str, x: str, y: str) -> DataFrame:
-    """For each source node the distance to the nearest target of its group."""
-    s = sources.select(*by, F.col(node).alias(node), F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"))
-    t = targets.select(*by, F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"))
-    return s.join(t, list(by)).groupBy(*by, node).agg(F.min(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("distance"))
+def nearest_target(sources: DataFrame, targets: DataFrame, by: Sequence[str], node: str, x: str, y: str, cell: float = 1.0) -> DataFrame:
+    """For each source node the distance to the nearest target of its group (no row without a target)."""
+    s = finite_rows(sources, x, y).select(*by, F.col(node).alias("src"), F.col(x).alias("x0"), F.col(y).alias("y0"))
+    t = finite_rows(targets, x, y).select(*by, F.lit(None).cast(s.schema["src"].dataType).alias("dst"), F.col(x).alias("x"), F.col(y).alias("y"))
+    return _near(s, t, by, 1, cell).select(*by, F.col("src").alias(node), F.sqrt("d2").alias("distance"))
+
+
+def group_neighbourhood(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, inside: Column, values: Sequence[str], exclude: bool = False) -> DataFrame:
+    """The mean over a group's nodes of their neighbours' mean values; exclude leaves neighbours of the group out."""
+    n = nodes.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    v = n.select(*by, F.col(node).alias("dst"), *values, F.col("_in").alias("_there"))
+    near = edges.join(n.where("_in").select(*by, F.col(node).alias("src")), [*by, "src"]).join(v, [*by, "dst"])
+    near = near.where("not _there") if exclude else near
+    each = near.groupBy(*by, "src").agg(*[F.avg(c).alias(c) for c in values])
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"), *[F.avg(c).alias(f"mean_{c}") for c in values])
+
+
+def ring_composition(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, seeds: DataFrame, n: int, values: Sequence[str], rest_of: str | None = None, least: float = 0.05) -> DataFrame:
+    """Mean values of each ring around the seeds; with rest_of the values are first divided by 1 - rest_of, where that is at least `least`."""
+    v = nodes.select(*by, F.col(node).alias("node"), *values, *([F.col(rest_of).alias("_rest")] if rest_of else []))
+    if rest_of:
+        left = 1.0 - F.col("_rest")
+        v = v.where(left >= least).select(*by, "node", *[(F.col(c) / left).alias(c) for c in values])
+    return rings(edges, seeds, by, node, n).join(v, [*by, "node"]).groupBy(*by, "ring").agg(F.count(F.lit(1)).alias("nodes"), *[F.avg(c).alias(f"mean_{c}") for c in values])
+
+
+def label_moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, label: str) -> DataFrame:
+    """Moran's I of each label's 0/1 map, from counts: nodes, edges, edges that touch and that join the label."""
+    n = nodes.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    size = nodes.groupBy(*by, label).agg(F.count(F.lit(1)).cast("double").alias("size"))
+    l = nodes.select(*by, F.col(node).alias("_n"), F.col(label).alias("_l"))  # noqa: E741
+    both = edges.join(l.withColumnRenamed("_n", "src").withColumnRenamed("_l", label), [*by, "src"]).join(l.withColumnRenamed("_n", "dst").withColumnRenamed("_l", "_to"), [*by, "dst"])
+    w = both.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    from_label = both.groupBy(*by, label).agg(F.count(F.lit(1)).cast("double").alias("touch"), F.count_if(F.col("_to") == F.col(label)).cast("double").alias("join"))
+    m = with_groups(with_groups(with_groups(size, from_label, [*by, label], "left"), n, by), w, by)
+    p = F.col("size") / F.col("n")
+    # the sum of (x - p)(y - p) over edges; every edge goes both ways, so touching counts are equal on either end
+    cross = F.coalesce("join", F.lit(0.0)) - 2.0 * p * F.coalesce("touch", F.lit(0.0)) + p * p * F.col("w")
+    return m.select(*by, label, F.col("size").cast("long").alias("size"), ratio(F.col("n") * cross, F.col("w") * F.col("size") * (1.0 - p)).alias("moran_i"))
+
+
+def mean_label_moran(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The size-weighted mean of label_moran; labels without a value are left out."""
+    ok = found.where("moran_i is not null")
+    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), (F.sum(F.col("size") * F.col("moran_i")) / F.sum("size")).alias("moran_i"))
+
+
+def gi_calls(found: DataFrame, critical: float = 1.959963984540054) -> DataFrame:
+    """getis_ord with a hot, cold or no call at a two-sided critical value."""
+    return found.withColumn("call", F.when(F.col("gi_star") > critical, "hot").when(F.col("gi_star") < -critical, "cold").otherwise("none"))
+
+
+def consensus(a: DataFrame, b: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that both call sets and the mask hold."""
+    return a.select(*keys).intersect(b.select(*keys)).intersect(mask.select(*keys))
+
+
+def call_agreement(a: DataFrame, b: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Sizes, overlap and Jaccard index of two call sets in each group."""
+    x, y = a.select(*keys).distinct().withColumn("_a", F.lit(1)), b.select(*keys).distinct().withColumn("_b", F.lit(1))
+    g = x.join(y, list(keys), "full").groupBy(*by).agg(F.count("_a").alias("n_a"), F.count("_b").alias("n_b"), F.count(F.col("_a") + F.col("_b")).alias("both"), F.count(F.lit(1)).alias("_u"))
+    return g.withColumn("jaccard", ratio("both", "_u")).drop("_u")
+
+
+def component_distances(distances: DataFrame, by: Sequence[str], component: str, target: str, x: str = "distance") -> DataFrame:
+    """Least, median, mean and greatest nearest distance of each component to each target."""
+    return distances.groupBy(*by, component, target).agg(F.count(x).alias("nodes"), F.min(x).alias("least"), F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("greatest"))
+
+
+def distance_contrast(summary: DataFrame, by: Sequence[str], target: str, first: str, second: str, x: str = "median") -> DataFrame:
+    """Per group the mean over components of x to the first target less that to the second."""
+    side = lambda v: F.avg(F.when(F.col(target) == v, F.col(x)))
+    return summary.groupBy(*by).agg(side(first).alias("first"), side(second).alias("second")).withColumn("difference", F.col("first") - F.col("second")).where("difference is not null")
+
+
+def self_neighbour_correlation(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str, method: str = "spearman") -> DataFrame:
+    """Correlation of a node's value with the mean of its neighbours (to 9 digits: ties don't hang on the order of sums)."""
+    both = neighbour_mean(nodes, edges, by, node, [x]).withColumn(f"mean_{x}", F.round(f"mean_{x}", 9)).join(nodes.select(*by, node, x), [*by, node])
+    return (spearman if method == "spearman" else pearson)(both, by, x, f"mean_{x}")
+
+
+def ring_correlation(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, source: str, x: str, y: str) -> DataFrame:
+    """By source group: Pearson and Spearman of the centre's x with the neighbours' mean y (to 9 digits, for ties)."""
+    both = neighbour_mean(nodes, edges, by, node, [y]).withColumn(f"mean_{y}", F.round(f"mean_{y}", 9)).join(nodes.select(*by, node, source, x), [*by, node])
+    groups = [*by, source]
+    return with_groups(pearson(both, groups, x, f"mean_{y}"), spearman(both, groups, x, f"mean_{y}").drop("n"), groups)
+
+
+def slope_classes(slopes: DataFrame, by: Sequence[str], item: str, slope: str, q: float = 0.9) -> DataFrame:
+    """Items whose |slope| reaches the group's quantile: rising or falling, ranked by size within the class; the others are flat."""
+    cut = slopes.groupBy(*by).agg(F.percentile(F.abs(slope), F.lit(q)).alias("_cut"))
+    rows = with_groups(slopes, cut, by)
+    rows = rows.withColumn("class", F.when((F.abs(slope) >= F.col("_cut")) & (F.col(slope) != 0), F.when(F.col(slope) > 0, "rising").otherwise("falling")).otherwise("flat"))
+    return rows.withColumn("rank", F.row_number().over(over([*by, "class"], F.abs(slope).desc(), F.col(item)))).drop("_cut")
+
+
+def discontinuities(fits: DataFrame, by: Sequence[str], segment: str, start: str, q: float = 0.9) -> DataFrame:
+    """Jumps between the lines (slope, intercept) of successive segments at their border, and whether a jump reaches the quantile of all |jumps|."""
+    w = over(by, F.col(segment))
+    before = F.lag("slope").over(w) * F.col(start) + F.lag("intercept").over(w)
+    rows = fits.withColumn("jump", F.col("slope") * F.col(start) + F.col("intercept") - before).where("jump is not null")
+    cut = rows.agg(F.percentile(F.abs("jump"), F.lit(q)).alias("_cut"))
+    return rows.crossJoin(cut).withColumn("discontinuous", F.abs("jump") >= F.col("_cut")).drop("_cut")

@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from quillon.functions.scalars import fisher_z, ratio
+from quillon.functions.distributions import binomial_p, chi_square_p, fisher_p, normal_p, signed_rank_p, student_p
+from quillon.functions.scalars import finite, fisher_z, ratio
 
-from .ranks import over, rank_average
+from .ranks import over, rank_average, with_groups
+
+
+def finite_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which every one of the columns is a finite number, as doubles: NaN and infinities count as missing."""
+    rows = df.withColumns({c: finite(c) for c in columns})
+    return rows.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+
+
+def finite_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """All rows, NaN and infinities of the columns as NULL."""
+    return df.withColumns({c: finite(c) for c in columns})
 
 
 def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """n, mean, sample sd, quartiles, interquartile range, ends and the 95 % interval of the mean."""
-    q = lambda p: F.percentile(x, F.lit(p))
-    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(x).alias("max"))
+    cuts = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
+    out = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), cuts, F.max(x).alias("max"))
+    out = out.select(*by, "n", "mean", "sd", "min", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "max")
     half = F.lit(1.96) * F.col("sd") / F.sqrt(F.col("n"))
     return out.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
 def moments(df: DataFrame, by: Sequence[str], x: str, least: int = 4, bimodal: float = 0.555) -> DataFrame:
     """Population skewness, excess kurtosis, bias-adjusted skewness, coefficient of variation and bimodality."""
-    m = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    m = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
     ok = (F.col("n") >= least) & (F.col("sd") > 0)
     n = F.col("n").cast("double")
     bc = (F.col("g1") * F.col("g1") + 1.0) / F.nullif(F.col("g2") + 3.0, F.lit(0.0))
@@ -47,7 +56,7 @@ def label_entropy(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 def between_within(df: DataFrame, by: Sequence[str], group: str, x: str) -> DataFrame:
     """Variance of group means over the mean of group variances, both population."""
-    g = df.groupBy(*by, group).agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    g = finite_columns(df, x).groupBy(*by, group).agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     return g.groupBy(*by).agg(F.var_pop("m").alias("between"), F.avg("v").alias("within")).withColumn("ratio", ratio("between", "within"))
 
 
@@ -68,24 +77,31 @@ def chi_square(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
 
 def _pearson(x: Column, y: Column) -> Column:
     """Correlation from centred sums; NULL for fewer than three pairs or a constant side."""
-    n, both = F.count(F.lit(1)).cast("double"), F.covar_pop(x, y)
+    n, both = F.count_if(x.isNotNull() & y.isNotNull()).cast("double"), F.covar_pop(x, y)
     return F.when((n >= 3) & (F.var_pop(x) > 1e-24) & (F.var_pop(y) > 1e-24), both / F.sqrt(F.nullif(F.var_pop(x) * F.var_pop(y), F.lit(0.0))))
 
 
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+    return finite_rows(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col(x), F.col(y)).alias("r"))
+
+
+def correlation_p(r: str, n: str, covariates: int = 0) -> Column:
+    """Two-sided p of a (partial) correlation from Student's t with n - 2 - covariates degrees of freedom."""
+    df = F.col(n).cast("double") - 2.0 - covariates
+    low = 1.0 - F.col(r) * F.col(r)
+    t = F.when(low > 1e-15, F.col(r) * F.sqrt(df / F.nullif(low, F.lit(0.0)))).otherwise(F.signum(r) * 1e9)
+    return student_p(F.when(df > 0, t), df)
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson's r of average ranks over rows with both values."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rank_average(rank_average(rows, by, x, "_rx"), by, y, "_ry")
+    rows = rank_average(rank_average(finite_rows(df, x, y), by, x, "_rx"), by, y, "_ry")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_rx"), F.col("_ry")).alias("rho"))
 
 
 def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, given: str) -> DataFrame:
     """Correlation of ranks with one covariate's rank taken out, from the three rank correlations."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull())
+    rows = finite_rows(df, x, y, given)
     for c, out in ((x, "_rx"), (y, "_ry"), (given, "_rz")):
         rows = rank_average(rows, by, c, out)
     r = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_rx"), F.col("_ry")).alias("a"), _pearson(F.col("_rx"), F.col("_rz")).alias("b"), _pearson(F.col("_ry"), F.col("_rz")).alias("c"))
@@ -96,14 +112,14 @@ def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, given: st
 def correlation_pairs(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Pearson's r of every pair of columns, long."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.groupBy(*by).agg(*[_pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    wide = finite_columns(df, *columns).groupBy(*by).agg(*[_pearson(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.select(*by, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("p"))
     return long.select(*by, "p.a", "p.b", "p.r")
 
 
 def two_groups(df: DataFrame, by: Sequence[str], is_first: Column, x: str) -> DataFrame:
     """Means, Cohen's d (pooled by degrees of freedom), d of plain mean variance, and t of two groups of rows."""
-    a, b = F.when(is_first, F.col(x).cast("double")), F.when(~is_first, F.col(x).cast("double"))
+    a, b = F.when(is_first, finite(x)), F.when(~is_first, finite(x))
     g = df.groupBy(*by).agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"))
     gap = F.col("m1") - F.col("m2")
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / F.nullif((F.col("n1") + F.col("n2") - 2).cast("double"), F.lit(0.0))
@@ -114,79 +130,78 @@ def two_groups(df: DataFrame, by: Sequence[str], is_first: Column, x: str) -> Da
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], is_first: Column, x: str) -> DataFrame:
-    """U of the first group, rank-biserial correlation and the tie-corrected normal z (continuity 0.5)."""
-    rows = rank_average(df.where(F.col(x).isNotNull()).withColumn("_f", is_first), by, x, "_r")
+    """U of the first group, rank-biserial correlation and the tie-corrected normal z (continuity 0.5).
+
+    Rows with a null flag or value belong to neither group and are not ranked.
+    """
+    rows = finite_rows(df.withColumn("_f", is_first).where("_f is not null"), x)
+    rows = rank_average(rows, by, x, "_r")
     ties = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     g = rows.groupBy(*by).agg(F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n2"), F.sum(F.when(F.col("_f"), F.col("_r")).otherwise(0.0)).alias("r1"))
-    g = g.join(ties, list(by)) if by else g.crossJoin(ties)
+    g = with_groups(g, ties, by)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u, n = F.col("r1") - n1 * (n1 + 1) / 2.0, n1 + n2
     var = n1 * n2 / 12.0 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)))
     gap = u - n1 * n2 / 2.0
     z = F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(F.when(var > 0, var))
-    return g.select(*by, "n1", "n2", u.alias("u"), ratio(2.0 * u, n1 * n2).alias("biserial_plus_1"), z.alias("z")).withColumn("rank_biserial", F.col("biserial_plus_1") - 1.0).drop("biserial_plus_1")
+    return g.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), (ratio(2.0 * u, n1 * n2) - 1.0).alias("rank_biserial"))
 
 
 def signed_rank(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Wilcoxon's signed-rank sums over non-zero values, with the tie-corrected normal z."""
-    rows = df.where(F.col(x).isNotNull() & (F.col(x) != 0)).withColumn("_a", F.abs(x))
+    rows = finite_rows(df, x).where(F.col(x) != 0).withColumn("_a", F.abs(x))
     rows = rank_average(rows, by, "_a", "_r")
     ties = rows.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(x) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(x) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus")).join(ties, list(by))
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(x) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(x) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
-    return g.select(*by, "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(F.when(var > 0, var))).alias("z"))
+    return with_groups(g, ties, by).select(*by, "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(F.when(var > 0, var))).alias("z"), (F.col("ties") > 0).alias("has_ties"))
 
 
-def exact_signed_rank_p(w: float, n: int) -> float:
-    """Two-sided exact p of a signed-rank sum without ties, by counting subsets of 1..n."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1
-    for r in range(1, n + 1):
-        ways[r:] += ways[:-r].copy()
-    tail = ways[: int(min(w, n * (n + 1) / 2 - w)) + 1].sum() / 2.0**n
-    return float(min(1.0, 2 * tail))
+def signed_rank_test(df: DataFrame, by: Sequence[str], x: str, exact_up_to: int = 50) -> DataFrame:
+    """signed_rank with p: exact for up to exact_up_to values without ties, else of the normal z."""
+    g = signed_rank(df, by, x)
+    exact = ~F.col("has_ties") & (F.col("n") <= exact_up_to)
+    g = g.withColumn("_e", signed_rank_p(F.when(exact, F.col("w_plus")), F.col("n").cast("double"))).withColumn("_a", normal_p("z"))
+    return g.select(*by, "n", "w_plus", "w_minus", "z", F.coalesce("_e", "_a").alias("p"), F.when(exact, "exact").otherwise("normal").alias("method"))
 
 
 def one_sample_t(df: DataFrame, by: Sequence[str], x: str, mu: float = 0.0) -> DataFrame:
-    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
-    return g.select(*by, "n", ratio((F.col("m") - mu) * F.sqrt("n"), "sd").alias("t"), ratio(F.col("m") - mu, "sd").alias("d_z"))
-
-
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided p of a standard normal."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
-
-
-def log_factorials(spark, n: int) -> DataFrame:
-    """(k, lf): ln k! for k up to n, a table of running sums (n is a bound that the caller sets)."""
-    return spark.range(n + 1).select(F.col("id").alias("k"), F.coalesce(F.sum(F.ln(F.greatest("id", F.lit(1)).cast("double"))).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("lf"))
-
-
-@F.pandas_udf(DoubleType())
-def hypergeometric_p(overlap: pd.Series, universe: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    """P(X >= overlap) of a hypergeometric count."""
-    lf = math.lgamma
-
-    def comb(n: int, k: int) -> float:
-        return lf(n + 1) - lf(k + 1) - lf(n - k + 1)
-
-    def tail(x: int, n: int, m: int, d: int) -> float:
-        return min(1.0, sum(math.exp(comb(m, i) + comb(n - m, d - i) - comb(n, d)) for i in range(max(x, 0, d - (n - m)), min(m, d) + 1)))
-
-    return pd.Series([tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(overlap, universe, marked, drawn)])
-
-
-@F.pandas_udf(DoubleType())
-def sign_test_p(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided exact binomial p of k successes in n at one half."""
-
-    def p(a: int, b: int) -> float:
-        a = min(a, b - a)
-        return min(1.0, 2 * sum(math.comb(b, i) for i in range(a + 1)) / 2**b) if b else 1.0
-
-    return pd.Series([p(int(a), int(b)) for a, b in zip(k, n)])
+    g = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
+    g = g.select(*by, "n", ratio((F.col("m") - mu) * F.sqrt("n"), "sd").alias("t"), ratio(F.col("m") - mu, "sd").alias("d_z"))
+    return g.withColumn("p", student_p("t", F.col("n") - 1.0))
+
+
+def chi_square_test(df: DataFrame, by: Sequence[str], a: str, b: str, yates: bool = True) -> DataFrame:
+    """chi_square with p; a 2 x 2 table takes Yates' correction if asked. Cells that never occur count as zero."""
+    n = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = n.groupBy(*by, a).agg(F.sum("n").alias("na"))
+    columns = n.groupBy(*by, b).agg(F.sum("n").alias("nb"))
+    grid = with_groups(rows, columns.withColumnRenamed(b, "_b"), by).withColumnRenamed("_b", b)
+    cells = with_groups(grid, n, [*by, a, b], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    cells = with_groups(cells, rows.groupBy(*by).agg(F.sum("na").alias("total"), F.count(F.lit(1)).alias("ka")), by)
+    cells = with_groups(cells, columns.groupBy(*by).agg(F.count(F.lit(1)).alias("kb")), by)
+    expected = F.col("na") * F.col("nb") / F.col("total")
+    gap = F.abs(F.col("n") - expected)
+    small = F.when((F.col("ka") == 2) & (F.col("kb") == 2) & F.lit(yates), F.least(F.lit(0.5), gap)).otherwise(0.0)
+    g = cells.groupBy(*by).agg(F.sum((gap - small) * (gap - small) / expected).alias("chi2"), ((F.max("ka") - 1) * (F.max("kb") - 1)).alias("dof"))
+    return g.withColumn("p", chi_square_p("chi2", F.col("dof").cast("double")))
+
+
+def fisher_test(df: DataFrame, by: Sequence[str], first: Column, second: Column) -> DataFrame:
+    """Fisher's exact test of two flags of the rows: the 2 x 2 counts, odds ratio (NULL with a zero below), both p-values."""
+    rows = df.withColumn("_x", first).withColumn("_y", second).where("_x is not null and _y is not null")
+    n = lambda c, name: F.count_if(c).alias(name)
+    x, y = F.col("_x"), F.col("_y")
+    g = rows.groupBy(*by).agg(n(x & y, "a"), n(x & ~y, "b"), n(~x & y, "c"), n(~x & ~y, "d"))
+    g = g.withColumn("odds_ratio", ratio(F.col("a") * F.col("d"), F.col("b") * F.col("c"))).withColumn("_p", fisher_p("a", "b", "c", "d"))
+    return g.select(*by, "a", "b", "c", "d", "odds_ratio", "_p.p_greater", "_p.p_two_sided")
+
+
+def sign_test(df: DataFrame, by: Sequence[str], x: str, p0: float = 0.5) -> DataFrame:
+    """Exact binomial test of how many non-zero values are positive."""
+    g = finite_rows(df, x).groupBy(*by).agg(F.count_if(F.col(x) > 0).alias("k"), F.count_if(F.col(x) != 0).alias("n"))
+    return g.withColumn("p", binomial_p(F.col("k").cast("double"), F.col("n").cast("double"), F.lit(p0)))
 
 
 def adjust(df: DataFrame, family: Sequence[str], p: str, key: str) -> DataFrame:
@@ -212,9 +227,13 @@ def correlation_gap(r1: Column | str, n1: Column | str, r2: Column | str, n2: Co
     return (fisher_z(r1) - fisher_z(r2)) / F.sqrt(1.0 / (c(n1) - 3.0) + 1.0 / (c(n2) - 3.0))
 
 
+def correlation_gap_p(r1: str, n1: str, r2: str, n2: str) -> Column:
+    return normal_p(correlation_gap(r1, n1, r2, n2))
+
+
 def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least squares of y on x in each group with the residual sum of squares; a constant x: the mean alone."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = finite_rows(df, x, y).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("c"))
     slope = F.when(F.col("vx") > 1e-24, ratio("c", "vx")).otherwise(0.0)
     return g.withColumn("slope", slope).select(*by, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), (F.col("n") * (F.col("vy") - F.col("slope") * F.col("c"))).alias("rss"))
@@ -225,7 +244,7 @@ def threshold_sweep(df: DataFrame, by: Sequence[str], x: str, thresholds: Sequen
 
     A null x counts in nothing; a group without values has a null fraction.
     """
-    found = df.groupBy(*by).agg(F.count(x).alias("n"), F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(F.col(x) >= float(t)).alias("n_above")) for t in thresholds]).alias("_sweep"))
+    found = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(F.col(x) >= float(t)).alias("n_above")) for t in thresholds]).alias("_sweep"))
     rows = found.select(*by, "n", F.explode("_sweep").alias("_at"))
     return rows.select(*by, "_at.threshold", "n", "_at.n_above", (F.col("_at.n_above") / F.nullif("n", F.lit(0))).alias("fraction_above"))
 
@@ -236,10 +255,9 @@ def binned_profile(df: DataFrame, by: Sequence[str], x: str, y: str, bins: int)
     The largest x is in the last bin; a constant x is in bin 0. Rows with a null x or y are left out. The
     extremes come from partial aggregates, so a large group is not gathered in a window.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ends = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count("*").alias("_total"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    placed = rows.join(ends, reduce(Column.__and__, same)) if same else rows.crossJoin(F.broadcast(ends))
+    rows = finite_rows(df, x, y).select(*by, x, y)
+    ends = rows.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count("*").alias("_total"))
+    placed = with_groups(rows, ends, by)
     width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
     at = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(x) - F.col("_low")) / width * bins), F.lit(0))).cast("int")
     found = placed.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.max("_total").alias("_total"), F.avg(y).alias("mean"), *[F.percentile(y, F.lit(q)).alias(c) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])

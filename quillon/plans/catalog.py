@@ -5,43 +5,14 @@ Emitted doubles are rounded, so that sums in another order compare equal.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.operators import meta, ranks, similarity, spatial, statistics
 
 from .cohort import LATTICE_SQL, PROGRAMS_SQL, SPOTS_SQL, TERMS_SQL, Tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-BY = ["dataset", "sample"]
-
-
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every double rounded, and -0.0 as 0.0."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def _rank(x: str, by: str = "dataset, sample") -> str:
-    return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0)"
-
-
-_CORR = "CASE WHEN count(*) >= 3 AND var_pop({x}) > 1e-24 AND var_pop({y}) > 1e-24 THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END"
+from .registry import BY, CORR as _CORR, QUERIES, SQL, query, rank_sql as _rank, rounded  # noqa: F401
 
 
 @query(
@@ -161,7 +132,7 @@ def mann_whitney_by_sample(t: Tables) -> DataFrame:
     SELECT dataset, sample, CAST(n AS BIGINT) AS n, round(p, 4) AS w_plus, round(m, 4) AS w_minus, round((p - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 4) + 0.0 AS z FROM g JOIN t USING (dataset, sample)"""
 )
 def signed_rank_by_sample(t: Tables) -> DataFrame:
-    return rounded(statistics.signed_rank(t.spots().withColumn("x", F.col("quantity") - 25), BY, "x"), 4)
+    return rounded(statistics.signed_rank(t.spots().withColumn("x", F.col("quantity") - 25), BY, "x").drop("has_ties"), 4)
 
 
 _SIMPLE_P = "least(1.0, 1.0 / (1.0 + s_acctbal * s_acctbal / 1e6))"
@@ -321,28 +292,25 @@ def getis_ord(t: Tables) -> DataFrame:
     return rounded(spatial.getis_ord(*_grid(t), ["sample"], "node", "value"), 5)
 
 
-_HIGH = "value >= 1000"
+#: High is the upper third of a sample's values: five high neighbours of six are then rare but do occur.
+_HIGH_SQL = "h AS (SELECT sample, node, value >= quantile_cont(value, 0.66) OVER (PARTITION BY sample) AS h FROM lattice)"
 
 
-@query(f"WITH {LATTICE_SQL}, h AS (SELECT sample, node, {_HIGH} AS h FROM lattice), n AS (SELECT e.sample, src AS node, count(*) FILTER (h) AS k FROM edges e JOIN h ON e.sample = h.sample AND dst = node GROUP BY 1, 2) SELECT sample, node, k AS high_neighbours FROM h JOIN n USING (sample, node) WHERE h AND k >= 3")
-def dense_hotspots(t: Tables) -> DataFrame:
-    return spatial.dense_hotspots(*_grid(t), ["sample"], "node", F.col("value") >= 1000, 3)
+def _high(nodes: DataFrame) -> DataFrame:
+    cut = nodes.groupBy("sample").agg(F.percentile("value", F.lit(0.66)).alias("_cut"))
+    return ranks.with_groups(nodes, cut, ["sample"]).withColumn("high", F.col("value") >= F.col("_cut")).drop("_cut")
 
 
-@query(f"WITH {LATTICE_SQL}, h AS (SELECT sample, node FROM lattice WHERE {_HIGH}) SELECT DISTINCT e.sample, dst AS node FROM edges e JOIN h ON e.sample = h.sample AND src = h.node WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.sample = e.sample AND x.node = dst)")
-def hot_halo(t: Tables) -> DataFrame:
+@query(f"WITH {LATTICE_SQL}, {_HIGH_SQL}, n AS (SELECT e.sample, src AS node, count(*) FILTER (h) AS k FROM edges e JOIN h ON e.sample = h.sample AND dst = node GROUP BY 1, 2) SELECT sample, node, k AS high_neighbours FROM h JOIN n USING (sample, node) WHERE h AND k >= 5")
+def dense_hotspots(t: Tables) -> DataFrame:
     nodes, edges = _grid(t)
-    return spatial.halo(nodes, edges, ["sample"], "node", F.col("value") >= 1000)
+    return spatial.dense_hotspots(_high(nodes), edges, ["sample"], "node", F.col("high"), 5)
 
 
-@query(
-    f"""WITH {LATTICE_SQL}, r0 AS (SELECT sample, node FROM lattice WHERE "row" = 2 AND col <= 5), r1 AS (SELECT DISTINCT e.sample, dst AS node FROM edges e JOIN r0 ON e.sample = r0.sample AND src = node EXCEPT SELECT * FROM r0),
-    r2 AS (SELECT DISTINCT e.sample, dst AS node FROM edges e JOIN r1 ON e.sample = r1.sample AND src = node EXCEPT SELECT * FROM r1 EXCEPT SELECT * FROM r0)
-    SELECT sample, node, 0 AS ring FROM r0 UNION ALL SELECT sample, node, 1 FROM r1 UNION ALL SELECT sample, node, 2 FROM r2"""
-)
-def lattice_rings(t: Tables) -> DataFrame:
+@query(f"WITH {LATTICE_SQL}, {_HIGH_SQL} SELECT DISTINCT e.sample, dst AS node FROM edges e JOIN h ON e.sample = h.sample AND src = h.node AND h.h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.sample = e.sample AND x.node = dst AND x.h)")
+def hot_halo(t: Tables) -> DataFrame:
     nodes, edges = _grid(t)
-    return spatial.rings(edges, nodes.where("row = 2 and col <= 5"), ["sample"], "node", 2)
+    return spatial.halo(_high(nodes), edges, ["sample"], "node", F.col("high"))
 
 
 @query(
@@ -367,10 +335,20 @@ def permutation_null(t: Tables) -> DataFrame:
     return spatial.permuted(t.lattice(), ["sample"], "node", "value", 5, "null")
 
 
-@query()
+@query(
+    f"""WITH {LATTICE_SQL}, z AS (SELECT sample, node, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z, row_number() OVER (PARTITION BY sample ORDER BY node) AS i FROM lattice WINDOW w AS (PARTITION BY sample)),
+    dealt AS (SELECT sample, perm, node, z, i, row_number() OVER (PARTITION BY sample, perm ORDER BY md5('lisa|' || perm || '|' || node), node) AS j FROM z, range(1, 1000) t(perm)), u AS (SELECT x.sample, x.perm, x.node, y.z FROM dealt x JOIN dealt y ON x.sample = y.sample AND x.perm = y.perm AND x.i = y.j),
+    real AS (SELECT z.sample, z.node, any_value(z.z) AS z, avg(b.z) AS lag FROM z JOIN edges e ON e.sample = z.sample AND src = z.node JOIN z b ON b.sample = z.sample AND b.node = dst GROUP BY 1, 2),
+    fake AS (SELECT a.sample, a.perm, a.node, any_value(a.z) * avg(b.z) AS li FROM u a JOIN edges e ON e.sample = a.sample AND src = a.node JOIN u b ON b.sample = a.sample AND b.perm = a.perm AND b.node = dst GROUP BY 1, 2, 3),
+    p AS (SELECT sample, node, (count(*) FILTER (round(abs(li), 9) >= round(abs(z * lag), 9)) + 1) / 1000.0 AS p FROM fake JOIN real USING (sample, node) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY p, node) AS i, count(*) OVER (PARTITION BY sample) AS n FROM p), q AS (SELECT sample, node, p, least(1, min(p * n / i) OVER (PARTITION BY sample ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
+    SELECT sample, node, round(z, 5) + 0.0 AS z, round(lag, 5) + 0.0 AS lag, round(z * lag, 5) + 0.0 AS local_i, CASE WHEN z > 0 THEN 'High' ELSE 'Low' END || '-' || CASE WHEN lag > 0 THEN 'High' ELSE 'Low' END AS quadrant, round(p, 5) AS p, round(q, 5) AS q,
+      CASE WHEN q < 0.05 THEN CASE WHEN z > 0 THEN 'High' ELSE 'Low' END || '-' || CASE WHEN lag > 0 THEN 'High' ELSE 'Low' END ELSE 'Not significant' END AS category FROM real JOIN q USING (sample, node)"""
+)
 def lisa_permutation(t: Tables) -> DataFrame:
-    """Local Moran with p-values of 999 permutations (the md5 kernel of permutation_null)."""
-    return rounded(spatial.lisa(*_grid(t), ["sample"], "node", "value", 999), 5)
+    """Local Moran with p-values of 999 permutations (the md5 kernel of permutation_null), Benjamini-Hochberg within a sample, category at q < 0.05."""
+    found = statistics.adjust(spatial.lisa(*_grid(t), ["sample"], "node", "value", 999), ["sample"], "p", "node").drop("holm", "bonferroni").withColumnRenamed("bh", "q")
+    return rounded(found.withColumn("category", F.when(F.col("q") < 0.05, F.col("quadrant")).otherwise("Not significant")), 5)
 
 
 @query(
@@ -380,17 +358,28 @@ def lisa_permutation(t: Tables) -> DataFrame:
 )
 def term_enrichment(t: Tables) -> DataFrame:
     """Over-representation of type words in programs: counts and fold (p-values: term_enrichment_p)."""
-    return rounded(_enriched(t).drop("p"))
+    return rounded(_enriched(t).drop("p", "odds_ratio"))
 
 
 def _enriched(t: Tables) -> DataFrame:
     return meta.over_representation(t.programs(), t.terms(), t.part.select(F.col("p_partkey").alias("gene")), ["program"], "gene", "term")
 
 
-@query()
+_COMB = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+_TAIL = f"list_sum(list_transform(range(overlap, least(list_size, term_size) + 1), lambda i: exp({_COMB.format(n='term_size', k='i')} + {_COMB.format(n='(universe - term_size)', k='(list_size - i)')} - ({_COMB.format(n='universe', k='list_size')}))))"
+
+
+@query(
+    f"""WITH {PROGRAMS_SQL}, {TERMS_SQL}, l AS (SELECT program, count(*) AS list_size FROM programs GROUP BY 1), k AS (SELECT term, count(*) AS term_size FROM terms GROUP BY 1), u AS (SELECT count(DISTINCT p_partkey) AS universe FROM part),
+    h AS (SELECT program, term, count(*) AS overlap FROM programs JOIN terms USING (gene) GROUP BY 1, 2), x AS (SELECT * FROM h JOIN l USING (program) JOIN k USING (term) CROSS JOIN u), y AS (SELECT *, least(1, {_TAIL}) AS p FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY p, term) AS i, count(*) OVER (PARTITION BY program) AS n FROM y)
+    SELECT program, term, overlap, round(p, 6) AS p, round(CASE WHEN (list_size - overlap) * (term_size - overlap) > 0 THEN overlap * CAST(universe - list_size - term_size + overlap AS DOUBLE) / ((list_size - overlap) * (term_size - overlap)) END, 4) AS odds_ratio,
+      round(least(1, min(p * n / i) OVER (PARTITION BY program ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 5) AS bh FROM r"""
+)
 def term_enrichment_p(t: Tables) -> DataFrame:
-    """Hypergeometric tails with Benjamini-Hochberg values within programs; DuckDB has no such tail."""
-    return rounded(statistics.adjust(_enriched(t), ["program"], "p", "term").drop("holm", "bonferroni"), 9)
+    """Fisher's one-sided (hypergeometric) p with odds ratio and Benjamini-Hochberg values within programs."""
+    x = statistics.adjust(_enriched(t), ["program"], "p", "term")
+    return x.select("program", "term", "overlap", F.round("p", 6).alias("p"), F.round("odds_ratio", 4).alias("odds_ratio"), F.round("bh", 5).alias("bh"))
 
 
 @query(
@@ -442,7 +431,7 @@ def composition_balances(t: Tables) -> DataFrame:
 
 @query(
     """SELECT s_suppkey, s_acctbal > 0 AS positive, round(greatest(-3.0, least(3.0, CAST(s_acctbal AS DOUBLE) / 1000)) / 3, 6) + 0.0 AS capped, CASE WHEN s_acctbal > 0 THEN 'enriched' WHEN s_acctbal < 0 THEN 'depleted' ELSE 'none' END AS direction,
-    CASE WHEN s_suppkey % 7 <= 1 THEN 'single' WHEN s_suppkey % 7 <= 3 THEN 'few' ELSE 'recurrent' END AS tier, CASE WHEN abs(s_acctbal) < 1000 THEN 'minimal' WHEN abs(s_acctbal) < 2000 THEN 'weak' WHEN abs(s_acctbal) < 3500 THEN 'moderate' ELSE 'strong' END AS strength FROM supplier"""
+    CASE WHEN s_suppkey % 7 <= 1 THEN 'sample_specific' WHEN s_suppkey % 7 <= 3 THEN 'subset_specific' ELSE 'cohort_recurrent' END AS tier, CASE WHEN abs(s_acctbal) < 1000 THEN 'negligible' WHEN abs(s_acctbal) < 2000 THEN 'weak' WHEN abs(s_acctbal) < 3500 THEN 'moderate' ELSE 'strong' END AS strength FROM supplier"""
 )
 def supplier_labels(t: Tables) -> DataFrame:
     b = F.col("s_acctbal").cast("double")
@@ -463,9 +452,11 @@ def key_differences(t: Tables) -> DataFrame:
 )
 def pooled_and_by_dataset(t: Tables) -> DataFrame:
     """Each dataset's rows and a pooled one, by grouping sets."""
-    t.spots().createOrReplaceTempView("_quillon_spots")
-    return t.spark.sql("""SELECT CASE WHEN grouping(dataset) = 1 THEN 'pooled' ELSE dataset END AS dataset, l_returnflag, count(*) AS n, round(avg(discount), 6) AS mean_discount,
-        round(percentile(price, 0.5), 4) AS median_price, count(DISTINCT sample) AS samples FROM _quillon_spots GROUP BY GROUPING SETS ((dataset, l_returnflag), (l_returnflag))""")
+    x = t.spots().groupingSets([["dataset", "l_returnflag"], ["l_returnflag"]], "dataset", "l_returnflag").agg(
+        F.when(F.grouping("dataset") == 1, "pooled").otherwise(F.col("dataset")).alias("name"), F.count(F.lit(1)).alias("n"), F.avg("discount").alias("mean_discount"),
+        F.percentile("price", F.lit(0.5)).alias("median_price"), F.countDistinct("sample").alias("samples"),
+    )
+    return x.select(F.col("name").alias("dataset"), "l_returnflag", "n", F.round("mean_discount", 6).alias("mean_discount"), F.round("median_price", 4).alias("median_price"), "samples")
 
 
 @query(

@@ -23,12 +23,12 @@ class Tables:
 
     def samples(self) -> DataFrame:
         """n_nationkey, dataset, sample."""
-        return self.nation.join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("dataset"), F.col("n_name").alias("sample"))
+        return self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("dataset"), F.col("n_name").alias("sample"))
 
     def spots(self) -> DataFrame:
         """Line items with dataset and sample of their supplier; spot = order key * 10 + line number."""
         d = lambda c, name: F.col(c).cast("double").alias(name)
-        rows = self.lineitem.join(F.broadcast(self.supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.samples()), F.col("s_nationkey") == F.col("n_nationkey"))
+        rows = self.lineitem.join(self.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(self.samples(), F.col("s_nationkey") == F.col("n_nationkey"))
         return rows.select("dataset", "sample", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("spot"), "l_suppkey", "l_partkey", d("l_extendedprice", "price"), d("l_quantity", "quantity"), d("l_discount", "discount"), d("l_tax", "tax"), "l_returnflag", "l_linestatus")
 
     def lattice(self, width: int = 40) -> DataFrame:

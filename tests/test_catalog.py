@@ -9,7 +9,7 @@ from quillon.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SOME = ("cohort_spearman_summary", "describe_by_sample", "mann_whitney_by_sample", "multiple_testing", "meta_inverse_variance", "program_overlaps", "program_components", "label_agreement", "local_moran", "lattice_rings", "permutation_null", "term_enrichment", "composition_balances", "pooled_and_by_dataset", "threshold_sweep_by_sample", "binned_profile_by_sample")
+SOME = ("cohort_spearman_summary", "describe_by_sample", "mann_whitney_by_sample", "multiple_testing", "meta_inverse_variance", "program_overlaps", "program_components", "label_agreement", "local_moran", "permutation_null", "term_enrichment", "composition_balances", "pooled_and_by_dataset", "threshold_sweep_by_sample", "binned_profile_by_sample")
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")

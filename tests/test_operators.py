@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import distributions as D
 from quillon.functions import scalars as S
 from quillon.operators import meta, ranks, similarity, spatial, statistics
 
@@ -45,13 +46,51 @@ def test_adjusted_p_values_skip_missing(spark):
     assert got["b"] == pytest.approx((0.04, 0.06, 0.12))
 
 
-def test_exact_tails(spark):
-    assert statistics.exact_signed_rank_p(0, 5) == pytest.approx(2 / 32)
-    df = spark.createDataFrame([(2, 10, 4, 3, 1, 6)], "x long, n long, m long, d long, k long, t long")
-    r = df.select(statistics.hypergeometric_p("x", "n", "m", "d").alias("h"), statistics.sign_test_p("k", "t").alias("s"), statistics.normal_p(F.lit(1.959963984540054)).alias("z")).first()
-    assert r.h == pytest.approx((6 * 6 + 4) / 120)
-    assert r.s == pytest.approx(2 * 7 / 64)
-    assert r.z == pytest.approx(0.05)
+def test_tails_against_known_values(spark):
+    """Values of printed tables and closed forms."""
+    df = spark.createDataFrame([(3.0, 5.0, 1.96, 8.0, 2.0, 10.0)], "k double, n double, z double, a double, d double, m double")
+    one = df.select(
+        D.normal_p(F.lit(1.959963984540054)).alias("z"), D.student_p(F.lit(2.228138852), F.lit(10.0)).alias("t"), D.student_p(F.lit(1.0), F.lit(1.0)).alias("t1"), D.chi_square_p(F.lit(3.841458821), F.lit(1.0)).alias("c1"),
+        D.chi_square_p(F.lit(18.307038053), F.lit(10.0)).alias("c10"), D.chi_square_p(F.lit(4.0), F.lit(2.0)).alias("c2"), D.f_p(F.lit(4.964602744), F.lit(1.0), F.lit(10.0)).alias("f"), D.binomial_p(F.lit(1.0), F.lit(6.0), F.lit(0.5)).alias("b"),
+        D.signed_rank_p(F.lit(0.0), F.lit(5.0)).alias("w"), D.fisher_p(F.lit(2), F.lit(2), F.lit(1), F.lit(5)).alias("e"), D.student_p(F.lit(None).cast("double"), F.lit(3.0)).alias("none"), D.student_p(F.lit(1.0), F.lit(0.0)).alias("no_df"),
+    ).first()
+    assert (one.z, one.t, one.c1, one.c10, one.f) == pytest.approx((0.05,) * 5, abs=1e-8)
+    assert one.t1 == pytest.approx(0.5) and one.c2 == pytest.approx(math.exp(-2))
+    assert one.b == pytest.approx(2 * 7 / 64) and one.w == pytest.approx(2 / 32)
+    assert one.e.p_greater == pytest.approx((6 * 6 + 4) / 120) and one.e.p_two_sided == pytest.approx((6 * 6 + 4) / 120 + 20 / 120)
+    assert one.none is None and one.no_df is None
+
+
+def test_missing_flags_and_values_belong_to_no_group(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("g", True, 1.0), ("g", True, 4.0), ("g", False, 2.0), ("g", False, 3.0), ("g", None, 9.0), ("g", True, nan), ("g", False, inf), (None, True, 1.0), (None, False, 2.0)]
+    got = {r.g: r for r in statistics.mann_whitney(spark.createDataFrame(rows, "g string, f boolean, x double"), ["g"], F.col("f"), "x").collect()}
+    assert (got["g"].n1, got["g"].n2, got["g"].u, got["g"].rank_biserial) == (2, 2, 2.0, 0.0)
+    assert set(got) == {"g", None} and got[None].u == 0.0
+    df = spark.createDataFrame([(None, float(i), float(i * i % 7), "a") for i in range(8)] + [(None, nan, 1.0, "a"), (None, 2.0, inf, "a")], "g string, x double, y double, l string")
+    assert statistics.pearson(df, ["g"], "x", "y").first().n == statistics.spearman(df, ["g"], "x", "y").first().n == 8
+    d = statistics.describe(df, ["g"], "y").first()
+    assert d.n == 9 and d.max == 4.0 and d.mean is not None and not math.isnan(d.mean)
+    assert statistics.signed_rank(df, ["g"], "x").count() == 1 and meta.consistency(df, ["g"], "x").count() == 1
+    assert ranks.quantile_code(df, ["g"], "x", 2, "c").count() == 10 and ranks.relabel_by_median(df, ["g"], "l", "x", "c").count() == 10
+    assert meta.inverse_variance(df.withColumn("se", F.lit(1.0)), ["g"], "y", "se").first().k == 9
+
+
+def test_labels_are_the_survey_s(spark):
+    df = spark.createDataFrame([(0.05, 1), (0.15, 2), (-0.3, 3), (0.9, 4), (None, None)], "r double, n int")
+    assert [tuple(r) for r in df.select(S.strength("r"), S.tier("n"), S.sign_pattern("r", F.lit(0.1))).collect()] == [
+        ("negligible", "sample_specific", "both_positive"), ("weak", "subset_specific", "both_positive"), ("moderate", "subset_specific", "second_only_positive"),
+        ("strong", "cohort_recurrent", "both_positive"), ("not_available", None, "undefined"),
+    ]
+    df = spark.createDataFrame([("2",), ("0.5",), ("-1",), ("nan",), ("cold",)], "a string")
+    assert [r[0] for r in df.select(S.truthy("a")).collect()] == [True, True, False, False, True]
+
+
+def test_upsert_is_deterministic(spark):
+    old = spark.createDataFrame([("k", 1, "old"), ("l", 1, "only")], "k string, v int, x string")
+    new = spark.createDataFrame([("k", 2, "b"), ("k", 3, "a"), ("k", 3, "c")], "k string, v int, x string")
+    assert rows(ranks.upsert(old, new, ["k"])) == [("k", 3, "c"), ("l", 1, "only")]
+    assert rows(ranks.upsert(old, new, ["k"], [F.col("v")])) == [("k", 2, "b"), ("l", 1, "only")]
 
 
 def test_neighbours_are_the_six_at_equal_distance(spark):

@@ -170,11 +170,11 @@ def recurrence(items: DataFrame, group: str, owner: str, item: str) -> DataFrame
     )
 
 
-def locked_signature(items: DataFrame, group: str, owner: str, item: str, most: int = 50) -> DataFrame:
-    """Items in at least half (rounded down) of a group's owners, the most frequent first, at most `most`."""
+def locked_signature(items: DataFrame, group: str, owner: str, item: str, most: int = 50, part: int = 2) -> DataFrame:
+    """Items in at least one `part`-th (rounded down; half) of a group's owners, the most frequent first, at most `most`."""
     r = recurrence(items, group, owner, item)
     owners = items.groupBy(F.col(group).alias("group")).agg(F.countDistinct(owner).alias("owners"))
-    kept = r.join(owners, "group").where(F.col("n_in") >= F.greatest(F.floor(F.col("owners") / 2), F.lit(1)))
+    kept = r.join(owners, "group").where(F.col("n_in") >= F.greatest(F.floor(F.col("owners") / part), F.lit(1)))
     return kept.withColumn("rank", F.row_number().over(over(["group"], F.desc("n_in"), F.col("item")))).where(F.col("rank") <= most).select("group", "item", "n_in", "rank")
 
 

@@ -1,0 +1,174 @@
+"""Average-linkage clustering of small pair tables, silhouettes, and stability under resampling.
+
+A group's owners (some hundreds) form one matrix in one task; groups and resamples are spread over tasks.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import similarity
+from .ranks import top_n
+
+
+def average_linkage(d: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of the nearest clusters by mean distance, ties to the smaller numbers; new ones count on from n."""
+    n = len(d)
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    ids, size, out = list(range(n)), [1] * n, []
+    for step in range(n - 1):
+        m = len(ids)
+        i, j = divmod(int(np.argmin(np.round(d, 12))), m)
+        i, j = min(i, j), max(i, j)
+        out.append((ids[i], ids[j], float(d[i, j])))
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = row, row
+        d[i, i] = np.inf
+        d = np.delete(np.delete(d, j, 0), j, 1)
+        ids[i], size[i] = n + step, size[i] + size[j]
+        del ids[j], size[j]
+    return out
+
+
+def members(merges: list[tuple[int, int, float]], n: int) -> list[list[int]]:
+    """The leaves of each node, in leaf order."""
+    out = [[i] for i in range(n)]
+    for a, b, _ in merges:
+        out.append(out[a] + out[b])
+    return out
+
+
+def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
+    """k clusters, numbered by their smallest leaf."""
+    kept = merges[: max(0, n - k)]
+    whole = members(kept, n)
+    label, gone = np.zeros(n, int), {x for a, b, _ in kept for x in (a, b)}
+    for i, leaves in enumerate(sorted((m for j, m in enumerate(whole) if j not in gone), key=min)):
+        label[leaves] = i
+    return label
+
+
+def cophenetic_r(d: np.ndarray, merges: list[tuple[int, int, float]]) -> float | None:
+    n = len(d)
+    c, whole = np.zeros((n, n)), members(merges, n)
+    for a, b, h in merges:
+        c[np.ix_(whole[a], whole[b])] = h
+        c[np.ix_(whole[b], whole[a])] = h
+    up = np.triu_indices(n, 1)
+    x, y = d[up], c[up]
+    return float(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() > 1e-12 and y.std() > 1e-12 else None
+
+
+def silhouette(d: np.ndarray, label: np.ndarray) -> float:
+    """The mean silhouette; a node alone in its cluster has 0."""
+    out = np.zeros(len(d))
+    for i in range(len(d)):
+        own = label == label[i]
+        if own.sum() < 2:
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, label == c].mean() for c in set(label.tolist()) if c != label[i]) if len(set(label.tolist())) > 1 else 0.0
+        out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+    return float(out.mean())
+
+
+def _matrix(pdf: pd.DataFrame, sim: str) -> tuple[list, np.ndarray]:
+    names = sorted({*pdf["a"], *pdf["b"]})
+    at = {x: i for i, x in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+    d[i, j] = d[j, i] = 1 - pdf[sim].to_numpy(float)
+    np.fill_diagonal(d, 0)
+    return names, d
+
+
+def linkage_clusters(pairs: DataFrame, by: Sequence[str], sim: str, ks: Sequence[int], least: int = 1) -> DataFrame:
+    """Per owner its leaf place, cluster, and the chosen k, silhouette and cophenetic r of its group.
+
+    pairs holds every pair (a, b) of a group's owners (similarity.all_pairs). k is the one of the best
+    silhouette among those whose clusters all have at least `least` owners (a tie: the smaller k).
+    """
+    kinds = dict(pairs.dtypes)
+    ks = list(ks)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, sim)
+        merges = average_linkage(d)
+        scored = []
+        for k in ks:
+            if k <= len(names):
+                label = cut(merges, len(names), k)
+                if np.bincount(label).min() >= least:
+                    scored.append((-round(silhouette(d, label), 12), k))
+        score, k = min(scored, default=(None, 1))
+        label, order = cut(merges, len(names), k), np.argsort(members(merges, len(names))[-1])
+        out = pd.DataFrame({"owner": names, "place": order, "cluster": label, "k": k, "silhouette": None if score is None else -score, "cophenetic_r": cophenetic_r(d, merges)})
+        for c in reversed(list(by)):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"owner {kinds['a']}, place int, cluster int, k int, silhouette double, cophenetic_r double"])
+    return pairs.groupBy(*by).applyInPandas(run, schema)
+
+
+def co_clustering(items: DataFrame, owner: str, item: str, times: int, k: int, size: int, seed: str = "boot") -> DataFrame:
+    """(a, b, together): the share of resamples in which two owners fall into one of k clusters.
+
+    A resample draws `size` of an owner's items with replacement, by md5; each resample is a task with its
+    own pair table.
+    """
+    sets = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct().groupBy("o").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    draws = sets.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    kind = dict(sets.dtypes)["o"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        perm, names, got = int(pdf["perm"].iloc[0]), pdf["o"].tolist(), []
+        for o, own in zip(names, pdf["items"]):
+            pick = lambda j: int(hashlib.md5(f"{seed}|{perm}|{o}|{j}".encode()).hexdigest()[:8], 16) % len(own)  # noqa: B023, E731
+            got.append({own[pick(j)] for j in range(size)})
+        d = np.zeros((len(got), len(got)))
+        for a in range(len(got)):
+            for b in range(a):
+                d[a, b] = d[b, a] = 1 - len(got[a] & got[b]) / max(1, len(got[a] | got[b]))
+        label = cut(average_linkage(d), len(got), min(k, len(got)))
+        return pd.DataFrame([(names[b], names[a], int(label[a] == label[b])) for a in range(len(got)) for b in range(a)], columns=["a", "b", "same"])
+
+    found = draws.groupBy("perm").applyInPandas(run, f"a {kind}, b {kind}, same int")
+    return found.groupBy("a", "b").agg(F.avg("same").alias("together"))
+
+
+def top_n_sweep(items: DataFrame, owner: str, item: str, rank: str, tops: Sequence[int], k: int) -> DataFrame:
+    """For each pair of top-N item lists the adjusted Rand index of their k clusters, with either one's silhouette."""
+    labels = None
+    for n in tops:
+        own = items.where(F.col(rank) <= n)
+        pairs = similarity.all_pairs(similarity.set_overlaps(own, [], owner, item), items, [], owner, ["jaccard"]).withColumn("n", F.lit(int(n)))
+        one = linkage_clusters(pairs, ["n"], "jaccard", [k])
+        labels = one if labels is None else labels.union(one)
+    x = labels.select("owner", F.col("n").alias("n_a"), F.col("cluster").alias("ca"), F.col("silhouette").alias("silhouette_a"))
+    y = labels.select("owner", F.col("n").alias("n_b"), F.col("cluster").alias("cb"), F.col("silhouette").alias("silhouette_b"))
+    both = x.join(y, "owner").where("n_a < n_b")
+    ari = similarity.agreement(both, ["n_a", "n_b"], "ca", "cb").select("n_a", "n_b", "ari")
+    return ari.join(both.groupBy("n_a", "n_b").agg(F.max("silhouette_a").alias("silhouette_a"), F.max("silhouette_b").alias("silhouette_b")), ["n_a", "n_b"])
+
+
+def functional_order(df: DataFrame, group: str, order: Sequence[str], clusters: DataFrame, owner: str) -> DataFrame:
+    """Owners by the given order of groups, then the leaf place within their group: (group, owner, place from 1)."""
+    from .ranks import over
+
+    rows = df.select(group, owner).join(clusters.select(F.col("owner").alias(owner), F.col("place").alias("_leaf")), owner)
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(group))
+    return rows.withColumn("_g", F.when(at > 0, at).otherwise(len(order) + 1)).withColumn("place", F.row_number().over(over([], F.col("_g"), F.col(group), F.col("_leaf"), F.col(owner)))).select(group, owner, "place")
+
+
+def strongest(df: DataFrame, by: Sequence[str], x: str, key: str, n: int = 8) -> DataFrame:
+    """The n rows of the largest |x| in each group."""
+    return top_n(df, by, [F.abs(F.col(x)).desc(), F.col(key)], n)

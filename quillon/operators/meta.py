@@ -135,3 +135,19 @@ def over_representation(lists: DataFrame, terms: DataFrame, universe: DataFrame,
     tests = fisher_p(a, m - a, n - a, t - m - n + a)
     odds = ratio(a * (t - m - n + a), (m - a) * (n - a))
     return out.withColumn("_p", tests).select(*by, term, "overlap", "list_size", "term_size", "universe", fold.alias("fold"), odds.alias("odds_ratio"), F.col("_p.p_greater").alias("p"))
+
+
+def sided_enrichment(rows: DataFrame, terms: DataFrame, universe: DataFrame, side: str, item: str, term: str, least: int = 10, most: int = 500, least_list: int = 3) -> DataFrame:
+    """Over-representation for each side (UP, DOWN) of terms whose size in the universe lies in [least, most]; sides with fewer than least_list items are left out.
+
+    With Benjamini-Hochberg values within a side.
+    """
+    from .statistics import adjust
+
+    u = universe.select(item).distinct()
+    known = terms.select(term, item).distinct().join(u, item, "left_semi")
+    sized = known.groupBy(term).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(least, most)).select(term)
+    lists = rows.select(side, item).distinct().join(u, item, "left_semi")
+    full = lists.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_list).select(side)
+    found = over_representation(lists.join(full, side, "left_semi"), known.join(sized, term, "left_semi"), u, [side], item, term)
+    return adjust(found, [side], "p", term).drop("holm", "bonferroni")

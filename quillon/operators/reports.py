@@ -279,3 +279,44 @@ def spatial_blocks(df: DataFrame, by: Sequence[str], row: str, column: str, side
     rows = with_groups(rows, n.withColumn("_use", use).select(*by, "_use"), by)
     block = F.coalesce(*[F.when(F.col("_use") == n, F.col(f"_b{n}")) for n in range(1, side + 1)])
     return rows.withColumn(out, block).select(*df.columns, out)
+
+
+def two_model_summary(first: DataFrame, second: DataFrame, keys: Sequence[str], z: str) -> DataFrame:
+    """Keys of two models with their class, whether directions agree, and Stouffer's z over the models that have them."""
+    a, b = first.select(*keys, F.col(z).alias("_a")), second.select(*keys, F.col(z).alias("_b"))
+    both = a.join(b, list(keys), "full")
+    x, y = F.col("_a"), F.col("_b")
+    cls = F.when(x.isNotNull() & y.isNotNull(), "shared").when(x.isNotNull(), "first_only").otherwise("second_only")
+    n = F.when(x.isNotNull() & y.isNotNull(), 2.0).otherwise(1.0)
+    return both.select(*keys, cls.alias("class"), (F.signum(x) == F.signum(y)).alias("agree"), ((F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))) / F.sqrt(n)).alias("z"))
+
+
+def set_audit(genes: DataFrame, sets: DataFrame, name: str, gene: str, least: int) -> DataFrame:
+    """Per set its size, how many genes are found, the share, the found ones as text, and whether that is enough to score."""
+    s = sets.select(name, gene).distinct()
+    found = s.join(genes.select(gene).distinct(), gene, "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("found"), F.array_join(F.array_sort(F.collect_list(F.col(gene).cast("string"))), ";").alias("genes"))
+    x = s.groupBy(name).agg(F.count(F.lit(1)).alias("size")).join(found, name, "left").na.fill(0, ["found"]).na.fill("", ["genes"])
+    return x.withColumn("percent", 100.0 * ratio("found", "size")).withColumn("scored", F.col("found") >= least)
+
+
+def quality_covariates(long: DataFrame, by: Sequence[str], spot: str, gene: str, count: str, mito: str = "MT-") -> DataFrame:
+    """Totals, genes found and the per cent of mitochondrial counts of every spot."""
+    c = F.col(count)
+    return long.where(c > 0).groupBy(*by, spot).agg(F.sum(c).alias("total"), F.countDistinct(gene).alias("detected"), (100.0 * ratio(F.sum(F.when(F.col(gene).startswith(mito), c).otherwise(0)), F.sum(c))).alias("mito"))
+
+
+def log_ratio_basis(spark, tree: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(balance, part, weight) of a sequential binary partition: balances with their plus and minus parts."""
+    rows = []
+    for name, plus, minus in tree:
+        r, s = len(plus), len(minus)
+        rows += [(name, p, (s / (r * (r + s))) ** 0.5) for p in plus] + [(name, p, -((r / (s * (r + s))) ** 0.5)) for p in minus]
+    return spark.createDataFrame(rows, "balance string, part string, weight double")
+
+
+def balances(long: DataFrame, basis: DataFrame, by: Sequence[str], part: str, x: str) -> DataFrame:
+    """All balances of compositions kept long: the sum of weight * ln(x); NULL where a part of a balance is missing or not positive."""
+    rows = long.select(*by, F.col(part).alias("part"), F.when(F.col(x) > 0, F.ln(x)).alias("_l")).join(basis, "part")
+    need = basis.groupBy("balance").agg(F.count(F.lit(1)).alias("_need"))
+    g = rows.groupBy(*by, "balance").agg(F.sum(F.col("weight") * F.col("_l")).alias("_v"), F.count("_l").alias("_n"))
+    return g.join(need, "balance").select(*by, "balance", F.when(F.col("_n") == F.col("_need"), F.col("_v")).alias("value"))

@@ -262,3 +262,20 @@ def binned_profile(df: DataFrame, by: Sequence[str], x: str, y: str, bins: int)
     at = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(x) - F.col("_low")) / width * bins), F.lit(0))).cast("int")
     found = placed.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.max("_total").alias("_total"), F.avg(y).alias("mean"), *[F.percentile(y, F.lit(q)).alias(c) for q, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
     return found.select(*by, "bin", "n", (F.col("n") / F.col("_total")).alias("fraction"), "mean", "q25", "median", "q75")
+
+
+def partial_spearman_many(df: DataFrame, by: Sequence[str], x: str, y: str, given: Sequence[str]) -> DataFrame:
+    """Correlation of two columns' ranks after least squares on any number of covariates' ranks, with p.
+
+    Residuals come from the ranks' sums of products, so rows are only ranked and read once more.
+    """
+    from .regression import residuals
+
+    rows = finite_rows(df, x, y, *given)
+    names = {c: f"_rank_{i}" for i, c in enumerate((x, y, *given))}
+    for c, out in names.items():
+        rows = rank_average(rows, by, c, out)
+    z = [names[c] for c in given]
+    rows = residuals(residuals(rows, by, z, names[x], "_ex"), by, z, names[y], "_ey")
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_ex"), F.col("_ey")).alias("rho"))
+    return g.withColumn("p", correlation_p("rho", "n", len(given)))

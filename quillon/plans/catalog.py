@@ -342,12 +342,13 @@ def permutation_null(t: Tables) -> DataFrame:
     fake AS (SELECT a.sample, a.perm, a.node, any_value(a.z) * avg(b.z) AS li FROM u a JOIN edges e ON e.sample = a.sample AND src = a.node JOIN u b ON b.sample = a.sample AND b.perm = a.perm AND b.node = dst GROUP BY 1, 2, 3),
     p AS (SELECT sample, node, (count(*) FILTER (round(abs(li), 9) >= round(abs(z * lag), 9)) + 1) / 1000.0 AS p FROM fake JOIN real USING (sample, node) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY p, node) AS i, count(*) OVER (PARTITION BY sample) AS n FROM p), q AS (SELECT sample, node, p, least(1, min(p * n / i) OVER (PARTITION BY sample ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
-    SELECT sample, node, round(z, 5) + 0.0 AS z, round(lag, 5) + 0.0 AS lag, round(z * lag, 5) + 0.0 AS local_i, CASE WHEN z > 0 THEN 'High' ELSE 'Low' END || '-' || CASE WHEN lag > 0 THEN 'High' ELSE 'Low' END AS quadrant, round(p, 5) AS p, round(q, 5) AS q,
+    SELECT sample, node, round(z, 5) + 0.0 AS z, round(lag, 5) + 0.0 AS lag, round(z * lag, 5) + 0.0 AS local_i, CASE WHEN z > 0 THEN 'High' ELSE 'Low' END || '-' || CASE WHEN lag > 0 THEN 'High' ELSE 'Low' END AS quadrant, round(p, 5) AS p, round(q + 1e-9, 5) AS q,
       CASE WHEN q < 0.05 THEN CASE WHEN z > 0 THEN 'High' ELSE 'Low' END || '-' || CASE WHEN lag > 0 THEN 'High' ELSE 'Low' END ELSE 'Not significant' END AS category FROM real JOIN q USING (sample, node)"""
 )
 def lisa_permutation(t: Tables) -> DataFrame:
     """Local Moran with p-values of 999 permutations (the md5 kernel of permutation_null), Benjamini-Hochberg within a sample, category at q < 0.05."""
     found = statistics.adjust(spatial.lisa(*_grid(t), ["sample"], "node", "value", 999), ["sample"], "p", "node").drop("holm", "bonferroni").withColumnRenamed("bh", "q")
+    found = found.withColumn("q", F.col("q") + 1e-9)  # p * n / i often lies on a rounding tie
     return rounded(found.withColumn("category", F.when(F.col("q") < 0.05, F.col("quadrant")).otherwise("Not significant")), 5)
 
 

@@ -57,13 +57,13 @@ def background_matched_scores(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPOTS_SQL}, r AS (SELECT l_partkey AS gene, count(*) AS n, avg(discount - 0.05) / nullif(stddev_samp(discount) / sqrt(count(*)), 0) AS z, avg(price) / 10000 - 2.4 AS e FROM spots GROUP BY 1), p AS (SELECT gene, 1 / (1 + z * z) AS p, e FROM r WHERE z IS NOT NULL), q AS (SELECT *, row_number() OVER (ORDER BY p, gene) AS i, count(*) OVER () AS n FROM p),
+    f"""WITH {SPOTS_SQL}, r AS (SELECT l_partkey AS gene, count(*) AS n, avg(discount - 0.05) / nullif(stddev_samp(discount) / sqrt(count(*)), 0) AS z, avg(price) / 10000 - 2.4 AS e FROM spots GROUP BY 1), p AS (SELECT gene, round(exp(-z * z), 12) AS p, e FROM r WHERE z IS NOT NULL), q AS (SELECT *, row_number() OVER (ORDER BY p, gene) AS i, count(*) OVER () AS n FROM p),
     b AS (SELECT gene, e, least(1, min(p * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q) SELECT gene, round(q, 5) AS bh, round(e, 5) + 0.0 AS e, CASE WHEN e > 0 THEN 'UP' ELSE 'DOWN' END AS side FROM b WHERE q < 0.9 AND abs(e) > 0.1"""
 )
 def differential_parts(t: Tables) -> DataFrame:
     g = t.spots().groupBy(F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("discount") - 0.05).alias("m"), F.stddev_samp("discount").alias("sd"), (F.avg("price") / 10000 - 2.4).alias("e"))
     z = F.col("m") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))
-    x = statistics.adjust(g.withColumn("p", 1.0 / (1.0 + z * z)), [], "p", "gene")
+    x = statistics.adjust(g.withColumn("p", F.round(F.exp(-z * z), 12)), [], "p", "gene")
     return rounded(scoring.differential(x, "bh", "e", 0.9, 0.1).select("gene", "bh", "e", "side"), 5)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, materialise
 
-SAMPLE, FAN, LEAF, TARGET, NEIGHBOURS = 6_000, 64, 1_000, 0.94, 10
+SAMPLE, FAN, LEAF, TARGET, NEIGHBOURS = 6_000, 64, 250, 0.94, 10
 HIDDEN, EPOCHS = 48, 25
 #: Vectors and queries of one task's block: bounded memory for any part.
 BLOCK, QUERY_BLOCK = 20_000, 2_000

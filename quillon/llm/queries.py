@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, license_scan, minhash, packing, quality, secret_scan, sstable, url_filter
+from . import ann, bpe, langid, license_scan, lloyd, minhash, packing, quality, secret_scan, sstable, url_filter, whitening
 from .common import table
 
 
@@ -59,12 +59,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_license_scan, op2_quality_rules, op3_url_filter, op4_packing, op5_bpe, op6_language_id, op7_secret_scan, op8_ann, op9_sstable, op10_minhash)
+    own = (op1_license_scan, op2_quality_rules, op3_url_filter, op4_packing, op5_bpe, op6_language_id, op7_secret_scan, op8_ann, op9_sstable, op10_minhash, op11_whitening, op13_clustering)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.scan_sql(), "op3_url_filter": url_filter.judge_urls_sql()}
+    return {"op1_license_scan": license_scan.scan_sql(), "op3_url_filter": url_filter.judge_urls_sql(), "op13_clustering": lloyd.clustered_sql()}

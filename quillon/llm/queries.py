@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, license_scan, lloyd, minhash, packing, quality, secret_scan, sstable, url_filter, whitening
+from . import ann, bpe, langid, license_scan, lloyd, minhash, packing, quality, secret_scan, sstable, suffixes, url_filter, whitening
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.clustered(table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +74,7 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_license_scan, op2_quality_rules, op3_url_filter, op4_packing, op5_bpe, op6_language_id, op7_secret_scan, op8_ann, op9_sstable, op10_minhash, op11_whitening, op13_clustering)
+    own = (op1_license_scan, op2_quality_rules, op3_url_filter, op4_packing, op5_bpe, op6_language_id, op7_secret_scan, op8_ann, op9_sstable, op10_minhash, op11_whitening, op12_suffix_dedup, op13_clustering)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -32,7 +32,9 @@ from .common import drop_path, id_and_text, materialise, split_by_bitmap
 #: Perfect difference sets (every distance but 0 occurs once mod v).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Bytes of a slice of text, of a block of texts whose cover positions (whose suffixes) meet first, of text for a bucket.
-SLICE, COVER_BLOCK, SUFFIX_BLOCK, BUCKET_BYTES = 1 << 20, 24 << 20, 8 << 20, 32 << 20
+SLICE, COVER_BLOCK, SUFFIX_BLOCK, BUCKET_BYTES = 1 << 20, 12 << 20, 8 << 20, 32 << 20
+#: Rows about documents that leave a task together.
+HELD = 1 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 _PRIME, _FACTOR = 2_147_483_647, 48_271
@@ -120,9 +122,11 @@ def unpack(blob: bytes) -> tuple[Keys, np.ndarray, list[np.ndarray]]:
     return Keys(np.cumsum(parts[0]).view(np.int64), parts[1].view(np.int64)), parts[2].astype(np.int64), [np.cumsum(parts[3]), *parts[4:]]
 
 
-def gathered(blobs: list[bytes]) -> tuple[Keys, np.ndarray, list[np.ndarray]]:
-    """The rows of several blobs, their documents numbered in the documents' order."""
-    parts = [unpack(b) for b in blobs]
+Part = tuple[Keys, np.ndarray, list[np.ndarray]]
+
+
+def joined(parts: list[Part]) -> Part:
+    """The rows of several parts, their documents numbered in the documents' order."""
     ids, ties = np.concatenate([p[0].ids for p in parts]), np.concatenate([p[0].ties for p in parts])
     both, number = np.unique(np.rec.fromarrays([ids, ties], names="i,t"), return_inverse=True)
     starts = np.cumsum([0, *[len(p[0].ids) for p in parts[:-1]]])
@@ -130,6 +134,10 @@ def gathered(blobs: list[bytes]) -> tuple[Keys, np.ndarray, list[np.ndarray]]:
     return Keys(np.ascontiguousarray(both["i"]), np.ascontiguousarray(both["t"])), doc, [np.concatenate(c) for c in zip(*[p[2] for p in parts], strict=True)]
 
 
+def gathered(blobs: list[bytes]) -> Part:
+    return joined([unpack(b) for b in blobs])
+
+
 ROWS = "bucket long, kind int, blob binary, docs array<long>"
 _NAMES = ["bucket", "kind", "blob", "docs"]
 
@@ -159,21 +167,59 @@ def by_fingerprint(keys: Keys, doc: np.ndarray, buckets: int, h: np.ndarray, *co
     return [(int(of[a]), 0, pack(keys, doc[a:b], h[a:b], *[c[a:b] for c in columns])[0], None) for a, b in _stretches(of.view(np.int64))]
 
 
-def one_bucket_at_a_time(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (bucket, kind): those of kind 1 pass, those of kind 0 are solved bucket by bucket."""
-    now, blobs = None, []
+def one_bucket_at_a_time(solve, buckets: int):
+    """Over rows sorted by (bucket, kind): those of kind 0 are solved bucket by bucket, which says more of documents.
+
+    That and the rows of kind 1 leave together, once for every HELD rows and not once for every bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, now, blobs = [], 0, None, []
+
+        def keep(part: Part) -> None:
+            nonlocal held
+            parts.append(part)
+            held += len(part[1])
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held:
+                keys, doc, columns = joined(parts)
+                order = np.lexsort((columns[0], doc))
+                yield from _rows(by_document(keys, doc[order], buckets, *[c[order] for c in columns]))
+            parts.clear()
+            held = 0
+
+        for batch in batches:
+            for bucket, kind, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if blobs and bucket != now:
+                    keep(solve(*gathered(blobs)))
+                    blobs = []
+                now = bucket
+                if kind:
+                    keep(unpack(blob))
+                else:
+                    blobs.append(blob)
+                if held >= HELD:
+                    yield from leave()
+        if blobs:
+            keep(solve(*gathered(blobs)))
+        yield from leave()
+
+    return run
+
+
+def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, docs) sorted by bucket to the different ids of each bucket."""
+    now, ids = None, np.zeros(0, np.int64)
     for batch in batches:
-        for bucket, kind, blob, docs in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if bucket != now and blobs:
-                yield from _rows(solve(*gathered(blobs)))
-                blobs = []
-            now = bucket
-            if kind:
-                yield from _rows([(bucket, kind, blob, docs)])
-            else:
-                blobs.append(blob)
-    if blobs:
-        yield from _rows(solve(*gathered(blobs)))
+        for bucket, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != now and len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
+                ids = ids[:0]
+            now, ids = bucket, np.union1d(ids, docs.values.to_numpy())
+    if len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
 
 
 def _groups(h: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -236,7 +282,7 @@ def slabs(texts: list[bytes], w: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 # ---------------------------------------------------------------- step 2: cover ranks
 
 
-def cover_rows(length: int, buckets: int, size: int = COVER_BLOCK):
+def cover_rows(length: int, buckets: int, doc_buckets: int, size: int = COVER_BLOCK):
     """Texts (id, tie, text) to rows: cover strings by fingerprint, and ranks that the block itself settles."""
     v, cover = cover_for(length)
     w = length - v + 1
@@ -260,28 +306,26 @@ def cover_rows(length: int, buckets: int, size: int = COVER_BLOCK):
             alone = first == np.arange(len(h))
             again = np.bincount(first[~alone], minlength=len(h)) > 0
             yield from _rows(by_fingerprint(keys, doc[alone], buckets, h[alone], pos[alone], again[alone]))
-            yield from _rows(_ranks(keys, np.flatnonzero(~alone), first, doc, pos, buckets))
+            own, columns = _ranks(keys, np.flatnonzero(~alone), first, doc, pos)
+            yield from _rows(by_document(keys, own, doc_buckets, *columns))
 
     return run
 
 
-def _ranks(keys: Keys, rows: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> list:
-    """Rows of kind 1: for each of `rows` its position and the place where its string first stands."""
+def _ranks(keys: Keys, rows: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each of `rows` its document, and as columns its position and the place where its string first stands."""
     rows = rows[np.lexsort((pos[rows], doc[rows]))]
     f = first[rows]
-    return by_document(keys, doc[rows], buckets, pos[rows], pos[f], keys.ids[doc[f]].view(U), keys.ties[doc[f]].view(U))
-
+    return doc[rows], [pos[rows].astype(U), pos[f].astype(U), keys.ids[doc[f]].view(U), keys.ties[doc[f]].view(U)]
 
-def rank_bucket(buckets: int):
-    def solve(keys: Keys, doc: np.ndarray, columns: list[np.ndarray]) -> list:
-        h, pos, again = columns
-        order = np.lexsort((pos, doc, h))
-        h, pos, doc, again = h[order], pos[order], doc[order], again[order] > 0
-        first = _groups(h)
-        many = np.bincount(first, minlength=len(h))[first] > 1
-        return _ranks(keys, np.flatnonzero(many | again), first, doc, pos, buckets)
 
-    return lambda batches: one_bucket_at_a_time(batches, solve)
+def rank_bucket(keys: Keys, doc: np.ndarray, columns: list[np.ndarray]) -> Part:
+    h, pos, again = columns
+    order = np.lexsort((pos, doc, h))
+    h, pos, doc, again = h[order], pos[order], doc[order], again[order] > 0
+    first = _groups(h)
+    many = np.bincount(first, minlength=len(h))[first] > 1
+    return keys, *_ranks(keys, np.flatnonzero(many | again), first, doc, pos)
 
 
 # ---------------------------------------------------------------- step 3: suffixes
@@ -353,7 +397,7 @@ def texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
             pass
 
 
-def suffix_rows(length: int, buckets: int, size: int = SUFFIX_BLOCK):
+def suffix_rows(length: int, buckets: int, doc_buckets: int, size: int = SUFFIX_BLOCK):
     """Texts and their ranks to rows: open suffixes by fingerprint, and repeats that are known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,21 +420,17 @@ def suffix_rows(length: int, buckets: int, size: int = SUFFIX_BLOCK):
                     proven[offsets[doc[~first]] + pos[~first]] = True
                     yield from _rows(by_fingerprint(keys, doc[first], buckets, h[first], low[first], pos[first]))
                 doc, start, n = _runs(proven, offsets)
-                yield from _rows(by_document(keys, doc, buckets, start, n))
+                yield from _rows(by_document(keys, doc, doc_buckets, start, n))
 
     return run
 
 
-def suffix_bucket(buckets: int):
-    def solve(keys: Keys, doc: np.ndarray, columns: list[np.ndarray]) -> list:
-        h, low, pos = columns
-        order = np.lexsort((pos, doc, low, h))
-        h, low, pos, doc = h[order], low[order], pos[order], doc[order]
-        again = np.flatnonzero(_groups(h, low) != np.arange(len(h)))
-        again = again[np.lexsort((pos[again], doc[again]))]
-        return by_document(keys, doc[again], buckets, pos[again], np.ones(len(again), U))
-
-    return lambda batches: one_bucket_at_a_time(batches, solve)
+def suffix_bucket(keys: Keys, doc: np.ndarray, columns: list[np.ndarray]) -> Part:
+    h, low, pos = columns
+    order = np.lexsort((pos, doc, low, h))
+    h, low, pos, doc = h[order], low[order], pos[order], doc[order]
+    again = _groups(h, low) != np.arange(len(h))
+    return keys, doc[again], [pos[again], np.ones(int(again.sum()), U)]
 
 
 # ---------------------------------------------------------------- results
@@ -467,23 +507,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     ones, ones_path = _solved(ones, "ones")
     texts = single.select("id", F.lit(0).cast("long").alias("tie"), "text").unionByName(ones)
     total = meta.agg(F.sum("n")).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    doc_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    buckets = 2 * doc_buckets
     # step 2
-    covers = texts.where(F.octet_length("text") >= length).mapInArrow(cover_rows(length, buckets), ROWS)
-    ranks, ranks_path = _solved(_by_bucket(covers).mapInArrow(rank_bucket(buckets), ROWS), "ranks")
+    covers = texts.where(F.octet_length("text") >= length).mapInArrow(cover_rows(length, buckets, doc_buckets), ROWS)
+    ranks, ranks_path = _solved(_by_bucket(covers).mapInArrow(one_bucket_at_a_time(rank_bucket, doc_buckets), ROWS), "ranks")
     # step 3
     prime = lambda c: F.pmod(c, F.lit(_PRIME).cast("long"))
-    of_doc = F.pmod(prime(prime(F.col("id").bitwiseXOR(F.col("tie"))) * F.lit(_FACTOR)), F.lit(buckets).cast("long")).alias("bucket")
+    of_doc = F.pmod(prime(prime(F.col("id").bitwiseXOR(F.col("tie"))) * F.lit(_FACTOR)), F.lit(doc_buckets).cast("long")).alias("bucket")
 
     def beside(known: DataFrame, some: DataFrame) -> DataFrame:
         """Rows of what is known of documents, then the texts, by bucket."""
         own = known.select("bucket", F.lit(0).alias("kind"), "blob", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("tie"))
         return _by_bucket(own.unionByName(some.select(of_doc, F.lit(1).alias("kind"), F.col("text").alias("blob"), "id", "tie")))
 
-    ids = lambda known: known.select(F.explode("docs").alias("id"))
+    ids = lambda known: known.select("bucket", "docs").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(ids_of, "id long")
     near, _ = split_by_bitmap(texts, F.xxhash64("id"), ids(ranks))
-    suffixes = beside(ranks, near).mapInArrow(suffix_rows(length, buckets), ROWS)
-    repeats, _ = _solved(_by_bucket(suffixes).mapInArrow(suffix_bucket(buckets), ROWS), "repeats")
+    suffixes = beside(ranks, near).mapInArrow(suffix_rows(length, buckets, doc_buckets), ROWS)
+    repeats, _ = _solved(_by_bucket(suffixes).mapInArrow(one_bucket_at_a_time(suffix_bucket, doc_buckets), ROWS), "repeats")
     # results: texts without repeats are not dealt again
     cut, whole = split_by_bitmap(texts, F.xxhash64("id"), ids(repeats))
     cut = beside(repeats, cut).mapInArrow(cut_rows(length), RESULT)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,49 +94,6 @@ def top_columns(df: DataFrame, by: Sequence[str], order: Sequence[Column], value
     return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_rank") == i, F.col(value))).alias(f"{prefix}{i}") for i in range(1, n + 1)])
 
 
-def optimal_pairs(df: DataFrame, by: Sequence[str], is_case: str, key: str, x: str) -> DataFrame:
-    """A one-to-one assignment of cases to controls of the least total |difference of x| in each group.
-
-    One covariate: an optimal assignment keeps the order, so a dynamic program over both sides' sorted values
-    finds the least total (the smaller side is used up). A task holds one group's values; n1 * n2 steps.
-    """
-    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(is_case).alias("_case"), F.col(key).alias("_key"), F.col(x).cast("double").alias("_x"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_x", "_key"])
-        a, b = pdf[pdf["_case"]], pdf[~pdf["_case"]]
-        turned = len(a) > len(b)
-        few, many = (b, a) if turned else (a, b)
-        x1, x2 = few["_x"].to_numpy(), many["_x"].to_numpy()
-        n, m = len(x1), len(x2)
-        cost = np.zeros(m + 1)
-        took = np.zeros((n, m + 1), bool)
-        for i in range(n):  # cost[j]: the first i + 1 with some of the first j
-            new = np.full(m + 1, np.inf)
-            with_j = np.append(np.inf, cost[:-1] + np.abs(x1[i] - x2))
-            with_j[: i + 1] = np.inf
-            best = np.minimum.accumulate(with_j)
-            took[i] = with_j <= best
-            new[:] = best
-            cost = new
-        pairs, j = [], m
-        for i in range(n - 1, -1, -1):
-            while not took[i, j]:
-                j -= 1
-            pairs.append((i, j - 1))
-            j -= 1
-        keys1, keys2 = few["_key"].tolist(), many["_key"].tolist()
-        out = [(keys2[j], keys1[i], x2[j], x1[i]) if turned else (keys1[i], keys2[j], x1[i], x2[j]) for i, j in reversed(pairs)]
-        found = pd.DataFrame(out, columns=["case", "control", "x_case", "x_control"])
-        for c in reversed(list(by)):
-            found.insert(0, c, pdf[c].iloc[0])
-        return found
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"case {kinds['_key']}, control {kinds['_key']}, x_case double, x_control double"])
-    return rows.groupBy(*by).applyInPandas(assign, schema)
-
-
 def pair_diagnostics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Number of pairs, total, mean and largest |difference|."""
     gap = F.abs(F.col("x_case") - F.col("x_control"))

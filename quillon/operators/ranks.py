@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ratio
+from quillon.functions.scalars import finite, ratio
 
 
 def over(by: Sequence[str], *order: Column | str):
@@ -18,16 +21,32 @@ def over(by: Sequence[str], *order: Column | str):
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: lineage ends there, and a lost executor costs no more than this step.
+    """df written to the checkpoint folder and read again: lineage ends there, and a lost executor costs no more than this step.
 
-    The folder is spark.checkpoint.dir; only a local session without one gets a temporary folder.
+    The folder is spark.checkpoint.dir; only a local session without one gets a temporary folder. A written table has a
+    size that joins can see, and unlike checkpoint() it hands no constraints on, which grow with every round of a loop.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(f"file://{folder}")
+    path = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes settled tables that nothing will read any more; others stay as they are."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -42,6 +61,24 @@ def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str =
     return df.join(renamed, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]), how).drop(*names.values())
 
 
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], x: Column, out: str) -> DataFrame:
+    """Sum of x over the rows of the group that come before this one; `order` tells all rows of a group apart.
+
+    The rows are dealt by ranges of (by, order); each range adds up its own rows and then starts at the sum of the
+    ranges before it, so no task holds a group. What is summed over in one task is a row for each range of a group.
+    """
+    keys = {f"_order_{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(order)}
+    own = {f"_in_{i}": F.col(c) for i, c in enumerate(by)}
+    rows = df.withColumns(keys | own | {"_x": x.cast("long")})
+    rows = settled(rows.repartitionByRange(*own, *keys).withColumn("_range", F.spark_partition_id()))
+    sums = rows.groupBy(*own, "_range").agg(F.sum("_x").alias("_s"))
+    before = over(list(own), "_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    rows = with_groups(rows, sums, [*own, "_range"])
+    within = over([*own, "_range"], *keys).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.col("_start") + F.coalesce(F.sum("_x").over(within), F.lit(0))).select(*df.columns, out)
+
+
 def rank_average(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """Average rank of ties, from 1. NULL has no rank.
 
@@ -68,6 +105,11 @@ def both_tails(df: DataFrame, by: Sequence[str], x: str, key: str, n: int) -> Da
     return top_n(rows, [*by, "tail"], [F.abs(F.col(x)).desc(), F.col(key)], n)
 
 
+def strongest(df: DataFrame, by: Sequence[str], x: str, key: str, n: int = 8) -> DataFrame:
+    """The n rows of the largest |x| in each group; rows whose x is null, NaN or infinite are left out."""
+    return top_n(df.where(finite(x).isNotNull()), by, [F.abs(F.col(x)).desc(), F.col(key)], n)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in this order."""
     return top_n(df, keys, order, 1, "_first").drop("_first")

@@ -7,37 +7,52 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ratio
+from quillon.functions.scalars import finite, ratio
 
-from .ranks import keep_first, over, settled, with_groups
+from .ranks import discard, keep_first, over, settled, with_groups
+
+
+def wrapped(by: Sequence[str]) -> dict[str, str]:
+    """Names of our own for group columns. As structs (see wrap) null keys join like any other, and no column of ours clashes with them."""
+    return {c: f"_by_{i}" for i, c in enumerate(by)}
+
+
+def wrap(df: DataFrame, by: Sequence[str], *columns) -> DataFrame:
+    return df.select(*[F.struct(F.col(c).alias("key")).alias(n) for c, n in wrapped(by).items()], *columns)
+
+
+def unwrap(by: Sequence[str]) -> list:
+    return [F.col(f"{n}.key").alias(c) for c, n in wrapped(by).items()]
 
 
 def set_overlaps(items: DataFrame, by: Sequence[str], owner: str, item: str, most_owners: int | None = None) -> DataFrame:
     """Pairs of owners (a < b) that share an item: shared, sizes, Jaccard index and overlap coefficient.
 
     An inverted index: only owners of a common item meet. most_owners, if given, is checked and exceeded
-    items raise an error instead of being dropped.
+    items raise an error instead of being dropped. Null owners and items are in no pair; a null item counts in its owner's size.
     """
-    sets = items.select(*by, F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
+    keys = list(wrapped(by).values())
+    sets = wrap(items, by, F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
     if most_owners is not None:
-        worst = sets.groupBy(*by, "i").count().agg(F.max("count")).first()[0] or 0
+        worst = sets.groupBy(*keys, "i").count().agg(F.max("count")).first()[0] or 0
         if worst > most_owners:
             raise ValueError(f"an item has {worst} owners")
-    sizes = sets.groupBy(*by, "o").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.groupBy(*keys, "o").agg(F.count(F.lit(1)).alias("n"))
     left, right = sets.withColumnRenamed("o", "a"), sets.withColumnRenamed("o", "b")
-    shared = left.join(right, [*by, "i"]).where("a < b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = shared.join(sizes.withColumnRenamed("o", "a").withColumnRenamed("n", "na"), [*by, "a"]).join(sizes.withColumnRenamed("o", "b").withColumnRenamed("n", "nb"), [*by, "b"])
-    return out.select(*by, "a", "b", "shared", "na", "nb", ratio("shared", F.col("na") + F.col("nb") - F.col("shared")).alias("jaccard"), ratio("shared", F.least("na", "nb")).alias("overlap"))
+    shared = left.join(right, [*keys, "i"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    out = shared.join(sizes.withColumnRenamed("o", "a").withColumnRenamed("n", "na"), [*keys, "a"]).join(sizes.withColumnRenamed("o", "b").withColumnRenamed("n", "nb"), [*keys, "b"])
+    return out.select(*unwrap(by), "a", "b", "shared", "na", "nb", ratio("shared", F.col("na") + F.col("nb") - F.col("shared")).alias("jaccard"), ratio("shared", F.least("na", "nb")).alias("overlap"))
 
 
 def cosine_pairs(long: DataFrame, by: Sequence[str], owner: str, key: str, x: str) -> DataFrame:
-    """Cosine similarity of owners (a < b) that share a key, from long vectors."""
-    rows = long.select(*by, F.col(owner).alias("o"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"))
-    norms = rows.groupBy(*by, "o").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    a, b = rows.select(*by, "k", F.col("o").alias("a"), F.col("x").alias("xa")), rows.select(*by, "k", F.col("o").alias("b"), F.col("x").alias("xb"))
-    dots = a.join(b, [*by, "k"]).where("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
-    out = dots.join(norms.withColumnRenamed("o", "a").withColumnRenamed("norm", "la"), [*by, "a"]).join(norms.withColumnRenamed("o", "b").withColumnRenamed("norm", "lb"), [*by, "b"])
-    return out.select(*by, "a", "b", ratio("dot", F.col("la") * F.col("lb")).alias("cosine"))
+    """Cosine similarity of owners (a < b) that share a key, from long vectors; null, NaN and infinite entries are left out."""
+    keys = list(wrapped(by).values())
+    rows = wrap(long, by, F.col(owner).alias("o"), F.col(key).alias("k"), finite(x).alias("x")).where("x is not null")
+    norms = rows.groupBy(*keys, "o").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    a, b = rows.select(*keys, "k", F.col("o").alias("a"), F.col("x").alias("xa")), rows.select(*keys, "k", F.col("o").alias("b"), F.col("x").alias("xb"))
+    dots = a.join(b, [*keys, "k"]).where("a < b").groupBy(*keys, "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
+    out = dots.join(norms.withColumnRenamed("o", "a").withColumnRenamed("norm", "la"), [*keys, "a"]).join(norms.withColumnRenamed("o", "b").withColumnRenamed("norm", "lb"), [*keys, "b"])
+    return out.select(*unwrap(by), "a", "b", ratio("dot", F.col("la") * F.col("lb")).alias("cosine"))
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -55,8 +70,10 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         new = new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
         new = settled(new)
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
+        discard(label)
         label = new
         if not changed:
+            discard(both)
             return label
     raise RuntimeError("components did not settle")
 

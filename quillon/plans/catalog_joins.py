@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, meta, ranks, spatial, statistics
+from quillon.operators import joins, matching, meta, ranks, spatial, statistics
 
 from .cohort import SPOTS_SQL, Tables
 from .registry import BY, CORR, SIMPSON, chi_square_sql, f_sql, normal_sql, query, rank_sql, rounded, student_sql
@@ -222,7 +222,7 @@ def top_three_suppliers(t: Tables) -> DataFrame:
 def matched_customers(t: Tables) -> DataFrame:
     """The least total gap of a one-to-one assignment by nation, with diagnostics (unit-tested by brute force)."""
     c = t.customer.select("c_nationkey", (F.col("c_mktsegment") == "BUILDING").alias("is_case"), "c_custkey", F.col("c_acctbal").cast("double").alias("x"))
-    return rounded(joins.pair_diagnostics(joins.optimal_pairs(c, ["c_nationkey"], "is_case", "c_custkey", "x"), ["c_nationkey"]), 4)
+    return rounded(joins.pair_diagnostics(matching.optimal_pairs(c, ["c_nationkey"], "is_case", "c_custkey", "x"), ["c_nationkey"]), 4)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import clustering, nulls, ranks, regression, scoring, similarity, spatial, statistics
+from quillon.operators import nulls, ranks, regression, scoring, similarity, spatial, statistics
 
 from .cohort import LATTICE_SQL, PROGRAMS_SQL, SPOTS_SQL, TERMS_SQL, Tables
 from .registry import BY, SIMPSON, f_sql, query, rounded
@@ -266,22 +266,3 @@ def segment_permanova(t: Tables) -> DataFrame:
     c = t.customer.select((F.col("c_nationkey") % 5).alias("g"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("l"), (_D("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 17).cast("double").alias("y"))
     x = regression.permanova(c, ["g"], "key", "l", ["x", "y"], 49)
     return x.select("g", "n", "labels", F.round("f", 5).alias("f"), F.round("p", 4).alias("p"))
-
-
-@query()
-def program_tree(t: Tables) -> DataFrame:
-    """Average linkage of programs by 1 - Jaccard, leaf order, cophenetic r, clusters of the best silhouette (brute-forced in a test)."""
-    pairs = similarity.all_pairs(similarity.set_overlaps(t.programs(), [], "program", "gene"), t.programs(), [], "program", ["jaccard"]).withColumn("g", F.lit(0))
-    return rounded(clustering.linkage_clusters(pairs, ["g"], "jaccard", range(2, 9)))
-
-
-@query()
-def program_stability(t: Tables) -> DataFrame:
-    """How often two programs share a cluster over resampled items."""
-    return rounded(clustering.co_clustering(t.programs(), "program", "gene", 20, 4, 30))
-
-
-@query()
-def top_n_sweep(t: Tables) -> DataFrame:
-    """Clusters of the top 10, 20 and 30 items against each other: ARI and separation."""
-    return rounded(clustering.top_n_sweep(t.programs(), "program", "gene", "rank", (10, 20, 30), 4))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import clustering, meta, ranks, reports, similarity, statistics
+from quillon.operators import meta, ranks, reports, statistics
 
 from .cohort import PROGRAMS_SQL, SPOTS_SQL, TERMS_SQL, Tables
 from .registry import BY, CORR, query, rank_sql, rounded
@@ -102,12 +102,3 @@ def sided_enrichment_p(t: Tables) -> DataFrame:
 def partial_spearman_two(t: Tables) -> DataFrame:
     """Partial rank correlation given two covariates; the SQL takes them out one after the other."""
     return rounded(statistics.partial_spearman_many(t.spots(), BY, "price", "quantity", ["discount", "tax"]).drop("p"), 5)
-
-
-@query()
-def program_order(t: Tables) -> DataFrame:
-    """Owners by a fixed order of groups, then by their leaf place (linkage has a test of its own)."""
-    pairs = similarity.all_pairs(similarity.set_overlaps(t.programs(), [], "program", "gene"), t.programs(), [], "program", ["jaccard"]).withColumn("g", F.lit(0))
-    tree = clustering.linkage_clusters(pairs, ["g"], "jaccard", range(2, 9))
-    groups = t.programs().select(F.concat(F.lit("g"), (F.col("program") % 3).cast("string")).alias("group"), "program").distinct()
-    return clustering.functional_order(groups, "group", ["g1", "g0"], tree, "program")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import clustering, joins, meta, nulls, regression, reports, scoring, similarity, spatial
+from quillon.operators import joins, matching, meta, nulls, regression, reports, scoring, similarity, spatial
 from quillon.sources import readers, sinks
 
 
@@ -98,41 +98,13 @@ def test_assignment_has_the_least_total(spark):
     for n, m in ((1, 1), (2, 5), (4, 4), (5, 2), (3, 6)):
         a, b = [rng.randint(0, 30) / 3 for _ in range(n)], [rng.randint(0, 30) / 3 for _ in range(m)]
         rows = [("g", True, i, v) for i, v in enumerate(a)] + [("g", False, 100 + i, v) for i, v in enumerate(b)] + [("g", True, 900, None)]
-        pairs = joins.optimal_pairs(spark.createDataFrame(rows, "g string, c boolean, k int, x double"), ["g"], "c", "k", "x").collect()
+        pairs = matching.optimal_pairs(spark.createDataFrame(rows, "g string, c boolean, k int, x double"), ["g"], "c", "k", "x").collect()
         few, many = (a, b) if n <= m else (b, a)
         want = min(sum(abs(x - many[j]) for x, j in zip(few, p)) for p in itertools.permutations(range(len(many)), len(few)))
         assert len(pairs) == min(n, m) == len({r.case for r in pairs}) == len({r.control for r in pairs})
         assert sum(abs(r.x_case - r.x_control) for r in pairs) == pytest.approx(want)
 
 
-def naive_linkage(d):
-    clusters, out = {i: [i] for i in range(len(d))}, []
-    new = len(d)
-    while len(clusters) > 1:
-        h, a, b = min((round(np.mean([d[i, j] for i in clusters[a] for j in clusters[b]]), 12), a, b) for a in clusters for b in clusters if a < b)
-        out.append((sorted(clusters[a] + clusters[b]), h))
-        clusters[new] = clusters.pop(a) + clusters.pop(b)
-        new += 1
-    return out
-
-
-def test_linkage_cut_and_silhouette_by_hand(spark):
-    rng = np.random.default_rng(2)
-    p = rng.normal(size=(14, 2)) + np.repeat([[0, 0], [6, 6]], 7, axis=0)
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
-    merges = clustering.average_linkage(d)
-    whole = clustering.members(merges, 14)
-    assert [(sorted(whole[14 + i]), pytest.approx(h)) for i, (_, _, h) in enumerate(merges)] == naive_linkage(d)
-    label = clustering.cut(merges, 14, 2)
-    assert label.tolist() == [0] * 7 + [1] * 7
-    s = np.mean([(min(d[i, label != label[i]].mean(), 9e9) - d[i, label == label[i]].sum() / 6) / max(d[i, label != label[i]].mean(), d[i, label == label[i]].sum() / 6) for i in range(14)])
-    assert clustering.silhouette(d, label) == pytest.approx(s)
-    pairs = spark.createDataFrame([(0, int(a), int(b), float(1 - d[a, b] / 20)) for a in range(14) for b in range(a + 1, 14)], "g int, a int, b int, sim double")
-    got = clustering.linkage_clusters(pairs, ["g"], "sim", range(2, 6)).collect()
-    assert {r.k for r in got} == {2} and sorted(r.place for r in got) == list(range(14))
-    assert [r.cluster for r in sorted(got, key=lambda r: r.owner)] == [0] * 7 + [1] * 7
-
-
 def test_neighbours_of_sparse_nodes_are_found(spark):
     rng = random.Random(5)
     points = [("g", i, rng.random(), rng.random()) for i in range(40)] + [("g", 100, 900.0, 5.0), ("g", 101, -300.0, 2.0), ("h", 1, 0.0, 0.0), ("h", 2, 50.0, 0.0), ("i", 1, 1.0, 1.0), ("g", 300, None, 1.0)]

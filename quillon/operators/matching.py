@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite
 
-from .ranks import over, settled, with_groups
+from .ranks import Ranges, discard, settled, with_groups
 
 #: Pieces that one call of the solver gets together.
 PACK = 1000
@@ -26,30 +26,24 @@ def pieces(df: DataFrame, by: Sequence[str], few: str, order: Sequence[str]) ->
     on, so can those behind it. A pair across such a border can be exchanged for pairs that stay on their sides at no
     cost. Rows are dealt by ranges, and each range passes on its sum and its extremes, so no task holds a group.
     """
-    own, keys = {f"_in_{i}": F.col(c) for i, c in enumerate(by)}, {f"_order_{i}": F.col(c) for i, c in enumerate(order)}
-    rows = df.withColumns(own | keys | {"_v": F.when(F.col(few), 1).otherwise(-1).cast("long")})
-    rows = settled(rows.repartitionByRange(*own, *keys).withColumn("_range", F.spark_partition_id()))
-    part = [*own, "_range"]
-    w = over(part, *keys)
-    rows = rows.withColumn("_p", F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = rows.groupBy(*part).agg(F.sum("_v").alias("_s"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    along = over(list(own), "_range")
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    least = F.min(F.col("_start") + F.col("_lo")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    most = F.max(F.col("_start") + F.greatest("_hi", "_s")).over(along.rowsBetween(1, Window.unboundedFollowing))
-    end = F.col("_start") + F.col("_s")
-    sums = sums.select(*part, "_start", least.alias("_least"), F.greatest(end, most).alias("_most"))
-    rows = with_groups(rows, sums, part)
+    r = Ranges(df.withColumn("_v", F.when(F.col(few), 1).otherwise(-1).cast("long")), by, order)
+    w = r.within()
+    rows = r.rows.withColumn("_p", F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = r.totals(rows, F.sum("_v").alias("_s"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_s").over(r.before()), F.lit(0)))
+    least, most = F.min(F.col("_start") + F.col("_lo")).over(r.before()), F.max(F.col("_start") + F.greatest("_hi", "_s")).over(r.after())
+    sums = sums.select(*r.part, "_start", least.alias("_least"), F.greatest(F.col("_start") + F.col("_s"), most).alias("_most"))
+    rows = r.join(rows, sums)
     p, start = F.col("_start") + F.col("_p"), F.col("_start")
     so_far = F.least("_least", start + F.min("_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     later = F.greatest("_most", start + F.max("_p").over(w.rowsBetween(1, Window.unboundedFollowing)))
     begins = (p == so_far) & (p >= later)
     # a row of the larger side with a border on either side of it serves nobody
-    rows = rows.select(*df.columns, *own, *keys, "_range", begins.cast("long").alias("_b"), (begins & ~F.col(few) & (later == p - 1)).alias("_idle"))
+    rows = settled(rows.select(*df.columns, *r.order, *r.part, begins.cast("long").alias("_b"), (begins & ~F.col(few) & (later == p - 1)).alias("_idle")))
     # a border counts for its range first, as the running sum did
-    rows = settled(rows)
-    counts = rows.groupBy(*part).agg(F.sum("_b").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = with_groups(rows, counts, part).withColumn("piece", F.col("_before") + F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = r.totals(rows, F.sum("_b").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(r.before()), F.lit(0))).drop("_n")
+    numbered = r.join(rows, counts).withColumn("piece", F.col("_before") + F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    discard(r.rows)
     return numbered.where("not _idle").select(*df.columns, "piece")
 
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,32 +61,85 @@ def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str =
     return df.join(renamed, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]), how).drop(*names.values())
 
 
-def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], x: Column, out: str) -> DataFrame:
-    """Sum of x over the rows of the group that come before this one; `order` tells all rows of a group apart.
+def wrapped(by: Sequence[str]) -> dict[str, str]:
+    """Names of our own for group columns. As structs (see wrap) null keys join like any other, and no column of ours clashes with them."""
+    return {c: f"_by_{i}" for i, c in enumerate(by)}
+
+
+def wrap(df: DataFrame, by: Sequence[str], *columns: Column | str) -> DataFrame:
+    return df.select(*[F.struct(F.col(c).alias("key")).alias(n) for c, n in wrapped(by).items()], *columns)
+
+
+def unwrap(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"{n}.key").alias(c) for c, n in wrapped(by).items()]
+
+
+def fresh(df: DataFrame, prefix: str) -> str:
+    """The prefix with as many underscores before it as no column of df starts with (names ignore case)."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(prefix.lower()) for c in taken):
+        prefix = "_" + prefix
+    return prefix
 
-    The rows are dealt by ranges of (by, order); each range adds up its own rows and then starts at the sum of the
-    ranges before it, so no task holds a group. What is summed over in one task is a row for each range of a group.
+
+class Ranges:
+    """A table dealt by ranges of (group, order) and written, so that what runs along a group needs no task with the whole group.
+
+    A range works on its own rows; what the ranges before or after it pass on is one row for each range of a group.
+    Rows of equal order always share a range.
     """
-    keys = {f"_order_{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(order)}
-    own = {f"_in_{i}": F.col(c) for i, c in enumerate(by)}
-    rows = df.withColumns(keys | own | {"_x": x.cast("long")})
-    rows = settled(rows.repartitionByRange(*own, *keys).withColumn("_range", F.spark_partition_id()))
-    sums = rows.groupBy(*own, "_range").agg(F.sum("_x").alias("_s"))
-    before = over(list(own), "_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    rows = with_groups(rows, sums, [*own, "_range"])
-    within = over([*own, "_range"], *keys).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.col("_start") + F.coalesce(F.sum("_x").over(within), F.lit(0))).select(*df.columns, out)
+
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[Column | str]):
+        self.columns, own = df.columns, fresh(df, "_range")
+        self.group = [f"{own}_by_{i}" for i in range(len(by))]
+        self.order = [f"{own}_order_{i}" for i in range(len(order))]
+        keys = dict(zip(self.group, map(F.col, by), strict=True)) | dict(zip(self.order, [F.col(c) if isinstance(c, str) else c for c in order], strict=True))
+        self.part = [*self.group, own]
+        self.rows = settled(df.withColumns(keys).repartitionByRange(*keys).withColumn(own, F.spark_partition_id()))
+
+    def within(self):
+        """Window over a range's rows in order."""
+        return over(self.part, *self.order)
+
+    def totals(self, rows: DataFrame, *aggregates: Column) -> DataFrame:
+        return rows.groupBy(*self.part).agg(*aggregates)
+
+    def before(self):
+        """Window over the ranges of a group that come before."""
+        return over(self.group, self.part[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+    def after(self):
+        return over(self.group, self.part[-1]).rowsBetween(1, Window.unboundedFollowing)
+
+    def join(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
+        return with_groups(rows, totals, self.part)
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], x: Column, out: str) -> DataFrame:
+    """Sum of x over the rows of the group that come before this one; `order` tells all rows of a group apart (see Ranges)."""
+    at = fresh(df, "_sum")
+    r = Ranges(df.withColumn(at, x.cast("long")), by, order)
+    sums = r.totals(r.rows, F.sum(at).alias(f"{at}_s")).withColumn(f"{at}_start", F.coalesce(F.sum(f"{at}_s").over(r.before()), F.lit(0))).drop(f"{at}_s")
+    own = F.coalesce(F.sum(at).over(r.within().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return r.join(r.rows, sums).withColumn(out, F.col(f"{at}_start") + own).select(*df.columns, out)
 
 
 def rank_average(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """Average rank of ties, from 1. NULL has no rank.
 
-    The first place of the ties is the rank, the last one the rows up to and with them: one sort for both.
+    The first place of the ties is the rank, the last one the rows up to and with them: one sort for both, of a range
+    of the group's values (see Ranges). Rows of one value are in one range.
     """
-    w = over(by, F.col(x).asc_nulls_last())
-    r = (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / F.lit(2.0)
-    return df.withColumn(out, F.when(F.col(x).isNotNull(), r.cast("double")))
+    missing = F.when(F.col(x).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    r = Ranges(df, by, [F.col(x).isNull(), F.col(x), missing])
+    at = fresh(r.rows, "_before")
+    counts = r.totals(r.rows, F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn(at, F.coalesce(F.sum("n").over(r.before()), F.lit(0))).drop("n")
+    w = over(r.part, r.order[1])
+    place = (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / F.lit(2.0)
+    rows = r.join(r.rows.where(F.col(x).isNotNull()), counts).withColumn(out, (F.col(at) + place).cast("double")).select(*[c for c in df.columns if c != out], out)
+    none = r.rows.where(F.col(x).isNull()).withColumn(out, F.lit(None).cast("double")).select(*[c for c in df.columns if c != out], out)
+    return rows.unionByName(none)
 
 
 def row_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
@@ -99,8 +152,8 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, out
 
 
 def both_tails(df: DataFrame, by: Sequence[str], x: str, key: str, n: int) -> DataFrame:
-    """The n most positive and n most negative rows of each group, zero in neither."""
-    side = F.when(F.col(x) > 0, "positive").when(F.col(x) < 0, "negative")
+    """The n most positive and n most negative rows of each group, zero, NaN and infinities in neither."""
+    side = F.when(finite(x) > 0, "positive").when(finite(x) < 0, "negative")
     rows = df.withColumn("tail", side).where("tail is not null")
     return top_n(rows, [*by, "tail"], [F.abs(F.col(x)).desc(), F.col(key)], n)
 
@@ -125,58 +178,131 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequenc
     return keep_first(both, keys, [F.desc("_v"), *version, *rest]).drop("_v")
 
 
+#: What a scaling needs of a group, and the columns it makes of that.
+Scaling = tuple[list[Column], Callable[[list[Column]], dict[str, Column]]]
+
+
+def scaled(df: DataFrame, by: Sequence[str], *scalings: Scaling) -> DataFrame:
+    """df with the columns of all scalings: one aggregate gives the constants of all of them, one join brings them back.
+
+    Chained scalings would each read the table twice, and twice what the one before them reads. Groups with a null key
+    keep their rows.
+    """
+    own = fresh(df, "_constant")
+    names = [[f"{own}_{i}_{j}" for j in range(len(needs))] for i, (needs, _) in enumerate(scalings)]
+    constants = [c.alias(n) for (needs, _), own_names in zip(scalings, names, strict=True) for c, n in zip(needs, own_names, strict=True)]
+    rows = with_groups(df, df.groupBy(*by).agg(*constants), by)
+    made: dict[str, Column] = {}
+    for (_, make), own_names in zip(scalings, names, strict=True):
+        made |= make([F.col(n) for n in own_names])
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+
+
+def z_of(x: str, out: str, least: float = 1e-12, constant: float | None = None) -> Scaling:
+    v = finite(x)
+
+    def make(c: list[Column]) -> dict[str, Column]:
+        z = F.when(c[1] > least, (v - c[0]) / F.nullif(c[1], F.lit(0.0)))
+        return {out: z.when(v.isNotNull(), F.lit(constant).cast("double"))}
+
+    return [F.avg(v), F.stddev_pop(v)], make
+
+
+def centred_of(x: str, out: str) -> Scaling:
+    v = finite(x)
+    return [F.avg(v)], lambda c: {out: v - c[0]}
+
+
+def min_max_of(x: str, out: str, constant: float = 0.5, zero: str | None = None) -> Scaling:
+    v = finite(x)
+
+    def make(c: list[Column]) -> dict[str, Column]:
+        at = lambda y: F.when(c[1] > c[0], (y - c[0]) / F.nullif(c[1] - c[0], F.lit(0.0)))
+        return {out: at(v).when(v.isNotNull(), F.lit(constant))} | ({zero: at(F.lit(0.0))} if zero else {})
+
+    return [F.min(v), F.max(v)], make
+
+
+def share_of(x: str, out: str) -> Scaling:
+    v = finite(x)
+    return [F.sum(v)], lambda c: {out: ratio(v, c[0])}
+
+
+def log_of(x: str, out: str, scale: float = 1e4) -> Scaling:
+    v = finite(x)
+    return [F.sum(v)], lambda c: {out: F.log1p(F.coalesce(ratio(v, c[0]), F.lit(0.0)) * F.lit(scale))}
+
+
+def sd_level_of(x: str, out: str, k: float = 1.0) -> Scaling:
+    v = finite(x)
+    return [F.avg(v), F.stddev_pop(v)], lambda c: {out: F.when(v >= c[0] + k * c[1], "HIGH").when(v <= c[0] - k * c[1], "LOW").when(v.isNotNull(), "MID")}
+
+
+def quartile_of(x: str, out: str) -> Scaling:
+    v = finite(x)
+    return [F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))], lambda c: {out: F.when(v >= c[1], "HIGH").when(v <= c[0], "LOW")}
+
+
+def fallback_of(first: Column, second: Column, out: str = "mask", rule: str = "rule") -> Scaling:
+    return [F.count_if(first)], lambda c: {rule: F.when(c[0] > 0, "primary").otherwise("fallback"), out: F.coalesce(F.when(c[0] > 0, first).otherwise(second), F.lit(False))}
+
+
+def quantile_of(x: str, bins: int, out: str) -> Scaling:
+    v = finite(x)
+
+    def make(c: list[Column]) -> dict[str, Column]:
+        return {out: F.when(v.isNotNull(), F.greatest(F.size(F.filter(c[0], lambda e: e < v)) - 1, F.lit(0)))}
+
+    return [F.array_distinct(F.percentile(v, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))], make
+
+
 def z_score(df: DataFrame, by: Sequence[str], x: str, out: str, least: float = 1e-12, constant: float | None = None) -> DataFrame:
-    """(x - mean) / population sd of the group; `constant` (NULL) where the sd is at most `least`."""
-    rows = with_groups(df, df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s")), by)
-    z = F.when(F.col("_s") > least, (F.col(x) - F.col("_m")) / F.nullif("_s", F.lit(0.0)))
-    return rows.withColumn(out, z.when(F.col(x).isNotNull(), F.lit(constant).cast("double"))).drop("_m", "_s")
+    """(x - mean) / population sd of the group; `constant` (NULL) where the sd is at most `least`. NaN and infinities count as NULL, here and below."""
+    return scaled(df, by, z_of(x, out, least, constant))
 
 
-def min_max(df: DataFrame, by: Sequence[str], x: str, out: str, constant: float = 0.5) -> DataFrame:
-    """Scaled to [0, 1] within the group; a constant group gets `constant`."""
-    rows = with_groups(df, df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")), by)
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(x) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
-    return rows.withColumn(out, scaled.when(F.col(x).isNotNull(), F.lit(constant))).drop("_lo", "_hi")
+def min_max(df: DataFrame, by: Sequence[str], x: str, out: str, constant: float = 0.5, zero: str | None = None) -> DataFrame:
+    """Scaled to [0, 1] within the group; a constant group gets `constant`. `zero` names a column for the place of the raw 0 on that scale."""
+    return scaled(df, by, min_max_of(x, out, constant, zero))
 
 
 def share(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """x over the group's sum; NULL where the sum is 0."""
-    return with_groups(df, df.groupBy(*by).agg(F.sum(x).alias("_t")), by).withColumn(out, ratio(x, "_t")).drop("_t")
+    return scaled(df, by, share_of(x, out))
 
 
 def log_normalised(df: DataFrame, by: Sequence[str], x: str, out: str, scale: float = 1e4) -> DataFrame:
     """ln(1 + scale * share); 0 where the group's sum is 0."""
-    return share(df, by, x, "_share").withColumn(out, F.log1p(F.coalesce("_share", F.lit(0.0)) * F.lit(scale))).drop("_share")
+    return scaled(df, by, log_of(x, out, scale))
 
 
 def sd_groups(df: DataFrame, by: Sequence[str], x: str, out: str, k: float = 1.0) -> DataFrame:
     """HIGH from mean + k sd on, LOW up to mean - k sd, else MID (population sd of the group)."""
-    rows = with_groups(df, df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s")), by)
-    level = F.when(F.col(x) >= F.col("_m") + k * F.col("_s"), "HIGH").when(F.col(x) <= F.col("_m") - k * F.col("_s"), "LOW").when(F.col(x).isNotNull(), "MID")
-    return rows.withColumn(out, level).drop("_m", "_s")
+    return scaled(df, by, sd_level_of(x, out, k))
+
+
+def enough_on_both_sides(rows: DataFrame, by: Sequence[str], side: str, least: int) -> DataFrame:
+    """Rows on the HIGH or LOW side, of groups with at least `least` on either. A group with values has one on either side of its quartiles."""
+    rows = rows.where(F.col(side).isNotNull())
+    if least <= 1:
+        return rows
+    n = rows.groupBy(*by).agg(F.count_if(F.col(side) == "HIGH").alias("_hi"), F.count_if(F.col(side) == "LOW").alias("_lo"))
+    return with_groups(rows, n.where((F.col("_hi") >= least) & (F.col("_lo") >= least)).drop("_hi", "_lo"), by)
 
 
 def quartile_split(df: DataFrame, by: Sequence[str], x: str, out: str, least: int = 15) -> DataFrame:
     """HIGH from the third quartile on, LOW up to the first; rows of groups with fewer than `least` on a side go."""
-    cuts = df.groupBy(*by).agg(F.percentile(x, F.lit(0.25)).alias("_q1"), F.percentile(x, F.lit(0.75)).alias("_q3"))
-    side = F.when(F.col(x) >= F.col("_q3"), "HIGH").when(F.col(x) <= F.col("_q1"), "LOW")
-    rows = with_groups(df, cuts, by).withColumn(out, side).where(F.col(out).isNotNull()).drop("_q1", "_q3")
-    n = rows.groupBy(*by).agg(F.count_if(F.col(out) == "HIGH").alias("_hi"), F.count_if(F.col(out) == "LOW").alias("_lo"))
-    return with_groups(rows, n.where((F.col("_hi") >= least) & (F.col("_lo") >= least)).drop("_hi", "_lo"), by)
+    return enough_on_both_sides(scaled(df, by, quartile_of(x, out)), by, out, least)
 
 
 def fallback_mask(df: DataFrame, by: Sequence[str], first: Column, second: Column, out: str = "mask", rule: str = "rule") -> DataFrame:
     """The first mask; in groups where it holds nowhere, the second. `rule` says which one was used."""
-    rows = with_groups(df, df.groupBy(*by).agg(F.count_if(first).alias("_used")), by)
-    used = F.col("_used") > 0
-    return rows.withColumn(rule, F.when(used, "primary").otherwise("fallback")).withColumn(out, F.coalesce(F.when(used, first).otherwise(second), F.lit(False))).drop("_used")
+    return scaled(df, by, fallback_of(first, second, out, rule))
 
 
 def quantile_code(df: DataFrame, by: Sequence[str], x: str, bins: int, out: str) -> DataFrame:
     """0 .. bins - 1 by quantile edges (equal edges count once); the lowest value belongs to the first bin."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.array(*[F.percentile(x, F.lit(i / bins)) for i in range(bins + 1)])).alias("_edges"))
-    code = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(x))) - 1, F.lit(0))
-    return with_groups(df, edges, by).withColumn(out, F.when(F.col(x).isNotNull(), code)).drop("_edges")
+    return scaled(df, by, quantile_of(x, bins, out))
 
 
 def relative_gain(df: DataFrame, by: Sequence[str], order: str, x: str, out: str) -> DataFrame:

@@ -247,3 +247,57 @@ def permanova(df: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequen
     seen = f.where("perm = 0").select(*by, "n", "labels", "f")
     hits = with_groups(f.where("perm > 0").select(*by, F.col("f").alias("_f")), seen.select(*by, "f"), by).groupBy(*by).agg(F.count_if(F.col("_f") >= F.col("f") - 1e-9).alias("_b"))
     return with_groups(seen, hits, by).withColumn("p", (F.col("_b") + 1.0) / (times + 1.0)).drop("_b")
+
+
+def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequence[str], covariate: str | None = None, times: int = 999, seed: str = "pseudo") -> DataFrame:
+    """(by.., n, mode, f, r2, p): pseudo-F of membership over vectors xs, given a covariate, with residuals dealt anew.
+
+    Squared residuals of (1, covariate) against those of (1, covariate, member), summed over xs; for p the residuals of the
+    smaller model are permuted by md5 of the key (rows in order of the key take residuals in order of the hash) and both
+    models are fitted again. Everything is a sum of products of the residuals with the centred covariate and with
+    what membership adds to it, so no vector of a group is gathered. Rows with a null flag, key or value, NaN or infinity are
+    left out. A covariate without variance is not used (mode group_only); f, r2 and p are null where membership adds no
+    direction or nothing is left over, or where n is at most the number of regressors.
+    """
+    from .ranks import scaled, settled, with_groups
+
+    names = [f"_y{i}" for i in range(len(xs))]
+    given = F.col(covariate).cast("double") if covariate else F.lit(0.0)
+    rows = df.select(*by, F.col(key).alias("_key"), F.col(member).cast("double").alias("_g"), given.alias("_m"), *[F.col(x).alias(n) for x, n in zip(xs, names, strict=True)])
+    rows = settled(finite_rows(rows, "_g", "_m", *names).where(F.col("_key").isNotNull()))
+    means = [F.avg(c) for c in ("_g", "_m", *names)]
+    rows = scaled(rows, by, (means, lambda c: {n: F.col(n) - m for n, m in zip(("_g", "_m", *names), c, strict=True)}))
+    # the covariate's slopes, then what it leaves of membership and of the values
+    slope = [F.try_divide(F.sum(F.col("_m") * F.col(c)), F.sum(F.col("_m") * F.col("_m"))) for c in ("_g", *names)]
+    used = F.sum(F.col("_m") * F.col("_m")) > 1e-18 * F.count(F.lit(1))
+    rest = lambda c: {n: F.col(n) - F.when(c[0], F.coalesce(b, F.lit(0.0)) * F.col("_m")).otherwise(0.0) for n, b in zip(("_g", *names), c[1:], strict=True)} | {"_used": c[0]}
+    rows = settled(scaled(settled(rows), by, ([used, *slope], rest)))
+    word = F.md5(F.concat_ws("|", F.lit(seed), "perm", F.col("_key").cast("string")))
+    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
+    # places along a group: by key for the regressors, by hash for the residuals
+    fixed = _places(rows.select(*by, "_key", "_g", "_m", "_used"), by, ["_key"]).drop("_key")
+    dealt = _places(perms.select(*by, "perm", "_key", *names), [*by, "perm"], [word, F.col("_key")]).drop("_key")
+    new = dealt.join(fixed, [*by, "_place"]) if by else dealt.join(fixed, "_place")
+    both = new.select(*by, "perm", "_g", "_m", "_used", *names).unionByName(rows.select(*by, F.lit(0).alias("perm"), "_g", "_m", "_used", *names))
+    square = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
+    sums = both.groupBy(*by, "perm", "_used").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(square).alias("_q"), F.sum(F.col("_g") * F.col("_g")).alias("_gg"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"),
+        *[F.sum(F.col(n) * F.col("_g")).alias(f"_b{i}") for i, n in enumerate(names)], *[F.sum(F.col(n) * F.col("_m")).alias(f"_a{i}") for i, n in enumerate(names)],
+    )
+    along = lambda t: sum((F.col(f"{t}{i}") * F.col(f"{t}{i}") for i in range(len(names))), F.lit(0.0))
+    small = F.col("_q") - F.when(F.col("_used"), F.try_divide(along("_a"), F.col("_mm"))).otherwise(0.0)
+    effect = F.when(F.col("_gg") > 1e-18 * F.col("n"), along("_b") / F.nullif("_gg", F.lit(0.0)))
+    left = F.col("n") - F.when(F.col("_used"), 3.0).otherwise(2.0)
+    f = sums.withColumns({"_small": small, "_effect": effect}).withColumn("f", F.when((left > 0) & (F.col("_small") - F.col("_effect") > 0), F.col("_effect") / ((F.col("_small") - F.col("_effect")) / F.nullif(left, F.lit(0.0)))))
+    f = settled(f.select(*by, "perm", "n", F.when(F.col("_used"), "group_plus_covariate").otherwise("group_only").alias("mode"), "f", F.try_divide("_effect", "_small").alias("r2")))
+    seen = f.where("perm = 0").select(*by, "n", "mode", "f", F.when(F.col("f").isNotNull(), F.col("r2")).alias("r2"))
+    hits = with_groups(f.where("perm > 0 and f is not null").select(*by, F.col("f").alias("_f")), seen.select(*by, F.col("f").alias("_o")), by)
+    hits = hits.groupBy(*by).agg(F.count_if(F.col("_f") >= F.col("_o") - 1e-9).alias("_b"), F.count(F.lit(1)).alias("_c"))
+    return with_groups(seen, hits, by, "left").select(*by, "n", "mode", "f", "r2", F.when(F.col("f").isNotNull(), (F.col("_b") + 1.0) / (F.col("_c") + 1.0)).alias("p"))
+
+
+def _places(df: DataFrame, by: Sequence[str], order) -> DataFrame:
+    """df with _place, a row's number within its group; ranges count apart."""
+    from .ranks import running_sum
+
+    return running_sum(df, by, order, F.lit(1), "_place")

@@ -266,18 +266,19 @@ def circularity(signature: DataFrame, markers: DataFrame, by: Sequence[str], gen
 def spatial_blocks(df: DataFrame, by: Sequence[str], row: str, column: str, side: int, least: int, out: str = "block") -> DataFrame:
     """Block ids from quantile codes of row and column: the largest side up to `side` that gives at least `least` blocks with rows.
 
-    All sides are tried in one pass over their codes; if none is enough, side 1.
+    The edges of all sides come from one aggregate, the codes of all sides from one join; if no side is enough, side 1.
     """
-    from .ranks import quantile_code
-
-    rows = df
-    for n in range(side, 0, -1):
-        rows = quantile_code(quantile_code(rows, by, row, n, "_r"), by, column, n, "_c")
-        rows = rows.withColumn(f"_b{n}", F.col("_r") * n + F.col("_c")).drop("_r", "_c")
-    n = rows.groupBy(*by).agg(*[F.countDistinct(f"_b{n}").alias(f"_n{n}") for n in range(1, side + 1)])
-    use = F.coalesce(*[F.when(F.col(f"_n{n}") >= least, n) for n in range(side, 0, -1)], F.lit(1))
-    rows = with_groups(rows, n.withColumn("_use", use).select(*by, "_use"), by)
-    block = F.coalesce(*[F.when(F.col("_use") == n, F.col(f"_b{n}")) for n in range(1, side + 1)])
+    from .ranks import fresh, quantile_of, scaled, settled
+
+    own = fresh(df, "_block")
+    sides = range(1, side + 1)
+    codes = [quantile_of(c, n, f"{own}_{i}{n}") for n in sides for i, c in enumerate((row, column))]
+    rows = scaled(df, by, *codes).withColumns({f"{own}_{n}": F.col(f"{own}_0{n}") * n + F.col(f"{own}_1{n}") for n in sides})
+    rows = settled(rows.select(*df.columns, *[f"{own}_{n}" for n in sides]))
+    n = rows.groupBy(*by).agg(*[F.countDistinct(f"{own}_{n}").alias(f"{own}_n{n}") for n in sides])
+    use = F.coalesce(*[F.when(F.col(f"{own}_n{n}") >= least, n) for n in reversed(sides)], F.lit(1))
+    rows = with_groups(rows, n.withColumn(f"{own}_use", use).select(*by, f"{own}_use"), by)
+    block = F.coalesce(*[F.when(F.col(f"{own}_use") == n, F.col(f"{own}_{n}")) for n in sides])
     return rows.withColumn(out, block).select(*df.columns, out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ratio
+from quillon.functions.scalars import finite, ratio
 
 from .ranks import over, top_n, with_groups, z_score
 from .statistics import mann_whitney
@@ -72,11 +72,12 @@ def markers(expr: DataFrame, gene: str, x: str, group: str, n: int = 50) -> Data
 
 
 def signature_variants(weights: DataFrame, gene: str, weight: str, n: int = 50) -> DataFrame:
-    """(variant, gene, weight): all, positive, negative, strongest n, and signs alone."""
-    w = weights.select(gene, F.col(weight).cast("double").alias("weight")).where("weight is not null")
-    ranked = w.withColumn("_r", F.row_number().over(over([], F.abs("weight").desc(), F.col(gene))))
+    """(variant, gene, weight): all, positive, negative, strongest n, and signs alone; NaN and infinite weights are left out."""
+    w = weights.select(gene, finite(weight).alias("weight")).where("weight is not null")
+    # the strongest n alone: a limit by order, which keeps n rows of each task
+    strongest = w.orderBy(F.abs("weight").desc(), F.col(gene)).limit(n)
     one = lambda name, df, value=F.col("weight"): df.select(F.lit(name).alias("variant"), gene, value.alias("weight"))
-    return one("all", w).union(one("positive", w.where("weight > 0"))).union(one("negative", w.where("weight < 0"))).union(one("strongest", ranked.where(F.col("_r") <= n))).union(one("signs", w.where("weight <> 0"), F.signum("weight")))
+    return one("all", w).union(one("positive", w.where("weight > 0"))).union(one("negative", w.where("weight < 0"))).union(one("strongest", strongest)).union(one("signs", w.where("weight <> 0"), F.signum("weight")))
 
 
 def variant_summary(variants: DataFrame) -> DataFrame:

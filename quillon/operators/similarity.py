@@ -9,20 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, ratio
 
-from .ranks import discard, keep_first, over, settled, with_groups
-
-
-def wrapped(by: Sequence[str]) -> dict[str, str]:
-    """Names of our own for group columns. As structs (see wrap) null keys join like any other, and no column of ours clashes with them."""
-    return {c: f"_by_{i}" for i, c in enumerate(by)}
-
-
-def wrap(df: DataFrame, by: Sequence[str], *columns) -> DataFrame:
-    return df.select(*[F.struct(F.col(c).alias("key")).alias(n) for c, n in wrapped(by).items()], *columns)
-
-
-def unwrap(by: Sequence[str]) -> list:
-    return [F.col(f"{n}.key").alias(c) for c, n in wrapped(by).items()]
+from .ranks import discard, keep_first, over, settled, unwrap, with_groups, wrap, wrapped
 
 
 def set_overlaps(items: DataFrame, by: Sequence[str], owner: str, item: str, most_owners: int | None = None) -> DataFrame:
@@ -148,8 +135,8 @@ def medoid(pairs: DataFrame, members: DataFrame, sim: str) -> DataFrame:
 
 
 def agreement(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings of the rows."""
-    n = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings of the rows that have both."""
+    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
     two = lambda x: x * (x - 1.0) / 2.0
     plogp = lambda x, t: x / t * F.ln(x / t)
     total = n.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(two(F.col("n"))).alias("sij"))

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ratio
+from quillon.functions.scalars import finite, ratio
 
-from .ranks import over, settled, top_n, with_groups, z_score
+from .ranks import centred_of, over, scaled, settled, top_n, with_groups, z_score
 from .statistics import finite_rows, pearson, spearman
 
 #: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
@@ -65,8 +65,8 @@ def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k:
 
 
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, values: Sequence[str]) -> DataFrame:
-    """The mean of each value over a node's neighbours; nodes without neighbours are left out."""
-    v = nodes.select(*by, F.col(node).alias("dst"), *values)
+    """The mean of each value over a node's neighbours that have it (NaN and infinities do not); nodes without neighbours are left out."""
+    v = nodes.select(*by, F.col(node).alias("dst"), *[finite(c).alias(c) for c in values])
     return edges.join(v, [*by, "dst"]).groupBy(*by, F.col("src").alias(node)).agg(F.count(F.lit(1)).alias("neighbours"), *[F.avg(c).alias(f"mean_{c}") for c in values])
 
 
@@ -82,8 +82,8 @@ def rings(edges: DataFrame, seeds: DataFrame, by: Sequence[str], node: str, n: i
 
 
 def moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
-    """Global Moran's I with binary weights (directed edges)."""
-    z = nodes.where(F.col(x).isNotNull()).withColumn("z", F.col(x) - F.avg(x).over(over(by))).select(*by, F.col(node).alias("node"), "z")
+    """Global Moran's I with binary weights (directed edges) over nodes with a finite x."""
+    z = scaled(finite_rows(nodes, x), by, centred_of(x, "z")).select(*by, F.col(node).alias("node"), "z")
     base = z.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz"))
     cross = edges.join(z.withColumnRenamed("node", "src").withColumnRenamed("z", "a"), [*by, "src"]).join(z.withColumnRenamed("node", "dst").withColumnRenamed("z", "b"), [*by, "dst"])
     w = cross.groupBy(*by).agg(F.count(F.lit(1)).alias("w"), F.sum(F.col("a") * F.col("b")).alias("ab"))
@@ -91,9 +91,8 @@ def moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: s
 
 
 def local_moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
-    """z, the neighbours' mean z, local I and its quadrant, for nodes with neighbours."""
-    sd = F.stddev_pop(x).over(over(by))
-    z = nodes.where(F.col(x).isNotNull()).withColumn("z", F.when(sd > 1e-12, (F.col(x) - F.avg(x).over(over(by))) / sd)).where("z is not null").select(*by, F.col(node).alias("node"), "z")
+    """z, the neighbours' mean z, local I and its quadrant, for nodes with a finite x and neighbours."""
+    z = z_score(finite_rows(nodes, x), by, x, "z").where("z is not null").select(*by, F.col(node).alias("node"), "z")
     lag = edges.join(z.select(*by, F.col("node").alias("dst"), F.col("z").alias("b")), [*by, "dst"]).groupBy(*by, F.col("src").alias("node")).agg(F.avg("b").alias("lag"))
     out = z.join(lag, [*by, "node"])
     name = F.concat(F.when(F.col("z") > 0, "High").otherwise("Low"), F.lit("-"), F.when(F.col("lag") > 0, "High").otherwise("Low"))
@@ -116,7 +115,7 @@ def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: st
     The permutations are those of `permuted`, dealt to tasks in blocks; a task holds one group's nodes, edges
     and one permutation, and gives back counts only.
     """
-    z = z_score(nodes.where(F.col(x).isNotNull()), by, x, "_z").where("_z is not null").select(*by, F.col(node).alias("_node"), "_z")
+    z = z_score(finite_rows(nodes, x), by, x, "_z").where("_z is not null").select(*by, F.col(node).alias("_node"), "_z")
     near = edges.join(z.select(*by, F.col("_node").alias("dst")), [*by, "dst"]).groupBy(*by, F.col("src").alias("_node")).agg(F.collect_list("dst").alias("_near"))
     whole = z.join(near, [*by, "_node"], "left").withColumn("_name", F.col("_node").cast("string"))
     dealt = whole.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(min(times, blocks) - 1))))
@@ -143,7 +142,7 @@ def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: st
 
 def getis_ord(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
     """Gi* of each node with itself among its neighbours (binary weights)."""
-    v = nodes.where(F.col(x).isNotNull()).select(*by, F.col(node).alias("dst"), F.col(x).cast("double").alias("x"))
+    v = nodes.select(*by, F.col(node).alias("dst"), finite(x).alias("x")).where("x is not null")
     all_of = v.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     loops = v.select(*by, F.col("dst").alias("src"), "dst")
     near = edges.unionByName(loops).join(v, [*by, "dst"]).groupBy(*by, "src").agg(F.sum("x").alias("sx"), F.count(F.lit(1)).cast("double").alias("w"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions.distributions import binomial_p, chi_square_p, fisher_p, normal_p, signed_rank_p, student_p
 from quillon.functions.scalars import finite, fisher_z, ratio
 
-from .ranks import over, rank_average, with_groups
+from .ranks import Ranges, fresh, over, rank_average, unwrap, with_groups, wrap, wrapped
 
 
 def finite_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -27,11 +27,14 @@ def finite_columns(df: DataFrame, *columns: str) -> DataFrame:
 
 def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """n, mean, sample sd, quartiles, interquartile range, ends and the 95 % interval of the mean."""
-    cuts = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    out = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), cuts, F.max(x).alias("max"))
-    out = out.select(*by, "n", "mean", "sd", "min", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "max")
+    v = finite(x)
+    g = wrap(df, by, v.alias("v")).groupBy(*wrapped(by).values()).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
     half = F.lit(1.96) * F.col("sd") / F.sqrt(F.col("n"))
-    return out.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
+    q = lambda i: F.get("q", F.lit(i))
+    return g.select(
+        *unwrap(by), "n", "mean", "sd", "min", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "max",
+        (q(2) - q(0)).alias("iqr"), (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"),
+    )
 
 
 def moments(df: DataFrame, by: Sequence[str], x: str, least: int = 4, bimodal: float = 0.555) -> DataFrame:
@@ -48,8 +51,11 @@ def moments(df: DataFrame, by: Sequence[str], x: str, least: int = 4, bimodal: f
 
 
 def label_entropy(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
-    """Shannon entropy (natural log) of label shares, the number of labels and the most frequent one (a tie: the smallest)."""
-    n = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    """Shannon entropy (natural log) of label shares, the number of labels and the most frequent one (a tie: the smallest).
+
+    Rows without a label count for nothing.
+    """
+    n = df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     p = n.withColumn("p", ratio("n", F.sum("n").over(over(by))))
     return p.groupBy(*by).agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count(F.lit(1)).alias("labels"), F.min(F.struct((-F.col("n")).alias("k"), F.col(label).alias("l"))).getField("l").alias("mode"))
 
@@ -61,15 +67,15 @@ def between_within(df: DataFrame, by: Sequence[str], group: str, x: str) -> Data
 
 
 def contingency(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Counts of pairs of labels with row share, column share and the Jaccard index of the two labels' rows."""
-    n = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of pairs of labels with row share, column share and the Jaccard index of the two labels' rows; rows that lack a label count for nothing."""
+    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("na", F.sum("n").over(over([*by, a]))).withColumn("nb", F.sum("n").over(over([*by, b])))
     return n.select(*by, a, b, "n", ratio("n", "na").alias("row_share"), ratio("n", "nb").alias("column_share"), ratio("n", F.col("na") + F.col("nb") - F.col("n")).alias("jaccard"))
 
 
 def chi_square(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Statistic and degrees of freedom of a contingency table, without continuity correction."""
-    n = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+    """Statistic and degrees of freedom of a contingency table, without continuity correction; rows that lack a label count for nothing."""
+    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("na", F.sum("n").over(over([*by, a]))).withColumn("nb", F.sum("n").over(over([*by, b])))
     out = n.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(ratio(F.col("n").cast("double") * F.col("n"), F.col("na") * F.col("nb"))).alias("s"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"))
     return out.select(*by, (F.col("total") * (F.col("s") - 1.0)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"))
@@ -205,20 +211,25 @@ def sign_test(df: DataFrame, by: Sequence[str], x: str, p0: float = 0.5) -> Data
 
 
 def adjust(df: DataFrame, family: Sequence[str], p: str, key: str) -> DataFrame:
-    """Benjamini-Hochberg, Holm and Bonferroni values within families; rows without p count for nothing.
+    """Benjamini-Hochberg, Holm and Bonferroni values within families; rows without p, or with NaN for it, count for nothing.
 
-    Equal p-values are ordered by key, which changes no adjusted value.
+    Equal p-values are ordered by key, which changes no adjusted value. Ranges of a family's p-values pass on their
+    counts and extremes, so no task holds a family.
     """
-    rows = df.where(F.col(p).isNotNull())
-    up = over(family, F.col(p), F.col(key))
-    n = F.count(F.lit(1)).over(over(family)).cast("double")
-    rows = rows.withColumn("_i", F.row_number().over(up)).withColumn("_n", n)
-    raw_bh, raw_holm = F.col(p) * F.col("_n") / F.col("_i"), F.col(p) * (F.col("_n") - F.col("_i") + 1)
-    rows = rows.withColumn("_bh", raw_bh).withColumn("_holm", raw_holm)
-    bh = F.min("_bh").over(up.rowsBetween(0, Window.unboundedFollowing))
-    holm = F.max("_holm").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    one = F.lit(1.0)
-    return rows.withColumn("bh", F.least(one, bh)).withColumn("holm", F.least(one, holm)).withColumn("bonferroni", F.least(one, F.col(p) * F.col("_n"))).drop("_i", "_n", "_bh", "_holm")
+    at = fresh(df, "_p")
+    r = Ranges(df.withColumn(at, finite(p)).where(F.col(at).isNotNull()), family, [at, key])
+    up = r.within()
+    counts = r.totals(r.rows, F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*r.group)
+    counts = counts.select(*r.part, F.coalesce(F.sum("_c").over(r.before()), F.lit(0)).alias(f"{at}_before"), F.sum("_c").over(whole).cast("double").alias(f"{at}_n"))
+    i, n, own = F.col(f"{at}_before") + F.row_number().over(up), F.col(f"{at}_n"), F.col(at)
+    rows = r.join(r.rows, counts).withColumn(f"{at}_i", i)
+    rows = rows.withColumns({f"{at}_bh": own * n / F.col(f"{at}_i"), f"{at}_holm": own * (n - F.col(f"{at}_i") + 1)})
+    ends = r.totals(rows, F.min(f"{at}_bh").alias("_lo"), F.max(f"{at}_holm").alias("_hi"))
+    ends = ends.select(*r.part, F.min("_lo").over(r.after()).alias(f"{at}_later"), F.max("_hi").over(r.before()).alias(f"{at}_sooner"))
+    bh = F.least(F.min(f"{at}_bh").over(up.rowsBetween(0, Window.unboundedFollowing)), F.col(f"{at}_later"), F.lit(1.0))
+    holm = F.least(F.greatest(F.max(f"{at}_holm").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"{at}_sooner")), F.lit(1.0))
+    return r.join(rows, ends).select(*df.columns, bh.alias("bh"), holm.alias("holm"), F.least(F.lit(1.0), own * n).alias("bonferroni"))
 
 
 def correlation_gap(r1: Column | str, n1: Column | str, r2: Column | str, n2: Column | str) -> Column:

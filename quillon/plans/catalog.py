@@ -389,7 +389,7 @@ def term_enrichment_p(t: Tables) -> DataFrame:
     CASE WHEN price >= avg(price) OVER w + stddev_pop(price) OVER w THEN 'HIGH' WHEN price <= avg(price) OVER w - stddev_pop(price) OVER w THEN 'LOW' ELSE 'MID' END AS level FROM spots WINDOW w AS (PARTITION BY dataset, sample)"""
 )
 def scaled_spots(t: Tables) -> DataFrame:
-    x = ranks.sd_groups(ranks.share(ranks.min_max(ranks.z_score(t.spots(), BY, "price", "z"), BY, "quantity", "scaled"), BY, "price", "share"), BY, "price", "level")
+    x = ranks.scaled(t.spots(), BY, ranks.z_of("price", "z"), ranks.min_max_of("quantity", "scaled"), ranks.share_of("price", "share"), ranks.sd_level_of("price", "level"))
     return x.select(*BY, "spot", (F.round("z", 5) + F.lit(0.0)).alias("z"), F.round("scaled", 5).alias("scaled"), F.round("share", 9).alias("share"), "level")
 
 

@@ -318,9 +318,9 @@ def elbow_curves(t: Tables) -> DataFrame:
 )
 def spot_groups(t: Tables) -> DataFrame:
     """Quartile sides, quantile codes, library-size normalisation and a mask with a fallback."""
-    x = ranks.quantile_code(t.spots(), BY, "quantity", 4, "code")
-    x = ranks.fallback_mask(ranks.log_normalised(x, BY, "price", "logged"), BY, (F.col("quantity") > 49.5) & (F.col("discount") > 0.095), F.col("quantity") > 40)
-    return ranks.quartile_split(x, BY, "price", "side", 1).select(*BY, "spot", "side", F.col("code").cast("int").alias("code"), F.round("logged", 6).alias("logged"), "rule", "mask")
+    mask = ranks.fallback_of((F.col("quantity") > 49.5) & (F.col("discount") > 0.095), F.col("quantity") > 40)
+    x = ranks.scaled(t.spots(), BY, ranks.quantile_of("quantity", 4, "code"), ranks.log_of("price", "logged"), mask, ranks.quartile_of("price", "side"))
+    return ranks.enough_on_both_sides(x, BY, "side", 1).select(*BY, "spot", "side", F.col("code").cast("int").alias("code"), F.round("logged", 6).alias("logged"), "rule", "mask")
 
 
 @query("WITH m AS (SELECT p_type, quantile_cont(CAST(p_retailprice AS DOUBLE), 0.5) AS m FROM part GROUP BY 1), c AS (SELECT p_type, row_number() OVER (ORDER BY m, p_type) - 1 AS code FROM m) SELECT p_partkey, CAST(code AS INTEGER) AS code FROM part JOIN c USING (p_type)")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import shutil
 import tempfile
 import uuid
@@ -82,6 +84,32 @@ def fresh(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
+def any_group_name(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets the group columns of an operator with a `by` have any name, also one that the operator gives to its own columns.
+
+    Tables that have all group columns are read under other names for these, and the result gets the names back.
+    """
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(*args, **options):
+        bound = signature.bind(*args, **options)
+        by = list(bound.arguments["by"])
+        tables = {k: v for k, v in bound.arguments.items() if isinstance(v, DataFrame) and set(by) <= set(v.columns)}
+        prefix = "_by_"
+        for df in tables.values():
+            prefix = fresh(df, prefix)
+        names = {c: f"{prefix}{i}" for i, c in enumerate(by)}
+        for k, df in tables.items():
+            bound.arguments[k] = df.withColumnsRenamed(names)
+        bound.arguments["by"] = list(names.values())
+        out = operator(*bound.args, **bound.kwargs)
+        back = {n: c for c, n in names.items()}
+        return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns])
+
+    return run
+
+
 class Ranges:
     """A table dealt by ranges of (group, order) and written, so that what runs along a group needs no task with the whole group.
 

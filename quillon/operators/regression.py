@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import any_group_name
 from .statistics import finite_rows
 
 
@@ -225,6 +226,7 @@ def nested_f(df: DataFrame, by: Sequence[str], small: Sequence[str], large: Sequ
     return x.withColumn("d1", F.lit(d1)).withColumn("d2", d2.cast("double")).withColumn("p", f_p("f", "d1", "d2")).drop("_small", "_large")
 
 
+@any_group_name
 def permanova(df: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequence[str], times: int = 199, seed: str = "permanova") -> DataFrame:
     """Pseudo-F of a label over vectors (squared Euclidean distance) with p by labels dealt anew in md5 order.
 
@@ -249,6 +251,7 @@ def permanova(df: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequen
     return with_groups(seen, hits, by).withColumn("p", (F.col("_b") + 1.0) / (times + 1.0)).drop("_b")
 
 
+@any_group_name
 def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequence[str], covariate: str | None = None, times: int = 999, seed: str = "pseudo") -> DataFrame:
     """(by.., n, mode, f, r2, p): pseudo-F of membership over vectors xs, given a covariate, with residuals dealt anew.
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, ratio
 
-from .ranks import centred_of, over, scaled, settled, top_n, with_groups, z_score
+from .ranks import any_group_name, centred_of, over, scaled, settled, top_n, with_groups, z_score
 from .statistics import finite_rows, pearson, spearman
 
 #: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
 HEX = ((0, -2), (0, 2), (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 
+@any_group_name
 def lattice_edges(nodes: DataFrame, by: Sequence[str], node: str, row: str, column: str, offsets=HEX) -> DataFrame:
     """(by.., src, dst) of nodes whose coordinates differ by an offset: one hash join."""
     near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets]))
@@ -64,12 +65,14 @@ def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k:
     return _near(sources, p, by, k, cell).select(*by, "src", "dst", "rank", F.sqrt("d2").alias("distance"))
 
 
+@any_group_name
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, values: Sequence[str]) -> DataFrame:
     """The mean of each value over a node's neighbours that have it (NaN and infinities do not); nodes without neighbours are left out."""
     v = nodes.select(*by, F.col(node).alias("dst"), *[finite(c).alias(c) for c in values])
     return edges.join(v, [*by, "dst"]).groupBy(*by, F.col("src").alias(node)).agg(F.count(F.lit(1)).alias("neighbours"), *[F.avg(c).alias(f"mean_{c}") for c in values])
 
 
+@any_group_name
 def rings(edges: DataFrame, seeds: DataFrame, by: Sequence[str], node: str, n: int) -> DataFrame:
     """(by.., node, ring): ring 0 are the seeds, ring i what i steps reach first."""
     seen = seeds.select(*by, F.col(node).alias("node")).distinct().withColumn("ring", F.lit(0))
@@ -81,6 +84,7 @@ def rings(edges: DataFrame, seeds: DataFrame, by: Sequence[str], node: str, n: i
     return seen
 
 
+@any_group_name
 def moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
     """Global Moran's I with binary weights (directed edges) over nodes with a finite x."""
     z = scaled(finite_rows(nodes, x), by, centred_of(x, "z")).select(*by, F.col(node).alias("node"), "z")
@@ -90,6 +94,7 @@ def moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: s
     return base.join(w, list(by)).select(*by, "n", "w", F.when(F.col("zz") > 1e-12, F.col("n") / F.col("w").cast("double") * F.col("ab") / F.nullif("zz", F.lit(0.0))).alias("moran_i"))
 
 
+@any_group_name
 def local_moran(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
     """z, the neighbours' mean z, local I and its quadrant, for nodes with a finite x and neighbours."""
     z = z_score(finite_rows(nodes, x), by, x, "z").where("z is not null").select(*by, F.col(node).alias("node"), "z")
@@ -109,6 +114,7 @@ def permuted(nodes: DataFrame, by: Sequence[str], node: str, x: str, times: int,
     return dealt.select(*by, "perm", F.col("_i").alias("_k"), "node").join(dealt.select(*by, "perm", F.col("_j").alias("_k"), "x"), [*by, "perm", "_k"]).select(*by, "perm", F.col("node").alias(node), "x")
 
 
+@any_group_name
 def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str, times: int = 99, seed: str = "lisa", blocks: int = 32) -> DataFrame:
     """Local Moran with the share of permutations at least as extreme, (b + 1) / (m + 1).
 
@@ -140,6 +146,7 @@ def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: st
     return local_moran(nodes, edges, by, node, x).join(p, [*by, node])
 
 
+@any_group_name
 def getis_ord(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str) -> DataFrame:
     """Gi* of each node with itself among its neighbours (binary weights)."""
     v = nodes.select(*by, F.col(node).alias("dst"), finite(x).alias("x")).where("x is not null")

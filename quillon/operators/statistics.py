@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions.distributions import binomial_p, chi_square_p, fisher_p, normal_p, signed_rank_p, student_p
 from quillon.functions.scalars import finite, fisher_z, ratio
 
-from .ranks import Ranges, fresh, over, rank_average, unwrap, with_groups, wrap, wrapped
+from .ranks import Ranges, any_group_name, fresh, over, rank_average, unwrap, with_groups, wrap, wrapped
 
 
 def finite_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,6 +37,7 @@ def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     )
 
 
+@any_group_name
 def moments(df: DataFrame, by: Sequence[str], x: str, least: int = 4, bimodal: float = 0.555) -> DataFrame:
     """Population skewness, excess kurtosis, bias-adjusted skewness, coefficient of variation and bimodality."""
     m = finite_columns(df, x).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
@@ -50,6 +51,7 @@ def moments(df: DataFrame, by: Sequence[str], x: str, least: int = 4, bimodal: f
     )
 
 
+@any_group_name
 def label_entropy(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     """Shannon entropy (natural log) of label shares, the number of labels and the most frequent one (a tie: the smallest).
 
@@ -60,12 +62,14 @@ def label_entropy(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     return p.groupBy(*by).agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count(F.lit(1)).alias("labels"), F.min(F.struct((-F.col("n")).alias("k"), F.col(label).alias("l"))).getField("l").alias("mode"))
 
 
+@any_group_name
 def between_within(df: DataFrame, by: Sequence[str], group: str, x: str) -> DataFrame:
     """Variance of group means over the mean of group variances, both population."""
     g = finite_columns(df, x).groupBy(*by, group).agg(F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     return g.groupBy(*by).agg(F.var_pop("m").alias("between"), F.avg("v").alias("within")).withColumn("ratio", ratio("between", "within"))
 
 
+@any_group_name
 def contingency(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Counts of pairs of labels with row share, column share and the Jaccard index of the two labels' rows; rows that lack a label count for nothing."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
@@ -73,6 +77,7 @@ def contingency(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     return n.select(*by, a, b, "n", ratio("n", "na").alias("row_share"), ratio("n", "nb").alias("column_share"), ratio("n", F.col("na") + F.col("nb") - F.col("n")).alias("jaccard"))
 
 
+@any_group_name
 def chi_square(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Statistic and degrees of freedom of a contingency table, without continuity correction; rows that lack a label count for nothing."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
@@ -87,6 +92,7 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.when((n >= 3) & (F.var_pop(x) > 1e-24) & (F.var_pop(y) > 1e-24), both / F.sqrt(F.nullif(F.var_pop(x) * F.var_pop(y), F.lit(0.0))))
 
 
+@any_group_name
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return finite_rows(df, x, y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col(x), F.col(y)).alias("r"))
 
@@ -99,12 +105,14 @@ def correlation_p(r: str, n: str, covariates: int = 0) -> Column:
     return student_p(F.when(df > 0, t), df)
 
 
+@any_group_name
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson's r of average ranks over rows with both values."""
     rows = rank_average(rank_average(finite_rows(df, x, y), by, x, "_rx"), by, y, "_ry")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_rx"), F.col("_ry")).alias("rho"))
 
 
+@any_group_name
 def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, given: str) -> DataFrame:
     """Correlation of ranks with one covariate's rank taken out, from the three rank correlations."""
     rows = finite_rows(df, x, y, given)
@@ -115,6 +123,7 @@ def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, given: st
     return r.select(*by, "n", F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / F.sqrt(low)).alias("rho"))
 
 
+@any_group_name
 def correlation_pairs(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Pearson's r of every pair of columns, long."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import catalog, catalog_graphs, catalog_joins, catalog_models, catalog_more, catalog_reports, catalog_sources, catalog_spatial  # noqa: F401  they fill the registry
+from quillon.plans import catalog, catalog_factors, catalog_graphs, catalog_joins, catalog_models, catalog_more, catalog_reports, catalog_sources, catalog_spatial  # noqa: F401  they fill the registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

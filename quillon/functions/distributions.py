@@ -99,12 +99,41 @@ def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _rowwise(lambda x, a, b: np.where((a > 0) & (b > 0), beta_inc(np.maximum(b, 1e-9) / 2, np.maximum(a, 1e-9) / 2, b / (b + a * np.maximum(x, 0))), np.nan), f, d1, d2)
 
 
+def _bound(log_mass, best: float, low: int, high: int, rising: bool) -> int:
+    """Between low and high, where log_mass only rises (falls), the last (first) outcome of at most this log mass; low - 1 (high + 1) without any."""
+    if rising:
+        a, b = low - 1, high
+        while a < b:
+            m = (a + b + 1) // 2
+            a, b = (m, b) if log_mass(m) <= best else (a, m - 1)
+        return a
+    a, b = low, high + 1
+    while a < b:
+        m = (a + b) // 2
+        a, b = (a, m) if log_mass(m) <= best else (m + 1, b)
+    return a
+
+
+#: How much likelier than the observed outcome one may seem and still count as equally likely.
+_SLACK = math.log1p(1e-7)
+
+
 def _binomial(k: float, n: float, p0: float) -> float:
-    i = np.arange(int(n) + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = math.lgamma(n + 1) - _lgamma(i + 1.0) - _lgamma(n - i + 1.0) + np.where(i > 0, i * np.log(p0), 0) + np.where(i < n, (n - i) * np.log1p(-p0), 0)
-    mass = np.exp(log)
-    return float(min(1.0, mass[mass <= mass[int(k)] * (1 + 1e-7)].sum()))
+    """Both tails by the incomplete beta function: outcomes are no likelier than k up to a bound on either side of the mode."""
+    k, n = int(k), int(n)
+    if n == 0:
+        return 1.0
+    if not 0 < p0 < 1:
+        return 1.0 if k == (n if p0 >= 1 else 0) else 0.0
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p0) + (n - i) * math.log1p(-p0)
+    mode, best = min(n, int((n + 1) * p0)), log(k) + _SLACK
+    low, high = _bound(log, best, 0, mode, True), _bound(log, best, mode, n, False)
+    if low >= mode or high <= mode:
+        return 1.0
+    one = lambda a, b, x: float(beta_inc(np.array([float(a)]), np.array([float(b)]), np.array([x]))[0])
+    below = one(n - low, low + 1, 1 - p0) if low >= 0 else 0.0
+    above = one(high, n - high + 1, p0) if high <= n else 0.0
+    return min(1.0, below + above)
 
 
 @F.pandas_udf(DoubleType())
@@ -113,17 +142,34 @@ def binomial_p(k: pd.Series, n: pd.Series, p0: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b, c: np.array([_binomial(*x) for x in zip(a, b, c)]), k, n, p0)
 
 
-def _hypergeometric_mass(total: int, marked: int, drawn: int) -> tuple[int, np.ndarray]:
-    low, high = max(0, drawn - (total - marked)), min(marked, drawn)
-    i = np.arange(low, high + 1, dtype=float)
-    comb = lambda n, k: _lgamma(n + 1.0) - _lgamma(k + 1.0) - _lgamma(n - k + 1.0)
-    return low, np.exp(comb(float(marked), i) + comb(float(total - marked), drawn - i) - comb(float(total), float(drawn)))
+def _outward(first: int, step: int, mass: float, total: int, marked: int, drawn: int, low: int, high: int) -> float:
+    """The sum of hypergeometric masses from `first` on, away from the mode, a bounded number of terms at a time until they no longer count."""
+    out, i, width = 0.0, first, 4096
+    while mass > 0 and low <= i <= high:
+        at = np.arange(i, max(low - 1, i - width) if step < 0 else min(high + 1, i + width), step, dtype=float)
+        up = (marked - at) * (drawn - at) / ((at + 1) * (total - marked - drawn + at + 1))
+        down = at * (total - marked - drawn + at) / ((marked - at + 1) * (drawn - at + 1))
+        terms = mass * np.cumprod(np.concatenate([[1.0], (up if step > 0 else down)]))
+        out += float(terms[:-1].sum())
+        mass, i = float(terms[-1]), i + step * len(at)
+        if mass < 1e-18 * out:
+            break
+    return out
 
 
 def _fisher(a: float, b: float, c: float, d: float) -> tuple[float, float]:
-    low, mass = _hypergeometric_mass(int(a + b + c + d), int(a + b), int(a + c))
-    at = int(a) - low
-    return min(1.0, float(mass[at:].sum())), min(1.0, float(mass[mass <= mass[at] * (1 + 1e-7)].sum()))
+    """(upper tail, both tails) summed outwards from the observed outcome and from its equal on the other side of the mode."""
+    total, marked, drawn, k = int(a + b + c + d), int(a + b), int(a + c), int(a)
+    low, high = max(0, drawn - (total - marked)), min(marked, drawn)
+    comb = lambda n, i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+    log = lambda i: comb(marked, i) + comb(total - marked, drawn - i) - comb(total, drawn)
+    mode = min(high, max(low, (marked + 1) * (drawn + 1) // (total + 2)))
+    tail = lambda i, step: _outward(i, step, math.exp(log(i)) if low <= i <= high else 0.0, total, marked, drawn, low, high)
+    greater = tail(k, 1) if k > mode else 1.0 - tail(k - 1, -1)
+    best = log(k) + _SLACK
+    left, right = _bound(log, best, low, mode, True), _bound(log, best, mode, high, False)
+    both = 1.0 if left >= mode or right <= mode else tail(left, -1) + tail(right, 1)
+    return min(1.0, max(0.0, greater)), min(1.0, both)
 
 
 @F.pandas_udf(StructType([StructField("p_greater", DoubleType()), StructField("p_two_sided", DoubleType())]))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.linear import eigenvectors
 from quillon.functions.scalars import finite
 
 from .ranks import discard, settled
@@ -171,8 +172,8 @@ def principal_components(long: DataFrame, node: str, feature: str, x: str, k: in
     """((node, component, value), (component, share, feature, loading)) of features scaled to unit variance and cut off at `largest`.
 
     A place without a row is 0. Features without variance are 0. Range finding by blocks: a pass multiplies k + 10
-    directions with the covariance, QR and Rayleigh-Ritz follow, until the residuals of the first k are at most
-    `tolerance` of the largest eigenvalue (or `passes` are over, which is an error). A component's largest loading is positive.
+    directions with the covariance (see eigenvectors), until the residuals of the first k are at most `tolerance` of the
+    largest eigenvalue (or `passes` are over, which is an error). A component's largest loading is positive.
     """
     rows = SparseRows(long, node, feature, x)
     p, n = len(rows.names), rows.count
@@ -187,8 +188,6 @@ def principal_components(long: DataFrame, node: str, feature: str, x: str, k: in
     scale = lambda b: np.clip((b - mean) / sd, -largest, largest)
     centre = rows.total(p, lambda t, b: np.add(t, scale(b).sum(0), out=t)) / n
     trace = rows.total(1, lambda t, b: np.add(t, ((scale(b) - centre) ** 2).sum(), out=t))[0] / max(n - 1, 1)
-    q = np.linalg.qr(np.random.default_rng(5).normal(size=(p, min(p, k + 10))))[0]
-
     def times(block: np.ndarray) -> np.ndarray:
         def add(t: np.ndarray, b: np.ndarray) -> None:
             z = scale(b) - centre
@@ -196,17 +195,7 @@ def principal_components(long: DataFrame, node: str, feature: str, x: str, k: in
 
         return rows.total(block.size, add).reshape(block.shape) / max(n - 1, 1)
 
-    for _ in range(passes):
-        y = times(q)
-        e, u = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-        e, u = e[::-1], u[:, ::-1]
-        ritz = q @ u
-        if np.linalg.norm((y @ u - ritz * e)[:, :k], axis=0).max() <= tolerance * max(e[0], 1e-300) or q.shape[1] == p:
-            break
-        q = np.linalg.qr(y)[0]
-    else:
-        raise RuntimeError(f"components did not settle in {passes} passes")
-    v = ritz[:, :k]
+    e, v, _ = eigenvectors(times, p, k, k + 10, passes=passes, tolerance=tolerance)
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
     at = rows.mapped(lambda b: (scale(b) - centre) @ v).select("node", F.posexplode("y").alias("component", "value")).withColumn("component", F.col("component") + 1)
     loads = [(j + 1, float(e[j] / trace) if trace > 0 else None, str(f), float(v[i, j])) for j in range(k) for i, f in enumerate(rows.names)]
@@ -416,7 +405,11 @@ def distance_scaling(pairs: DataFrame, nodes: DataFrame, node: str, distance: st
 
     start = centred(n_of.select("node", F.array(*[F.xxhash64("node", F.lit(j)) / F.lit(2.0**63) for j in range(b)]).alias("r")), b, "r")
     q = settled(times(start, b).select("node", F.col("r").alias("s"), F.col("y").alias("t")))
-    for _ in range(passes):
+    for turn in range(passes):
+        if turn % 12 == 11:  # images of combinations drift from what B gives: from the best vectors alone, anew
+            fresh = settled(times(centred(q.select("node", F.slice("s", 1, b).alias("r")), b, "r"), b).select("node", F.col("r").alias("s"), F.col("y").alias("t")))
+            discard(q)
+            q = fresh
         g, t, tt = _blocks(q)
         # residuals (of the largest eigenvalue) that are done are noise: they and empty steps stay out of the span
         live = np.diag(g) > 1e-16 * max(np.diag(g)[:b].max(), 1e-300)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import finite, ratio
 
 from . import similarity
-from .ranks import discard, over, running_sum, settled, with_groups
+from .ranks import any_group_name, discard, over, running_sum, settled, with_groups
 
 #: Similarities are compared at this many digits, so that sums of different order tie alike.
 DIGITS = 12
@@ -129,6 +129,7 @@ def cuts(merges: DataFrame, nodes: DataFrame, by: Sequence[str], node: str, ks:
     return tree.select(*[F.col(f"`{own[c]}`.`{c}`").alias(c) for c in by], "k", "node", "root", F.when(F.col("k") == 1, F.col("offset")).cast("int").alias("leaf"))
 
 
+@any_group_name
 def cophenetic(merges: DataFrame, pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
     """Correlation of distances and merge heights over all pairs of a group's nodes, from sums alone.
 
@@ -145,6 +146,7 @@ def cophenetic(merges: DataFrame, pairs: DataFrame, by: Sequence[str], sim: str)
     return both.select(*by, F.when((n > 1) & (vd > 1e-24) & (vc > 1e-24), (dc / n - d * c / n / n) / F.sqrt(vd * vc)).alias("cophenetic_r"))
 
 
+@any_group_name
 def silhouettes(pairs: DataFrame, labels: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
     """(by, silhouette, clusters, least): mean silhouette of labels (by, node, root), 1 - similarity as distance.
 
@@ -170,6 +172,7 @@ def silhouettes(pairs: DataFrame, labels: DataFrame, by: Sequence[str], sim: str
     return g.groupBy(*by, "clusters", "least").agg(F.avg(s).alias("silhouette")).select(*by, "silhouette", "clusters", "least")
 
 
+@any_group_name
 def linkage_clusters(pairs: DataFrame, nodes: DataFrame, by: Sequence[str], node: str, sim: str, ks: Sequence[int], least: int = 1) -> DataFrame:
     """Per node its leaf place, cluster (numbered by smallest members) and the chosen k, silhouette and cophenetic r of its group.
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, ratio
 
-from .ranks import over, top_n, with_groups, z_score
-from .statistics import mann_whitney
+from .ranks import centred_of, over, rank_average, scaled, settled, top_n, with_groups, z_score
+from .statistics import finite_rows, rank_sum
 
 
 def projected(spectra: DataFrame, signature: DataFrame, program: str, gene: str, x: str, weight: str) -> DataFrame:
@@ -62,13 +62,41 @@ def differential(df: DataFrame, p: str, effect: str, q: float = 0.05, least: flo
 def markers(expr: DataFrame, gene: str, x: str, group: str, n: int = 50) -> DataFrame:
     """Per group the n genes that rank highest in it against all other rows (rank-sum z), with their rank.
 
-    expr holds a row, with its group, for every spot and gene that are compared. Each group's flags are laid
-    over the rows, so work grows with groups times rows.
+    expr holds a row, with its group, for every spot and gene that are compared; null groups and non-finite values are
+    left out. A gene's rows are ranked once: ranks and ties are the same whichever group is held against the
+    rest, so a group's rank sum and size are one aggregate.
     """
-    labels = expr.select(F.col(group).alias("_g")).where(F.col(group).isNotNull()).distinct()
-    rows = expr.where(F.col(group).isNotNull()).withColumnRenamed(group, "_own").crossJoin(labels).withColumnRenamed("_g", group)
-    z = mann_whitney(rows, [group, gene], F.col("_own") == F.col(group), x)
-    return top_n(z.where("z is not null").withColumn("_k", F.round("z", 9)), [group], [F.desc("_k"), F.col(gene)], n).select(group, gene, "z", "rank")
+    rows = finite_rows(expr.where(F.col(group).isNotNull() & F.col(gene).isNotNull()), x).select(F.col(gene).alias("_gene"), F.col(group).alias("_group"), F.col(x).alias("_x"))
+    ranked = settled(rank_average(rows, ["_gene"], "_x", "_r"))
+    ties = ranked.groupBy("_gene", "_x").agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy("_gene").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.sum("t").alias("n"))
+    own = ranked.groupBy("_gene", "_group").agg(F.count(F.lit(1)).alias("n1"), F.sum("_r").alias("r1")).join(ties, "_gene")
+    _, z = rank_sum(F.col("r1"), F.col("n1"), F.col("n") - F.col("n1"), F.col("ties"))
+    scored = own.select("_group", "_gene", z.alias("z")).where("z is not null").withColumn("_k", F.round("z", 9))
+    return top_n(scored, ["_group"], [F.desc("_k"), F.col("_gene")], n).select(F.col("_group").alias(group), F.col("_gene").alias(gene), "z", "rank")
+
+
+def smoothed_scores(expr: DataFrame, weights: DataFrame, edges: DataFrame, by: Sequence[str], spot: str, gene: str, x: str, weight: str, covariates: Sequence[str] = (), of_spots: DataFrame | None = None) -> DataFrame:
+    """(by.., spot, genes, raw, smoothed, score): weighted mean of genes, mean with the neighbours, less what covariates explain.
+
+    A surrogate of a published score whose smoothing and correction are not given in closed form: raw is sum(weight * x) /
+    sum(|weight|) over the signature's genes that the spot measures, smoothed the mean of raw over the spot and its
+    neighbours (edges src -> dst) that have one, and score the residual of smoothed on the covariates of of_spots
+    (by.., spot, covariates..) within the group, or smoothed less its mean without any. Null and non-finite values and weights are
+    left out; a spot without a covariate has no score.
+    """
+    from .regression import residuals
+
+    w = weights.select(F.col(gene).alias("_gene"), finite(weight).alias("_w")).where("_w <> 0")
+    rows = expr.select(*by, F.col(spot).alias("_spot"), F.col(gene).alias("_gene"), finite(x).alias("_x")).where("_x is not null").join(w, "_gene")
+    raw = settled(rows.groupBy(*by, "_spot").agg(F.count(F.lit(1)).alias("genes"), ratio(F.sum(F.col("_w") * F.col("_x")), F.sum(F.abs("_w"))).alias("raw")))
+    near = edges.select(*by, F.col("src").alias("_spot"), F.col("dst").alias("_from")).unionByName(raw.select(*by, "_spot", F.col("_spot").alias("_from"))).join(raw.select(*by, F.col("_spot").alias("_from"), F.col("raw").alias("_r")), [*by, "_from"])
+    smooth = raw.join(near.groupBy(*by, "_spot").agg(F.avg("_r").alias("smoothed")), [*by, "_spot"])
+    if covariates:
+        smooth = smooth.join(of_spots.select(*by, F.col(spot).alias("_spot"), *[finite(c).alias(c) for c in covariates]), [*by, "_spot"], "left")
+        out = residuals(settled(smooth), by, list(covariates), "smoothed", "score")
+    else:
+        out = scaled(smooth, by, centred_of("smoothed", "score"))
+    return out.select(*by, F.col("_spot").alias(spot), "genes", "raw", "smoothed", "score")
 
 
 def signature_variants(weights: DataFrame, gene: str, weight: str, n: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, ratio
 
-from .ranks import discard, keep_first, over, settled, unwrap, with_groups, wrap, wrapped
+from .ranks import any_group_name, discard, keep_first, over, running_sum, settled, unwrap, with_groups, wrap, wrapped
 
 
 def set_overlaps(items: DataFrame, by: Sequence[str], owner: str, item: str, most_owners: int | None = None) -> DataFrame:
@@ -75,9 +75,55 @@ def all_pairs(pairs: DataFrame, owners: DataFrame, by: Sequence[str], owner: str
     return grid.where("a < b").join(pairs.select(*by, "a", "b", *values), [*by, "a", "b"], "left").na.fill(0, list(values))
 
 
-def pair_summary(pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
-    """Off-diagonal distribution of a similarity: n, least, median, mean, greatest, share of zeros."""
-    return pairs.groupBy(*by).agg(F.count(sim).alias("pairs"), F.min(sim).alias("least"), F.percentile(sim, F.lit(0.5)).alias("median"), F.avg(sim).alias("mean"), F.max(sim).alias("greatest"), F.avg((F.col(sim) == 0).cast("double")).alias("zero_share"))
+def pair_summary(pairs: DataFrame, by: Sequence[str], sim: str, owners: DataFrame | None = None, owner: str | None = None) -> DataFrame:
+    """Off-diagonal distribution of a similarity: n, least, median, mean, greatest, share of zeros.
+
+    With owners (by.., owner) the pairs that are not there count as 0: their number is n (n - 1) / 2 less the pairs
+    found, so they are not made. The median then comes from the found ones' order, after as many zeros (similarities are 0 or more).
+    """
+    keys = list(wrapped(by).values())
+    p = wrap(pairs, by, finite(sim).alias("s")).where("s is not null")
+    if owners is None:
+        g = p.groupBy(*keys).agg(F.count("s").alias("pairs"), F.min("s").alias("least"), F.percentile("s", F.lit(0.5)).alias("median"), F.avg("s").alias("mean"), F.max("s").alias("greatest"), F.avg((F.col("s") == 0).cast("double")).alias("zero_share"))
+        return g.select(*unwrap(by), "pairs", "least", "median", "mean", "greatest", "zero_share")
+    n = wrap(owners, by, F.col(owner).alias("o")).where("o is not null").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    p = settled(p.where("s <> 0"))
+    found = p.groupBy(*keys).agg(F.count("s").alias("found"), F.min("s").alias("lo"), F.sum("s").alias("sum"), F.max("s").alias("hi"))
+    g = with_groups(n, found, keys, "left").select(*keys, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.coalesce("found", F.lit(0)).alias("found"), "lo", F.coalesce("sum", F.lit(0.0)).alias("sum"), F.coalesce("hi", F.lit(0.0)).alias("hi")).where("pairs > 0")
+    # the middle one or two of all pairs, as places among the found ones
+    placed = running_sum(p, keys, ["s", F.monotonically_increasing_id()], F.lit(1), "_at")
+    zeros = F.col("pairs") - F.col("found")
+    low, high = F.floor((F.col("pairs") - 1) / 2) - zeros, F.ceil((F.col("pairs") - 1) / 2) - zeros
+    middle = with_groups(placed, g.select(*keys, low.alias("_l"), high.alias("_h")), keys).where("_at = _l or _at = _h")
+    middle = middle.groupBy(*keys).agg(F.sum(F.when(F.col("_at") == F.col("_l"), F.col("s"))).alias("a"), F.sum(F.when(F.col("_at") == F.col("_h"), F.col("s"))).alias("b"))
+    out = with_groups(g, middle, keys, "left")
+    return out.select(
+        *unwrap(by), "pairs", F.when(zeros > 0, 0.0).otherwise(F.col("lo")).alias("least"), ((F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))) / 2).alias("median"),
+        ratio("sum", "pairs").alias("mean"), F.col("hi").alias("greatest"), ratio(zeros, "pairs").alias("zero_share"),
+    )
+
+
+def family_coherence(pairs: DataFrame, families: DataFrame, node: str, family: str, share: str) -> DataFrame:
+    """(family, node, members, within, outside): medians of a member's overlap shares with its own family and with the others.
+
+    pairs: (a, b, share), those that are not there share nothing and count as 0 in the median; families: (node, family). A family
+    of one has no within, a single family no outside.
+    """
+    f = families.select(F.col(node).alias("node"), F.col(family).alias("family")).where("node is not null and family is not null").distinct()
+    size = f.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    total = f.agg(F.count(F.lit(1)).alias("_all"))
+    p = pairs.select("a", "b", finite(share).alias("s")).where("s <> 0")
+    ends = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).join(f.select(F.col("node").alias("a"), F.col("family").alias("fa")), "a").join(f.select(F.col("node").alias("b"), F.col("family").alias("fb")), "b")
+    # a member's similar ones, at most as many as it shares something with; zeros are counted, not made
+    lists = ends.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(F.when(F.col("fa") == F.col("fb"), F.col("s")))).alias("_in"), F.array_sort(F.collect_list(F.when(F.col("fa") != F.col("fb"), F.col("s")))).alias("_out"))
+    rows = f.join(size, "family").crossJoin(F.broadcast(total)).join(lists, "node", "left")
+
+    def median(values: str, n):
+        found = F.coalesce(F.size(values), F.lit(0))
+        at = lambda i: F.coalesce(F.get(values, (i - (n - found)).cast("int")), F.lit(0.0))
+        return F.when(n > 0, (F.when(F.floor((n - 1) / 2) >= n - found, at(F.floor((n - 1) / 2))).otherwise(0.0) + F.when(F.ceil((n - 1) / 2) >= n - found, at(F.ceil((n - 1) / 2))).otherwise(0.0)) / 2)
+
+    return rows.select("family", "node", "members", median("_in", F.col("members") - 1).alias("within"), median("_out", F.col("_all") - F.col("members")).alias("outside"))
 
 
 def robust_edges(metrics: DataFrame, by: Sequence[str], cuts: dict[str, float], main: str, least: int = 2) -> DataFrame:
@@ -134,6 +180,7 @@ def medoid(pairs: DataFrame, members: DataFrame, sim: str) -> DataFrame:
     return keep_first(mean, ["label"], [F.round("centrality", 9).desc(), F.col("item")])
 
 
+@any_group_name
 def agreement(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings of the rows that have both."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))

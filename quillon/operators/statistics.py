@@ -144,6 +144,15 @@ def two_groups(df: DataFrame, by: Sequence[str], is_first: Column, x: str) -> Da
     )
 
 
+def rank_sum(r1: Column, n1: Column, n2: Column, ties: Column) -> tuple[Column, Column]:
+    """(U of the first group, its tie-corrected normal z with continuity 0.5) from its rank sum; ties is the sum of t^3 - t over ties."""
+    n1, n2 = n1.cast("double"), n2.cast("double")
+    u, n = r1 - n1 * (n1 + 1) / 2.0, n1 + n2
+    var = n1 * n2 / 12.0 * (n + 1 - ties / F.nullif(n * (n - 1), F.lit(0.0)))
+    gap = u - n1 * n2 / 2.0
+    return u, F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(F.when(var > 0, var))
+
+
 def mann_whitney(df: DataFrame, by: Sequence[str], is_first: Column, x: str) -> DataFrame:
     """U of the first group, rank-biserial correlation and the tie-corrected normal z (continuity 0.5).
 
@@ -154,12 +163,8 @@ def mann_whitney(df: DataFrame, by: Sequence[str], is_first: Column, x: str) ->
     ties = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     g = rows.groupBy(*by).agg(F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n2"), F.sum(F.when(F.col("_f"), F.col("_r")).otherwise(0.0)).alias("r1"))
     g = with_groups(g, ties, by)
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    u, n = F.col("r1") - n1 * (n1 + 1) / 2.0, n1 + n2
-    var = n1 * n2 / 12.0 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)))
-    gap = u - n1 * n2 / 2.0
-    z = F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(F.when(var > 0, var))
-    return g.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), (ratio(2.0 * u, n1 * n2) - 1.0).alias("rank_biserial"))
+    u, z = rank_sum(F.col("r1"), F.col("n1"), F.col("n2"), F.col("ties"))
+    return g.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), (ratio(2.0 * u, F.col("n1").cast("double") * F.col("n2")) - 1.0).alias("rank_biserial"))
 
 
 def signed_rank(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import factors, nulls, ranks, regression, similarity, spatial
+from quillon.operators import factors, nulls, ranks, regression, scoring, similarity, spatial
 
-from .cohort import LATTICE_SQL, Tables
+from .cohort import LATTICE_SQL, PROGRAMS_SQL, Tables
 from .registry import query, rounded
 
 _D = lambda c: F.col(c).cast("double")
@@ -113,3 +113,29 @@ def matched_smoothness(t: Tables) -> DataFrame:
     edges = ranks.settled(spatial.lattice_edges(t.lattice(), ["sample"], "node", "row", "col"))
     x = nulls.matched_set_smoothness(cells, edges, sets, ["sample"], "node", "gene", "x", "name", _DRAWS)
     return rounded(x.select("sample", "name", "draws", "moran_i", "null_moran", "null_moran_sd", "p_moran"), 5)
+
+
+@query(
+    f"""WITH {LATTICE_SQL}, w AS (SELECT g AS gene, CASE WHEN g % 2 = 0 THEN 1.5 ELSE -0.5 END AS w FROM range(0, 12) r(g)), x AS (SELECT l_partkey AS spot, l_orderkey % 40 AS gene, sum(CAST(l_quantity AS DOUBLE)) AS x FROM lineitem GROUP BY 1, 2), r AS (SELECT sample, spot, count(*) AS genes, sum(w * x) / sum(abs(w)) AS raw FROM x JOIN w USING (gene) JOIN lattice ON node = spot GROUP BY 1, 2),
+    n AS (SELECT sample, src AS spot, dst AS o FROM edges UNION ALL SELECT sample, spot, spot FROM r), s AS (SELECT r.sample, r.spot, any_value(r.genes) AS genes, any_value(r.raw) AS raw, avg(q.raw) AS smoothed FROM r JOIN n ON n.sample = r.sample AND n.spot = r.spot JOIN r q ON q.sample = r.sample AND q.spot = n.o GROUP BY 1, 2),
+    k AS (SELECT s.*, value AS c FROM s JOIN lattice l ON l.node = s.spot), b AS (SELECT sample, covar_pop(c, smoothed) / var_pop(c) AS b, avg(c) AS mc, avg(smoothed) AS ms FROM k GROUP BY 1) SELECT k.sample, spot, genes, round(raw, 5) + 0.0 AS raw, round(smoothed, 5) + 0.0 AS smoothed, round(smoothed - ms - b * (c - mc), 5) + 0.0 AS score FROM k JOIN b ON b.sample = k.sample"""
+)
+def smoothed_part_scores(t: Tables) -> DataFrame:
+    """A weighted score of parts, smoothed over their lattice neighbours and freed of a covariate."""
+    cells = t.lineitem.groupBy(F.col("l_partkey").cast("long").alias("node"), (F.col("l_orderkey") % 40).cast("long").alias("gene")).agg(F.sum(_D("l_quantity")).alias("x")).join(t.lattice().select("sample", "node"), "node")
+    weights = t.spark.range(12).select(F.col("id").alias("gene"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(-0.5).alias("w"))
+    edges = ranks.settled(spatial.lattice_edges(t.lattice(), ["sample"], "node", "row", "col"))
+    x = scoring.smoothed_scores(cells, weights, edges, ["sample"], "node", "gene", "x", "w", ["value"], t.lattice())
+    return rounded(x.withColumnRenamed("node", "spot"), 5)
+
+
+@query(
+    f"""WITH {PROGRAMS_SQL}, f AS (SELECT s_suppkey AS program, CAST(s_nationkey % 8 AS INTEGER) AS family FROM supplier), m AS (SELECT DISTINCT f.program, family FROM f JOIN programs USING (program)), g AS (SELECT a.program AS a, b.program AS b, a.family AS fa, b.family AS fb FROM m a JOIN m b ON a.program <> b.program), s AS (SELECT a.program AS a, b.program AS b, count(*) / 30.0 AS s FROM programs a JOIN programs b ON a.gene = b.gene AND a.program <> b.program GROUP BY 1, 2),
+    v AS (SELECT g.a, fa = fb AS own, coalesce(s, 0) AS s FROM g LEFT JOIN s ON s.a = g.a AND s.b = g.b), z AS (SELECT family, count(*) AS members FROM m GROUP BY 1) SELECT m.family, m.program AS node, any_value(members) AS members, round(quantile_cont(s, 0.5) FILTER (own), 6) AS within, round(quantile_cont(s, 0.5) FILTER (NOT own), 6) AS outside FROM m JOIN z USING (family) LEFT JOIN v ON v.a = m.program GROUP BY 1, 2"""
+)
+def family_coherence(t: Tables) -> DataFrame:
+    """Medians of each program's overlap shares within its family and with the others."""
+    p = t.programs()
+    pairs = similarity.set_overlaps(p, [], "program", "gene").select("a", "b", (F.col("shared") / F.lit(30.0)).alias("share"))
+    families = t.supplier.select(F.col("s_suppkey").alias("program"), (F.col("s_nationkey") % 8).cast("int").alias("family")).join(p.select("program").distinct(), "program")
+    return rounded(similarity.family_coherence(pairs, families, "program", "family", "share"))

@@ -155,9 +155,11 @@ def _metrics(t: Tables) -> DataFrame:
 @query(_PAIRS + " SELECT 'j30' AS metric, count(*) AS pairs, round(min(j30), 6) AS least, round(quantile_cont(j30, 0.5), 6) AS median, round(avg(j30), 6) AS mean, round(max(j30), 6) AS greatest, round(avg(CAST(j30 = 0 AS DOUBLE)), 6) AS zero_share FROM m UNION ALL SELECT 'j10', count(*), round(min(j10), 6), round(quantile_cont(j10, 0.5), 6), round(avg(j10), 6), round(max(j10), 6), round(avg(CAST(j10 = 0 AS DOUBLE)), 6) FROM m")
 def pair_summaries(t: Tables) -> DataFrame:
     """Off-diagonal distribution of two top-N Jaccard tables, pairs that share nothing included."""
-    m = _metrics(t)
-    one = lambda c: similarity.pair_summary(m.withColumn("metric", F.lit(c)), ["metric"], c)
-    return rounded(one("j30").unionByName(one("j10")))
+    lists = t.programs().withColumn("metric", F.explode(F.array(F.lit("j30"), F.lit("j10")))).where((F.col("metric") == "j30") | (F.col("rank") <= 10))
+    found = similarity.set_overlaps(lists, ["metric"], "program", "gene")
+    # owners of the longer list are owners of both
+    owners = t.programs().select("program", F.explode(F.array(F.lit("j30"), F.lit("j10"))).alias("metric"))
+    return rounded(similarity.pair_summary(found, ["metric"], "jaccard", owners, "program"))
 
 
 @query(_PAIRS + " SELECT a, b, CAST((j10 >= 0.05) AS INTEGER) AS met FROM m WHERE j30 >= 0.03 AND j10 >= 0.05")

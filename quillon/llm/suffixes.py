@@ -32,9 +32,9 @@ from .common import drop_path, id_and_text, materialise, split_by_bitmap
 #: Perfect difference sets (every distance but 0 occurs once mod v).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Bytes of a slice of text, of a block of texts whose cover positions (whose suffixes) meet first, of text for a bucket.
-SLICE, COVER_BLOCK, SUFFIX_BLOCK, BUCKET_BYTES = 1 << 20, 12 << 20, 8 << 20, 32 << 20
+SLICE, COVER_BLOCK, SUFFIX_BLOCK, BUCKET_BYTES = 1 << 18, 4 << 20, 2 << 20, 32 << 20
 #: Rows about documents that leave a task together.
-HELD = 1 << 20
+HELD = 1 << 18
 NO_ID = (1 << 63) - 1
 U = np.uint64
 _PRIME, _FACTOR = 2_147_483_647, 48_271
@@ -321,8 +321,10 @@ def _ranks(keys: Keys, rows: np.ndarray, first: np.ndarray, doc: np.ndarray, pos
 
 def rank_bucket(keys: Keys, doc: np.ndarray, columns: list[np.ndarray]) -> Part:
     h, pos, again = columns
-    order = np.lexsort((pos, doc, h))
-    h, pos, doc, again = h[order], pos[order], doc[order], again[order] > 0
+    del columns
+    order = np.lexsort(((doc.astype(U) << U(32)) | pos, h))
+    h, pos, doc, again = h[order], pos[order], doc[order].astype(np.int32), again[order] > 0
+    del order
     first = _groups(h)
     many = np.bincount(first, minlength=len(h))[first] > 1
     return keys, *_ranks(keys, np.flatnonzero(many | again), first, doc, pos)
@@ -364,8 +366,8 @@ def settle(keys: Keys, sizes: np.ndarray, ranks: tuple[Keys, np.ndarray, list[np
         long = s[b] + w - s[a] >= length
         np.add.at(proven, (offsets[doc[a]] + s[a])[long], 1)
         np.add.at(proven, (offsets[doc[b]] + s[b] + w - length + 1)[long], -1)
-    proven = np.cumsum(proven[:-1]) > 0
-    return proven, (np.cumsum(near[:-1]) > 0) & ~proven, offsets
+    proven = np.cumsum(proven[:-1], dtype=np.int32) > 0
+    return proven, (np.cumsum(near[:-1], dtype=np.int32) > 0) & ~proven, offsets
 
 
 def _runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -493,22 +495,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "sha": F.unhex(F.sha2("text", 256)), "n": F.octet_length("text").cast("long")})
-    # step 1: copies. Nothing of a text but its hash is dealt, and texts too short to be cut
-    meta, meta_path = materialise(rows.select("doc_id", "id", "sha", "n", F.when(F.col("n") < length, F.col("text")).alias("short")), "texts")
+    # step 1: copies. Nothing of a text but its hash is dealt, and texts too short to be cut; hashing again is cheaper than a table
+    meta = rows.select("doc_id", "id", "sha", "n", F.when(F.col("n") < length, F.col("text")).alias("short"))
     classes = meta.groupBy("sha").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
     shared = classes.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where(f"texts > 1 or id = {NO_ID}")
     tie = F.xxhash64("sha").bitwiseAND(F.lit(NO_ID)).bitwiseOR(F.lit(1))
-    special, special_path = materialise(
+    special, _ = materialise(
         classes.join(shared, "id", "left").where("times > 1 or texts is not null").select("sha", "id", "times", F.when(F.col("texts").isNotNull(), tie).otherwise(F.lit(0).cast("long")).alias("tie")), "copies"
     )
     may_repeat, single = split_by_bitmap(rows.select("id", "sha", "text"), F.xxhash64("sha"), special.select("sha"))
     ones = may_repeat.groupBy("sha").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     ones = ones.join(special.select("sha", "tie"), "sha", "left").select("id", F.coalesce("tie", F.lit(0).cast("long")).alias("tie"), "text")
-    ones, ones_path = _solved(ones, "ones")
+    ones, _ = _solved(ones, "ones")
     texts = single.select("id", F.lit(0).cast("long").alias("tie"), "text").unionByName(ones)
-    total = meta.agg(F.sum("n")).first()[0] or 0
+    total = rows.agg(F.sum("n")).first()[0] or 0
     doc_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    buckets = 2 * doc_buckets
+    buckets = 4 * doc_buckets
     # step 2
     covers = texts.where(F.octet_length("text") >= length).mapInArrow(cover_rows(length, buckets, doc_buckets), ROWS)
     ranks, ranks_path = _solved(_by_bucket(covers).mapInArrow(one_bucket_at_a_time(rank_bucket, doc_buckets), ROWS), "ranks")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.linear import eigenvectors
+
 from .vectors import as_vectors, quantised, rows_of, summed_cells, usable
 
 #: Directions of one pass beyond the k asked for, blocks of a span, passes before it is an error.
@@ -94,46 +96,6 @@ def covariance_times(df: DataFrame, vector_col: str, at: Centre, q: np.ndarray,
     return np.array([cells.get(i, 0.0) for i in range(d * b)]).reshape(d, b) / at.n
 
 
-def _fresh(block: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of what block adds to span (orthogonalised twice)."""
-    scale = np.linalg.norm(block, axis=0)
-    block = block[:, scale > 0] / scale[scale > 0]
-    for _ in range(2):
-        block = block - span @ (span.T @ block)
-        if not block.size:
-            return block
-        u, s, _ = np.linalg.svd(block, full_matrices=False)
-        block = u[:, s > 1e-10]
-    return block
-
-
-def eigenvectors(times, d: int, k: int, block: int | None = None, keep: int = KEEP, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k leading eigenvalues, eigenvectors as columns, residuals) of the symmetric d x d operator `times`.
-
-    One call of `times` a round, with at most `block` columns. Raises if `passes` rounds do not certify all k.
-    """
-    k, block = min(k, d), min(d, block or k + EXTRA)
-    new = np.linalg.qr(np.random.default_rng(11).normal(size=(d, block)))[0]
-    span, image = np.zeros((d, 0)), np.zeros((d, 0))
-    for _ in range(passes):
-        span, image = np.concatenate([span, new], 1), np.concatenate([image, times(new)], 1)
-        t = span.T @ image
-        e, u = np.linalg.eigh((t + t.T) / 2)
-        e, u = e[::-1], u[:, ::-1]
-        ritz, its_image = span @ u, image @ u
-        residual = its_image - ritz * e
-        size = np.linalg.norm(residual[:, :k], axis=0)
-        new = _fresh(residual[:, :block], ritz)
-        if len(e) >= k and (size.max() <= TOLERANCE * max(e[0], 0) or not new.size or span.shape[1] == d):
-            return e[:k], ritz[:, :k], size
-        if span.shape[1] + new.shape[1] > keep * block:
-            span, image = np.linalg.qr(ritz[:, :block])[0], its_image[:, :block]
-            image = image @ (ritz[:, :block].T @ span)
-        else:
-            span, image = ritz, its_image
-    raise RuntimeError(f"residuals {size} after {passes} passes")
-
-
 def whiten(df: DataFrame, components: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, shift: int = 100_000) -> DataFrame:
     """vec_id, component, n, deviation (exact, a decimal), whitened, explained, identity_error; a row for each vector and component.
 
@@ -148,7 +110,7 @@ def whiten(df: DataFrame, components: int = 8, id_col: str = "vec_id", vector_co
     if at is None or at.spread == 0:
         return spark.createDataFrame([], schema)
     d, trace = len(at.sums), at.spread / at.n**2
-    e, q, _ = eigenvectors(lambda block: covariance_times(df, vector_col, at, block, scale, shift), d, components)
+    e, q, _ = eigenvectors(lambda block: covariance_times(df, vector_col, at, block, scale, shift), d, components, components + EXTRA, KEEP, PASSES, TOLERANCE)
     real = e > FLAT * trace
     e, q = e[real], q[:, real]
     own = q / np.sqrt(e)

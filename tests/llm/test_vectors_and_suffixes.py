@@ -72,17 +72,17 @@ def test_whitening_without_variance_or_rows(spark):
 
 def test_eigenvectors_by_blocks_and_restarts():
     rng = np.random.default_rng(4)
-    for d, block, keep in ((40, 3, 3), (40, 10, 8), (90, 10, 4), (5, 10, 8)):
+    for d, block, keep in ((40, 3, 3), (40, 10, 8), (90, 10, 4), (5, 10, 8), (12, 8, 1)):
         a = rng.normal(size=(3 * d, d))
         v, calls = a.T @ a / len(a), []
         e, q, residual = whitening.eigenvectors(lambda x: (calls.append(x.shape[1]), v @ x)[1], d, min(3, d), block, keep)  # noqa: B023
         want = np.linalg.eigvalsh(v)[::-1][: len(e)]
         assert np.allclose(e, want, rtol=1e-11) and np.allclose(v @ q, q * e, atol=1e-11) and max(calls) <= max(block, 1)
     # equal eigenvalues and rank one
-    e, q, _ = whitening.eigenvectors(lambda x: 2.0 * x, 6, 2)
+    e, q, _ = whitening.eigenvectors(lambda x: 2.0 * x, 6, 2, 4)
     assert np.allclose(e, 2) and np.allclose(q.T @ q, np.eye(2))
     one = np.outer(np.arange(6), np.arange(6)).astype(float)
-    e, _, _ = whitening.eigenvectors(lambda x: one @ x, 6, 3)
+    e, _, _ = whitening.eigenvectors(lambda x: one @ x, 6, 3, 4)
     assert np.allclose(e, [55, 0, 0], atol=1e-9)
 
 
@@ -209,7 +209,7 @@ def test_packed_columns_return():
 
 def test_suffix_dedup_of_long_empty_and_missing_texts(spark):
     assert suffixes.remove_repeats(texts(spark, [])).count() == 0
-    word = "".join(random.Random(9).choice("abcdefgh ") for _ in range(700_000))
+    word = "".join(random.Random(9).choices("abcdefgh ", k=700_000))
     rows = [(2, word[100_000:] + "é"), (1, word), (3, None), (4, "ab"), (4, "ab")]
     got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.digest(suffixes.remove_repeats(texts(spark, rows))).collect()}
     assert got == {(1, 700_000, 0, 0), (2, 600_002, 600_000, 1), (3, 0, 0, 0), (4, 2, 0, 0)}

@@ -108,26 +108,26 @@ _HOT = "lab AS (SELECT *, value >= avg(value) OVER w + stddev_pop(value) OVER w
 
 @query(
     f"""WITH {LATTICE_SQL}, {_HOT}, m AS (SELECT e.sample, src AS node, avg(value) AS m FROM edges e JOIN lattice l ON e.sample = l.sample AND dst = l.node GROUP BY 1, 2), k AS (SELECT lab.*, m.m FROM lab JOIN m USING (sample, node)), o AS (SELECT sample, avg(m) AS o, count(*) AS n FROM k WHERE hot GROUP BY 1),
-    d AS (SELECT k.sample, perm, k.m, row_number() OVER (PARTITION BY k.sample, perm ORDER BY md5('subset|' || perm || '|' || node), node) AS i, o.n FROM k JOIN o ON o.sample = k.sample, range(1, 100) p(perm)), u AS (SELECT sample, perm, avg(m) AS x FROM d WHERE i <= n GROUP BY 1, 2), a AS (SELECT sample, avg(x) AS nm, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM u GROUP BY 1)
-    SELECT o.sample, round(o, 4) AS value, round(nm, 4) AS null_mean, round(lo, 4) AS null_low, round(hi, 4) AS null_high, round((1 + (SELECT count(*) FROM u WHERE u.sample = o.sample AND abs(x - nm) >= abs(o - nm) - 1e-12)) / 100.0, 4) AS p FROM o JOIN a ON a.sample = o.sample"""
+    d AS (SELECT k.sample, perm, k.m, row_number() OVER (PARTITION BY k.sample, perm ORDER BY md5('subset|' || perm || '|' || node), node) AS i, o.n FROM k JOIN o ON o.sample = k.sample, range(1, 1001) p(perm)), u AS (SELECT sample, perm, avg(m) AS x FROM d WHERE i <= n GROUP BY 1, 2), a AS (SELECT sample, avg(x) AS nm, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM u GROUP BY 1)
+    SELECT o.sample, round(o, 4) AS value, round(nm, 4) AS null_mean, round(lo, 4) AS null_low, round(hi, 4) AS null_high, round((1 + (SELECT count(*) FROM u WHERE u.sample = o.sample AND abs(x - nm) >= abs(o - nm) - 1e-12)) / 1001.0, 4) AS p FROM o JOIN a ON a.sample = o.sample"""
 )
 def subset_null(t: Tables) -> DataFrame:
-    """Neighbour composition of hot nodes against 99 random groups of their number."""
+    """Neighbour composition of hot nodes against 1,000 random groups of their number."""
     nodes = ranks.sd_groups(t.lattice(), ["sample"], "value", "level")
     edges = spatial.lattice_edges(t.lattice(), ["sample"], "node", "row", "col")
-    return rounded(nulls.subset_neighbourhood(nodes, edges, ["sample"], "node", F.col("level") == "HIGH", "value", 99).drop("draws"), 4)
+    return rounded(nulls.subset_neighbourhood(nodes, edges, ["sample"], "node", F.col("level") == "HIGH", "value", 1000).drop("draws"), 4)
 
 
 @query(
     f"""WITH {LATTICE_SQL}, {_HOT}, o0 AS (SELECT sample, node FROM lab WHERE hot), o1 AS (SELECT DISTINCT e.sample, dst AS node FROM edges e JOIN o0 ON e.sample = o0.sample AND src = node EXCEPT SELECT * FROM o0), o AS (SELECT sample, avg(value) AS o FROM o1 JOIN lattice USING (sample, node) GROUP BY 1), n AS (SELECT sample, count(*) AS n FROM o0 GROUP BY 1),
-    d AS (SELECT l.sample, perm, node, row_number() OVER (PARTITION BY l.sample, perm ORDER BY md5('ring|' || perm || '|' || node), node) AS i, n FROM lattice l JOIN n ON n.sample = l.sample, range(1, 40) p(perm)), r0 AS (SELECT sample, perm, node FROM d WHERE i <= n), r1 AS (SELECT DISTINCT e.sample, perm, dst AS node FROM edges e JOIN r0 ON e.sample = r0.sample AND src = node EXCEPT SELECT * FROM r0),
-    u AS (SELECT sample, perm, avg(value) AS x FROM r1 JOIN lattice USING (sample, node) GROUP BY 1, 2), a AS (SELECT sample, avg(x) AS nm FROM u GROUP BY 1) SELECT o.sample, 1 AS ring, round(o, 4) AS value, round(nm, 4) AS null_mean, round((1 + (SELECT count(*) FROM u WHERE u.sample = o.sample AND abs(x - nm) >= abs(o - nm) - 1e-12)) / 40.0, 4) AS p FROM o JOIN a ON a.sample = o.sample"""
+    d AS (SELECT l.sample, perm, node, row_number() OVER (PARTITION BY l.sample, perm ORDER BY md5('ring|' || perm || '|' || node), node) AS i, n FROM lattice l JOIN n ON n.sample = l.sample, range(1, 200) p(perm)), r0 AS (SELECT sample, perm, node FROM d WHERE i <= n), r1 AS (SELECT DISTINCT e.sample, perm, dst AS node FROM edges e JOIN r0 ON e.sample = r0.sample AND src = node EXCEPT SELECT * FROM r0),
+    u AS (SELECT sample, perm, avg(value) AS x FROM r1 JOIN lattice USING (sample, node) GROUP BY 1, 2), a AS (SELECT sample, avg(x) AS nm FROM u GROUP BY 1) SELECT o.sample, 1 AS ring, round(o, 4) AS value, round(nm, 4) AS null_mean, round((1 + (SELECT count(*) FROM u WHERE u.sample = o.sample AND abs(x - nm) >= abs(o - nm) - 1e-12)) / 200.0, 4) AS p FROM o JOIN a ON a.sample = o.sample"""
 )
 def ring_null_values(t: Tables) -> DataFrame:
     """The first ring around hot nodes against rings around 39 random groups."""
     nodes = ranks.sd_groups(t.lattice(), ["sample"], "value", "level")
     edges = spatial.lattice_edges(t.lattice(), ["sample"], "node", "row", "col")
-    x = nulls.ring_null(nodes, edges, ["sample"], "node", F.col("level") == "HIGH", "value", 1, 39)
+    x = nulls.ring_null(nodes, edges, ["sample"], "node", F.col("level") == "HIGH", "value", 1, 199)
     return rounded(x.select("sample", "ring", "value", "null_mean", "p"), 4)
 
 
@@ -140,37 +140,37 @@ def _z(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {_Z.replace('avg(l_discount)', 'avg(CAST(l_discount AS DOUBLE))')}, o AS (SELECT g, name, count(*) AS n, avg(z) AS o FROM g JOIN sets USING (gene) GROUP BY 1, 2), d AS (SELECT g, perm, z, row_number() OVER w AS i, avg(z) OVER (w ROWS UNBOUNDED PRECEDING) AS m FROM g, range(1, 100) p(perm) WINDOW w AS (PARTITION BY g, perm ORDER BY md5('set|' || perm || '|' || gene), gene))
-    SELECT o.g, name, n, round(o, 5) + 0.0 AS mean_z, round((1 + count(*) FILTER (abs(m) >= abs(o) - 1e-12)) / 100.0, 4) AS p FROM o JOIN d ON d.g = o.g AND d.i = o.n GROUP BY 1, 2, 3, 4""".replace("GROUP BY 1, 2, 3, 4", "GROUP BY o.g, name, n, o")
+    f"""WITH {_Z.replace('avg(l_discount)', 'avg(CAST(l_discount AS DOUBLE))')}, o AS (SELECT g, name, count(*) AS n, avg(z) AS o FROM g JOIN sets USING (gene) GROUP BY 1, 2), d AS (SELECT g, perm, z, row_number() OVER w AS i, avg(z) OVER (w ROWS UNBOUNDED PRECEDING) AS m FROM g, range(1, 1001) p(perm) WINDOW w AS (PARTITION BY g, perm ORDER BY md5('set|' || perm || '|' || gene), gene))
+    SELECT o.g, name, n, round(o, 5) + 0.0 AS mean_z, round((1 + count(*) FILTER (abs(m) >= abs(o) - 1e-12)) / 1001.0, 4) AS p FROM o JOIN d ON d.g = o.g AND d.i = o.n GROUP BY 1, 2, 3, 4""".replace("GROUP BY 1, 2, 3, 4", "GROUP BY o.g, name, n, o")
 )
 def set_permutations(t: Tables) -> DataFrame:
     """Competitive set permutation."""
     g, sets = _z(t)
-    x = nulls.set_permutation(g, sets, ["g"], "gene", "z", "name", 99)
+    x = nulls.set_permutation(g, sets, ["g"], "gene", "z", "name", 1000)
     return x.select("g", "name", "n", (F.round("mean_z", 5) + F.lit(0.0)).alias("mean_z"), F.round("p", 4).alias("p"))
 
 
 @query(
     f"""WITH {_Z.replace('avg(l_discount)', 'avg(CAST(l_discount AS DOUBLE))')}, s AS (SELECT g, name, gene, CAST(sign(z) AS BIGINT) AS s FROM g JOIN sets USING (gene)), o AS (SELECT name, count(*) FILTER (abs(t) >= 3) AS genes FROM (SELECT name, gene, sum(s) AS t FROM s GROUP BY 1, 2) GROUP BY 1),
-    f AS (SELECT g, perm, CASE WHEN substr(md5('flip|' || perm || '|' || g), 1, 1) < '8' THEN 1 ELSE -1 END AS f FROM (SELECT DISTINCT g FROM g), range(1, 100) p(perm)), u AS (SELECT name, perm, count(*) FILTER (abs(t) >= 3) AS genes FROM (SELECT name, perm, gene, sum(s * f) AS t FROM s JOIN f USING (g) GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT o.name, any_value(o.genes) AS genes, round(avg(u.genes), 5) AS null_mean, round((1 + count(*) FILTER (u.genes >= o.genes)) / 100.0, 4) AS p FROM o JOIN u ON u.name = o.name GROUP BY 1"""
+    f AS (SELECT g, perm, CASE WHEN substr(md5('flip|' || perm || '|' || g), 1, 1) < '8' THEN 1 ELSE -1 END AS f FROM (SELECT DISTINCT g FROM g), range(1, 1001) p(perm)), u AS (SELECT name, perm, count(*) FILTER (abs(t) >= 3) AS genes FROM (SELECT name, perm, gene, sum(s * f) AS t FROM s JOIN f USING (g) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT o.name, any_value(o.genes) AS genes, round(avg(u.genes), 5) AS null_mean, round((1 + count(*) FILTER (u.genes >= o.genes)) / 1001.0, 5) AS p FROM o JOIN u ON u.name = o.name GROUP BY 1"""
 )
 def sign_flips(t: Tables) -> DataFrame:
     """Sample-sign-flip null of reproducible signs."""
     g, sets = _z(t)
-    x = nulls.sign_flip(g.withColumn("s", F.signum("z")), sets, "g", "gene", "s", "name", 3, 99)
+    x = nulls.sign_flip(g.withColumn("s", F.signum("z")), sets, "g", "gene", "s", "name", 3, 1000)
     return rounded(x.select("name", "genes", "null_mean", "p"), 5)
 
 
 @query(
     f"""WITH {SPOTS_SQL}, k AS (SELECT dataset, spot || '-' || l_suppkey || '-' || l_partkey || '-' || CAST(round(price * 100) AS BIGINT) AS key, l_returnflag = 'R' AS f, price AS x, discount AS y FROM spots), c AS (SELECT dataset, 0 AS perm, f, corr(x, y) AS r FROM k GROUP BY 1, 2, 3), n AS (SELECT dataset, count(*) FILTER (f) AS n FROM k GROUP BY 1),
-    d AS (SELECT k.dataset, perm, x, y, row_number() OVER (PARTITION BY k.dataset, perm ORDER BY md5('gap|' || perm || '|' || key), key) <= n AS f FROM k JOIN n ON n.dataset = k.dataset, range(1, 20) p(perm)), a AS (SELECT * FROM c UNION ALL SELECT dataset, perm, f, corr(x, y) FROM d GROUP BY 1, 2, 3), g AS (SELECT dataset, perm, atanh(max(r) FILTER (f)) - atanh(max(r) FILTER (NOT f)) AS gap FROM a GROUP BY 1, 2)
-    SELECT o.dataset, round(o.gap, 5) + 0.0 AS gap, round((1 + count(*) FILTER (abs(u.gap) >= abs(o.gap) - 1e-12)) / 20.0, 4) AS p FROM g o JOIN g u ON u.dataset = o.dataset AND u.perm > 0 WHERE o.perm = 0 GROUP BY o.dataset, o.gap"""
+    d AS (SELECT k.dataset, perm, x, y, row_number() OVER (PARTITION BY k.dataset, perm ORDER BY md5('gap|' || perm || '|' || key), key) <= n AS f FROM k JOIN n ON n.dataset = k.dataset, range(1, 200) p(perm)), a AS (SELECT * FROM c UNION ALL SELECT dataset, perm, f, corr(x, y) FROM d GROUP BY 1, 2, 3), g AS (SELECT dataset, perm, atanh(max(r) FILTER (f)) - atanh(max(r) FILTER (NOT f)) AS gap FROM a GROUP BY 1, 2)
+    SELECT o.dataset, round(o.gap, 5) + 0.0 AS gap, round((1 + count(*) FILTER (abs(u.gap) >= abs(o.gap) - 1e-12)) / 200.0, 4) AS p FROM g o JOIN g u ON u.dataset = o.dataset AND u.perm > 0 WHERE o.perm = 0 GROUP BY o.dataset, o.gap"""
 )
 def correlation_gap_nulls(t: Tables) -> DataFrame:
     """Label permutation of the difference of Fisher's z."""
     rows = t.spots().withColumn("key", F.concat_ws("-", "spot", "l_suppkey", "l_partkey", F.round(F.col("price") * 100).cast("long")))
-    x = nulls.correlation_gap_null(rows, ["dataset"], "key", F.col("l_returnflag") == "R", "price", "discount", 19)
+    x = nulls.correlation_gap_null(rows, ["dataset"], "key", F.col("l_returnflag") == "R", "price", "discount", 199)
     return x.select("dataset", (F.round("gap", 5) + F.lit(0.0)).alias("gap"), F.round("p", 4).alias("p"))
 
 
@@ -257,12 +257,12 @@ def nested_f_by_sample(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT c_nationkey % 5 AS g, c_custkey AS key, c_mktsegment AS l, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_custkey % 17 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) AS i FROM customer), d AS (SELECT g, perm, l, x, y, i, row_number() OVER (PARTITION BY g, perm ORDER BY md5('permanova|' || perm || '|' || key), key) AS j FROM k, range(1, 50) p(perm)),
+    f"""WITH k AS (SELECT c_nationkey % 5 AS g, c_custkey AS key, c_mktsegment AS l, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_custkey % 17 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) AS i FROM customer), d AS (SELECT g, perm, l, x, y, i, row_number() OVER (PARTITION BY g, perm ORDER BY md5('permanova|' || perm || '|' || key), key) AS j FROM k, range(1, 1000) p(perm)),
     a AS (SELECT g, 0 AS perm, l, x, y FROM k UNION ALL SELECT p.g, p.perm, q.l, p.x, p.y FROM d p JOIN d q ON p.g = q.g AND p.perm = q.perm AND p.i = q.j), w AS (SELECT g, perm, l, count(*) AS n, sum(x * x + y * y) - (sum(x) ** 2 + sum(y) ** 2) / count(*) AS w, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM a GROUP BY 1, 2, 3),
-    f AS (SELECT g, perm, CAST(sum(n) AS BIGINT) AS n, count(*) AS labels, ((sum(q) - (sum(sx) ** 2 + sum(sy) ** 2) / sum(n) - sum(w)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f FROM w GROUP BY 1, 2) SELECT o.g, o.n, o.labels, round(o.f, 5) AS f, round((1 + count(*) FILTER (u.f >= o.f - 1e-9)) / 50.0, 4) AS p FROM f o JOIN f u ON u.g = o.g AND u.perm > 0 WHERE o.perm = 0 GROUP BY o.g, o.n, o.labels, o.f"""
+    f AS (SELECT g, perm, CAST(sum(n) AS BIGINT) AS n, count(*) AS labels, ((sum(q) - (sum(sx) ** 2 + sum(sy) ** 2) / sum(n) - sum(w)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f FROM w GROUP BY 1, 2) SELECT o.g, o.n, o.labels, round(o.f, 5) AS f, round((1 + count(*) FILTER (u.f >= o.f - 1e-9)) / 1000.0, 4) AS p FROM f o JOIN f u ON u.g = o.g AND u.perm > 0 WHERE o.perm = 0 GROUP BY o.g, o.n, o.labels, o.f"""
 )
 def segment_permanova(t: Tables) -> DataFrame:
-    """Pseudo-F of a label over two-dimensional vectors with 49 permutations."""
+    """Pseudo-F of a label over two-dimensional vectors with 999 permutations."""
     c = t.customer.select((F.col("c_nationkey") % 5).alias("g"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("l"), (_D("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 17).cast("double").alias("y"))
-    x = regression.permanova(c, ["g"], "key", "l", ["x", "y"], 49)
+    x = regression.permanova(c, ["g"], "key", "l", ["x", "y"], 999)
     return x.select("g", "n", "labels", F.round("f", 5).alias("f"), F.round("p", 4).alias("p"))

@@ -15,6 +15,7 @@ SOME = (
     "ring_compositions", "robust_program_edges", "retained_components", "set_scores", "background_matched_scores", "subset_null", "set_permutations", "sign_flips", "ols_by_sample", "cross_validated_r2", "nested_f_by_sample", "segment_permanova", "spot_groups",
     "class_separation", "program_identity", "filtered_spots", "lattice_blocks", "part_rule_votes", "gmt_round_trip", "matrix_round_trip", "sink_audit",
     "gee_independent", "gee_exchangeable", "family_separation", "strongest_eight", "order_balances", "gene_models", "source_alignment", "set_overlap_audit", "partial_spearman_two", "sided_enrichment_p",
+    "trended_parts", "part_residuals", "segment_pseudo_f", "matched_smoothness", "smoothed_part_scores", "family_coherence", "flag_markers", "pair_summaries", "scaled_spots",
 )
 
 
@@ -34,6 +35,13 @@ def test_equals_duckdb(spark, name):
     assert mine == theirs
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("name", ["program_tree", "program_merges", "program_order", "family_stability", "program_map", "customer_programs", "customer_components", "matched_customers"])
+def test_iterative_queries_run(spark, name):
+    rows = catalog.QUERIES[name](spark, FOLDER).collect()
+    assert rows and all(not isinstance(v, float) or v == v for r in rows for v in r)
+
+
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) - len(catalog.SQL) <= 20

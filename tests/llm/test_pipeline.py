@@ -36,7 +36,7 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
 
 
 def test_registered():
-    assert len(queries.queries()) == 11 and set(queries.oracle_sql()) <= set(queries.queries())
+    assert len(queries.queries()) == 14 and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_near_duplicates_stage_with_repeated_and_null_ids(spark):

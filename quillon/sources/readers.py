@@ -70,9 +70,13 @@ def json_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gmt(spark: SparkSession, path: str) -> DataFrame:
-    """(library, term, gene) of GMT files: term, description, genes; repeated and blank genes once or not at all."""
+    """(library, term, gene) of GMT files: term, description, genes; repeated and blank genes once or not at all.
+
+    A line is split once, before its genes become rows: what stands beside an explode is evaluated anew for every row.
+    """
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("library"), F.get(parts, F.lit(0)).alias("term"), F.explode(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))).alias("gene"))
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("library"), F.substring_index("value", "\t", 1).alias("term"), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))).alias("_genes"))
+    rows = lines.select("library", "term", F.explode("_genes").alias("gene"))
     return rows.withColumn("gene", F.trim("gene")).where("gene <> '' and term <> ''").distinct()
 
 

@@ -147,9 +147,10 @@ _PAIRS = f"""WITH {PROGRAMS_SQL}, o AS (SELECT DISTINCT program FROM programs),
 
 
 def _metrics(t: Tables) -> DataFrame:
-    p = t.programs()
-    j = lambda n: similarity.all_pairs(similarity.set_overlaps(p.where(F.col("rank") <= n), [], "program", "gene"), p, [], "program", ["jaccard"]).withColumnRenamed("jaccard", f"j{n}")
-    return j(30).join(j(10), ["a", "b"])
+    """Two top-N Jaccard indices of the pairs that share an item; the others are 0 in both, under any cut."""
+    p = ranks.settled(t.programs())
+    j = lambda n: similarity.set_overlaps(p.where(F.col("rank") <= n), [], "program", "gene").select("a", "b", F.col("jaccard").alias(f"j{n}"))
+    return j(30).join(j(10), ["a", "b"], "left").na.fill(0.0, ["j10"])
 
 
 @query(_PAIRS + " SELECT 'j30' AS metric, count(*) AS pairs, round(min(j30), 6) AS least, round(quantile_cont(j30, 0.5), 6) AS median, round(avg(j30), 6) AS mean, round(max(j30), 6) AS greatest, round(avg(CAST(j30 = 0 AS DOUBLE)), 6) AS zero_share FROM m UNION ALL SELECT 'j10', count(*), round(min(j10), 6), round(quantile_cont(j10, 0.5), 6), round(avg(j10), 6), round(max(j10), 6), round(avg(CAST(j10 = 0 AS DOUBLE)), 6) FROM m")

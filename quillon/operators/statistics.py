@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions.distributions import binomial_p, chi_square_p, fisher_p, normal_p, signed_rank_p, student_p
 from quillon.functions.scalars import finite, fisher_z, ratio
 
-from .ranks import Ranges, any_group_name, fresh, over, rank_average, unwrap, with_groups, wrap, wrapped
+from .ranks import Ranges, any_group_name, fresh, over, rank_average, running_sum, settled, unwrap, with_groups, wrap, wrapped
 
 
 def finite_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -105,20 +105,42 @@ def correlation_p(r: str, n: str, covariates: int = 0) -> Column:
     return student_p(F.when(df > 0, t), df)
 
 
+def _ranked(rows: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """(by.., ranks, _w): average ranks of the columns, less the group's mean rank; equal rows are one row of weight _w.
+
+    Rows are counted before anything is shuffled, and a rank comes from running counts over a column's values
+    (see ranks.running_sum), so what moves is no more than the different rows.
+    """
+    counted = settled(rows.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("_w")))
+    middle = counted.groupBy(*by).agg(((F.sum("_w") + 1) / F.lit(2.0)).alias("_mid"))
+    out = with_groups(counted, middle, by)
+    for c, rank in columns.items():
+        values = running_sum(counted.groupBy(*by, c).agg(F.sum("_w").alias("_t")), by, [c], F.col("_t"), "_before")
+        out = with_groups(out, values.select(*by, c, (F.col("_before") + (F.col("_t") + 1) / F.lit(2.0)).alias(rank)), [*by, c])
+    return out.select(*by, *[(F.col(r) - F.col("_mid")).alias(r) for r in columns.values()], "_w")
+
+
+def _weighted(x: str, y: str) -> Column:
+    """Correlation of centred columns with weights _w; NULL for fewer than three rows or a constant side."""
+    s = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_w"))
+    n = F.sum("_w").cast("double")
+    return F.when((n >= 3) & (s(x, x) / n > 1e-24) & (s(y, y) / n > 1e-24), s(x, y) / F.sqrt(F.nullif(s(x, x), F.lit(0.0))) / F.sqrt(F.nullif(s(y, y), F.lit(0.0))))
+
+
 @any_group_name
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson's r of average ranks over rows with both values."""
-    rows = rank_average(rank_average(finite_rows(df, x, y), by, x, "_rx"), by, y, "_ry")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_rx"), F.col("_ry")).alias("rho"))
+    if x == y:
+        df, y = df.withColumn("_same", F.col(x)), "_same"
+    rows = _ranked(finite_rows(df, x, y), by, {x: "_rx", y: "_ry"})
+    return rows.groupBy(*by).agg(F.sum("_w").alias("n"), _weighted("_rx", "_ry").alias("rho"))
 
 
 @any_group_name
 def partial_spearman(df: DataFrame, by: Sequence[str], x: str, y: str, given: str) -> DataFrame:
     """Correlation of ranks with one covariate's rank taken out, from the three rank correlations."""
-    rows = finite_rows(df, x, y, given)
-    for c, out in ((x, "_rx"), (y, "_ry"), (given, "_rz")):
-        rows = rank_average(rows, by, c, out)
-    r = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_rx"), F.col("_ry")).alias("a"), _pearson(F.col("_rx"), F.col("_rz")).alias("b"), _pearson(F.col("_ry"), F.col("_rz")).alias("c"))
+    rows = _ranked(finite_rows(df, x, y, given), by, {x: "_rx", y: "_ry", given: "_rz"})
+    r = rows.groupBy(*by).agg(F.sum("_w").alias("n"), _weighted("_rx", "_ry").alias("a"), _weighted("_rx", "_rz").alias("b"), _weighted("_ry", "_rz").alias("c"))
     low = (1.0 - F.col("b") * F.col("b")) * (1.0 - F.col("c") * F.col("c"))
     return r.select(*by, "n", F.when(low > 1e-12, (F.col("a") - F.col("b") * F.col("c")) / F.sqrt(low)).alias("rho"))
 
@@ -292,15 +314,28 @@ def binned_profile(df: DataFrame, by: Sequence[str], x: str, y: str, bins: int)
 def partial_spearman_many(df: DataFrame, by: Sequence[str], x: str, y: str, given: Sequence[str]) -> DataFrame:
     """Correlation of two columns' ranks after least squares on any number of covariates' ranks, with p.
 
-    Residuals come from the ranks' sums of products, so rows are only ranked and read once more.
+    Both come from the ranks' sums of products: rows are counted and ranked (see _ranked), and a group is a small matrix.
+    A rank that the covariates' ranks give wholly has no correlation.
     """
-    from .regression import residuals
-
-    rows = finite_rows(df, x, y, *given)
-    names = {c: f"_rank_{i}" for i, c in enumerate((x, y, *given))}
-    for c, out in names.items():
-        rows = rank_average(rows, by, c, out)
-    z = [names[c] for c in given]
-    rows = residuals(residuals(rows, by, z, names[x], "_ex"), by, z, names[y], "_ey")
-    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _pearson(F.col("_ex"), F.col("_ey")).alias("rho"))
-    return g.withColumn("p", correlation_p("rho", "n", len(given)))
+    import numpy as np
+    import pandas as pd
+
+    from .regression import _mapped
+
+    names = {c: f"_rank_{i}" for i, c in enumerate((*given, x, y))}
+    rows = _ranked(finite_rows(df, x, y, *given), by, names)
+    k = len(names)
+    ranks = list(names.values())
+    m = rows.groupBy(*by).agg(F.sum("_w").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b) * F.col("_w")) for a in ranks for b in ranks]).alias("m"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rho = []
+        for m, n in zip(pdf["m"], pdf["n"], strict=True):
+            s = np.array(m).reshape(k, k)
+            unit = 1 / np.sqrt(np.maximum(np.diag(s), 1e-300))
+            c = s * np.outer(unit, unit)
+            left = c[-2:, -2:] - c[-2:, :-2] @ np.linalg.pinv(c[:-2, :-2], rcond=1e-12, hermitian=True) @ c[:-2, -2:]
+            rho.append(left[0, 1] / np.sqrt(left[0, 0] * left[1, 1]) if n >= 3 and min(np.diag(s)[-2:]) > 0 and min(left[0, 0], left[1, 1]) > 1e-12 else None)
+        return pdf.drop(columns="m").assign(rho=pd.Series(rho, dtype="object"))
+
+    return _mapped(m, by, solve, "n long, rho double").withColumn("p", correlation_p("rho", "n", len(given)))

@@ -1,10 +1,12 @@
 """Work that must not grow faster than the input: plans, counted pairs, draws that are not sorted whole."""
 
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, similarity
+from quillon.operators import joins, nulls, ranks, similarity, statistics
 from quillon.sources import readers
 
 
@@ -48,3 +50,68 @@ def test_nearest_in_band_equals_the_pairs(spark):
     want = joins.nearest_partner(pairs, ["g"], "a", "b", "gap", "score").select("g", "a", "b", "gap")
     got = joins.nearest_in_band(df, ["g"], "a", "x", 3.0).select(F.coalesce("g", F.lit("-")), "a", "b", "gap")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _first_by_md5(rows, times, seed, size):
+    """{(group, perm): keys} by sorting every draw whole."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        keys = [r[1] for r in rows if r[0] == g]
+        for p in range(1, times + 1):
+            out[g, p] = sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{p}|{k}".encode()).hexdigest(), k))[: size[g]]
+    return out
+
+
+def test_draws_are_not_sorted_whole_and_equal_those_that_are(spark):
+    rows = [(g, k) for g, n in (("a", 3000), ("b", 40), (None, 7)) for k in range(n)]
+    size = {"a": 700, "b": 40, None: 0}
+    df, n = spark.createDataFrame(rows, "g string, k long"), spark.createDataFrame(list(size.items()), "g string, n long")
+    want = _first_by_md5(rows, 4, "s", size)
+    got = {}
+    for r in nulls.random_subsets(df, ["g"], "k", n, 4, "s").collect():
+        got.setdefault((r.g, r.perm), []).append(r.k)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+    dealt = nulls._dealt(df, ["g"], "k", n, 4, "s", {"_s": F.col("k")})
+    assert dealt.where("g = 'a' and perm = 1").count() < 1500
+    sums = {(r.g, r.perm): r["t"] for r in dealt.where("_in").groupBy("g", "perm").agg(F.sum("_s").alias("t")).collect()}
+    assert sums == {k: sum(v) for k, v in want.items() if v}
+    # a key that half of the rows share makes hashes uneven: the place is missed, and the draw is put in order whole
+    uneven = spark.createDataFrame([("a", max(0, k - 1500)) for k in range(3000)], "g string, k long")
+    dealt = nulls._dealt(uneven, ["g"], "k", spark.createDataFrame([("a", 700)], "g string, n long"), 4, "s", {})
+    assert {r.t for r in dealt.where("_in").groupBy("perm").agg(F.sum("_c").alias("t")).collect()} == {700}
+
+
+def test_ring_null_passes_all_draws_along_an_edge(spark):
+    nodes = spark.createDataFrame([("g", i, float(i * i % 31), i < 9) for i in range(60)], "g string, k long, x double, hot boolean")
+    links = [(a, b) for a in range(60) for b in ((a + 1) % 60, (a * 7 + 3) % 60) if a != b]
+    edges = spark.createDataFrame([("g", a, b) for a, b in {*links, *[(b, a) for a, b in links]}], "g string, src long, dst long")
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def rings_of(start):
+        seen, last, out = set(start), set(start), []
+        for _ in range(2):
+            last = {b for a in last for b in near[a]} - seen
+            seen |= last
+            out.append(sum(k * k % 31 for k in last) / len(last) if last else None)
+        return out
+
+    got = {r.ring: r for r in nulls.ring_null(nodes, edges, ["g"], "k", F.col("hot"), "x", 2, 70).collect()}
+    draws = [rings_of(v) for v in _first_by_md5([("g", k) for k in range(60)], 70, "ring", {"g": 9}).values()]
+    for i, seen in enumerate(rings_of(range(9))):
+        values = [d[i] for d in draws if d[i] is not None]
+        assert (got[i + 1].x, got[i + 1].null_mean, got[i + 1].draws) == (pytest.approx(seen), pytest.approx(sum(values) / len(values)), len(values))
+
+
+def test_ranks_of_equal_rows_are_weights(spark):
+    rng = random.Random(8)
+    rows = [("g", float(rng.randrange(6)), float(rng.randrange(5)), float(rng.randrange(4))) for _ in range(300)] + [("g", float("nan"), 1.0, 1.0), (None, 1.0, 2.0, 3.0), (None, 2.0, 4.0, 1.0), (None, 3.0, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    ranked = statistics.finite_rows(df, "x", "y")
+    for c in ("x", "y"):
+        ranked = ranks.rank_average(ranked, ["g"], c, f"r{c}")
+    want = {r.g: (r.n, r.r) for r in statistics.pearson(ranked, ["g"], "rx", "ry").collect()}
+    assert {r.g: (r.n, pytest.approx(r.rho)) for r in statistics.spearman(df, ["g"], "x", "y").collect()} == want
+    assert statistics._ranked(statistics.finite_rows(df, "x", "y"), ["g"], {"x": "rx", "y": "ry"}).count() <= 33

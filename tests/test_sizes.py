@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, nulls, ranks, similarity, statistics
+from quillon.operators import joins, nulls, ranks, similarity, spatial, statistics
 from quillon.sources import readers
 
 
@@ -115,3 +115,40 @@ def test_ranks_of_equal_rows_are_weights(spark):
     want = {r.g: (r.n, r.r) for r in statistics.pearson(ranked, ["g"], "rx", "ry").collect()}
     assert {r.g: (r.n, pytest.approx(r.rho)) for r in statistics.spearman(df, ["g"], "x", "y").collect()} == want
     assert statistics._ranked(statistics.finite_rows(df, "x", "y"), ["g"], {"x": "rx", "y": "ry"}).count() <= 33
+
+
+def test_neighbours_of_dense_tables_meet_few_targets(spark, monkeypatch):
+    rng = random.Random(9)
+    points = [("g", i, float(rng.randrange(40)), float(rng.randrange(20)) / 2) for i in range(1500)] + [("g", 5000, 900.0, 900.0)]
+    df, met, top_n = spark.createDataFrame(points, "g string, n int, x double, y double"), [], spatial.top_n
+
+    def counted(rows, by, order, n, out="rank"):
+        met.append(rows.count() if "d2" in rows.columns else 0)
+        return top_n(rows, by, order, n, out)
+
+    monkeypatch.setattr(spatial, "top_n", counted)
+    got = {(r.src, r["rank"]): r.dst for r in spatial.knn_edges(df, ["g"], "n", "x", "y", 3, 50.0).collect()}
+    want = {}
+    for _, a, x, y in points:
+        for i, (_, b) in enumerate(sorted(((x - u) ** 2 + (y - v) ** 2, b) for _, b, u, v in points if a != b)[:3]):
+            want[a, i + 1] = b
+    assert got == want
+    assert sum(met) < 1500 * 1500 / 4
+
+
+def test_components_and_rings_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, settled = [], ranks.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(similarity, "settled", seen)
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(12)], "g string, src long, dst long")
+    got = similarity.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    assert {r.component for r in got.collect()} == {0}
+    monkeypatch.setattr(spatial, "settled", seen)
+    r = spatial.rings(edges, edges.where("src = 3").select("g", "src"), ["g"], "src", 2)
+    assert sorted((x.node, x.ring) for x in r.collect()) == [(3, 0), (4, 1), (5, 2)]
+    plans.append(r._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans)

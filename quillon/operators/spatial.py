@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, ratio
 
-from .ranks import any_group_name, centred_of, over, scaled, settled, top_n, with_groups, z_score
+from .ranks import any_group_name, centred_of, discard, over, scaled, settled, top_n, with_groups, z_score
 from .statistics import finite_rows, pearson, spearman
 
 #: Offsets of the six neighbours on a hexagonal lattice whose columns go in steps of two.
@@ -31,9 +31,20 @@ def lattice_edges(nodes: DataFrame, by: Sequence[str], node: str, row: str, colu
 def _near(sources: DataFrame, targets: DataFrame, by: Sequence[str], k: int, cell: float) -> DataFrame:
     """(by.., src, dst, rank, d2): the k nearest targets (by.., dst, x, y) of each source (by.., src, x0, y0), exactly.
 
-    Looked for in the 3 x 3 cells around a source: exact if k lie within `cell`. The sources that have fewer
-    go on with twice the cell, until it spans the group; every round's table is checkpointed.
+    Looked for in the 3 x 3 cells around a source: exact if k lie within the cell. The sources that have fewer
+    go on with twice the cell, until it spans the group; every round's table is checkpointed. The first cell is `cell` or what
+    makes a target's cell hold few targets, if that is less, so a source meets about as many in dense tables as in sparse ones.
+    Of targets at one place only the k + 1 first can be among the k nearest. Joins are merged: written tables of
+    ids are small files, and a broadcast of them would go through the driver.
     """
+    targets = settled(top_n(targets, [*by, "x", "y"], [F.col("dst")], k + 1, "_place").drop("_place"))
+    few, shrunk = 4.0 * (k + 1), 0
+    while shrunk < 8:
+        held = targets.groupBy(*by, F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+        if held <= 2 * few:
+            break
+        cell, shrunk = cell * max((few / held) ** 0.5, 1 / 16), shrunk + 1
+    sources = settled(sources)
     at = lambda x, y, c: [F.floor(F.col(x) / c).alias("cx"), F.floor(F.col(y) / c).alias("cy")]
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     ends = targets.select(*by, "x", "y").union(sources.select(*by, "x0", "y0")).groupBy(*by).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d")).agg(F.max("d")).first()[0] or 0.0
@@ -42,14 +53,15 @@ def _near(sources: DataFrame, targets: DataFrame, by: Sequence[str], k: int, cel
     while True:
         left = rest.select(*by, "src", "x0", "y0", *at("x0", "y0", cell)).withColumn("_s", steps).select(*by, "src", "x0", "y0", (F.col("cx") + F.col("_s.i")).alias("cx"), (F.col("cy") + F.col("_s.j")).alias("cy"))
         right = targets.select(*by, "dst", "x", "y", *at("x", "y", cell))
-        pairs = left.join(right, [*by, "cx", "cy"]).where(~F.col("src").eqNullSafe(F.col("dst"))).withColumn("d2", d2)
+        pairs = left.hint("merge").join(right, [*by, "cx", "cy"]).where(~F.col("src").eqNullSafe(F.col("dst"))).withColumn("d2", d2)
         last = cell > ends
         best = top_n(pairs if last else pairs.where(F.col("d2") <= cell * cell), [*by, "src"], [F.col("d2"), F.col("dst")], k).select(*by, "src", "dst", "rank", "d2")
-        done = best if last else best.join(best.where(F.col("rank") == k).select(*by, "src"), [*by, "src"], "left_semi")
-        found = settled(done) if found is None else found.union(settled(done))
+        done = settled(best if last else best.withColumn("_most", F.max("rank").over(over([*by, "src"]))).where(F.col("_most") == k).drop("_most"))
+        found = done if found is None else found.union(done)
         if last:
             return found
-        rest = settled(rest.join(found.select(*by, "src").distinct(), [*by, "src"], "left_anti"))
+        before, rest = rest, settled(rest.hint("merge").join(done.where("rank = 1").select(*by, "src"), [*by, "src"], "left_anti"))
+        discard(before)
         if not rest.limit(1).count():
             return found
         cell *= 2
@@ -74,12 +86,15 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node:
 
 @any_group_name
 def rings(edges: DataFrame, seeds: DataFrame, by: Sequence[str], node: str, n: int) -> DataFrame:
-    """(by.., node, ring): ring 0 are the seeds, ring i what i steps reach first."""
-    seen = seeds.select(*by, F.col(node).alias("node")).distinct().withColumn("ring", F.lit(0))
-    last = seen
+    """(by.., node, ring): ring 0 are the seeds, ring i what i steps reach first.
+
+    A ring is written before the next one starts from it, so none is made twice; joins are merged, for broadcasts go through the driver.
+    """
+    edges = settled(edges.select(*by, "src", "dst"))
+    seen = last = settled(seeds.select(*by, F.col(node).alias("node")).distinct().withColumn("ring", F.lit(0)))
     for i in range(1, n + 1):
-        step = last.select(*by, F.col("node").alias("src")).join(edges, [*by, "src"]).select(*by, F.col("dst").alias("node")).distinct()
-        last = step.join(seen, [*by, "node"], "left_anti").withColumn("ring", F.lit(i))
+        step = last.select(*by, F.col("node").alias("src")).hint("merge").join(edges, [*by, "src"]).select(*by, F.col("dst").alias("node")).distinct()
+        last = settled(step.hint("merge").join(seen, [*by, "node"], "left_anti").withColumn("ring", F.lit(i)))
         seen = seen.union(last)
     return seen
 

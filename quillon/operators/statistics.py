@@ -263,7 +263,9 @@ def adjust(df: DataFrame, family: Sequence[str], p: str, key: str) -> DataFrame:
     rows = rows.withColumns({f"{at}_bh": own * n / F.col(f"{at}_i"), f"{at}_holm": own * (n - F.col(f"{at}_i") + 1)})
     ends = r.totals(rows, F.min(f"{at}_bh").alias("_lo"), F.max(f"{at}_holm").alias("_hi"))
     ends = ends.select(*r.part, F.min("_lo").over(r.after()).alias(f"{at}_later"), F.max("_hi").over(r.before()).alias(f"{at}_sooner"))
-    bh = F.least(F.min(f"{at}_bh").over(up.rowsBetween(0, Window.unboundedFollowing)), F.col(f"{at}_later"), F.lit(1.0))
+    # the least from here on is a running one from the end: a frame that reaches to the end is read anew for every row
+    down = over(r.part, F.desc(f"{at}_i"))
+    bh = F.least(F.min(f"{at}_bh").over(down.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"{at}_later"), F.lit(1.0))
     holm = F.least(F.greatest(F.max(f"{at}_holm").over(up.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"{at}_sooner")), F.lit(1.0))
     return r.join(rows, ends).select(*df.columns, bh.alias("bh"), holm.alias("holm"), F.least(F.lit(1.0), own * n).alias("bonferroni"))
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, nulls, ranks, similarity, spatial, statistics
+from quillon.operators import joins, matching, nulls, ranks, similarity, spatial, statistics
 from quillon.sources import readers
 
 
@@ -152,3 +152,36 @@ def test_components_and_rings_send_no_table_through_the_driver(spark, monkeypatc
     assert sorted((x.node, x.ring) for x in r.collect()) == [(3, 0), (4, 1), (5, 2)]
     plans.append(r._jdf.queryExecution().executedPlan().toString())
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_adjusted_p_values_take_no_frames_to_the_end(spark):
+    rng = random.Random(9)
+    rows = [(f, i, rng.choice([rng.random(), 0.25])) for f in ("u", None) for i in range(300)]
+    got = statistics.adjust(spark.createDataFrame(rows, "f string, k int, p double"), ["f"], "p", "k")
+    # what passes on between ranges (a row each) may reach to the end, rows may not
+    assert not [line for line in optimized(got).splitlines() if "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" in line]
+    want = {}
+    for f in ("u", None):
+        own = sorted((p, k) for g, k, p in rows if g == f)
+        least = 1.0
+        for i in range(len(own), 0, -1):
+            least = min(least, own[i - 1][0] * len(own) / i)
+            want[f, own[i - 1][1]] = round(least, 12)
+    assert {(r.f, r.k): round(r.bh, 12) for r in got.collect()} == want
+
+
+def test_pieces_take_no_frames_to_the_end_of_their_rows(spark, monkeypatch):
+    plans, written = [], matching.settled
+    monkeypatch.setattr(matching, "settled", lambda df: plans.append(optimized(df)) or written(df))
+    rows = [("u", i % 3 == 0, i, (i * 7 % 50) / 4.0) for i in range(200)]
+    got = matching.optimal_pairs(spark.createDataFrame(rows, "g string, c boolean, k int, x double"), ["g"], "c", "k", "x")
+    assert got.count() == 67 and plans
+    assert not [line for plan in plans for line in plan.splitlines() if "max(_p#" in line and "1, unboundedfollowing$()" in line and "_hi#" not in line]
+
+
+def test_lattice_joins_send_nothing_through_the_driver(spark):
+    nodes = spark.createDataFrame([(0, 40 * r + c, r, 2 * c + r % 2, float(r * c)) for r in range(6) for c in range(6)], "s int, n long, r long, c long, v double")
+    edges = spatial.lattice_edges(nodes, ["s"], "n", "r", "c")
+    for got in (spatial.neighbour_mean(nodes, edges, ["s"], "n", ["v"]), spatial.getis_ord(nodes, edges, ["s"], "n", "v")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") <= 1  # the one: totals, a row a group

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite
 
-from .ranks import Ranges, discard, settled, with_groups
+from .ranks import Ranges, discard, over, settled, with_groups
 
 #: Pieces that one call of the solver gets together.
 PACK = 1000
@@ -28,7 +28,9 @@ def pieces(df: DataFrame, by: Sequence[str], few: str, order: Sequence[str]) ->
     """
     r = Ranges(df.withColumn("_v", F.when(F.col(few), 1).otherwise(-1).cast("long")), by, order)
     w = r.within()
-    rows = r.rows.withColumn("_p", F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # _i tells equal rows apart; what comes later is seen from the end, for a frame that reaches to the end is read anew for every row
+    rows = r.rows.withColumns({"_p": F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_i": F.row_number().over(w)})
+    w, back = over(r.part, "_i"), over(r.part, F.desc("_i"))
     sums = r.totals(rows, F.sum("_v").alias("_s"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
     sums = sums.withColumn("_start", F.coalesce(F.sum("_s").over(r.before()), F.lit(0)))
     least, most = F.min(F.col("_start") + F.col("_lo")).over(r.before()), F.max(F.col("_start") + F.greatest("_hi", "_s")).over(r.after())
@@ -36,10 +38,10 @@ def pieces(df: DataFrame, by: Sequence[str], few: str, order: Sequence[str]) ->
     rows = r.join(rows, sums)
     p, start = F.col("_start") + F.col("_p"), F.col("_start")
     so_far = F.least("_least", start + F.min("_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    later = F.greatest("_most", start + F.max("_p").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    later = F.greatest("_most", start + F.max("_p").over(back.rowsBetween(Window.unboundedPreceding, -1)))
     begins = (p == so_far) & (p >= later)
     # a row of the larger side with a border on either side of it serves nobody
-    rows = settled(rows.select(*df.columns, *r.order, *r.part, begins.cast("long").alias("_b"), (begins & ~F.col(few) & (later == p - 1)).alias("_idle")))
+    rows = settled(rows.select(*df.columns, *r.part, "_i", begins.cast("long").alias("_b"), (begins & ~F.col(few) & (later == p - 1)).alias("_idle")))
     # a border counts for its range first, as the running sum did
     counts = r.totals(rows, F.sum("_b").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(r.before()), F.lit(0))).drop("_n")
     numbered = r.join(rows, counts).withColumn("piece", F.col("_before") + F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -21,11 +21,11 @@ HEX = ((0, -2), (0, 2), (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 @any_group_name
 def lattice_edges(nodes: DataFrame, by: Sequence[str], node: str, row: str, column: str, offsets=HEX) -> DataFrame:
-    """(by.., src, dst) of nodes whose coordinates differ by an offset: one hash join."""
+    """(by.., src, dst) of nodes whose coordinates differ by an offset: one join, merged, for nodes are small as files and would go through the driver."""
     near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets]))
     left = nodes.select(*by, F.col(node).alias("src"), F.col(row).alias("_r"), F.col(column).alias("_c"), near.alias("o")).select(*by, "src", (F.col("_r") + F.col("o.r")).alias("_r"), (F.col("_c") + F.col("o.c")).alias("_c"))
     right = nodes.select(*by, F.col(node).alias("dst"), F.col(row).alias("_r"), F.col(column).alias("_c"))
-    return left.join(right, [*by, "_r", "_c"]).select(*by, "src", "dst")
+    return left.hint("merge").join(right, [*by, "_r", "_c"]).select(*by, "src", "dst")
 
 
 def _near(sources: DataFrame, targets: DataFrame, by: Sequence[str], k: int, cell: float) -> DataFrame:
@@ -81,7 +81,7 @@ def knn_edges(nodes: DataFrame, by: Sequence[str], node: str, x: str, y: str, k:
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, values: Sequence[str]) -> DataFrame:
     """The mean of each value over a node's neighbours that have it (NaN and infinities do not); nodes without neighbours are left out."""
     v = nodes.select(*by, F.col(node).alias("dst"), *[finite(c).alias(c) for c in values])
-    return edges.join(v, [*by, "dst"]).groupBy(*by, F.col("src").alias(node)).agg(F.count(F.lit(1)).alias("neighbours"), *[F.avg(c).alias(f"mean_{c}") for c in values])
+    return edges.hint("merge").join(v, [*by, "dst"]).groupBy(*by, F.col("src").alias(node)).agg(F.count(F.lit(1)).alias("neighbours"), *[F.avg(c).alias(f"mean_{c}") for c in values])
 
 
 @any_group_name
@@ -167,9 +167,9 @@ def getis_ord(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str,
     v = nodes.select(*by, F.col(node).alias("dst"), finite(x).alias("x")).where("x is not null")
     all_of = v.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     loops = v.select(*by, F.col("dst").alias("src"), "dst")
-    near = edges.unionByName(loops).join(v, [*by, "dst"]).groupBy(*by, "src").agg(F.sum("x").alias("sx"), F.count(F.lit(1)).cast("double").alias("w"))
+    near = edges.unionByName(loops).hint("merge").join(v, [*by, "dst"]).groupBy(*by, "src").agg(F.sum("x").alias("sx"), F.count(F.lit(1)).cast("double").alias("w"))
     low = F.col("s") * F.sqrt((F.col("n") * F.col("w") - F.col("w") * F.col("w")) / F.nullif(F.col("n") - 1.0, F.lit(0.0)))
-    return near.join(all_of, list(by)).select(*by, F.col("src").alias(node), ratio(F.col("sx") - F.col("m") * F.col("w"), low).alias("gi_star"))
+    return near.join(F.broadcast(all_of), list(by)).select(*by, F.col("src").alias(node), ratio(F.col("sx") - F.col("m") * F.col("w"), low).alias("gi_star"))
 
 
 def dense_hotspots(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, high: Column, least: int = 5) -> DataFrame:

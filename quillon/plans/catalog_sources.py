@@ -42,12 +42,15 @@ def gmt_round_trip(t: Tables) -> DataFrame:
 
 @query("SELECT l_suppkey AS barcode, CAST(l_partkey % 50 AS VARCHAR) AS gene, CAST(sum(l_quantity) AS DOUBLE) AS count FROM lineitem WHERE l_suppkey % 3 = 1 GROUP BY 1, 2")
 def matrix_round_trip(t: Tables) -> DataFrame:
-    """A coordinate matrix with names and positions: read, named, cut to spots inside the tissue."""
+    """A coordinate matrix with names and positions, a file for each thousand spots: read, named, cut to spots inside the tissue."""
     path = _folder(t, "mtx")
-    m = t.lineitem.groupBy(F.col("l_suppkey").alias("c"), (F.col("l_partkey") % 50 + 1).alias("r")).agg(F.sum("l_quantity").cast("double").alias("v"))
-    body = m.select(F.concat_ws(" ", "r", "c", "v").alias("value"), F.lit(2).alias("o"))
+    m = t.lineitem.where("l_suppkey is not null").groupBy(F.col("l_suppkey").alias("c"), (F.col("l_partkey") % 50 + 1).alias("r")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    body = m.select(F.concat_ws(" ", "r", "c", "v").alias("value"), F.lit(2).alias("o"), F.floor(F.col("c") / 1000).alias("part"))
     head = t.spark.createDataFrame([("%%MatrixMarket matrix coordinate real general", 0), ("50 1000 0", 1)], "value string, o int")
-    head.union(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    blocks = t.supplier.select(F.floor(F.col("s_suppkey") / 1000).alias("part")).union(t.lineitem.select(F.floor(F.col("l_suppkey") / 1000).alias("part"))).where("part is not null").distinct()
+    # all rows of a block are in one task, so each file begins with its own heading
+    lines = head.crossJoin(blocks).unionByName(body)
+    lines.repartition("part").sortWithinPartitions("part", "o").select("value", "part").write.partitionBy("part").text(path)
     genes = t.spark.range(1, 51).select(F.col("id").alias("place"), (F.col("id") - 1).cast("string").alias("name"))
     spots = t.supplier.select(F.col("s_suppkey").alias("place"), F.col("s_suppkey").cast("string").alias("name"))
     flags = _folder(t, "positions")

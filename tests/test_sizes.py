@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, matching, nulls, ranks, similarity, spatial, statistics
+from quillon.operators import joins, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
 
@@ -185,3 +185,25 @@ def test_lattice_joins_send_nothing_through_the_driver(spark):
     for got in (spatial.neighbour_mean(nodes, edges, ["s"], "n", ["v"]), spatial.getis_ord(nodes, edges, ["s"], "n", "v")):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") <= 1  # the one: totals, a row a group
+
+
+def test_a_matrix_is_written_in_a_file_for_each_thousand_spots(spark, tmp_path):
+    from quillon.plans import catalog_sources  # noqa: F401
+    from quillon.plans.registry import QUERIES
+
+    spark.range(3000).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(9000).select((F.col("id") % 3000).alias("l_suppkey"), (F.col("id") % 7).alias("l_partkey"), F.lit(2.0).alias("l_quantity")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["matrix_round_trip"](spark, str(tmp_path))
+    assert len([f for f in got.inputFiles() if f.endswith(".txt")]) == 3
+    want = {}
+    for i in range(9000):
+        if i % 3000 % 3 == 1:
+            want[i % 3000, str(i % 7)] = want.get((i % 3000, str(i % 7)), 0.0) + 2.0
+    assert {(r.barcode, r.gene): r["count"] for r in got.collect()} == want
+
+
+def test_unique_genes_are_not_gathered_once_more(spark):
+    rows = spark.createDataFrame([("a", "MT-1", 1.0), ("a", "G2", 3.0), ("b", "G2", 0.0), ("b", "G3", 2.0), ("b", None, 1.0)], "s string, g string, c double")
+    want, got = reports.quality_covariates(rows, [], "s", "g", "c"), reports.quality_covariates(rows, [], "s", "g", "c", unique=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "distinct" in optimized(want) and "distinct" not in optimized(got)

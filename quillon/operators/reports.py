@@ -300,9 +300,14 @@ def set_audit(genes: DataFrame, sets: DataFrame, name: str, gene: str, least: in
     return x.withColumn("percent", 100.0 * ratio("found", "size")).withColumn("scored", F.col("found") >= least)
 
 
-def quality_covariates(long: DataFrame, by: Sequence[str], spot: str, gene: str, count: str, mito: str = "MT-") -> DataFrame:
-    """Totals, genes found and the per cent of mitochondrial counts of every spot."""
+def quality_covariates(long: DataFrame, by: Sequence[str], spot: str, gene: str, count: str, mito: str = "MT-", unique: bool = False) -> DataFrame:
+    """Totals, genes found and the per cent of mitochondrial counts of every spot.
+
+    unique says that a spot has each gene in one row at most: genes are then counted, not gathered once more.
+    """
     c = F.col(count)
+    if unique:
+        return long.where(c > 0).groupBy(*by, spot).agg(F.sum(c).alias("total"), F.count(gene).alias("detected"), (100.0 * ratio(F.sum(F.when(F.col(gene).startswith(mito), c).otherwise(0)), F.sum(c))).alias("mito"))
     return long.where(c > 0).groupBy(*by, spot).agg(F.sum(c).alias("total"), F.countDistinct(gene).alias("detected"), (100.0 * ratio(F.sum(F.when(F.col(gene).startswith(mito), c).otherwise(0)), F.sum(c))).alias("mito"))
 
 

@@ -64,8 +64,10 @@ def set_overlap_audit(t: Tables) -> DataFrame:
 )
 def confounding_screen(t: Tables) -> DataFrame:
     """Quality covariates of spots against a score."""
-    x = t.lineitem.groupBy(F.col("l_suppkey").alias("spot"), F.concat(F.when(F.col("l_partkey") % 19 == 0, "MT-").otherwise("G"), F.col("l_partkey").cast("string")).alias("gene")).agg(F.sum("l_quantity").cast("double").alias("c"))
-    q = reports.quality_covariates(x, [], "spot", "gene", "c").withColumn("mito", F.round("mito", 9))
+    # cells are added up by number and named afterwards
+    x = t.lineitem.groupBy(F.col("l_suppkey").alias("spot"), "l_partkey").agg(F.sum("l_quantity").cast("double").alias("c"))
+    x = x.select("spot", F.concat(F.when(F.col("l_partkey") % 19 == 0, "MT-").otherwise("G"), F.col("l_partkey").cast("string")).alias("gene"), "c")
+    q = reports.quality_covariates(x, [], "spot", "gene", "c", unique=True).withColumn("mito", F.round("mito", 9))
     j = q.join(t.supplier, F.col("spot") == F.col("s_suppkey")).select((F.col("s_nationkey") % 5).alias("g"), F.col("s_acctbal").cast("double").alias("score"), "total", "detected", "mito")
     long = reports.long(j, ["g", "score"], ["total", "detected", "mito"], "covariate", "v")
     return rounded(statistics.spearman(long, ["g", "covariate"], "score", "v"), 5)

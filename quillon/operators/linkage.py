@@ -7,8 +7,11 @@ items: any key) go through the same rounds together, and no task holds a group's
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,12 +260,113 @@ def family_separation(pairs: DataFrame, families: DataFrame, labels: DataFrame,
     inside = F.col("_fa") == F.col("_fb")
     ends = p.select("perm", F.explode(F.array_distinct(F.array("_fa", "_fb"))).alias("family"), inside.alias("_inside"), "jaccard")
     sums = ends.groupBy("perm", "family").agg(F.sum(F.when(F.col("_inside"), F.col("jaccard"))).alias("_in"), F.sum(F.when(~F.col("_inside"), F.col("jaccard"))).alias("_out"))
-    rows = size.join(total, "perm").join(sums, ["perm", "family"], "left").na.fill(0.0, ["_in", "_out"])
+    return _separation(size.join(total, "perm").join(sums, ["perm", "family"], "left"))
+
+
+def _separation(rows: DataFrame) -> DataFrame:
+    """family_separation's columns from (family, _n, _t, _in, _out), a row for each resample."""
+    rows = rows.na.fill(0.0, ["_in", "_out"])
     gap = ratio("_in", F.col("_n") * (F.col("_n") - 1) / 2.0) - ratio("_out", F.col("_n") * (F.col("_t") - F.col("_n")))
     s = rows.withColumn("_gap", gap)
     return s.groupBy("family").agg(F.count("_gap").alias("resamples"), F.avg("_gap").alias("mean"), F.stddev_samp("_gap").alias("sd"), F.min("_gap").alias("least"), F.avg((F.col("_gap") > 0).cast("double")).alias("above"))
 
 
+def _masked(bits: pa.Array, values: pa.Array, times: int, kind: str) -> np.ndarray:
+    """(rows, times): a row's values where it has a bit, else 0."""
+    flat = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8)
+    mask = np.unpackbits(flat(bits).reshape(len(bits), -1), axis=1, count=times).astype(bool)
+    out = np.zeros(mask.shape, np.int64)
+    out[mask] = flat(values).view(kind)
+    return out
+
+
+def drawn_bits(items: DataFrame, owner: str, item: str, times: int, size: int, seed: str = "boot") -> DataFrame:
+    """(owner, item, bits, sizes): the draws of `resampled` as one row for each owner and item, with a bit for each resample that has it.
+
+    sizes are the numbers of different items that the owner has in those resamples, two bytes each.
+    """
+    sets = items.select(F.col(owner).alias("owner"), F.col(item).alias("item")).where("owner is not null and item is not null").distinct()
+    # an owner's items are one row: a program's list, not a table's rows
+    lists = sets.groupBy("owner").agg(F.array_sort(F.collect_list("item")).alias("_items")).select("owner", F.col("owner").cast("string").alias("_name"), "_items")
+    ends = [str(j).encode() for j in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column(2)[i].values
+                heads = [f"{seed}|{perm}|{batch.column(1)[i].as_py()}|".encode() for perm in range(1, times + 1)]
+                at = np.frombuffer(b"".join(hashlib.md5(head + end).digest()[:4] for head in heads for end in ends), ">u4") % len(own)
+                drawn = np.zeros((len(own), times), bool)
+                drawn[at, np.repeat(np.arange(times), size)] = True
+                many, some = drawn.sum(0).astype("<u2"), np.flatnonzero(drawn.any(1))
+                bits, sizes = [np.packbits(drawn[k]).tobytes() for k in some], [many[drawn[k]].tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(some), i))), own.take(pa.array(some)), pa.array(bits, pa.binary()), pa.array(sizes, pa.binary())], ["owner", "item", "bits", "sizes"])
+
+    kinds = dict(sets.dtypes)
+    return lists.repartition(4 * lists.sparkSession.sparkContext.defaultParallelism, "owner").mapInArrow(run, f"owner {kinds['owner']}, item {kinds['item']}, bits binary, sizes binary")
+
+
+def resampled_separation(items: DataFrame, owner: str, item: str, families: DataFrame, node: str, family: str, times: int = 250, size: int = 50, seed: str = "boot") -> DataFrame:
+    """family_separation over the resamples of `resampled`, whose pairs are not written once for each resample.
+
+    Owners meet once for each item that they both may draw; what leaves a task are bits and sizes of the resamples
+    in which both have it, and sums by family and resample.
+    """
+    f = settled(families.select(F.col(node).alias("owner"), F.col(family).alias("family")).where("family is not null").distinct())
+    rows = settled(drawn_bits(items, owner, item, times, size, seed).join(f, "owner"))
+    n = settled(rows.select("owner", "family").distinct().groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    names = {"owner": "_b", "family": "_fb", "bits": "_bits", "sizes": "_sizes"}
+    met = rows.hint("merge").join(rows.withColumnsRenamed(names), "item").where("owner < _b").select(F.col("owner").alias("_a"), "_b", F.col("family").alias("_fa"), "_fb", "bits", "sizes", "_bits", "_sizes")
+    kinds = dict(met.dtypes)
+    keys = ["_a", "_b", "_fa", "_fb"]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                a, b = _masked(part.column(4), part.column(5), times, "<u2"), _masked(part.column(6), part.column(7), times, "<u2")
+                mask = (a > 0) & (b > 0)
+                some, total = np.flatnonzero(mask.any(1)), (a + b).astype("<u2")
+                out = [pa.array([x.tobytes() for x in np.packbits(mask[some], axis=1)], pa.binary()), pa.array([total[k][mask[k]].tobytes() for k in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(pa.array(some)) for i in range(4)], *out], [*keys, "bits", "sizes"])
+
+    packed = met.mapInArrow(both, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", bits binary, sizes binary").repartition(*keys).sortWithinPartitions(*keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        last, shared, total = None, np.zeros(times), np.zeros(times)
+
+        def close(pairs: list, k: np.ndarray, s: np.ndarray) -> None:
+            jaccard = np.divide(k, s - k, out=np.zeros(k.shape), where=k > 0)
+            for kind in {p[2:] for p in pairs}:
+                found = jaccard[[p[2:] == kind for p in pairs]].sum(0)
+                for one in set(kind):
+                    sums.setdefault(one, np.zeros((2, times)))[int(kind[0] != kind[1])] += found
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                own = list(zip(*[part.column(i).to_pylist() for i in range(4)], strict=True))
+                s = _masked(part.column(4), part.column(5), times, "<u2")
+                first = [i for i, p in enumerate(own) if not i or p != own[i - 1]]
+                k, s, pairs = np.add.reduceat(s > 0, first, axis=0, dtype=float), np.maximum.reduceat(s, first, axis=0).astype(float), [own[i] for i in first]
+                # a pair's rows may go on in the next part
+                if last == pairs[0]:
+                    k[0], s[0] = k[0] + shared, np.maximum(s[0], total)
+                elif last is not None:
+                    close([last], shared[None], total[None])
+                close(pairs[:-1], k[:-1], s[:-1])
+                last, shared, total = pairs[-1], k[-1], s[-1]
+        if last is not None:
+            close([last], shared[None], total[None])
+        for one, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([one] * times), pa.array(np.arange(1, times + 1), pa.int32()), pa.array(x[0]), pa.array(x[1])], ["family", "perm", "_in", "_out"]).cast(pa.schema([("family", batch.schema.field(2).type), ("perm", pa.int32()), ("_in", pa.float64()), ("_out", pa.float64())]))
+
+    sums = packed.mapInArrow(add, f"family {kinds['_fa']}, perm int, _in double, _out double").groupBy("perm", "family").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    every = n.crossJoin(n.agg(F.sum("_n").alias("_t"))).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
+    return _separation(every.join(sums, ["perm", "family"], "left"))
+
+
 def top_n_sweep(items: DataFrame, owner: str, item: str, rank: str, tops: Sequence[int], k: int) -> DataFrame:
     """For each pair of top-N item lists the adjusted Rand index of their k clusters, with either one's silhouette.
 

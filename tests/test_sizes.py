@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, matching, nulls, ranks, reports, similarity, spatial, statistics
+from quillon.operators import joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
 
@@ -207,3 +207,17 @@ def test_unique_genes_are_not_gathered_once_more(spark):
     want, got = reports.quality_covariates(rows, [], "s", "g", "c"), reports.quality_covariates(rows, [], "s", "g", "c", unique=True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "distinct" in optimized(want) and "distinct" not in optimized(got)
+
+
+def test_resampled_separation_equals_that_of_written_pairs(spark):
+    rng = random.Random(12)
+    items = spark.createDataFrame([(o, i) for o in range(14) for i in rng.sample(range(25), 9)] + [(99, 1), (None, 1), (3, None)], "o long, i long")
+    families = spark.createDataFrame([(o, f"f{o % 3}") for o in range(12)] + [(13, "alone"), (5, "f0"), (4, None)], "n long, f string")
+    draws = linkage.resampled(items, "o", "i", 20, 6)
+    pairs = similarity.set_overlaps(draws, ["perm"], "owner", "item").select("perm", "a", "b", "jaccard")
+    want = linkage.family_separation(pairs, families, draws.select("perm", F.col("owner").alias("node")).distinct(), "n", "f")
+    got = linkage.resampled_separation(items, "o", "i", families, "n", "f", 20, 6)
+    rows = lambda df: sorted([r.family, *[None if v is None else round(v, 9) for v in r[1:]]] for r in df.collect())
+    assert rows(got) == rows(want)
+    bits = linkage.drawn_bits(items, "o", "i", 20, 6)
+    assert bits.count() <= items.dropna().count() < draws.count()

@@ -7,6 +7,7 @@ a group and fold, whatever the number of rows; a group's small systems are then
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -239,8 +240,13 @@ def permanova(df: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequen
     own = rows.withColumn("_i", F.row_number().over(over(by, F.col(key))))
     perms = numbered(own, times)
     dealt = perms.withColumn("_j", F.row_number().over(over([*by, "perm"], F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(key).cast("string"))), F.col(key))))
-    new = dealt.select(*by, "perm", F.col("_i").alias("_k"), *xs).join(dealt.select(*by, "perm", F.col("_j").alias("_k"), label), [*by, "perm", "_k"])
-    both = own.select(*by, F.lit(0).alias("perm"), label, *xs).union(new.select(*by, "perm", label, *xs))
+    # a place along the keys has the same vector in every draw, so draws meet the rows and not themselves; files are small, draws
+    # are not, so the join is merged: a broadcast of draws would go through the driver
+    at = {c: f"_at_{i}" for i, c in enumerate(by)}
+    places = own.select(*[F.col(c).alias(n) for c, n in at.items()], F.col("_i").alias("_k"), *xs)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in at.items()], F.col("_j") == F.col("_k"))
+    new = dealt.select(*by, "perm", "_j", label).hint("merge").join(places, same)
+    both = own.select(*by, F.lit(0).alias("perm"), label, *xs).unionByName(new.select(*by, "perm", label, *xs))
     g = both.groupBy(*by, "perm", label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)], F.sum(sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))).alias("_q"))
     within = F.sum(F.col("_q") - sum((F.col(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.col("_n"))
     total = F.sum("_q") - sum((F.sum(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.sum("_n")

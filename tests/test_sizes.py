@@ -221,3 +221,25 @@ def test_resampled_separation_equals_that_of_written_pairs(spark):
     assert rows(got) == rows(want)
     bits = linkage.drawn_bits(items, "o", "i", 20, 6)
     assert bits.count() <= items.dropna().count() < draws.count()
+
+
+def test_permanova_draws_meet_rows_and_not_themselves(spark):
+    from quillon.operators import regression
+
+    rng = random.Random(3)
+    rows = [(g, k, rng.choice("ab"), rng.random()) for g in ("u", "v") for k in range(30)]
+    got = regression.permanova(spark.createDataFrame(rows, "g string, k long, l string, x double"), ["g"], "k", "l", ["x"], 19)
+
+    def pseudo_f(pairs):
+        ss = lambda xs: sum(x * x for x in xs) - sum(xs) ** 2 / len(xs)
+        within = sum(ss([x for m, x in pairs if m == l]) for l in {m for m, _ in pairs})  # noqa: E741
+        return (ss([x for _, x in pairs]) - within) / (within / (len(pairs) - 2))
+
+    for r in got.collect():
+        own = [(k, l, x) for g, k, l, x in rows if g == r.g]  # noqa: E741
+        seen, hits = pseudo_f([(l, x) for _, l, x in own]), 0  # noqa: E741
+        for p in range(1, 20):
+            dealt = sorted(own, key=lambda t: (hashlib.md5(f"permanova|{p}|{t[0]}".encode()).hexdigest(), t[0]))  # noqa: B023
+            hits += pseudo_f([(d[1], o[2]) for d, o in zip(dealt, own, strict=True)]) >= seen - 1e-9
+        assert round(r.f, 9) == round(seen, 9) and round(r.p, 9) == round((hits + 1) / 20, 9)
+    assert "strategy=merge" in optimized(got)

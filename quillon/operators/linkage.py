@@ -2,7 +2,8 @@
 
 Clusters are named by their smallest member. A pair table holds sums of similarities between clusters, so a merge
 only renames and adds rows; pairs that share nothing are not in it. All groups (and resamples, cuts, numbers of top
-items: any key) go through the same rounds together, and no task holds a group's matrix.
+items: any key) go through the same rounds together. A piece (a group, or what hangs together of a large one) that has
+at most WHOLE pairs left goes through its last rounds in one task; no task holds more of a group, nor any matrix.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from .ranks import any_group_name, discard, over, running_sum, settled, with_gro
 
 #: Similarities are compared at this many digits, so that sums of different order tie alike.
 DIGITS = 12
+#: So many pairs of a piece are merged in one task (some 100 MB there).
+WHOLE = 1_000_000
 
 
 def pair_sums(pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
@@ -51,6 +55,56 @@ def merged(c: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
     return c.groupBy(*by, "a", "b", "na", "nb").agg(F.sum("total").alias("total")).select(*by, "a", "b", "total", "na", "nb")
 
 
+def _rounds(a: np.ndarray, b: np.ndarray, total: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rounds of `reciprocal` and `merged` on pairs a < b in their order: (a, b, total, na, nb) of each round's merges."""
+    n = len(size)
+    while len(a):
+        mean = np.round(total / (size[a].astype(float) * size[b]), DIGITS)
+        best, first = np.full(n, -np.inf), np.full(n, len(a))
+        for x in (a, b):
+            np.maximum.at(best, x, mean)
+        for x in (a, b):
+            at = np.flatnonzero(mean == best[x])
+            np.minimum.at(first, x[at], at)
+        at = np.flatnonzero((first[a] == np.arange(len(a))) & (first[b] == np.arange(len(a))))
+        yield a[at], b[at], total[at], size[a[at]], size[b[at]]
+        name, size = np.arange(n), size.copy()
+        name[b[at]] = a[at]
+        size[a[at]] += size[b[at]]
+        x, y = name[a], name[b]
+        kept = x != y
+        x, y = np.minimum(x, y)[kept], np.maximum(x, y)[kept]
+        code, inverse = np.unique(x * n + y, return_inverse=True)
+        a, b, total = code // n, code % n, np.bincount(inverse, total[kept], len(code))
+
+
+def _in_tasks(c: DataFrame, keys: Sequence[str], piece: Sequence[str], step: int) -> DataFrame:
+    """(keys, a, b, total, na, nb, step): all merges of a pair table that is dealt by keys and piece, from this step on."""
+    kinds = dict(c.dtypes)
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = pc.unique(pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks]))
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(rows[x], value_set=names).to_numpy().astype(np.int64) for x in "ab")
+        size = np.ones(len(names), np.int64)
+        size[a], size[b] = rows["na"].to_numpy(), rows["nb"].to_numpy()
+        order = np.lexsort((b, a))
+        done = [(*merge, np.full(len(merge[0]), step + i, np.int32)) for i, merge in enumerate(_rounds(a[order], b[order], rows["total"].to_numpy()[order], size))]
+        x = [np.concatenate(parts) for parts in zip(*done, strict=True)]
+        own = {k: rows[k].take(pa.array(np.zeros(len(x[0]), np.int64))) for k in keys}
+        return pa.table(own | {"a": names.take(pa.array(x[0])), "b": names.take(pa.array(x[1]))} | dict(zip(("total", "na", "nb", "step"), map(pa.array, x[2:]), strict=True)))
+
+    dealt = c.repartition(4 * c.sparkSession.sparkContext.defaultParallelism, *keys, *piece) if [*keys, *piece] else c
+    return dealt.groupBy(*keys, *piece).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "a", "b", "total", "na", "nb")) + ", step int")
+
+
+def _pieces(c: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """c with _piece: the least node that a pair hangs together with."""
+    name = lambda x: F.struct(*keys, F.col(x).alias("x"))
+    part = similarity.components(c.select(name("a").alias("a"), name("b").alias("b")))
+    return c.join(part.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.x").alias("a"), F.col("component.x").alias("_piece")), [*keys, "a"])
+
+
 def average_linkage(pairs: DataFrame, nodes: DataFrame, by: Sequence[str], node: str, sim: str) -> DataFrame:
     """Merges of a group's nodes by mean similarity: (by, child, parent, height, total, na, nb, step, place).
 
@@ -67,20 +121,42 @@ def average_linkage(pairs: DataFrame, nodes: DataFrame, by: Sequence[str], node:
     keys = list(own.values())
     nodes = settled(coded(nodes, F.col(node).alias("node")).where("node is not null").distinct())
     c = settled(pair_sums(coded(pairs, "a", "b", sim), keys, sim))
-    done, step = None, 0
+    done, step, piece = None, 0, []
+    coded_alike = {dict(c.dtypes)[x] for x in "ab"}.issubset({"tinyint", "smallint", "int", "bigint", "string"})
     while True:
-        chosen = settled(reciprocal(c, keys).withColumn("step", F.lit(step)))
+        if coded_alike:
+            sizes = settled(c.groupBy(*keys, *piece).agg(F.count(F.lit(1)).alias("_pairs")))
+            if not piece and not sizes.where(F.col("_pairs") > WHOLE).isEmpty():
+                piece = ["_piece"]
+                c = settled(_pieces(c, keys))
+                continue
+            few = sizes.where(F.col("_pairs") <= WHOLE)
+            if not few.isEmpty():
+                # small pieces share a task's table, which goes through the rounds as they would
+                at = [F.when(F.col("_pairs") > WHOLE // 8, F.xxhash64("_piece")).otherwise(F.pmod(F.xxhash64("_piece"), F.greatest(F.lit(1), (F.col("_sum") * 8 / WHOLE).cast("long")))).alias("_deal")] if piece else []
+                few = with_groups(few, few.groupBy(*keys).agg(F.sum("_pairs").alias("_sum")), keys).select(*keys, *piece, *at)
+                dealt = with_groups(c, few, [*keys, *piece]) if piece else with_groups(c, few, keys) if keys else c
+                last = settled(_in_tasks(dealt.drop(*piece), keys, ["_deal"] if piece else [], step))
+                done = last if done is None else done.unionByName(last)
+                rest = c.join(few.drop("_deal"), [*keys, *piece], "left_anti") if [*keys, *piece] else c.limit(0)
+                if sizes.where(F.col("_pairs") > WHOLE).isEmpty():
+                    break
+                c = settled(rest)
+        chosen = settled(reciprocal(c, [*keys, *piece]).withColumn("step", F.lit(step)))
         if chosen.isEmpty():
             break
-        done = chosen if done is None else done.unionByName(chosen)
+        mine = chosen.drop(*piece)
+        done = mine if done is None else done.unionByName(mine)
         if step % 20 == 19:
             done = settled(done)
-        after = settled(merged(c, chosen, keys))
+        after = settled(merged(c, chosen, [*keys, *piece]))
         discard(c)
         c, step = after, step + 1
     kind = dict(nodes.dtypes)["node"]
     if done is None:
         done = nodes.limit(0).select(*keys, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"), F.lit(0).alias("step"))
+    done = settled(done)
+    step = (done.agg(F.max("step")).first()[0] or 0) + 1
     done = done.select(*keys, F.col("b").cast(kind).alias("child"), F.col("a").cast(kind).alias("parent"), (1.0 - F.col("total") / (F.col("na").cast("double") * F.col("nb"))).alias("height"), "total", "na", "nb", "step")
     # what is left shares nothing: it joins the smallest name at height 1, one after the other
     size = done.groupBy(*keys, F.col("parent").alias("node")).agg(F.sum("nb").alias("more"))

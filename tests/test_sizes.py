@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillon.operators import joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
+from tests.test_graphs import linked
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -243,3 +245,25 @@ def test_permanova_draws_meet_rows_and_not_themselves(spark):
             hits += pseudo_f([(d[1], o[2]) for d, o in zip(dealt, own, strict=True)]) >= seen - 1e-9
         assert round(r.f, 9) == round(seen, 9) and round(r.p, 9) == round((hits + 1) / 20, 9)
     assert "strategy=merge" in optimized(got)
+
+
+@pytest.mark.parametrize("whole", [0, 6, 1_000_000])
+def test_merges_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, whole):
+    rng = random.Random(11)
+    sims = [(g, at + a, at + b, rng.randint(1, 6) / 8) for g in ("u", None) for at in (0, 20, 40) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.5]
+    pairs = spark.createDataFrame(sims, "g string, a long, b long, s double")
+    nodes = spark.createDataFrame([(g, at + a) for g in ("u", None) for at in (0, 20, 40) for a in range(9)], "g string, node long")
+    rounds = []
+    seen = linkage.reciprocal
+    monkeypatch.setattr(linkage, "reciprocal", lambda *a: rounds.append(1) or seen(*a))
+    monkeypatch.setattr(linkage, "WHOLE", whole)
+    got = sorted(((r.g or "-", r.place, r.parent, r.child, round(r.height, 9), r.na, r.nb) for r in linkage.average_linkage(pairs, nodes, ["g"], "node", "s").collect()))
+    for g in ("u", None):
+        members, mine = {n: [n] for at in (0, 20, 40) for n in range(at, at + 9)}, []
+        for _, _, parent, child, height, na, nb in [r for r in got if r[0] == (g or "-")]:
+            assert (na, nb) == (len(members[parent]), len(members[child]))
+            members[parent] = members[parent] + members.pop(child)
+            mine.append((frozenset(members[parent]), height))
+        assert set(mine) == set(linked(sorted(n for at in (0, 20, 40) for n in range(at, at + 9)), {(a, b): s for h, a, b, s in sims if h == g}))
+    # one round of jobs for what fits a task, as many as the tree is deep without
+    assert not rounds if whole > 6 else len(rounds) > 2

@@ -26,6 +26,8 @@ from .ranks import any_group_name, discard, over, running_sum, settled, with_gro
 DIGITS = 12
 #: So many pairs of a piece are merged in one task (some 100 MB there).
 WHOLE = 1_000_000
+#: So many nodes meet as many others in a task of co_clustering.
+BLOCK = 1_000
 
 
 def pair_sums(pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
@@ -302,9 +304,43 @@ def resampled_clusters(items: DataFrame, owner: str, item: str, times: int = 250
 
 
 def co_clustering(labels: DataFrame, times: int) -> DataFrame:
-    """(a, b, together): the share of resamples in which two nodes fall into one cluster; pairs that never do are left out."""
-    a, b = labels.withColumnRenamed("node", "a"), labels.withColumnRenamed("node", "b")
-    return a.join(b, ["perm", "root"]).where("a < b").groupBy("a", "b").agg((F.count(F.lit(1)) / F.lit(float(times))).alias("together"))
+    """(a, b, together): the share of resamples in which two nodes fall into one cluster; pairs that never do are left out.
+
+    A node is one row with its cluster's number in each resample, and nodes meet in blocks of some BLOCK each: the pairs are
+    as many as the result may have, but none is dealt once for each resample.
+    """
+    rows = labels.where("node is not null and root is not null")
+    # resamples and a resample's clusters get numbers: few rows
+    perms = rows.select("perm").distinct().withColumn("_p", F.row_number().over(over([], "perm")) - 1)
+    roots = rows.select("perm", "root").distinct().withColumn("_c", F.row_number().over(over(["perm"], F.col("root"))))
+    coded = rows.join(roots, ["perm", "root"]).join(F.broadcast(perms), "perm")
+    packed = settled(coded.groupBy("node").agg(F.collect_list(F.struct("_p", "_c")).alias("_l")).select("node", F.col("_l._p").alias("_p"), F.col("_l._c").alias("_c")))
+    n, width = packed.count(), perms.count()
+    many = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("node"), F.lit(many)).cast("int")
+    met = packed.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    met = met.select("node", "_p", "_c", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, own = (t[c].to_numpy() for c in ("_i", "_j", "_own"))
+        cells = t["_p"].combine_chunks()
+        code = np.zeros((t.num_rows, width), np.int32)
+        code[np.repeat(np.arange(t.num_rows), np.diff(cells.offsets)), cells.flatten()] = t["_c"].combine_chunks().flatten()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        columns, out = np.ascontiguousarray(code[right].T), ([], [], [])
+        for x in left:
+            count = np.zeros(len(right), np.int32)
+            for p in np.flatnonzero(code[x]):
+                count += columns[p] == code[x, p]
+            some = np.flatnonzero((count > 0) & (right > x if i[0] == j[0] else True))
+            for o, v in zip(out, (np.full(len(some), x), right[some], count[some]), strict=True):
+                o.append(v)
+        x, y, count = (np.concatenate([np.zeros(0, np.int64), *o]) for o in out)
+        return pa.table({"x": t["node"].take(pa.array(x)), "y": t["node"].take(pa.array(y)), "n": pa.array(count)})
+
+    kind = dict(labels.dtypes)["node"]
+    pairs = met.repartition(4 * met.sparkSession.sparkContext.defaultParallelism, "_i", "_j").groupBy("_i", "_j").applyInArrow(run, f"x {kind}, y {kind}, n long")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("n") / F.lit(float(times))).alias("together"))
 
 
 def family_stability(labels: DataFrame, families: DataFrame, node: str, family: str) -> DataFrame:

@@ -267,3 +267,22 @@ def test_merges_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, whole):
         assert set(mine) == set(linked(sorted(n for at in (0, 20, 40) for n in range(at, at + 9)), {(a, b): s for h, a, b, s in sims if h == g}))
     # one round of jobs for what fits a task, as many as the tree is deep without
     assert not rounds if whole > 6 else len(rounds) > 2
+
+
+@pytest.mark.parametrize("block", [7, 1_000])
+def test_nodes_that_share_clusters_are_counted_in_blocks(spark, monkeypatch, block):
+    rng = random.Random(13)
+    label = {(p, n): rng.randrange(4) for p in range(1, 11) for n in range(30) if rng.random() < 0.9}
+    labels = spark.createDataFrame([(p, f"n{n}", f"n{r}") for (p, n), r in label.items()], "perm int, node string, root string")
+    monkeypatch.setattr(linkage, "BLOCK", block)
+    want = {}
+    for p in range(1, 11):
+        for a in range(30):
+            for b in range(30):
+                if f"n{a}" < f"n{b}" and (p, a) in label and label[p, a] == label.get((p, b)):
+                    want[f"n{a}", f"n{b}"] = want.get((f"n{a}", f"n{b}"), 0) + 1
+    got = linkage.co_clustering(labels, 10)
+    assert {(r.a, r.b): r.together for r in got.collect()} == {e: n / 10 for e, n in want.items()}
+    # no pair is a row of a shuffle once for each resample
+    assert "root#" not in optimized(got).split("FlatMapGroupsInArrow")[0]
+    assert got.count() == len(want)

@@ -286,3 +286,14 @@ def test_nodes_that_share_clusters_are_counted_in_blocks(spark, monkeypatch, blo
     # no pair is a row of a shuffle once for each resample
     assert "root#" not in optimized(got).split("FlatMapGroupsInArrow")[0]
     assert got.count() == len(want)
+
+
+def test_draws_of_sets_are_no_rows_of_nodes_or_edges(spark, monkeypatch):
+    e = spark.createDataFrame([("s", n, g, float((n * 7 + g * 5) % 11)) for n in range(60) for g in range(24) if (n + g) % 3], "sample string, node long, gene long, x double")
+    edges = spark.createDataFrame([("s", n, m) for n in range(60) for m in (n - 1, n + 1) if 0 <= m < 60], "sample string, src long, dst long")
+    sets = spark.createDataFrame([("low", g) for g in range(6)] + [("high", g + 12) for g in range(6)], "name string, gene long")
+    most, write = [], nulls.settled
+    monkeypatch.setattr(nulls, "settled", lambda df: most.append((out := write(df)).count()) or out)
+    nulls.matched_set_smoothness(e, edges, sets, ["sample"], "node", "gene", "x", "name", 40).collect()
+    # sets x draws x genes of a set are the most rows that are written; nodes x draws would be 4,920
+    assert max(most) == e.count() and max(most) < 60 * 2 * 41

@@ -101,8 +101,9 @@ def residual_variance(long: DataFrame, node: str, feature: str, x: str, theta: f
 # ---------------------------------------------------------------- passes over sparse rows
 
 
-def _dense(batch: pa.RecordBatch, width: int, block: int = 512) -> Iterator[np.ndarray]:
-    """The vectors of a batch of (node, places, values), a block at a time."""
+def _dense(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The vectors of a batch of (node, places, values), a block of some 200,000 cells (at least 512 vectors) at a time."""
+    block = max(512, 200_000 // max(width, 1))
     for a in range(0, batch.num_rows, block):
         p, v = batch.column(1).slice(a, block), batch.column(2).slice(a, block)
         out = np.zeros((len(p), width))
@@ -205,20 +206,60 @@ def principal_components(long: DataFrame, node: str, feature: str, x: str, k: in
 # ---------------------------------------------------------------- factorisation
 
 
+def _solved(g: np.ndarray, c: np.ndarray, w: np.ndarray, jump: bool) -> np.ndarray:
+    """Columns of w that are done; they are set to the least squares over the places that they use, where these hold.
+
+    Columns that use the same places are solved together. A solution holds if it is not negative and no place would move, to the
+    same precision as in a sweep; with jump, the other columns go on from what of it is not negative. Places that depend on each
+    other, and more than 60 of them, are left to the sweeps.
+    """
+    done = np.zeros(w.shape[1], bool)
+    if len(g) > 60:
+        return done
+    code = (1 << np.arange(len(g))) @ (w > 0)
+    order = np.argsort(code, kind="stable")
+    found, first = np.unique(code[order], return_index=True)
+    for one, columns in zip(found, np.split(order, first[1:]), strict=True):
+        at = (int(one) >> np.arange(len(g))) & 1 == 1
+        a = g[np.ix_(at, at)]
+        if at.any() and np.linalg.cond(a) > 1e10:
+            continue
+        own = c[:, columns]
+        v = np.zeros(own.shape)
+        v[at] = np.linalg.solve(a, own[at])
+        up = np.divide(own - g @ v, np.diag(g)[:, None], out=np.zeros(own.shape), where=np.diag(g)[:, None] > 0)[~at]
+        ok = (v.min(0) >= 0) & (up.max(0, initial=0) <= 1e-12 * max(1.0, float(v.max(initial=0))))
+        done[columns[ok]] = True
+        w[:, columns] = np.maximum(v, 0) if jump else np.where(ok, v, w[:, columns])
+    return done
+
+
 def usages(x: np.ndarray, h: np.ndarray, sweeps: int = 500) -> np.ndarray:
-    """Non-negative w of the least |x - w h|^2, by coordinate descent until nothing moves."""
-    g, c = h @ h.T, x @ h.T
-    w = np.zeros((len(x), len(h)))
-    for _ in range(sweeps):
+    """Non-negative w of the least |x - w h|^2, by coordinate descent until nothing moves.
+
+    After some sweeps most rows use the places that they will use in the end: they are solved for these at once and take no
+    part any more, so a slow row keeps none of the others.
+    """
+    g, c = h @ h.T, h @ x.T
+    out = np.zeros((len(h), len(x)))
+    rows, w = np.arange(len(x)), out.copy()
+    for sweep in range(1, sweeps + 1):
         most = 0.0
         for j in range(len(h)):
             if g[j, j] > 0:
-                step = np.maximum(w[:, j] + (c[:, j] - w @ g[:, j]) / g[j, j], 0) - w[:, j]
-                w[:, j] += step
-                most = max(most, float(np.abs(step).max(initial=0)))
+                new = np.maximum(w[j] + (c[j] - g[j] @ w) / g[j, j], 0)
+                most = max(most, float(np.abs(new - w[j]).max(initial=0)))
+                w[j] = new
         if most <= 1e-12 * max(1.0, float(w.max(initial=0))):
             break
-    return w
+        if sweep % 2 == 0 and sweep <= 20 or sweep % 10 == 0:
+            done = _solved(g, c, w, sweep <= 20)
+            out[:, rows[done]] = w[:, done]
+            rows, w, c = rows[~done], w[:, ~done], c[:, ~done]
+            if not len(rows):
+                break
+    out[:, rows] = w
+    return out.T
 
 
 def _improved(h: np.ndarray, ww: np.ndarray, wx: np.ndarray, sweeps: int = 20) -> np.ndarray:

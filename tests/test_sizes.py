@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
+from quillon.operators import factors, joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
 from tests.test_graphs import linked
@@ -297,3 +298,12 @@ def test_draws_of_sets_are_no_rows_of_nodes_or_edges(spark, monkeypatch):
     nulls.matched_set_smoothness(e, edges, sets, ["sample"], "node", "gene", "x", "name", 40).collect()
     # sets x draws x genes of a set are the most rows that are written; nodes x draws would be 4,920
     assert max(most) == e.count() and max(most) < 60 * 2 * 41
+
+
+def test_usages_of_close_spectra_do_not_hang_on_sweeps():
+    rng = np.random.default_rng(8)
+    h = rng.random(12) + rng.random((3, 12)) * 0.01
+    x = rng.random((300, 3)) @ h + rng.random((300, 12)) * 0.1
+    w = factors.usages(x, h)
+    gradient = (w @ h - x) @ h.T
+    assert (w >= 0).all() and gradient.min() > -1e-8 and np.abs(gradient * w).max() < 1e-8

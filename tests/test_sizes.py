@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import factors, joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
+from quillon.operators import communities, factors, joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
 from tests.test_graphs import linked
@@ -307,3 +307,21 @@ def test_usages_of_close_spectra_do_not_hang_on_sweeps():
     w = factors.usages(x, h)
     gradient = (w @ h - x) @ h.T
     assert (w >= 0).all() and gradient.min() > -1e-8 and np.abs(gradient * w).max() < 1e-8
+
+
+@pytest.mark.parametrize("whole", [0, 40, 2_000_000])
+def test_communities_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, whole):
+    rng = random.Random(9)
+    names = {g: [f"{g}{i:02d}" for i in range(n)] for g, n in (("p", 24), ("q", 9))}
+    rows = [(g, a, b, round(0.1 + rng.random(), 4)) for g, own in names.items() for a in own for b in own if a < b and rng.random() < (0.6 if ord(a[-1]) % 3 == ord(b[-1]) % 3 else 0.15)]
+    rows += [("q", "q03", "q03", 0.7), ("r", "x", "x", 1.0)]
+    df = spark.createDataFrame(rows, "g string, a string, b string, w double")
+    monkeypatch.setattr(communities, "WHOLE", whole)
+    seen, rounds = [], communities._rounds
+    monkeypatch.setattr(communities, "_rounds", lambda e, own: seen.append(e.select("resolution", "_by_0").distinct().count()) or rounds(e, own))
+    got = {(r.g, r.resolution, r.node): (r.community, round(r.quality, 9)) for r in communities.communities(df, ["g"], "w", (0.8, 1.3)).collect()}
+    assert seen == {0: [6], 40: [2], 2_000_000: []}[whole] and len(got) == 2 * (24 + 9 + 1)
+    assert _COMMUNITIES.setdefault("all", got) == got
+
+
+_COMMUNITIES = {}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.hashes import Md5Order
 from quillon.functions.scalars import finite, ratio
 
 from .ranks import any_group_name, centred_of, discard, over, scaled, settled, top_n, with_groups, z_score
@@ -133,30 +134,32 @@ def permuted(nodes: DataFrame, by: Sequence[str], node: str, x: str, times: int,
 def lisa(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str, x: str, times: int = 99, seed: str = "lisa", blocks: int = 32) -> DataFrame:
     """Local Moran with the share of permutations at least as extreme, (b + 1) / (m + 1).
 
-    The permutations are those of `permuted`, dealt to tasks in blocks; a task holds one group's nodes, edges
-    and one permutation, and gives back counts only.
+    The permutations are those of `permuted`, dealt to tasks in at most `blocks` blocks a group, so that there are some four tasks a
+    core; a task holds one group's nodes, edges and one permutation as arrays, and gives back counts only.
     """
-    z = z_score(finite_rows(nodes, x), by, x, "_z").where("_z is not null").select(*by, F.col(node).alias("_node"), "_z")
-    near = edges.join(z.select(*by, F.col("_node").alias("dst")), [*by, "dst"]).groupBy(*by, F.col("src").alias("_node")).agg(F.collect_list("dst").alias("_near"))
-    whole = z.join(near, [*by, "_node"], "left").withColumn("_name", F.col("_node").cast("string"))
-    dealt = whole.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(min(times, blocks) - 1))))
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_node", ignore_index=True)
-        v, names = group["_z"].to_numpy(), [f"|{n}".encode() for n in group["_name"]]
-        lists = [[] if near is None else near for near in group["_near"]]
-        degree = np.array([len(near) for near in lists])
+    z = settled(z_score(finite_rows(nodes, x), by, x, "_z").where("_z is not null").select(*by, F.col(node).alias("_node"), "_z"))
+    near = edges.hint("merge").join(z.select(*by, F.col("_node").alias("dst")), [*by, "dst"]).groupBy(*by, F.col("src").alias("_node")).agg(F.collect_list("dst").alias("_near"))
+    whole = z.hint("merge").join(near, [*by, "_node"], "left").withColumn("_name", F.col("_node").cast("string"))
+    cores = z.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(times, blocks, -(-4 * cores // max(1, z.select(*by).distinct().count() if by else 1))))
+    dealt = whole.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(8 * cores, *by, "_block")
+    schema = z.select(*by, "_node").schema.add("_hits", "long")
+    kept = [f.name for f in schema][:-1]
+
+    def count(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("_node")
+        v, block = group["_z"].to_numpy(), group["_block"][0].as_py()
+        lists = group["_near"].combine_chunks()
+        degree = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         src = np.repeat(np.arange(len(v)), degree)
-        dst = pd.Index(group["_node"]).get_indexer([n for near in lists for n in near])
+        dst = pc.index_in(lists.flatten(), group["_node"].combine_chunks()).to_numpy(zero_copy_only=False)
         extreme = lambda u: np.round(np.abs(u * np.bincount(src, u[dst], len(v)) / np.maximum(degree, 1)), 9)
-        real, hits = extreme(v), np.zeros(len(v), np.int64)
-        for perm in range(int(group["_block"].iloc[0]) + 1, times + 1, min(times, blocks)):
-            head = f"{seed}|{perm}".encode()
-            order = np.frombuffer(b"".join(hashlib.md5(head + n).digest() for n in names), ">u8").reshape(-1, 2)
-            hits += extreme(v[np.lexsort((order[:, 1], order[:, 0]))]) >= real
-        return group[[*by]].assign(_node=group["_node"], _hits=hits)[degree > 0]
-
-    counted = dealt.groupBy(*by, "_block").applyInPandas(count, z.select(*by, "_node").schema.add("_hits", "long"))
+        real, hits, names = extreme(v), np.zeros(len(v), np.int64), Md5Order(group["_name"])
+        for perm in range(block + 1, times + 1, blocks):
+            hits += extreme(v[names.order(f"{seed}|{perm}|".encode())]) >= real
+        return group.select(kept).append_column("_hits", pa.array(hits)).filter(pa.array(degree > 0))
+
+    counted = dealt.groupBy(*by, "_block").applyInArrow(count, schema)
     p = counted.groupBy(*by, F.col("_node").alias(node)).agg(((F.sum("_hits") + 1) / (F.lit(times) + 1.0)).alias("p"))
     return local_moran(nodes, edges, by, node, x).join(p, [*by, node])
 

@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import hashes
 from quillon.operators import communities, factors, joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
@@ -325,3 +327,22 @@ def test_communities_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, who
 
 
 _COMMUNITIES = {}
+
+
+def test_md5_order_of_many_names_is_that_of_hashlib():
+    names = [str(7 * i) for i in range(2000)] + ["x" * 60, "", "é", "a" * 50, "dup", "dup"]
+    order = hashes.Md5Order(pa.array(names))
+    for prefix in ("lisa|1|", "lisa|12|", "lisa|999|", ""):
+        want = sorted(range(len(names)), key=lambda i: (hashlib.md5((prefix + names[i]).encode()).hexdigest(), i))  # noqa: B023
+        assert order.order(prefix.encode()).tolist() == want
+
+
+def test_lisa_copies_a_group_no_more_often_than_its_tasks_need(spark, monkeypatch):
+    cells = [(g, i, i // 6, 2 * (i % 6) + i // 6 % 2, float(i * i % 11)) for g in range(16) for i in range(24)]
+    nodes = spark.createDataFrame(cells, "s int, node long, row long, col long, x double")
+    edges = spatial.lattice_edges(nodes, ["s"], "node", "row", "col")
+    seen, ends = [], F.sequence
+    monkeypatch.setattr(F, "sequence", lambda a, b: seen.append(str(b)) or ends(a, b))
+    got = {blocks: {(r.s, r.node): r.p for r in spatial.lisa(nodes, edges, ["s"], "node", "x", 20, blocks=blocks).collect()} for blocks in (1, 32)}
+    assert got[1] == got[32] and len(got[1]) == 16 * 24 and all("'0'" in s for s in seen[::2])
+    assert int(seen[-1].split("'")[1]) + 1 <= max(1, -(-4 * spark.sparkContext.defaultParallelism // 16))

@@ -11,12 +11,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quillon.functions.hashes import Md5Order
 
 from .ranks import any_group_name
 from .statistics import finite_rows
 
+#: A group of at most so many rows is dealt anew in tasks that hold it.
+GATHERED = 4_000_000
+
 
 def fold_of(key: Column, folds: int, seed: str = "fold") -> Column:
     """The fold of a key, from an md5: any engine gives the same."""
@@ -264,7 +271,8 @@ def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequen
     Squared residuals of (1, covariate) against those of (1, covariate, member), summed over xs; for p the residuals of the
     smaller model are permuted by md5 of the key (rows in order of the key take residuals in order of the hash) and both
     models are fitted again. Everything is a sum of products of the residuals with the centred covariate and with
-    what membership adds to it, so no vector of a group is gathered. Rows with a null flag, key or value, NaN or infinity are
+    what membership adds to it. A group of at most GATHERED rows is dealt in tasks of some permutations each, which give back these
+    sums, so no row is shuffled once a permutation; larger groups are put in order by ranges. Rows with a null flag, key or value, NaN or infinity are
     left out. A covariate without variance is not used (mode group_only); f, r2 and p are null where membership adds no
     direction or nothing is left over, or where n is at most the number of regressors.
     """
@@ -281,18 +289,27 @@ def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequen
     used = F.sum(F.col("_m") * F.col("_m")) > 1e-18 * F.count(F.lit(1))
     rest = lambda c: {n: F.col(n) - F.when(c[0], F.coalesce(b, F.lit(0.0)) * F.col("_m")).otherwise(0.0) for n, b in zip(("_g", *names), c[1:], strict=True)} | {"_used": c[0]}
     rows = settled(scaled(settled(rows), by, ([used, *slope], rest)))
-    word = F.md5(F.concat_ws("|", F.lit(seed), "perm", F.col("_key").cast("string")))
-    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
-    # places along a group: by key for the regressors, by hash for the residuals
-    fixed = _places(rows.select(*by, "_key", "_g", "_m", "_used"), by, ["_key"]).drop("_key")
-    dealt = _places(perms.select(*by, "perm", "_key", *names), [*by, "perm"], [word, F.col("_key")]).drop("_key")
-    new = dealt.join(fixed, [*by, "_place"]) if by else dealt.join(fixed, "_place")
-    both = new.select(*by, "perm", "_g", "_m", "_used", *names).unionByName(rows.select(*by, F.lit(0).alias("perm"), "_g", "_m", "_used", *names))
     square = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
-    sums = both.groupBy(*by, "perm", "_used").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(square).alias("_q"), F.sum(F.col("_g") * F.col("_g")).alias("_gg"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"),
-        *[F.sum(F.col(n) * F.col("_g")).alias(f"_b{i}") for i, n in enumerate(names)], *[F.sum(F.col(n) * F.col("_m")).alias(f"_a{i}") for i, n in enumerate(names)],
-    )
+
+    def moments(both: DataFrame) -> DataFrame:
+        return both.groupBy(*by, "perm", "_used").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(square).alias("_q"), F.sum(F.col("_g") * F.col("_g")).alias("_gg"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"),
+            *[F.sum(F.col(n) * F.col("_g")).alias(f"_b{i}") for i, n in enumerate(names)], *[F.sum(F.col(n) * F.col("_m")).alias(f"_a{i}") for i, n in enumerate(names)],
+        )
+
+    size = settled(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")))
+    small, large = size.where(F.col("_all") <= GATHERED), size.where(F.col("_all") > GATHERED)
+    sums = moments(rows.select(*by, F.lit(0).alias("perm"), "_g", "_m", "_used", *names))
+    if not small.isEmpty():
+        sums = sums.unionByName(_dealt_moments(with_groups(rows, small.select(*by), by) if by else rows, by, names, size.count(), times, seed, sums.schema))
+    if not large.isEmpty():
+        wide = settled(with_groups(rows, large.select(*by), by)) if by else rows
+        word = F.md5(F.concat_ws("|", F.lit(seed), "perm", F.col("_key").cast("string")))
+        perms = wide.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
+        # places along a group: by key for the regressors, by hash for the residuals
+        fixed = _places(wide.select(*by, "_key", "_g", "_m", "_used"), by, ["_key"]).drop("_key")
+        dealt = _places(perms.select(*by, "perm", "_key", *names), [*by, "perm"], [word, F.col("_key")]).drop("_key")
+        sums = sums.unionByName(moments(with_groups(dealt, fixed, [*by, "_place"])))
     along = lambda t: sum((F.col(f"{t}{i}") * F.col(f"{t}{i}") for i in range(len(names))), F.lit(0.0))
     small = F.col("_q") - F.when(F.col("_used"), F.try_divide(along("_a"), F.col("_mm"))).otherwise(0.0)
     effect = F.when(F.col("_gg") > 1e-18 * F.col("n"), along("_b") / F.nullif("_gg", F.lit(0.0)))
@@ -305,6 +322,28 @@ def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequen
     return with_groups(seen, hits, by, "left").select(*by, "n", "mode", "f", "r2", F.when(F.col("f").isNotNull(), (F.col("_b") + 1.0) / (F.col("_c") + 1.0)).alias("p"))
 
 
+def _dealt_moments(rows: DataFrame, by: Sequence[str], names: Sequence[str], groups: int, times: int, seed: str, schema: StructType) -> DataFrame:
+    """The sums of pseudo_f for permutations 1 to times: a task holds one group's rows as arrays and deals a block of permutations."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(times, -(-4 * cores // groups)))
+    dealt = rows.select(*by, "_key", F.col("_key").cast("string").alias("_name"), "_g", "_m", "_used", *names).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(8 * cores, *by, "_block")
+
+    def sums(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("_key")
+        fixed = np.stack([group[c].to_numpy() for c in ("_g", "_m")])
+        y = np.stack([group[c].to_numpy() for c in names])
+        order, perms = Md5Order(group["_name"]), np.arange(group["_block"][0].as_py() + 1, times + 1, blocks)
+        cross = np.stack([fixed @ y[:, order.order(f"{seed}|{perm}|".encode())].T for perm in perms]) if len(perms) else np.zeros((0, 2, len(y)))
+        first = group.slice(0, 1)
+        same = {"n": group.num_rows, "_q": float((y * y).sum()), "_gg": float(fixed[0] @ fixed[0]), "_mm": float(fixed[1] @ fixed[1])}
+        cells = {c: pa.array(first[c].to_pylist() * len(perms), group.schema.field(c).type) for c in (*by, "_used")}
+        cells |= {"perm": pa.array(perms, pa.int32())} | {c: pa.array([v] * len(perms)) for c, v in same.items()}
+        cells |= {f"_{t}{i}": pa.array(cross[:, k, i]) for k, t in enumerate("ba") for i in range(len(y))}
+        return pa.table({f.name: cells[f.name] for f in schema})
+
+    return dealt.groupBy(*by, "_block").applyInArrow(sums, schema)
+
+
 def _places(df: DataFrame, by: Sequence[str], order) -> DataFrame:
     """df with _place, a row's number within its group; ranges count apart."""
     from .ranks import running_sum

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import hashes
-from quillon.operators import communities, factors, joins, linkage, matching, nulls, ranks, reports, similarity, spatial, statistics
+from quillon.operators import communities, factors, joins, linkage, matching, nulls, ranks, regression, reports, similarity, spatial, statistics
 from quillon.sources import readers
 
 from tests.test_graphs import linked
@@ -346,3 +346,19 @@ def test_lisa_copies_a_group_no_more_often_than_its_tasks_need(spark, monkeypatc
     got = {blocks: {(r.s, r.node): r.p for r in spatial.lisa(nodes, edges, ["s"], "node", "x", 20, blocks=blocks).collect()} for blocks in (1, 32)}
     assert got[1] == got[32] and len(got[1]) == 16 * 24 and all("'0'" in s for s in seen[::2])
     assert int(seen[-1].split("'")[1]) + 1 <= max(1, -(-4 * spark.sparkContext.defaultParallelism // 16))
+
+
+@pytest.mark.parametrize("gathered", [0, 30, 4_000_000])
+def test_pseudo_f_deals_small_groups_in_tasks(spark, monkeypatch, gathered):
+    rng = random.Random(10)
+    rows = [(g, i, rng.random() < 0.4, rng.random(), rng.random(), rng.random()) for g, n in (("a", 40), ("b", 25), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, m boolean, c double, u double, v double")
+    monkeypatch.setattr(regression, "GATHERED", gathered)
+    seen, places = [], regression._places
+    monkeypatch.setattr(regression, "_places", lambda df, by, order: seen.append(df.select(by[0]).distinct().count()) or places(df, by, order))
+    got = {r.g: (r.n, r["mode"], round(r.f, 9), round(r.r2, 9), r.p) for r in regression.pseudo_f(df, ["g"], "k", "m", ["u", "v"], "c", 25).collect()}
+    assert seen == {0: [3, 3], 30: [1, 1], 4_000_000: []}[gathered] and len(got) == 3
+    assert _PSEUDO.setdefault("all", got) == got
+
+
+_PSEUDO = {}

@@ -417,8 +417,8 @@ def distance_scaling(pairs: DataFrame, nodes: DataFrame, node: str, distance: st
     pairs: (a, b, distance), each unordered pair once; a pair that is not there is `far` apart. The squared distances
     are far^2 less a sparse table, so multiplying a block of vectors with their double centring B takes one join of the
     pairs and the block's means, and no table of all pairs is made. Each pass applies B to the residuals of the best
-    vectors so far and takes the best of the span of these, the residuals and the last step, until the first k are
-    eigenvectors to `tolerance` of the largest eigenvalue (an error after `passes`). Axes with an eigenvalue of 0 or less are left
+    vectors so far (k + 10 of them: eigenvalues of many sparse pairs lie close together) and takes the best of the span of these,
+    the residuals and the last step, until the first k are eigenvectors to `tolerance` of the largest eigenvalue (an error after `passes`). Axes with an eigenvalue of 0 or less are left
     out; an axis's sign is such that the node of the greatest |value| (a tie: the smallest node) is positive. share is
     the eigenvalue over the trace. Null nodes and null or non-finite distances are left out.
     """
@@ -426,7 +426,7 @@ def distance_scaling(pairs: DataFrame, nodes: DataFrame, node: str, distance: st
     n = n_of.count()
     spark, kind = pairs.sparkSession, dict(n_of.dtypes)["node"]
     empty = spark.createDataFrame([], f"node {kind}, axis int, value double, share double")
-    b = min(k + 3, n - 1)
+    b = min(k + 10, n - 1)
     if b < 1:
         return empty
     e = pairs.where("a <> b").select("a", "b", finite(distance).alias("d")).where("d is not null").select("a", "b", (F.col("d") * F.col("d") - F.lit(far * far)).alias("e")).where("e <> 0")
@@ -446,9 +446,10 @@ def distance_scaling(pairs: DataFrame, nodes: DataFrame, node: str, distance: st
 
     start = centred(n_of.select("node", F.array(*[F.xxhash64("node", F.lit(j)) / F.lit(2.0**63) for j in range(b)]).alias("r")), b, "r")
     q = settled(times(start, b).select("node", F.col("r").alias("s"), F.col("y").alias("t")))
+    width = b
     for turn in range(passes):
-        if turn % 12 == 11:  # images of combinations drift from what B gives: from the best vectors alone, anew
-            fresh = settled(times(centred(q.select("node", F.slice("s", 1, b).alias("r")), b, "r"), b).select("node", F.col("r").alias("s"), F.col("y").alias("t")))
+        if turn % 12 == 11:  # images of combinations drift from what B gives: anew, with the last step, without which it would start again
+            fresh = settled(times(centred(q.select("node", F.col("s").alias("r")), width, "r"), width).select("node", F.col("r").alias("s"), F.col("y").alias("t")))
             discard(q)
             q = fresh
         g, t, tt = _blocks(q)
@@ -474,7 +475,7 @@ def distance_scaling(pairs: DataFrame, nodes: DataFrame, node: str, distance: st
         parts = lambda c, new: F.concat(F.slice(c, 1, m), new, F.slice(c, m + 1, 3 * b))  # noqa: B023, E731
         after = settled(moved.select("node", parts("s", F.col("r")).alias("s"), parts("t", F.col("y")).alias("t")))
         discard(q, wide)
-        q, b = after, m
+        q, width, b = after, 3 * m if len(g) > b else 2 * m, m
     else:
         raise RuntimeError(f"axes did not settle in {passes} passes")
     real = [j for j in range(first) if values[j] > 1e-9 * max(abs(values[0]), 1e-300)]

@@ -362,3 +362,18 @@ def test_pseudo_f_deals_small_groups_in_tasks(spark, monkeypatch, gathered):
 
 
 _PSEUDO = {}
+
+
+def test_axes_of_random_pairs_settle_in_few_passes(spark):
+    rng, n = np.random.default_rng(12), 300
+    a, b = np.triu_indices(n, 1)
+    some = rng.random(len(a)) < 0.05
+    d = np.ones((n, n)) - np.eye(n)
+    d[a[some], b[some]] = d[b[some], a[some]] = 1 - 1 / 59
+    pairs = spark.createDataFrame([(int(x), int(y), float(d[x, y])) for x, y in zip(a[some], b[some], strict=True)], "a long, b long, d double")
+    got = {(r.node, r.axis): (r.value, r.share) for r in factors.distance_scaling(pairs, spark.range(n).toDF("n"), "n", "d", 2, passes=30).collect()}
+    j = np.eye(n) - 1 / n
+    e, u = np.linalg.eigh(-j @ d**2 @ j / 2)
+    for axis in (1, 2):
+        mine = np.array([got[i, axis][0] for i in range(n)])
+        assert np.allclose(np.abs(mine), np.abs(u[:, -axis]) * np.sqrt(e[-axis]), atol=1e-3) and got[0, axis][1] == pytest.approx(e[-axis] / e.sum(), abs=1e-6)

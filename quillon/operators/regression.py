@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -238,32 +239,84 @@ def nested_f(df: DataFrame, by: Sequence[str], small: Sequence[str], large: Sequ
 def permanova(df: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequence[str], times: int = 199, seed: str = "permanova") -> DataFrame:
     """Pseudo-F of a label over vectors (squared Euclidean distance) with p by labels dealt anew in md5 order.
 
-    Sums of squares within labels come from sums of x and x squared, so no pairs are made.
+    Sums of squares within labels come from sums of x and x squared, so no pairs are made. A group of at most GATHERED rows is
+    dealt in tasks of some draws each, which give back these sums, so no row is shuffled once a draw; a larger one is put in order by ranges.
     """
-    from .nulls import numbered
-    from .ranks import over, with_groups
+    from .ranks import settled, with_groups
 
-    rows = finite_rows(df.where(F.col(label).isNotNull()), *xs).select(*by, key, label, *xs)
-    own = rows.withColumn("_i", F.row_number().over(over(by, F.col(key))))
-    perms = numbered(own, times)
-    dealt = perms.withColumn("_j", F.row_number().over(over([*by, "perm"], F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(key).cast("string"))), F.col(key))))
-    # a place along the keys has the same vector in every draw, so draws meet the rows and not themselves; files are small, draws
-    # are not, so the join is merged: a broadcast of draws would go through the driver
-    at = {c: f"_at_{i}" for i, c in enumerate(by)}
-    places = own.select(*[F.col(c).alias(n) for c, n in at.items()], F.col("_i").alias("_k"), *xs)
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in at.items()], F.col("_j") == F.col("_k"))
-    new = dealt.select(*by, "perm", "_j", label).hint("merge").join(places, same)
-    both = own.select(*by, F.lit(0).alias("perm"), label, *xs).unionByName(new.select(*by, "perm", label, *xs))
-    g = both.groupBy(*by, "perm", label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)], F.sum(sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))).alias("_q"))
-    within = F.sum(F.col("_q") - sum((F.col(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.col("_n"))
-    total = F.sum("_q") - sum((F.sum(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.sum("_n")
-    f = g.groupBy(*by, "perm").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("labels"), within.alias("_w"), total.alias("_t"))
+    rows = settled(finite_rows(df.where(F.col(label).isNotNull()), *xs).select(*by, key, label, *xs))
+    g = rows.groupBy(*by, F.lit(0).alias("perm"), label).agg(*_label_sums(xs))
+    size = settled(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")))
+    small, large = size.where(F.col("_all") <= GATHERED), size.where(F.col("_all") > GATHERED)
+    f = _within(g, by, xs)
+    if not small.isEmpty():
+        f = f.unionByName(_dealt_labels(with_groups(rows, small.select(*by), by) if by else rows, by, key, label, xs, size.count(), times, seed, f.schema))
+    if not large.isEmpty():
+        f = f.unionByName(_within(_ranged_labels(with_groups(rows, large.select(*by), by) if by else rows, by, key, label, xs, times, seed), by, xs))
+    f = settled(f)
     f = f.withColumn("f", ((F.col("_t") - F.col("_w")) / F.nullif(F.col("labels") - 1.0, F.lit(0.0))) / F.nullif(F.col("_w") / F.nullif(F.col("n") - F.col("labels").cast("double"), F.lit(0.0)), F.lit(0.0)))
     seen = f.where("perm = 0").select(*by, "n", "labels", "f")
-    hits = with_groups(f.where("perm > 0").select(*by, F.col("f").alias("_f")), seen.select(*by, "f"), by).groupBy(*by).agg(F.count_if(F.col("_f") >= F.col("f") - 1e-9).alias("_b"))
+    # draws are merged with what was seen, and not sent through the driver
+    hits = with_groups(f.where("perm > 0").select(*by, F.col("f").alias("_f")).hint("merge"), seen.select(*by, "f"), by).groupBy(*by).agg(F.count_if(F.col("_f") >= F.col("f") - 1e-9).alias("_b"))
     return with_groups(seen, hits, by).withColumn("p", (F.col("_b") + 1.0) / (times + 1.0)).drop("_b")
 
 
+def _label_sums(xs: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)], F.sum(sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))).alias("_q")]
+
+
+def _within(g: DataFrame, by: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """(by.., perm, n, labels, _w, _t): sums of squares within labels and in all, from each label's sums."""
+    within = F.sum(F.col("_q") - sum((F.col(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.col("_n"))
+    total = F.sum("_q") - sum((F.sum(f"_s{i}") ** 2 for i in range(len(xs))), F.lit(0.0)) / F.sum("_n")
+    return g.groupBy(*by, "perm").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("labels"), within.alias("_w"), total.alias("_t"))
+
+
+def _dealt_labels(rows: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequence[str], groups: int, times: int, seed: str, schema: StructType) -> DataFrame:
+    """The rows of `_within` for permutations 1 to times: a task holds one group's rows as arrays and deals a block of permutations."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(times, -(-4 * cores // groups)))
+    values = [F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]
+    dealt = rows.select(*by, F.col(key).alias("_key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_name"), F.col(label).alias("_label"), *values)
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(8 * cores, *by, "_block")
+
+    def sums(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        group = group.take(pc.sort_indices(group["_key"], null_placement="at_start"))
+        x = [group[f"_x{i}"].to_numpy() for i in range(len(xs))]
+        code = group["_label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        count = np.bincount(code).astype(float)
+        whole = float(sum((v * v).sum() for v in x))
+        order, perms = Md5Order(group["_name"]), np.arange(group["_block"][0].as_py() + 1, times + 1, blocks)
+        between = []
+        for perm in perms:
+            # the row at a place along the keys gets the label at that place along the hashes
+            new = code[order.order(f"{seed}|{perm}|".encode())]
+            between.append(float(sum((np.bincount(new, v, len(count)) ** 2 / count).sum() for v in x)))
+        first = group.slice(0, 1)
+        cells = {c: pa.array(first[c].to_pylist() * len(perms), group.schema.field(c).type) for c in by}
+        same = {"n": group.num_rows, "labels": len(count), "_t": whole - float(sum(v.sum() ** 2 for v in x)) / group.num_rows}
+        cells |= {"perm": pa.array(perms, pa.int32()), "_w": pa.array([whole - b for b in between], pa.float64())} | {c: pa.array([v] * len(perms), pa.float64() if c == "_t" else pa.int64()) for c, v in same.items()}
+        return pa.table({f.name: cells[f.name] for f in schema})
+
+    return dealt.groupBy(*by, "_block").applyInArrow(sums, schema)
+
+
+def _ranged_labels(rows: DataFrame, by: Sequence[str], key: str, label: str, xs: Sequence[str], times: int, seed: str) -> DataFrame:
+    """Each label's sums for permutations 1 to times of groups that no task holds: rows meet the labels at their place in a draw."""
+    from .nulls import numbered
+
+    at = {c: f"_at_{i}" for i, c in enumerate(by)}
+    own = _places(rows.select(*by, F.col(key).alias("_key"), *xs), by, ["_key", F.monotonically_increasing_id()])
+    places = own.select(*[F.col(c).alias(n) for c, n in at.items()], F.col("_place").alias("_k"), *xs)
+    word = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.coalesce(F.col("_key").cast("string"), F.lit(""))))
+    dealt = _places(numbered(rows.select(*by, F.col(key).alias("_key"), label), times), [*by, "perm"], [word, F.col("_key"), F.monotonically_increasing_id()])
+    # a place along the keys has the same vector in every draw, so draws meet the rows and not themselves; files are small, draws
+    # are not, so the join is merged: a broadcast of draws would go through the driver
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in at.items()], F.col("_place") == F.col("_k"))
+    return dealt.hint("merge").join(places, same).groupBy(*by, "perm", label).agg(*_label_sums(xs))
+
+
 @any_group_name
 def pseudo_f(df: DataFrame, by: Sequence[str], key: str, member: str, xs: Sequence[str], covariate: str | None = None, times: int = 999, seed: str = "pseudo") -> DataFrame:
     """(by.., n, mode, f, r2, p): pseudo-F of membership over vectors xs, given a covariate, with residuals dealt anew.

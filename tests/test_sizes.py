@@ -250,6 +250,22 @@ def test_permanova_draws_meet_rows_and_not_themselves(spark):
     assert "strategy=merge" in optimized(got)
 
 
+@pytest.mark.parametrize("gathered", [0, 30, 4_000_000])
+def test_permanova_deals_small_groups_in_tasks(spark, monkeypatch, gathered):
+    rng = random.Random(14)
+    rows = [(g, i, rng.choice("abc"), rng.random(), rng.random()) for g, n in (("a", 40), ("b", 25), (None, 20)) for i in range(n)]
+    monkeypatch.setattr(regression, "GATHERED", gathered)
+    seen, numbered = [], nulls.numbered
+    monkeypatch.setattr(nulls, "numbered", lambda df, times: seen.append(df.select(df.columns[0]).distinct().count()) or numbered(df, times))
+    got = {r.g: (r.n, r.labels, round(r.f, 9), r.p) for r in regression.permanova(spark.createDataFrame(rows, "g string, k long, l string, x double, y double"), ["g"], "k", "l", ["x", "y"], 25).collect()}
+    # groups that a task holds are not written out once a draw
+    assert seen == {0: [3], 30: [1], 4_000_000: []}[gathered] and len(got) == 3
+    assert _PERMANOVA.setdefault("all", got) == got
+
+
+_PERMANOVA = {}
+
+
 @pytest.mark.parametrize("whole", [0, 6, 1_000_000])
 def test_merges_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, whole):
     rng = random.Random(11)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +69,34 @@ class Md5Order:
             self.words = at, found
         return self.words[1]
 
-    def order(self, prefix: bytes, step: int = 8192) -> np.ndarray:
-        """Places of the names in order; equal hashes keep the order of the names."""
-        high, low = np.empty(self.count, np.uint64), np.empty(self.count, np.uint64)
+    def _digests(self, prefix: bytes, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, (4, n) digests as big-endian words) of all names."""
         head = np.frombuffer(prefix + b"\0" * (-len(prefix) % 4), "<u4")
         for n, rows, words in self._laid_out(len(prefix)):
             if words is None:
                 digests = b"".join(hashlib.md5(prefix + x).digest() for x in self.names.take(pa.array(rows)).to_pylist())
-                high[rows], low[rows] = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+                yield rows, np.frombuffer(digests, ">u4").reshape(-1, 4).T
                 continue
             for i in range(0, len(rows), step):
                 part = words[:, i : i + step]
                 block = [part[j] | head[j] if j < len(head) else part[j] for j in range(len(part))]
                 block += [0] * (16 - len(block))
                 block[14] = 8 * (len(prefix) + n)
-                one = _one_block(block, part.shape[1]).astype("<u4").view(">u4").astype(np.uint64)
-                high[rows[i : i + step]], low[rows[i : i + step]] = one[0] << np.uint64(32) | one[1], one[2] << np.uint64(32) | one[3]
+                yield rows[i : i + step], _one_block(block, part.shape[1]).astype("<u4").view(">u4")
+
+    def first_words(self, prefix: bytes, step: int = 8192) -> np.ndarray:
+        """The first eight hexadecimal digits of each md5(prefix + name), as numbers."""
+        out = np.empty(self.count, np.int64)
+        for rows, digests in self._digests(prefix, step):
+            out[rows] = digests[0]
+        return out
+
+    def order(self, prefix: bytes, step: int = 8192) -> np.ndarray:
+        """Places of the names in order; equal hashes keep the order of the names."""
+        high, low = np.empty(self.count, np.uint64), np.empty(self.count, np.uint64)
+        for rows, digests in self._digests(prefix, step):
+            one = digests.astype(np.uint64)
+            high[rows], low[rows] = one[0] << np.uint64(32) | one[1], one[2] << np.uint64(32) | one[3]
         found = np.argsort(high)
         close = high[found]
         return np.lexsort((low, high)) if (close[1:] == close[:-1]).any() else found

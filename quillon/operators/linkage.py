@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.hashes import Md5Order
 from quillon.functions.scalars import finite, ratio
 
 from . import similarity
@@ -27,7 +29,11 @@ DIGITS = 12
 #: So many pairs of a piece are merged in one task (some 100 MB there).
 WHOLE = 1_000_000
 #: So many nodes meet as many others in a task of co_clustering.
-BLOCK = 1_000
+BLOCK = 4_000
+#: Owners' lists of so many items, and a resample of so many pairs, are held by a task of resampled_labels (some 1 GB at most).
+ENTRIES, MET = 20_000_000, 8_000_000
+#: So many resamples go through the rounds of jobs together where a task can't hold one.
+SOME = 10
 
 
 def pair_sums(pairs: DataFrame, by: Sequence[str], sim: str) -> DataFrame:
@@ -58,26 +64,41 @@ def merged(c: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _rounds(a: np.ndarray, b: np.ndarray, total: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """The rounds of `reciprocal` and `merged` on pairs a < b in their order: (a, b, total, na, nb) of each round's merges."""
-    n = len(size)
+    """The rounds of `reciprocal` and `merged` on pairs a < b: (a, b, total, na, nb) of each round's merges, in order of (a, b).
+
+    Only the pairs of clusters that were merged are named and added up anew.
+    """
+    n, size = len(size), size.copy()
+    mean = np.round(total / (size[a].astype(float) * size[b]), DIGITS)
     while len(a):
-        mean = np.round(total / (size[a].astype(float) * size[b]), DIGITS)
-        best, first = np.full(n, -np.inf), np.full(n, len(a))
+        best, first = np.full(n, -np.inf), np.full(n, n * n)
         for x in (a, b):
             np.maximum.at(best, x, mean)
-        for x in (a, b):
-            at = np.flatnonzero(mean == best[x])
-            np.minimum.at(first, x[at], at)
-        at = np.flatnonzero((first[a] == np.arange(len(a))) & (first[b] == np.arange(len(a))))
-        yield a[at], b[at], total[at], size[a[at]], size[b[at]]
-        name, size = np.arange(n), size.copy()
-        name[b[at]] = a[at]
-        size[a[at]] += size[b[at]]
-        x, y = name[a], name[b]
+        at = np.flatnonzero((mean == best[a]) | (mean == best[b]))
+        x, y = a[at].astype(np.int64), b[at].astype(np.int64)
+        code = x * n + y
+        for z in (x, y):
+            top = mean[at] == best[z]
+            np.minimum.at(first, z[top], code[top])
+        hit = (first[x] == code) & (first[y] == code)
+        at = at[hit][np.argsort(code[hit])]
+        x, y = a[at], b[at]
+        yield x, y, total[at], size[x], size[y]
+        name, part = np.arange(n, dtype=a.dtype), np.zeros(n, bool)
+        name[y], part[x], part[y] = x, True, True
+        size[x] += size[y]
+        moved = part[a] | part[b]
+        x, y, t = name[a[moved]], name[b[moved]], total[moved]
         kept = x != y
-        x, y = np.minimum(x, y)[kept], np.maximum(x, y)[kept]
-        code, inverse = np.unique(x * n + y, return_inverse=True)
-        a, b, total = code // n, code % n, np.bincount(inverse, total[kept], len(code))
+        code, t = np.minimum(x, y)[kept] * np.int64(n) + np.maximum(x, y)[kept], t[kept]
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        at = np.flatnonzero(np.diff(code, prepend=-1))
+        code, t = code[at], np.add.reduceat(t[order], at) if len(at) else t
+        x, y = (code // n).astype(a.dtype), (code % n).astype(a.dtype)
+        moved = ~moved
+        a, b, total = np.concatenate([a[moved], x]), np.concatenate([b[moved], y]), np.concatenate([total[moved], t])
+        mean = np.concatenate([mean[moved], np.round(t / (size[x].astype(float) * size[y]), DIGITS)])
 
 
 def _in_tasks(c: DataFrame, keys: Sequence[str], piece: Sequence[str], step: int) -> DataFrame:
@@ -87,11 +108,10 @@ def _in_tasks(c: DataFrame, keys: Sequence[str], piece: Sequence[str], step: int
     def run(rows: pa.Table) -> pa.Table:
         names = pc.unique(pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks]))
         names = names.take(pc.sort_indices(names))
-        a, b = (pc.index_in(rows[x], value_set=names).to_numpy().astype(np.int64) for x in "ab")
+        a, b = (pc.index_in(rows[x], value_set=names).to_numpy() for x in "ab")
         size = np.ones(len(names), np.int64)
         size[a], size[b] = rows["na"].to_numpy(), rows["nb"].to_numpy()
-        order = np.lexsort((b, a))
-        done = [(*merge, np.full(len(merge[0]), step + i, np.int32)) for i, merge in enumerate(_rounds(a[order], b[order], rows["total"].to_numpy()[order], size))]
+        done = [(*merge, np.full(len(merge[0]), step + i, np.int32)) for i, merge in enumerate(_rounds(a, b, rows["total"].to_numpy(), size))]
         x = [np.concatenate(parts) for parts in zip(*done, strict=True)]
         own = {k: rows[k].take(pa.array(np.zeros(len(x[0]), np.int64))) for k in keys}
         return pa.table(own | {"a": names.take(pa.array(x[0])), "b": names.take(pa.array(x[1]))} | dict(zip(("total", "na", "nb", "step"), map(pa.array, x[2:]), strict=True)))
@@ -278,67 +298,174 @@ def linkage_clusters(pairs: DataFrame, nodes: DataFrame, by: Sequence[str], node
 # ---------------------------------------------------------------- resamples
 
 
-def resampled(items: DataFrame, owner: str, item: str, times: int, size: int, seed: str = "boot") -> DataFrame:
+def resampled(items: DataFrame, owner: str, item: str, times: int, size: int, seed: str = "boot", first: int = 1) -> DataFrame:
     """(perm, owner, item): for each resample the different items among `size` draws with replacement from each owner's, by md5."""
     sets = items.select(F.col(owner).alias("owner"), F.col(item).alias("item")).where("owner is not null and item is not null").distinct()
     # an owner's items are one row: a program's list, not a table's rows
     lists = sets.groupBy("owner").agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    draws = lists.select("owner", "_items", F.explode(F.sequence(F.lit(1), F.lit(int(times)))).alias("perm")).select("owner", "_items", "perm", F.explode(F.sequence(F.lit(0), F.lit(int(size) - 1))).alias("_j"))
+    draws = lists.select("owner", "_items", F.explode(F.sequence(F.lit(int(first)), F.lit(int(first + times - 1)))).alias("perm")).select("owner", "_items", "perm", F.explode(F.sequence(F.lit(0), F.lit(int(size) - 1))).alias("_j"))
     word = F.md5(F.concat_ws("|", F.lit(seed), "perm", F.col("owner").cast("string"), "_j"))
     at = F.pmod(F.conv(F.substr(word, F.lit(1), F.lit(8)), 16, 10).cast("long"), F.size("_items")).cast("int")
     return draws.select("perm", "owner", F.get("_items", at).alias("item")).distinct()
 
 
-def resampled_clusters(items: DataFrame, owner: str, item: str, times: int = 250, k: int = 8, size: int = 50, seed: str = "boot") -> tuple[DataFrame, DataFrame]:
+def resampled_clusters(items: DataFrame, owner: str, item: str, times: int = 250, k: int = 8, size: int = 50, seed: str = "boot", first: int = 1) -> tuple[DataFrame, DataFrame]:
     """(labels (perm, node, root), Jaccard pairs (perm, a, b, jaccard)) of every resample cut into k clusters (or as many as there are owners).
 
-    The resample is a key of the merge rounds, so all resamples go through them together.
+    The resample is a key of the merge rounds, so all resamples go through them together. first is the number of the first one.
     """
-    draws = settled(resampled(items, owner, item, times, size, seed))
+    draws = settled(resampled(items, owner, item, times, size, seed, first))
     pairs = settled(similarity.set_overlaps(draws, ["perm"], "owner", "item").select("perm", "a", "b", "jaccard"))
     nodes = draws.select("perm", F.col("owner").alias("node")).distinct()
     merges = average_linkage(pairs, nodes, ["perm"], "node", "jaccard")
     few = nodes.groupBy("perm").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 1
     labels = cuts(merges, nodes, ["perm"], "node", [min(int(k), few)])
-    return settled(labels.where(F.col("k") == min(int(k), few)).select("perm", "node", "root")), pairs
+    found = settled(labels.where(F.col("k") == min(int(k), few)).select("perm", "node", "root"))
+    discard(draws, merges)
+    return found, pairs
+
+
+def _met(a: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared) of owners a < b below n that share an item, from different (owner, item) in order of (item, owner)."""
+    first = np.flatnonzero(np.diff(item, prepend=-1))
+    many = np.diff(np.append(first, len(item)))
+    later = np.repeat(first + many, many) - np.arange(len(item)) - 1
+    x = np.repeat(np.arange(len(item)), later)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+    code = np.sort(a[x] * np.int64(n) + a[y])
+    at = np.flatnonzero(np.diff(code, prepend=-1))
+    return (code[at] // n).astype(np.int32), (code[at] % n).astype(np.int32), np.diff(np.append(at, len(code)))
+
+
+def _cut(a: np.ndarray, b: np.ndarray, total: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Each node's smallest fellow in the cut into k of the average linkage of pairs of similarity over 0, as `average_linkage` and `cuts` have it."""
+    n = len(size)
+    done = [(x, y, 1.0 - t / (na.astype(float) * nb), np.full(len(x), i)) for i, (x, y, t, na, nb) in enumerate(_rounds(a, b, total, size))]
+    parent, child, height, step = (np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*done, strict=True)) if done else [np.zeros(0, np.int64)] * 4
+    parent, child = parent.astype(np.int64), child.astype(np.int64)
+    late = np.ones(n, bool)
+    late[child] = False
+    late = np.flatnonzero(late)[1:]
+    # what is left shares nothing: it joins the first node, after all others
+    order = np.lexsort((child, parent, step, np.round(height, DIGITS)))
+    parent, child = np.append(parent[order], np.zeros(len(late), np.int64))[: n - k], np.append(child[order], late)[: n - k]
+    up = np.arange(n)
+    up[child] = parent
+    while (up[up] != up).any():
+        up = up[up]
+    return up
+
+
+def resampled_labels(items: DataFrame, owner: str, item: str, times: int = 250, k: int = 8, size: int = 50, seed: str = "boot") -> DataFrame:
+    """The labels of `resampled_clusters`, without a table of its draws, pairs or merges.
+
+    A resample is drawn, joined, merged and cut in one task, which holds the owners' lists and takes some resamples one after
+    the other, if these have at most ENTRIES items and a resample may be expected to have at most MET pairs. Larger ones
+    take the rounds of jobs, SOME resamples at a time, so that no more of their pairs are on disk.
+    """
+    sets = items.select(F.col(owner).alias("owner"), F.col(item).alias("item")).where("owner is not null and item is not null").distinct()
+    # an owner's items are one row: a program's list, not a table's rows
+    lists = settled(sets.groupBy("owner").agg(F.array_sort(F.collect_list("item")).alias("_items")))
+    drawn = 1.0 - F.pow(1.0 - 1.0 / F.size("_items"), F.lit(float(size)))
+    shares = lists.select(F.explode("_items").alias("item"), drawn.alias("_p")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q"))
+    entries, pairs = shares.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+    kinds = dict(sets.dtypes)
+    plain = {"tinyint", "smallint", "int", "bigint", "string"}
+    if kinds["owner"] not in plain or entries > ENTRIES or pairs > MET:
+        parts = []
+        for first in range(1, times + 1, SOME):
+            labels, jaccard = resampled_clusters(items, owner, item, min(SOME, times + 1 - first), k, size, seed, first)
+            discard(jaccard)
+            parts.append(labels)
+        return reduce(DataFrame.unionByName, parts)
+    blocks = max(1, min(times, 2 * lists.sparkSession.sparkContext.defaultParallelism))
+    dealt = lists.select("owner", F.col("owner").cast("string").alias("_name"), "_items").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        block, t = t["_block"][0].as_py(), t.take(pc.sort_indices(t["owner"])).drop_columns(["_block"])
+        cells, n = t["_items"].combine_chunks(), t.num_rows
+        code = pc.dictionary_encode(cells.flatten()).indices.to_numpy()
+        long = pc.list_value_length(cells).to_numpy()
+        start, of = np.cumsum(long) - long, np.repeat(np.arange(n, dtype=np.int32), long)
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        code, of_order = code[order], of[order]
+        names, ends = t["_name"].combine_chunks(), pa.array([f"|{j}" for j in range(size)])
+        words = []
+        for at in range(0, n, 4096):
+            part = names.slice(at, 4096)
+            m = len(part)
+            words.append(Md5Order(pc.binary_join_element_wise(part.take(pa.array(np.repeat(np.arange(m), size))), ends.take(pa.array(np.tile(np.arange(size), m))), "")))
+        for perm in range(block + 1, times + 1, blocks):
+            head = f"{seed}|{perm}|".encode()
+            draw = np.concatenate([w.first_words(head) for w in words]) % np.repeat(long, size)
+            taken = np.zeros(len(code), bool)
+            taken[np.repeat(start, size) + draw] = True
+            degree = np.bincount(of[taken], minlength=n)
+            here = taken[order]
+            a, b, shared = _met(of_order[here], code[here], n)
+            up = _cut(a, b, shared / (degree[a] + degree[b] - shared), np.ones(n, np.int64), min(int(k), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, perm, np.int32)), t["owner"].combine_chunks(), t["owner"].combine_chunks().take(pa.array(up))], ["perm", "node", "root"])
+
+    return settled(dealt.repartition(blocks, "_block").groupBy("_block").applyInArrow(run, f"perm int, node {kinds['owner']}, root {kinds['owner']}"))
 
 
 def co_clustering(labels: DataFrame, times: int) -> DataFrame:
     """(a, b, together): the share of resamples in which two nodes fall into one cluster; pairs that never do are left out.
 
-    A node is one row with its cluster's number in each resample, and nodes meet in blocks of some BLOCK each: the pairs are
-    as many as the result may have, but none is dealt once for each resample.
+    A node is one row with its cluster's number in each resample, in as few bytes as these take, and nodes meet in blocks of some
+    BLOCK each: the pairs are as many as the result may have, but none is dealt once for each resample, and a task gives
+    them back a few nodes at a time. With few clusters a block's counts are products of 0-1 matrices.
     """
     rows = labels.where("node is not null and root is not null")
     # resamples and a resample's clusters get numbers: few rows
     perms = rows.select("perm").distinct().withColumn("_p", F.row_number().over(over([], "perm")) - 1)
-    roots = rows.select("perm", "root").distinct().withColumn("_c", F.row_number().over(over(["perm"], F.col("root"))))
+    roots = settled(rows.select("perm", "root").distinct().withColumn("_c", F.row_number().over(over(["perm"], F.col("root")))))
     coded = rows.join(roots, ["perm", "root"]).join(F.broadcast(perms), "perm")
-    packed = settled(coded.groupBy("node").agg(F.collect_list(F.struct("_p", "_c")).alias("_l")).select("node", F.col("_l._p").alias("_p"), F.col("_l._c").alias("_c")))
-    n, width = packed.count(), perms.count()
-    many = max(1, -(-n // BLOCK))
+    width, clusters, most = perms.count(), roots.count(), roots.agg(F.max("_c")).first()[0] or 0
+    number = np.dtype(np.uint8 if most < 256 else np.uint16 if most < 65_536 else np.uint32)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.zeros((batch.num_rows, width), number)
+            code[np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["_p"]).to_numpy()), batch["_p"].flatten()] = batch["_c"].flatten()
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([x.tobytes() for x in code], pa.binary())], ["node", "_l"])
+
+    kind = dict(labels.dtypes)["node"]
+    packed = coded.groupBy("node").agg(F.collect_list(F.struct("_p", "_c")).alias("_l")).select("node", F.col("_l._p").alias("_p"), F.col("_l._c").alias("_c"))
+    packed = settled(packed.mapInArrow(pack, f"node {kind}, _l binary"))
+    many = max(1, -(-packed.count() // BLOCK))
     block = F.pmod(F.xxhash64("node"), F.lit(many)).cast("int")
     met = packed.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    met = met.select("node", "_p", "_c", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own")
+    met = met.select("node", "_l", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own")
+    few = clusters <= 32 * width
+
+    def hot(code: np.ndarray) -> np.ndarray:
+        """A column for each cluster, 1 for its members."""
+        return np.concatenate([code[:, p, None] == np.arange(1, tops[p] + 1, dtype=number) for p in range(width)], axis=1).astype(np.float32)
+
+    tops = [r[0] for r in roots.join(F.broadcast(perms), "perm").groupBy("_p").agg(F.max("_c").alias("_c")).orderBy("_p").select("_c").collect()] if few else []
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
         i, j, own = (t[c].to_numpy() for c in ("_i", "_j", "_own"))
-        cells = t["_p"].combine_chunks()
-        code = np.zeros((t.num_rows, width), np.int32)
-        code[np.repeat(np.arange(t.num_rows), np.diff(cells.offsets)), cells.flatten()] = t["_c"].combine_chunks().flatten()
+        names, code = t["node"].combine_chunks(), np.frombuffer(b"".join(t["_l"].to_pylist()), number).reshape(t.num_rows, width)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        columns, out = np.ascontiguousarray(code[right].T), ([], [], [])
-        for x in left:
-            count = np.zeros(len(right), np.int32)
-            for p in np.flatnonzero(code[x]):
-                count += columns[p] == code[x, p]
-            some = np.flatnonzero((count > 0) & (right > x if i[0] == j[0] else True))
-            for o, v in zip(out, (np.full(len(some), x), right[some], count[some]), strict=True):
-                o.append(v)
-        x, y, count = (np.concatenate([np.zeros(0, np.int64), *o]) for o in out)
-        return pa.table({"x": t["node"].take(pa.array(x)), "y": t["node"].take(pa.array(y)), "n": pa.array(count)})
+        columns = np.ascontiguousarray((hot(code[right]) if few else code[right]).T)
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            if few:
+                count = np.rint(hot(code[part]) @ columns).astype(np.int64)
+            else:
+                count = np.zeros((len(part), len(right)), np.int64)
+                for k, x in enumerate(part):
+                    for p in np.flatnonzero(code[x]):
+                        count[k] += columns[p] == code[x, p]
+            if i[0] == j[0]:
+                count[right <= part[:, None]] = 0
+            x, y = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(part[x])), names.take(pa.array(right[y])), pa.array(count[x, y])], ["x", "y", "n"])
 
-    kind = dict(labels.dtypes)["node"]
     pairs = met.repartition(4 * met.sparkSession.sparkContext.defaultParallelism, "_i", "_j").groupBy("_i", "_j").applyInArrow(run, f"x {kind}, y {kind}, n long")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("n") / F.lit(float(times))).alias("together"))
 

@@ -288,6 +288,31 @@ def test_merges_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch, whole):
     assert not rounds if whole > 6 else len(rounds) > 2
 
 
+@pytest.mark.parametrize("met", [0, 8_000_000])
+def test_resamples_are_whole_in_a_task_and_equal_those_in_rounds(spark, monkeypatch, met):
+    rng = random.Random(15)
+    sets = {f"o{o}": rng.sample(range(30), rng.randint(2, 8)) for o in range(25)} | {"lone": [90], "apart": [91, 92]}
+    items = spark.createDataFrame([(o, i) for o, s in sets.items() for i in s] + [("o1", None), (None, 4)], "o string, i long")
+    rows = lambda df: sorted(map(tuple, df.select("perm", "node", "root").collect()))
+    want = rows(linkage.resampled_clusters(items, "o", "i", 11, 4, 6)[0])
+    calls, rounds = [], linkage.resampled_clusters
+    monkeypatch.setattr(linkage, "resampled_clusters", lambda *a: calls.append(a) or rounds(*a))
+    monkeypatch.setattr(linkage, "MET", met)
+    monkeypatch.setattr(linkage, "SOME", 6)
+    assert rows(linkage.resampled_labels(items, "o", "i", 11, 4, 6)) == want and len(want) == 11 * 27
+    # no jobs for what a task holds, and no more than SOME resamples on disk where it can't
+    assert [c[3] for c in calls] == ([] if met else [6, 5])
+
+
+def test_clusters_numbers_are_bytes(spark):
+    labels = spark.createDataFrame([(p, n, n % 3 + p) for p in range(40) for n in range(12)], "perm int, node long, root long")
+    got = linkage.co_clustering(labels, 40)
+    assert {(r.a, r.b): r.together for r in got.collect()} == {(a, b): 1.0 for a in range(12) for b in range(a + 1, 12) if a % 3 == b % 3}
+    assert "array<" not in optimized(got) and all(kind != "array" for _, kind in got.dtypes)
+    many = spark.createDataFrame([(p, n, n // 2) for p in range(2) for n in range(700)], "perm int, node long, root long")
+    assert {(r.a, r.b, r.together) for r in linkage.co_clustering(many, 2).collect()} == {(2 * n, 2 * n + 1, 1.0) for n in range(350)}
+
+
 @pytest.mark.parametrize("block", [7, 1_000])
 def test_nodes_that_share_clusters_are_counted_in_blocks(spark, monkeypatch, block):
     rng = random.Random(13)

@@ -26,8 +26,8 @@ from .ranks import any_group_name, discard, over, running_sum, settled, with_gro
 
 #: Similarities are compared at this many digits, so that sums of different order tie alike.
 DIGITS = 12
-#: So many pairs of a piece are merged in one task (some 100 MB there).
-WHOLE = 1_000_000
+#: So many pairs of a piece are merged in one task (16 million take some 1 GB in its rounds); what is named anew in a round is so at most STRIPE pairs at a time.
+WHOLE, STRIPE = 20_000_000, 2_000_000
 #: So many nodes meet as many others in a task of co_clustering.
 BLOCK = 4_000
 #: Owners' lists of so many items, and a resample of so many pairs, are held by a task of resampled_labels (some 1 GB at most).
@@ -87,34 +87,53 @@ def _rounds(a: np.ndarray, b: np.ndarray, total: np.ndarray, size: np.ndarray) -
         name, part = np.arange(n, dtype=a.dtype), np.zeros(n, bool)
         name[y], part[x], part[y] = x, True, True
         size[x] += size[y]
-        moved = part[a] | part[b]
-        x, y, t = name[a[moved]], name[b[moved]], total[moved]
-        kept = x != y
-        code, t = np.minimum(x, y)[kept] * np.int64(n) + np.maximum(x, y)[kept], t[kept]
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        at = np.flatnonzero(np.diff(code, prepend=-1))
-        code, t = code[at], np.add.reduceat(t[order], at) if len(at) else t
-        x, y = (code // n).astype(a.dtype), (code % n).astype(a.dtype)
-        moved = ~moved
-        a, b, total = np.concatenate([a[moved], x]), np.concatenate([b[moved], y]), np.concatenate([total[moved], t])
-        mean = np.concatenate([mean[moved], np.round(t / (size[x].astype(float) * size[y]), DIGITS)])
+        moved = part[a]
+        moved |= part[b]
+        keep = ~moved
+        out = [(a[keep], b[keep], total[keep], mean[keep])]
+        mean = None
+        a, b, total = name[a[moved]], name[b[moved]], total[moved]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        # the smaller names of a stripe are its own, so no pair is in two
+        ends = np.append(np.unique(np.searchsorted(np.cumsum(np.bincount(a, minlength=n)), np.arange(0, len(a), STRIPE), side="right")), n)
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            at = np.flatnonzero((a >= low) & (a < high) & (a != b)) if len(ends) > 2 else np.flatnonzero(a != b)
+            code = a[at] * np.int64(n) + b[at]
+            order = np.argsort(code, kind="stable")
+            code, t = code[order], total[at[order]]
+            at = np.flatnonzero(np.diff(code, prepend=-1))
+            code, t = code[at], np.add.reduceat(t, at) if len(at) else t
+            x, y = (code // n).astype(a.dtype), (code % n).astype(a.dtype)
+            out.append((x, y, t, np.round(t / (size[x].astype(float) * size[y]), DIGITS)))
+        a = b = total = None
+        a, b, total, mean = (np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _in_tasks(c: DataFrame, keys: Sequence[str], piece: Sequence[str], step: int) -> DataFrame:
     """(keys, a, b, total, na, nb, step): all merges of a pair table that is dealt by keys and piece, from this step on."""
     kinds = dict(c.dtypes)
 
-    def run(rows: pa.Table) -> pa.Table:
-        names = pc.unique(pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, total, sizes, first = ([], []), [], ([], []), None
+        for batch in batches:
+            first = first or pa.RecordBatch.from_pydict({k: batch[k].slice(0, 1) for k in keys}) if keys else None
+            for i, (x, n) in enumerate((("a", "na"), ("b", "nb"))):
+                ends[i].append(batch[x])
+                sizes[i].append(batch[n].to_numpy().astype(np.int32))
+            total.append(batch["total"].to_numpy())
+        names = pc.unique(pa.chunked_array([pc.unique(x) for x in (*ends[0], *ends[1])]))
         names = names.take(pc.sort_indices(names))
-        a, b = (pc.index_in(rows[x], value_set=names).to_numpy() for x in "ab")
+        code = [np.concatenate([pc.index_in(x, value_set=names).to_numpy() for x in end]) for end in ends]
         size = np.ones(len(names), np.int64)
-        size[a], size[b] = rows["na"].to_numpy(), rows["nb"].to_numpy()
-        done = [(*merge, np.full(len(merge[0]), step + i, np.int32)) for i, merge in enumerate(_rounds(a, b, rows["total"].to_numpy(), size))]
-        x = [np.concatenate(parts) for parts in zip(*done, strict=True)]
-        own = {k: rows[k].take(pa.array(np.zeros(len(x[0]), np.int64))) for k in keys}
-        return pa.table(own | {"a": names.take(pa.array(x[0])), "b": names.take(pa.array(x[1]))} | dict(zip(("total", "na", "nb", "step"), map(pa.array, x[2:]), strict=True)))
+        for x, n in zip(code, sizes, strict=True):
+            size[x] = np.concatenate(n)
+        total = np.concatenate(total)
+        ends = sizes = None
+        # at most as many merges as nodes
+        for i, (x, y, *rest) in enumerate(_rounds(*code, total, size)):
+            code = total = None
+            own = [first[k].take(pa.array(np.zeros(len(x), np.int64))) for k in keys]
+            yield pa.RecordBatch.from_arrays([*own, names.take(pa.array(x)), names.take(pa.array(y)), *map(pa.array, rest), pa.array(np.full(len(x), step + i, np.int32))], [*keys, "a", "b", "total", "na", "nb", "step"])
 
     dealt = c.repartition(4 * c.sparkSession.sparkContext.defaultParallelism, *keys, *piece) if [*keys, *piece] else c
     return dealt.groupBy(*keys, *piece).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "a", "b", "total", "na", "nb")) + ", step int")
@@ -149,6 +168,12 @@ def average_linkage(pairs: DataFrame, nodes: DataFrame, by: Sequence[str], node:
         if coded_alike:
             sizes = settled(c.groupBy(*keys, *piece).agg(F.count(F.lit(1)).alias("_pairs")))
             if not piece and not sizes.where(F.col("_pairs") > WHOLE).isEmpty():
+                # groups that fit a task need no pieces
+                fit = sizes.where(F.col("_pairs") <= WHOLE).select(*keys)
+                if keys and not fit.isEmpty():
+                    last = settled(_in_tasks(with_groups(c, fit, keys), keys, [], step))
+                    done = last if done is None else done.unionByName(last)
+                    c = settled(c.join(fit, keys, "left_anti"))
                 piece = ["_piece"]
                 c = settled(_pieces(c, keys))
                 continue
@@ -611,7 +636,8 @@ def top_n_sweep(items: DataFrame, owner: str, item: str, rank: str, tops: Sequen
 
     N is a key: one pair table and one set of merge rounds for all of them.
     """
-    lists = items.where(F.col(owner).isNotNull()).withColumn("n", F.explode(F.array(*[F.lit(int(n)) for n in tops]))).where(F.col(rank) <= F.col("n"))
+    # written once: pairs and nodes are both made from them
+    lists = settled(items.where(F.col(owner).isNotNull()).select(owner, item, rank)).withColumn("n", F.explode(F.array(*[F.lit(int(n)) for n in tops]))).where(F.col(rank) <= F.col("n"))
     pairs = settled(similarity.set_overlaps(lists, ["n"], owner, item).select("n", "a", "b", "jaccard"))
     found = settled(linkage_clusters(pairs, lists.select("n", owner), ["n"], owner, "jaccard", [k]))
     side = lambda t: found.select("owner", F.col("n").alias(f"n_{t}"), F.col("cluster").alias(f"c{t}"), F.col("silhouette").alias(f"silhouette_{t}"))

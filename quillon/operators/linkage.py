@@ -26,7 +26,7 @@ from .ranks import any_group_name, discard, over, running_sum, settled, with_gro
 
 #: Similarities are compared at this many digits, so that sums of different order tie alike.
 DIGITS = 12
-#: So many pairs of a piece are merged in one task (16 million take some 1 GB in its rounds); what is named anew in a round is so at most STRIPE pairs at a time.
+#: So many pairs of a piece are merged in one task (16 million took a Python worker of 1.9 GB); what is named anew in a round is so at most STRIPE pairs at a time.
 WHOLE, STRIPE = 20_000_000, 2_000_000
 #: So many nodes meet as many others in a task of co_clustering.
 BLOCK = 4_000
